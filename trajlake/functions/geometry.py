@@ -33,7 +33,7 @@ def pixel(view_xyz: list[Column], proj, width: int, height: int, scale: float =
         mx, my = width * 0.5, height * 0.5
         px = F.lit(mx) + (px - F.lit(mx)) * F.lit(scale)
         py = F.lit(my) + (py - F.lit(my)) * F.lit(scale)
-    return [px.cast("int"), py.cast("int")]
+    return [px.cast("bigint"), py.cast("bigint")]
 
 
 def heading(d_first, d_second) -> tuple[Column, Column]:

@@ -16,7 +16,10 @@ CHUNK_SECONDS = 2.0
 
 def thin_grid(traj: DataFrame, fps: float = DEFAULT_FPS) -> DataFrame:
     """The first frame of every 1/fps slot, with all its rows."""
-    slot = F.floor(micros("timestamp") * F.lit(float(fps)) / F.lit(float(MICROS)))
+    if float(fps).is_integer():
+        slot = floor_div(micros("timestamp") * F.lit(int(fps)), MICROS)
+    else:
+        slot = floor_div(micros("timestamp"), round(MICROS / fps))
     kept = traj.groupBy(slot.alias("_slot")).agg(F.min("timestamp").alias("timestamp"))
     return traj.join(kept.select("timestamp"), "timestamp", "left_semi")
 

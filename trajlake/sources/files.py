@@ -155,10 +155,13 @@ def latest_file(spark: SparkSession, uri: str, suffix: str = EVENT_LIST_SUFFIX)
     return found.agg(F.max_by(name, F.struct(F.col("last_modified"), name)).alias("uri"))
 
 
-def read_metrics(spark: SparkSession, uri: str) -> DataFrame:
-    """Metrics files matching a path or glob; unreadable ones come with null metrics."""
+def read_metrics(spark: SparkSession, uri: str, *, multiline: bool = True) -> DataFrame:
+    """Metrics files matching a path or glob; unreadable ones come with null metrics.
+
+    One document per file, or per line with ``multiline`` off.
+    """
     return (
         spark.read.schema(METRICS_FILE)
-        .json(resolve(uri), multiLine=True)
+        .json(resolve(uri), multiLine=multiline)
         .withColumn("file", F.col("_metadata.file_path"))
     )
