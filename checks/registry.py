@@ -31,13 +31,15 @@ from trajlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+TYPED: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
 def check(name: str, statement: str | None = None):
-    """Register a query; timestamps in its result become text."""
+    """Register a query; timestamps in its result become text. ``TYPED`` keeps it as it is."""
 
     def register(fn: Query) -> Query:
+        TYPED[name] = fn
         QUERIES[name] = lambda spark, sf: as_text(fn(spark, sf))
         if statement is not None:
             ORACLE[name] = statement

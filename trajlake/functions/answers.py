@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.functions.clock import _c
@@ -19,16 +19,19 @@ SINGLE = "map<string,array<int>>"
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
 
-def _strip(col) -> Column:
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+BLANKS = " \n\t\r\x0b\x0c"
+
+
+def strip(col) -> Column:
+    return F.trim(_c(col), F.lit(BLANKS))
 
 
 def strip_fence(col) -> Column:
     """Text between the first and last line of a fenced block of three lines or more."""
-    text = _strip(col)
+    text = strip(col)
     inner = F.regexp_extract(text, r"(?s)^```[^\n]*\n(.*)\n[^\n]*$", 1)
     fenced = text.startswith(FENCE) & text.rlike(r"(?s)^[^\n]*\n.*\n[^\n]*$")
-    return F.when(fenced, _strip(inner)).otherwise(text)
+    return F.when(fenced, strip(inner)).otherwise(text)
 
 
 def list_in_prose(col) -> Column:
@@ -37,33 +40,42 @@ def list_in_prose(col) -> Column:
     return F.when(found == "", _c(col)).otherwise(found)
 
 
-def _read_items(text: Column) -> Column:
+def _read_items(text: str) -> Column:
     """Items of a list, of an ``events`` wrapper or of a single object; null if it is neither."""
-    tidy = F.regexp_replace(text, r",\s*([\]}])", "$1")
-    single = F.from_json(tidy, SINGLE)
-    return F.when(tidy.startswith("["), F.from_json(tidy, ITEMS)).when(
-        tidy.startswith("{"),
-        F.coalesce(F.from_json(tidy, WRAPPED)["events"], F.when(single.isNotNull(), F.array(single))),
+    t = F.col(text)
+    single = F.from_json(t, SINGLE)
+    return F.when(t.startswith("["), F.from_json(t, ITEMS)).when(
+        t.startswith("{"),
+        F.coalesce(F.from_json(t, WRAPPED)["events"], F.when(single.isNotNull(), F.array(single))),
     )
 
 
-def parse_answer(col) -> Column:
-    """All items of a lenient answer; an empty list for an empty answer; null if unreadable.
+def _tidy(col) -> Column:
+    return F.regexp_replace(_c(col), r",\s*([\]}])", "$1")
+
+
+def with_items(rows: DataFrame, content: str, name: str = "items") -> DataFrame:
+    """Add all items of a lenient answer: an empty list for an empty answer, null if unreadable.
 
     Single quotes and trailing commas are tolerated. An answer holding anything but lists of
-    whole numbers stays null, for the quarantine.
+    whole numbers stays null, for the quarantine. Every step is a column of its own, so each
+    answer is stripped, matched and parsed once; prose is searched only where parsing failed.
     """
-    raw = _strip(F.coalesce(_c(col), F.lit("")))
-    body = strip_fence(raw)
-    empty = F.array().cast(ITEMS)
-    return F.when((raw == "") | (raw == "[]"), empty).otherwise(
-        F.coalesce(_read_items(body), _read_items(list_in_prose(body)))
+    void = (F.col("_raw") == "") | (F.col("_raw") == "[]")
+    return (
+        rows.withColumn("_raw", strip(F.coalesce(_c(content), F.lit(""))))
+        .withColumn("_body", strip_fence("_raw"))
+        .withColumn("_tidy", _tidy("_body"))
+        .withColumn("_whole", F.when(void, F.array().cast(ITEMS)).otherwise(_read_items("_tidy")))
+        .withColumn("_found", F.when(F.col("_whole").isNull(), _tidy(list_in_prose("_body"))))
+        .withColumn(name, F.coalesce("_whole", _read_items("_found")))
+        .drop("_raw", "_body", "_tidy", "_whole", "_found")
     )
 
 
 def parse_answer_strict(col) -> Column:
     """Items of a fenced ``json`` list or of a text that is a JSON list as a whole; else null."""
-    text = _strip(F.coalesce(_c(col), F.lit("")))
+    text = strip(F.coalesce(_c(col), F.lit("")))
     fenced = F.regexp_extract(text, STRICT_FENCED_LIST, 1)
     bare = F.when(text.startswith("[") & text.endswith("]"), text)
     chosen = F.when(fenced != "", fenced).otherwise(bare)

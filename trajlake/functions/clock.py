@@ -46,8 +46,8 @@ def from_micros(col) -> Column:
 
 def floor_div(num, den: int) -> Column:
     """Floor of an integer division, exact for 64-bit values of either sign."""
-    num = _c(num)
-    return ((num - F.pmod(num, F.lit(den).cast("bigint"))) / F.lit(den)).cast("bigint")
+    num, den = _c(num), F.lit(den).cast("bigint")
+    return F.call_function("div", num - F.pmod(num, den), den)
 
 
 def epoch_ms(col) -> Column:

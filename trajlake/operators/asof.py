@@ -15,12 +15,10 @@ def last_wins(rows: DataFrame, seq: str) -> DataFrame:
     """One position per instant and object: the one that came last by ``seq``.
 
     ``max_by`` merges on the map side, so repeated rows of a hot key shrink before the shuffle.
+    One call per axis keeps flat buffers and with them the hash aggregate; ``seq`` is unique
+    within a key, so all three take the same row.
     """
-    return (
-        rows.groupBy("timestamp", "objid")
-        .agg(F.max_by(F.struct("x", "y", "z"), F.col(seq)).alias("_p"))
-        .select("timestamp", "objid", "_p.x", "_p.y", "_p.z")
-    )
+    return rows.groupBy("timestamp", "objid").agg(*[F.max_by(a, seq).alias(a) for a in ("x", "y", "z")])
 
 
 def frame_times(traj: DataFrame, time: str = "timestamp") -> DataFrame:

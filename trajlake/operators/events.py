@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.functions.answers import last_entries, object_set, parse_answer, parse_answer_strict
+from trajlake.functions.answers import last_entries, object_set, parse_answer_strict, with_items
 from trajlake.functions.clock import clock_to_timestamp_text, parse_ts
 from trajlake.functions.ids import objid_from_number
 from trajlake.operators.asof import asof_position
@@ -17,12 +17,17 @@ GROUPS_PER_LIST = 10_000
 
 
 def parsed(responses: DataFrame, content: str = "content") -> DataFrame:
-    return responses.withColumn("items", parse_answer(content))
+    return with_items(responses, content)
 
 
 def quarantine(responses: DataFrame, content: str = "content") -> DataFrame:
-    """Answers that the lenient reading cannot make sense of."""
-    return parsed(responses, content).where(F.col("items").isNull()).drop("items")
+    """Answers that the lenient reading cannot make sense of.
+
+    The one-element explode keeps the condition from being moved below the parsing steps, where
+    each of them would run several times.
+    """
+    read = parsed(responses, content).withColumn("_r", F.explode_outer(F.array(F.struct("items"))))
+    return read.where(F.col("_r.items").isNull()).drop("items", "_r")
 
 
 def mentions(
@@ -34,13 +39,12 @@ def mentions(
     are dropped. ``base_date`` is a date text or a column.
     """
     date = F.lit(base_date) if isinstance(base_date, str) else base_date
-    items = responses.select(
-        *keep,
-        F.col(order).alias("chunk_pos"),
-        date.alias("_date"),
-        F.posexplode(parse_answer(content)).alias("item_pos", "_item"),
+    read = with_items(
+        responses.select(*keep, F.col(order).alias("chunk_pos"), date.alias("_date"), content), content, "_items"
     )
-    entries = items.withColumn("_e", F.explode(last_entries("_item"))).where(F.size("_e.value") > 0)
+    # The outer forms keep the optimizer from testing, and so parsing, the list below the explode.
+    items = read.select(*keep, "chunk_pos", "_date", F.posexplode_outer("_items").alias("item_pos", "_item"))
+    entries = items.withColumn("_e", F.explode_outer(last_entries("_item"))).where(F.size("_e.value") > 0)
     return entries.select(
         *keep,
         clock_to_timestamp_text(F.col("_e.key"), F.col("_date")).alias("timestamp"),
@@ -122,9 +126,9 @@ def event_list_positions(events: DataFrame) -> DataFrame:
 def predictions(responses: DataFrame, source: str, content: str = "content") -> DataFrame:
     """Distinct predicted sets per source and clock, from answers that hold strict JSON."""
     items = responses.select(
-        F.col(source).alias("source_file"), F.explode(parse_answer_strict(content)).alias("_item")
+        F.col(source).alias("source_file"), F.explode_outer(parse_answer_strict(content)).alias("_item")
     )
-    sets = items.withColumn("_e", F.explode(last_entries("_item"))).select(
+    sets = items.withColumn("_e", F.explode_outer(last_entries("_item"))).select(
         "source_file", F.col("_e.key").alias("clock"), object_set("_e.value").alias("objects")
     )
     return sets.where(F.col("objects").isNotNull()).dropDuplicates()

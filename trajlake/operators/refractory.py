@@ -1,31 +1,63 @@
 """Greedy spacing: keep a row only if a gap has passed since the last row that was kept.
 
-The rule is sequential, yet no key is ever folded in one task. Each ``(keys, bucket)`` folds its
-own sorted instants (at most width / resolution of them) for every instant at which the guard can
-stand when the bucket begins: the rows inside the first gap of the bucket, and one after it. What remains
-per key is a chain over buckets (span / width of them) through these small tables, which yields
-the guard every bucket really starts with; a last pass folds each bucket with that guard.
+The rule is sequential, yet no key is ever followed in one task. Instants are gathered per
+``(keys, bucket)``, at most bucket length / resolution of them. For every instant that may be the
+first one kept in a bucket (those inside its first gap, and one after it) the bucket finds the
+guard it ends with. What remains per key is a chain over buckets through these small tables,
+which yields the guard every bucket really starts with; a last pass keeps instants with it.
+
+Buckets are at least ``GAPS_PER_BUCKET`` gaps long, so the tables are that much smaller than the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trajlake.functions.clock import MICROS, micros
+from trajlake.functions.clock import MICROS, from_micros, micros
 from trajlake.operators.scans import BUCKET, with_time_bucket
 
 DEFAULT_SECONDS = 600
-
-# State of a fold inside a bucket: the instant before which nothing is kept, and what was kept.
-_STATE = "struct<guard:bigint,kept:array<bigint>>"
+GAPS_PER_BUCKET = 64
 _NEVER = -(2**62)
+_EXITS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "guard")]))
+
+
+def _exits(ms: np.ndarray, limit: int, gap: int) -> list[dict]:
+    """Guard with which a bucket ends, for each instant that may be the first one kept."""
+    following = np.searchsorted(ms, ms + gap)
+    last = np.where(following < len(ms), following, np.arange(len(ms)))
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
+    starts = min(len(ms), int(np.searchsorted(ms, limit)) + 1)
+    return [{"first": int(f), "guard": int(g)} for f, g in zip(ms[:starts], ms[last[:starts]] + gap, strict=True)]
+
+
+def _kept(ms: np.ndarray, guard: int, gap: int) -> np.ndarray:
+    kept = []
+    i = int(np.searchsorted(ms, guard))
+    while i < len(ms):
+        kept.append(ms[i])
+        i = int(np.searchsorted(ms, ms[i] + gap))
+    return np.array(kept, dtype="int64")
 
 
-def _gap(micro_gap: int) -> str:
-    return f"{micro_gap}L"
+@F.pandas_udf(_EXITS)
+def _exit_tables(ms: pd.Series, limit: pd.Series, gap: pd.Series) -> pd.Series:
+    return pd.Series([_exits(m, b, g) for m, b, g in zip(ms, limit, gap, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _kept_lists(ms: pd.Series, guard: pd.Series, gap: pd.Series) -> pd.Series:
+    return pd.Series([_kept(m, s, g) for m, s, g in zip(ms, guard, gap, strict=True)], dtype=object)
 
 
 def spaced_instants(
@@ -33,31 +65,22 @@ def spaced_instants(
 ) -> DataFrame:
     """Rows ``(keys, time)`` of the distinct instants that the greedy rule keeps."""
     gap = round(gap_seconds * MICROS)
-    if bucket_seconds * MICROS < gap:
-        bucket_seconds = -(-gap // MICROS)
-    width = bucket_seconds * MICROS
-    g = _gap(gap)
-    folded = (
+    bucket_seconds = max(bucket_seconds, -(-gap * GAPS_PER_BUCKET // MICROS))
+    names = [f"`{k}`" for k in keys]
+    gathered = (
         with_time_bucket(instants.select(*keys, time).distinct(), time, bucket_seconds)
         .withColumn("_m", micros(time))
         .groupBy(*keys, BUCKET)
         .agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
     )
-    # Guard with which the bucket ends, for each row that may be the first one kept.
-    table = folded.withColumn("_limit", F.col(BUCKET) * F.lit(width) + F.lit(gap)).selectExpr(
-        *[f"`{k}`" for k in keys],
-        BUCKET,
-        f"""transform(
-              filter(_ms, (m, i) -> i = 0 OR _ms[i - 1] < _limit),
-              c -> struct(c AS first,
-                          aggregate(_ms, c, (s, m) -> CASE WHEN m >= s THEN m + {g} ELSE s END) AS guard)
-            ) AS _exits""",
-    )
+    limit = F.col(BUCKET) * F.lit(bucket_seconds * MICROS) + F.lit(gap)
+    # One bucket on its own starts without a guard. Only keys with several buckets need a chain.
     chain = (
-        table.groupBy(*keys)
+        gathered.select(*keys, BUCKET, _exit_tables("_ms", limit, F.lit(gap)).alias("_exits"))
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct(BUCKET, "_exits"))).alias("_chain"))
         .selectExpr(
-            *[f"`{k}`" for k in keys],
+            *names,
             f"""inline(aggregate(
                   _chain,
                   named_struct('guard', {_NEVER}L,
@@ -69,18 +92,9 @@ def spaced_instants(
         )
     )
     return (
-        folded.join(chain, [*keys, BUCKET])
-        .selectExpr(
-            *[f"`{k}`" for k in keys],
-            f"""explode(aggregate(
-                  _ms,
-                  cast(named_struct('guard', _start, 'kept', array()) AS {_STATE}),
-                  (s, m) -> CASE WHEN m >= s.guard
-                                 THEN named_struct('guard', m + {g}, 'kept', concat(s.kept, array(m)))
-                                 ELSE s END,
-                  s -> s.kept)) AS _m""",
-        )
-        .select(*keys, F.timestamp_micros("_m").cast("timestamp_ntz").alias(time))
+        gathered.join(chain, [*keys, BUCKET])
+        .select(*keys, F.explode(_kept_lists("_ms", "_start", F.lit(gap))).alias("_m"))
+        .select(*keys, from_micros("_m").alias(time))
     )
 
 

@@ -158,9 +158,9 @@ def expand_steps(df: DataFrame, count: str, name: str, block: int = 4096) -> Dat
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = df.where(F.col(count) > 0).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), floor_div(F.col(count) - 1, block)))
+        "_block", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), floor_div(F.col(count) - 1, block)))
     )
     spread = blocks.repartition(parts, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], "_block"))
     first = F.col("_block") * F.lit(block)
     last = F.least(first + F.lit(block - 1), F.col(count).cast("bigint") - 1)
-    return spread.withColumn(name, F.explode(F.sequence(first, last))).drop("_block")
+    return spread.withColumn(name, F.explode_outer(F.sequence(first, last))).drop("_block")

@@ -78,7 +78,7 @@ def calibration_grid(
         return F.when(size > 1, spread).otherwise(F.lit((lo + hi) * 0.5))
 
     column = F.pmod(place, size)
-    row = ((place - column) / size).cast("bigint")
+    row = F.call_function("div", place - column, size)
     rows = expand_steps(objects.withColumn("_count", F.lit(steps).cast("bigint")), "_count", "_i")
     at = micros("start_ts") + F.rint(F.col("_i") * F.lit(interval_s * MICROS)).cast("bigint")
     return rows.select(

@@ -18,6 +18,8 @@ def local_session(app: str = "trajlake", cpus: int | str = 8, memory: str = "8g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TRAJLAKE_MEMORY", memory))
         .config("spark.ui.enabled", "false")
+        # Test data is small: let even little shuffles keep all cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake.functions.answers import strip
 from trajlake.functions.clock import parse_ts
 from trajlake.schema import EVENT_ROW, METRICS_FILE, RESPONSE
 
@@ -105,7 +106,7 @@ def sniff_delimiter(lines: DataFrame, source: str = "source", text: str = "value
 
 def delimited_cells(lines: DataFrame, source: str = "source", text: str = "value", delimiter: str | None = None) -> DataFrame:
     """Cells of every non-blank line, cut at the source's own separator or at a given one."""
-    kept = lines.withColumn("_line", F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))).where(F.col("_line") != "")
+    kept = lines.withColumn("_line", strip(text)).where(F.col("_line") != "")
     if delimiter is not None:
         cut = kept.withColumn("delimiter", F.lit(delimiter))
     else:
@@ -113,7 +114,7 @@ def delimited_cells(lines: DataFrame, source: str = "source", text: str = "value
     by_space = F.split("_line", r"\s+")
     by_mark = F.transform(
         F.split(F.replace(F.col("_line"), F.col("delimiter"), F.lit("\u0001")), "\u0001"),
-        lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""),
+        strip,
     )
     cells = F.when(F.col("delimiter") == " ", by_space).otherwise(by_mark)
     return cut.withColumn("cells", cells).drop("_line")

@@ -65,5 +65,10 @@ def write_labels(labels: DataFrame, path: str, mapping: DataFrame | None = None)
 
 
 def archive_responses(responses: DataFrame, path: str) -> None:
-    """Raw answers by model and video."""
-    responses.write.partitionBy("model", "video").mode("append").json(path)
+    """Raw answers, a folder per model; the videos of a model lie together in its files.
+
+    A folder per video as well would make as many tiny files as there are videos. Rebalancing
+    joins small models and splits large ones.
+    """
+    ordered = responses.hint("rebalance", F.col("model")).sortWithinPartitions("model", "video")
+    ordered.write.partitionBy("model").mode("append").json(path)

@@ -40,9 +40,21 @@ def ingest(rows: DataFrame, chunk_seconds: int, *, lateness: str = DEFAULT_LATEN
     )
 
 
-def start_ingest(rows: DataFrame, path: str, checkpoint: str, *, chunk_seconds: int = 60, lateness: str = DEFAULT_LATENESS) -> StreamingQuery:
+def start_ingest(
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    chunk_seconds: int = 60,
+    files_per_chunk: int = 2,
+    lateness: str = DEFAULT_LATENESS,
+) -> StreamingQuery:
+    """Write a live lake. Rows of a chunk go to at most ``files_per_chunk`` files per micro-batch:
+    few enough for many chunks, and a crowded chunk still has several writers."""
+    slot = F.pmod(F.xxhash64("objid"), F.lit(files_per_chunk))
     return (
         ingest(rows, chunk_seconds, lateness=lateness)
+        .repartition("chunk", slot)
         .writeStream.format("parquet")
         .partitionBy("chunk")
         .option("path", path)
