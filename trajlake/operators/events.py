@@ -75,16 +75,21 @@ def consolidated(found: DataFrame, *, per_list: int = GROUPS_PER_LIST) -> DataFr
 def event_stats(found: DataFrame) -> DataFrame:
     """Distinct timestamps, groups, first and last event, distinct objects.
 
-    Counts come from small pre-aggregates, merged on the map side.
+    One pass: rows shrink to one per timestamp and object, merged on the map side, before
+    anything distinct is counted.
     """
-    times = found.groupBy("timestamp").agg(F.count("*").alias("_n"))
-    objects = found.select(F.explode("grp").alias("objid")).distinct().agg(F.count("*"))
-    return times.agg(
-        F.count("*").alias("timestamps"),
+    pairs = (
+        found.select("timestamp", F.posexplode("grp").alias("_i", "objid"))
+        .groupBy("timestamp", "objid")
+        .agg(F.count_if(F.col("_i") == 0).alias("_n"))
+    )
+    return pairs.agg(
+        F.count_distinct("timestamp").alias("timestamps"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("event_groups"),
         F.min("timestamp").alias("first_event"),
         F.max("timestamp").alias("last_event"),
-    ).withColumn("objects", objects.scalar())
+        F.count_distinct("objid").alias("objects"),
+    )
 
 
 def event_keys(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.clock import MICROS, micros
 from trajlake.functions.geometry import heading
-from trajlake.operators.refractory import spaced_instants
+from trajlake.operators.refractory import spaced_rows
 from trajlake.operators.scans import BUCKET, neighbour_row, streak_length, with_time_bucket
 
 # The share of the expected progress below which an object is stuck, how many
@@ -170,8 +170,7 @@ def collision_labels(
         .groupBy("timestamp", "objid")
         .agg(F.min("_rank").alias("_rank"), *[F.first(a).alias(a) for a in ("x", "y", "z")])
     )
-    kept = spaced_instants(hits, ["objid"], "timestamp", cooldown)
     kind = F.when(F.col("_rank") == 0, "stuck").otherwise("wall")
-    return hits.join(kept, ["objid", "timestamp"], "left_semi").select(
+    return spaced_rows(hits, ["objid"], "timestamp", cooldown).select(
         "timestamp", "objid", "x", "y", "z", kind.alias("kind")
     )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajlake.functions.clock import MICROS, from_micros, micros
+from trajlake.functions.clock import MICROS, micros
 from trajlake.operators.scans import BUCKET, with_time_bucket
 
 DEFAULT_SECONDS = 600
@@ -42,41 +42,48 @@ def _exits(ms: np.ndarray, limit: int, gap: int) -> list[dict]:
 
 
 def _kept(ms: np.ndarray, guard: int, gap: int) -> np.ndarray:
-    kept = []
+    """Which instants are kept, given the guard the bucket starts with."""
+    kept = np.zeros(len(ms), dtype=bool)
     i = int(np.searchsorted(ms, guard))
     while i < len(ms):
-        kept.append(ms[i])
+        kept[i] = True
         i = int(np.searchsorted(ms, ms[i] + gap))
-    return np.array(kept, dtype="int64")
+    return kept
 
 
 @F.pandas_udf(_EXITS)
 def _exit_tables(ms: pd.Series, limit: pd.Series, gap: pd.Series) -> pd.Series:
-    return pd.Series([_exits(m, b, g) for m, b, g in zip(ms, limit, gap, strict=True)], dtype=object)
+    tables = [m if m is None else _exits(m, b, g) for m, b, g in zip(ms, limit, gap, strict=True)]
+    return pd.Series(tables, dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _kept_lists(ms: pd.Series, guard: pd.Series, gap: pd.Series) -> pd.Series:
-    return pd.Series([_kept(m, s, g) for m, s, g in zip(ms, guard, gap, strict=True)], dtype=object)
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _kept_flags(ms: pd.Series, guard: pd.Series, gap: pd.Series) -> pd.Series:
+    flags = [m if m is None else _kept(m, s, g) for m, s, g in zip(ms, guard, gap, strict=True)]
+    return pd.Series(flags, dtype=object)
 
 
-def spaced_instants(
-    instants: DataFrame, keys: Sequence[str], time: str, gap_seconds: float, *, bucket_seconds: int = DEFAULT_SECONDS
+def spaced_rows(
+    rows: DataFrame, keys: Sequence[str], time: str, gap_seconds: float, *, bucket_seconds: int = DEFAULT_SECONDS
 ) -> DataFrame:
-    """Rows ``(keys, time)`` of the distinct instants that the greedy rule keeps."""
+    """The rows that the greedy rule keeps. A key must have at most one row per instant."""
     gap = round(gap_seconds * MICROS)
     bucket_seconds = max(bucket_seconds, -(-gap * GAPS_PER_BUCKET // MICROS))
     names = [f"`{k}`" for k in keys]
+    rest = [c for c in rows.columns if c not in keys]
     gathered = (
-        with_time_bucket(instants.select(*keys, time).distinct(), time, bucket_seconds)
+        with_time_bucket(rows, time, bucket_seconds)
         .withColumn("_m", micros(time))
         .groupBy(*keys, BUCKET)
-        .agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
+        .agg(F.array_sort(F.collect_list(F.struct("_m", *rest))).alias("_rows"))
+        .withColumn("_first", F.col("_rows")[0]["_m"])
+        # Only buckets with several instants need the search; a single one is decided here.
+        .withColumn("_ms", F.when(F.size("_rows") > 1, F.transform("_rows", lambda r: r["_m"])))
     )
     limit = F.col(BUCKET) * F.lit(bucket_seconds * MICROS) + F.lit(gap)
-    # One bucket on its own starts without a guard. Only keys with several buckets need a chain.
+    alone = F.array(F.struct(F.col("_first").alias("first"), (F.col("_first") + F.lit(gap)).alias("guard")))
     chain = (
-        gathered.select(*keys, BUCKET, _exit_tables("_ms", limit, F.lit(gap)).alias("_exits"))
+        gathered.select(*keys, BUCKET, F.coalesce(_exit_tables("_ms", limit, F.lit(gap)), alone).alias("_exits"))
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct(BUCKET, "_exits"))).alias("_chain"))
         .selectExpr(
@@ -91,16 +98,22 @@ def spaced_instants(
                   s -> s.starts)) AS ({BUCKET}, _start)""",
         )
     )
-    return (
-        gathered.join(chain, [*keys, BUCKET])
-        .select(*keys, F.explode(_kept_lists("_ms", "_start", F.lit(gap))).alias("_m"))
-        .select(*keys, from_micros("_m").alias(time))
+    flagged = gathered.join(chain, [*keys, BUCKET]).select(
+        *keys,
+        "_rows",
+        F.coalesce(
+            _kept_flags("_ms", "_start", F.lit(gap)), F.array(F.col("_first") >= F.col("_start"))
+        ).alias("_flags"),
     )
+    kept = flagged.select(
+        *keys, F.explode_outer(F.filter("_rows", lambda r, i: F.get("_flags", i))).alias("_row")
+    ).where(F.col("_row").isNotNull())
+    return kept.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in rows.columns])
 
 
-def spaced_rows(
-    rows: DataFrame, keys: Sequence[str], time: str, gap_seconds: float, *, bucket_seconds: int = DEFAULT_SECONDS
+def spaced_instants(
+    instants: DataFrame, keys: Sequence[str], time: str, gap_seconds: float, *, bucket_seconds: int = DEFAULT_SECONDS
 ) -> DataFrame:
-    """The rows whose instant the greedy rule keeps for their key."""
-    kept = spaced_instants(rows, keys, time, gap_seconds, bucket_seconds=bucket_seconds)
-    return rows.join(kept, [*keys, time], "left_semi")
+    """Rows ``(keys, time)`` of the distinct instants that the greedy rule keeps."""
+    distinct = instants.select(*keys, time).distinct()
+    return spaced_rows(distinct, keys, time, gap_seconds, bucket_seconds=bucket_seconds)

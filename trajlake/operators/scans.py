@@ -132,21 +132,30 @@ def last_known(
 def ordinal(
     df: DataFrame, keys: Sequence[str], order: str, width: int, tie: Sequence[str], name: str
 ) -> DataFrame:
-    """Add ``name``: 0-based place of the row within its key, counted by ``order`` then ``tie``."""
-    bucketed = with_bucket(df, order, width)
-    counts = bucketed.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
+    """Add ``name``: 0-based place of the row within its key, counted by ``order`` then ``tie``.
+
+    Rows are gathered per ``(keys, bucket)``. Sizes and rows come from the same shuffle, so the
+    input is computed once.
+    """
+    rest = [c for c in df.columns if c not in {*keys, order, *tie}]
+    gathered = (
+        with_bucket(df, order, width)
+        .groupBy(*keys, BUCKET)
+        .agg(F.array_sort(F.collect_list(F.struct(order, *tie, *rest))).alias("_rows"))
+    )
     before = (
         Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = counts.select(
+    offsets = gathered.select(*keys, BUCKET, F.size("_rows").alias("_n")).select(
         *keys, BUCKET, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    part = Window.partitionBy(*keys, BUCKET).orderBy(order, *tie)
-    placed = bucketed.withColumn("_rn", F.row_number().over(part))
-    return (
-        _attach(placed, offsets, keys)
-        .withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("bigint"))
-        .drop("_rn", "_before", BUCKET)
+    placed = gathered.join(offsets, [*keys, BUCKET]).select(
+        *keys, "_before", F.posexplode("_rows").alias("_at", "_row")
+    )
+    return placed.select(
+        *keys,
+        *[F.col(f"_row.`{c}`").alias(c) for c in (order, *tie, *rest)],
+        (F.col("_before") + F.col("_at")).cast("bigint").alias(name),
     )
 
 
