@@ -39,8 +39,12 @@ def test_neighbours(spark):
 
 def test_streaks(spark):
     rows, df = numbers(spark)
-    got = scans.streak_length(scans.with_bucket(df, "o", 4), ["k"], "o", "flag", "run")
-    found = {(r.k, r.o): r.run for r in got.collect()}
+    got = scans.streak_lengths(
+        scans.with_bucket(df.withColumn("not", ~F.col("flag")), "o", 4), ["k"], "o", {"flag": "run", "not": "off"}
+    )
+    rows_out = got.collect()
+    assert all((r.run == 0) != (r.off == 0) for r in rows_out)
+    found = {(r.k, r.o): r.run for r in rows_out}
     for k, series in by_key(rows).items():
         run = 0
         for r in series:

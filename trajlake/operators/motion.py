@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trajlake.functions.clock import MICROS, micros
 from trajlake.functions.geometry import heading
 from trajlake.operators.refractory import spaced_rows
-from trajlake.operators.scans import BUCKET, neighbour_row, streak_length, with_time_bucket
+from trajlake.operators.scans import BUCKET, neighbour_row, streak_lengths, with_time_bucket
 
 # The share of the expected progress below which an object is stuck, how many
 # rows in a row it takes, the limits of a time step in seconds, and the label cooldown.
@@ -69,7 +69,7 @@ def stuck_flags(
 def stall_runs(traj: DataFrame, *, bucket_seconds: int = BUCKET_SECONDS, **rule) -> DataFrame:
     """Add ``run``: how many rows in a row the object has been stuck."""
     flagged = stuck_flags(traj, bucket_seconds=bucket_seconds, **rule)
-    return streak_length(flagged, ["objid"], "timestamp", "stuck", "run")
+    return streak_lengths(flagged, ["objid"], "timestamp", {"stuck": "run"})
 
 
 def stalls(traj: DataFrame, *, rows: int = STUCK_ROWS, **rule) -> DataFrame:
@@ -77,34 +77,30 @@ def stalls(traj: DataFrame, *, rows: int = STUCK_ROWS, **rule) -> DataFrame:
     return stall_runs(traj, **rule).where(F.col("run") == rows).drop("run", "stuck", BUCKET)
 
 
-def wall_runs(
-    traj: DataFrame,
-    box: DataFrame,
-    *,
-    margin: float | None = None,
-    y_up: bool = True,
-    bucket_seconds: int = BUCKET_SECONDS,
-) -> DataFrame:
-    """Add ``wall_distance`` and ``run``: how many rows in a row it stayed below the margin.
+def _facts(box: DataFrame):
+    """The one row of a box as a struct-valued scalar subquery, computed once."""
+    return box.select(F.struct("*")).scalar()
 
-    ``box`` has one row; its fields enter as scalar subqueries.
-    """
-    a, b = ("x", "z") if y_up else ("x", "y")
 
-    def fact(name: str):
-        return box.select(name).scalar()
+def near_flags(rows: DataFrame, box: DataFrame, *, margin: float | None = None, y_up: bool = True) -> DataFrame:
+    """Add ``wall_distance`` and ``near``: it is below the margin."""
+    facts = _facts(box)
 
     def gap(axis: str):
-        return fact(f"half_{axis}") - F.abs(F.col(axis) - fact(f"center_{axis}"))
+        return facts[f"half_{axis}"] - F.abs(F.col(axis) - facts[f"center_{axis}"])
 
-    limit = F.lit(float(margin)) if margin is not None else fact("wall_margin")
-    measured = with_time_bucket(traj, "timestamp", bucket_seconds).withColumn(
-        "wall_distance", F.least(gap(a), gap(b))
-    )
-    near = measured.withColumn(
-        "near", (limit > 0) & F.coalesce(F.col("wall_distance") < limit, F.lit(False))
-    )
-    return streak_length(near, ["objid"], "timestamp", "near", "run")
+    limit = F.lit(float(margin)) if margin is not None else facts["wall_margin"]
+    nearest = F.least(gap("x"), gap("z" if y_up else "y"))
+    close = (limit > 0) & F.coalesce(F.col("wall_distance") < limit, F.lit(False))
+    return rows.withColumn("wall_distance", nearest).withColumn("near", close)
+
+
+def wall_runs(
+    traj: DataFrame, box: DataFrame, *, bucket_seconds: int = BUCKET_SECONDS, **rule
+) -> DataFrame:
+    """Add ``wall_distance`` and ``run``: how many rows in a row it stayed below the margin."""
+    flagged = near_flags(with_time_bucket(traj, "timestamp", bucket_seconds), box, **rule)
+    return streak_lengths(flagged, ["objid"], "timestamp", {"near": "run"})
 
 
 def wall_hugs(traj: DataFrame, box: DataFrame, *, rows: int = WALL_ROWS, **rule) -> DataFrame:
@@ -115,9 +111,8 @@ def wall_hugs(traj: DataFrame, box: DataFrame, *, rows: int = WALL_ROWS, **rule)
 def headings_to_center(traj: DataFrame, box: DataFrame, *, y_up: bool = True) -> DataFrame:
     """Bearing of every row toward the box centre in the horizontal plane."""
     a, b = ("x", "z") if y_up else ("x", "y")
-    first, second = heading(
-        box.select(f"center_{a}").scalar() - F.col(a), box.select(f"center_{b}").scalar() - F.col(b)
-    )
+    facts = _facts(box)
+    first, second = heading(facts[f"center_{a}"] - F.col(a), facts[f"center_{b}"] - F.col(b))
     return traj.withColumn("heading_a", first).withColumn("heading_b", second)
 
 
@@ -155,22 +150,12 @@ def collision_labels(
 
     A row that is both counts as stuck, because that is looked at first.
     """
-    stuck = (
-        stall_runs(traj, **(stall_rule or {}))
-        .where(F.col("run") >= stuck_rows)
-        .select("timestamp", "objid", "x", "y", "z", F.lit(0).alias("_rank"))
-    )
-    wall = (
-        wall_runs(traj, box, **(wall_rule or {}))
-        .where(F.col("run") >= wall_rows)
-        .select("timestamp", "objid", "x", "y", "z", F.lit(1).alias("_rank"))
-    )
-    hits = (
-        stuck.unionByName(wall)
-        .groupBy("timestamp", "objid")
-        .agg(F.min("_rank").alias("_rank"), *[F.first(a).alias(a) for a in ("x", "y", "z")])
+    flagged = near_flags(stuck_flags(traj, **(stall_rule or {})), box, **(wall_rule or {}))
+    runs = streak_lengths(
+        flagged, ["objid"], "timestamp", {"stuck": "_stuck_run", "near": "_wall_run"}
     )
-    kind = F.when(F.col("_rank") == 0, "stuck").otherwise("wall")
-    return spaced_rows(hits, ["objid"], "timestamp", cooldown).select(
-        "timestamp", "objid", "x", "y", "z", kind.alias("kind")
+    stuck, wall = F.col("_stuck_run") >= stuck_rows, F.col("_wall_run") >= wall_rows
+    hits = runs.where(stuck | wall).select(
+        "timestamp", "objid", "x", "y", "z", F.when(stuck, "stuck").otherwise("wall").alias("kind")
     )
+    return spaced_rows(hits, ["objid"], "timestamp", cooldown)

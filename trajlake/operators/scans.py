@@ -10,7 +10,7 @@ number of rows. The order column is a BIGINT: microseconds for time, or a runnin
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,42 +59,43 @@ def neighbour_row(
     )
 
 
-def streak_length(
-    bucketed: DataFrame, keys: Sequence[str], order: str, flag: str, name: str
+def streak_lengths(
+    bucketed: DataFrame, keys: Sequence[str], order: str, flags: Mapping[str, str]
 ) -> DataFrame:
-    """Add ``name``: how many rows in a row, up to and with this one, have ``flag`` set."""
+    """Add for each flag column, under the name it maps to, how many rows in a row, up to and
+    with this one, have it set. All flags share one window pass."""
     part = Window.partitionBy(*keys, BUCKET).orderBy(order)
     upto = part.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = bucketed.withColumn("_rn", F.row_number().over(part)).withColumn(
-        "_break", F.max(F.when(~F.col(flag), F.col("_rn"))).over(upto)
-    )
-    # Per bucket: its rows and the place of its last break, hence the streak it hands on.
-    per_bucket = ranked.groupBy(*keys, BUCKET).agg(
-        F.count("*").alias("_n"), F.max("_break").alias("_last_break")
-    )
     before = (
         Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
-    total = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    carry = (
-        per_bucket.withColumn("_before", total)
-        .withColumn(
-            "_at", F.max(F.col("_before") + F.col("_last_break")).over(before)
-        )
-        .select(
-            *keys, BUCKET, (F.col("_before") - F.coalesce("_at", F.lit(0))).alias("_carry")
-        )
+    ranked = bucketed.withColumn("_rn", F.row_number().over(part)).withColumns(
+        {f"_break_{f}": F.max(F.when(~F.col(f), F.col("_rn"))).over(upto) for f in flags}
     )
-    return (
-        _attach(ranked, carry, keys)
-        .withColumn(
-            name,
-            F.when(F.col("_break").isNotNull(), F.col("_rn") - F.col("_break")).otherwise(
-                F.col("_rn") + F.coalesce("_carry", F.lit(0))
-            ),
-        )
-        .drop("_rn", "_break", "_carry")
+    # Per bucket: its rows and the place of each flag's last break, hence the streak it hands on.
+    per_bucket = ranked.groupBy(*keys, BUCKET).agg(
+        F.count("*").alias("_n"), *[F.max(f"_break_{f}").alias(f"_last_{f}") for f in flags]
     )
+    counted = per_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    carry = counted.select(
+        *keys,
+        BUCKET,
+        *[
+            (
+                F.col("_before")
+                - F.coalesce(F.max(F.col("_before") + F.col(f"_last_{f}")).over(before), F.lit(0))
+            ).alias(f"_carry_{f}")
+            for f in flags
+        ],
+    )
+    lengths = {
+        name: F.when(F.col(f"_break_{f}").isNotNull(), F.col("_rn") - F.col(f"_break_{f}")).otherwise(
+            F.col("_rn") + F.coalesce(f"_carry_{f}", F.lit(0))
+        )
+        for f, name in flags.items()
+    }
+    spare = [f"_{kind}_{f}" for kind in ("break", "carry") for f in flags]
+    return _attach(ranked, carry, keys).withColumns(lengths).drop("_rn", *spare)
 
 
 def last_known(
