@@ -128,11 +128,16 @@ def second_clock():
 
 
 def truth_lines(spark, sf):
+    """Two truth sets, one from the errors and one from the views."""
     pair = F.concat_ws(",", (F.col("user_id") % 4 + 1).cast("string"), (F.col("user_id") % 3 + 5).cast("string"))
     return (
         events(spark, sf)
         .where(F.col("event_type").isin("error", "view"))
-        .select(F.col("event_id").alias("line_no"), F.concat_ws(" ", second_clock(), pair).alias("value"))
+        .select(
+            F.col("event_type").alias("gt_id"),
+            F.col("event_id").alias("line_no"),
+            F.concat_ws(" ", second_clock(), pair).alias("value"),
+        )
     )
 
 
@@ -141,28 +146,30 @@ def truth(spark, sf):
 
 
 def prediction_answers(spark, sf):
-    """Answers of three sources, as fenced list, bare list or prose."""
+    """Answers of every event type as a source: fenced list, bare list or prose; sign-ups only prose."""
     j = F.concat(
         F.lit('[{"'), second_clock(), F.lit('": ['), (F.col("user_id") % 3 + 5).cast("string"), F.lit(", "),
         (F.col("user_id") % 4 + 1).cast("string"), F.lit("]}]"),
     )
     i = F.col("event_id")
     content = (
-        F.when(i % 3 == 0, F.concat(F.lit("Found:\n```json\n"), j, F.lit("\n```")))
-        .when(i % 3 == 1, j)
-        .otherwise(F.concat(F.lit("I saw "), j))
-    )
-    return (
-        events(spark, sf)
-        .where(F.col("event_type").isin("error", "click", "purchase"))
-        .select("event_type", content.alias("content"))
+        F.when((i % 3 == 2) | (F.col("event_type") == "signup"), F.concat(F.lit("I saw "), j))
+        .when(i % 3 == 0, F.concat(F.lit("Found:\n```json\n"), j, F.lit("\n```")))
+        .otherwise(j)
     )
+    return events(spark, sf).select("event_type", content.alias("content"))
 
 
 def pred(spark, sf):
     return predictions(prediction_answers(spark, sf), "event_type")
 
 
+def eval_files(spark, sf):
+    """Every source with the truth set it is held against."""
+    of = F.when(F.col("event_type").isin("click", "error", "signup"), "view").otherwise("error")
+    return events(spark, sf).select(F.col("event_type").alias("source_file"), of.alias("gt_id")).distinct()
+
+
 def runs(spark, sf):
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("run"),
@@ -222,16 +229,17 @@ CTES = {
   strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000' AS day_timestamp,
   [printf('obj%03d', user_id % 4 + 1), printf('obj%03d', user_id % 3 + 5)] AS grp
   FROM events WHERE event_id % 11 <> 0 AND event_id % 7 <> 0)""",
-    "truth": f"""truth AS (SELECT {_CLOCK} AS clock, arg_max(user_id % 4 + 1, event_id) AS a,
-  arg_max(user_id % 3 + 5, event_id) AS b FROM events WHERE event_type IN ('error', 'view') GROUP BY 1)""",
+    "truth": f"""truth AS (SELECT event_type AS gt_id, {_CLOCK} AS clock, arg_max(user_id % 4 + 1, event_id) AS a,
+  arg_max(user_id % 3 + 5, event_id) AS b FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2)""",
     "pred": f"""pred AS (SELECT DISTINCT event_type AS source_file, {_CLOCK} AS clock,
-  user_id % 4 + 1 AS a, user_id % 3 + 5 AS b
-  FROM events WHERE event_type IN ('error', 'click', 'purchase') AND event_id % 3 <> 2)""",
+  user_id % 4 + 1 AS a, user_id % 3 + 5 AS b FROM events WHERE event_type <> 'signup' AND event_id % 3 <> 2)""",
+    "eval_files": """eval_files AS (SELECT DISTINCT event_type AS source_file,
+  CASE WHEN event_type IN ('click', 'error', 'signup') THEN 'view' ELSE 'error' END AS gt_id FROM events)""",
     "verdicts": """verdicts AS (SELECT coalesce(g.source_file, p.source_file) AS source_file,
   coalesce(g.clock, p.clock) AS clock, g.a AS ta, g.b AS tb, p.a AS pa, p.b AS pb,
   CASE WHEN g.clock IS NULL THEN 'extra' WHEN p.clock IS NULL THEN 'missing'
        WHEN g.a = p.a AND g.b = p.b THEN 'correct' ELSE 'incorrect' END AS verdict
-  FROM (SELECT f.source_file, t.* FROM truth t CROSS JOIN (SELECT DISTINCT source_file FROM pred) f) g
+  FROM (SELECT f.source_file, t.* FROM eval_files f JOIN truth t USING (gt_id)) g
   FULL OUTER JOIN pred p ON g.source_file = p.source_file AND g.clock = p.clock)""",
     "counts": """counts AS (SELECT source_file,
   CAST(count(*) FILTER (WHERE verdict = 'correct') AS BIGINT) AS tp,
@@ -271,7 +279,7 @@ CTES = {
 _NEEDS = {
     "frames": ["traj"],
     "located": ["frames", "probes"],
-    "verdicts": ["truth", "pred"],
+    "verdicts": ["truth", "pred", "eval_files"],
     "counts": ["verdicts"],
     "scores": ["counts"],
     "contacts": ["traj"],

@@ -877,9 +877,9 @@ def resample(spark, sf):
 # ---- evaluation ---------------------------------------------------------------------------
 
 
-@check("ground_truth", sql("SELECT clock, a || ',' || b AS objects FROM truth", "truth"))
+@check("ground_truth", sql("SELECT gt_id, clock, a || ',' || b AS objects FROM truth", "truth"))
 def ground_truth(spark, sf):
-    return fx.truth(spark, sf).select("clock", joined("objects").alias("objects"))
+    return fx.truth(spark, sf).select("gt_id", "clock", joined("objects").alias("objects"))
 
 
 @check("predictions_strict", sql("SELECT source_file, clock, a || ',' || b AS objects FROM pred", "pred"))
@@ -895,19 +895,19 @@ def predictions_strict(spark, sf):
     ),
 )
 def eval_details(spark, sf):
-    rows = evaluate.details(fx.truth(spark, sf), fx.pred(spark, sf))
+    rows = evaluate.details(fx.truth(spark, sf), fx.pred(spark, sf), fx.eval_files(spark, sf))
     return rows.select("source_file", "clock", joined("truth").alias("truth"), joined("predicted").alias("predicted"), "verdict")
 
 
 @check("eval_missing", sql("SELECT source_file, clock, ta || ',' || tb AS truth FROM verdicts WHERE verdict = 'missing'", "verdicts"))
 def eval_missing(spark, sf):
-    rows = evaluate.missing(fx.truth(spark, sf), fx.pred(spark, sf))
+    rows = evaluate.missing(fx.truth(spark, sf), fx.pred(spark, sf), fx.eval_files(spark, sf))
     return rows.select("source_file", "clock", joined("truth").alias("truth"))
 
 
 @check("eval_extra", sql("SELECT DISTINCT source_file, clock FROM verdicts WHERE verdict = 'extra'", "verdicts"))
 def eval_extra(spark, sf):
-    return evaluate.extra_clocks(fx.truth(spark, sf), fx.pred(spark, sf)).select("source_file", "clock")
+    return evaluate.extra_clocks(fx.truth(spark, sf), fx.pred(spark, sf), fx.eval_files(spark, sf)).select("source_file", "clock")
 
 
 @check("eval_clocks", sql("SELECT clock FROM truth UNION SELECT clock FROM pred", "truth", "pred"))
@@ -917,12 +917,12 @@ def eval_clocks(spark, sf):
 
 @check("eval_metrics", sql("SELECT source_file, tp, fp, fn, precision, recall, f1_score FROM scores", "scores"))
 def eval_metrics(spark, sf):
-    return evaluate.metrics(fx.truth(spark, sf), fx.pred(spark, sf))
+    return evaluate.metrics(fx.truth(spark, sf), fx.pred(spark, sf), fx.eval_files(spark, sf))
 
 
 @check("eval_flow", sql("SELECT source_file, tp, fp, fn, precision, recall, f1_score FROM scores", "scores"))
 def eval_flow(spark, sf):
-    return flows.evaluation(fx.prediction_answers(spark, sf), fx.truth(spark, sf), "event_type")
+    return flows.evaluation(fx.prediction_answers(spark, sf), fx.truth(spark, sf), fx.eval_files(spark, sf), "event_type")
 
 
 @check(
@@ -936,7 +936,7 @@ def eval_flow(spark, sf):
 )
 def eval_report(spark, sf):
     path = new_folder(spark, "report")
-    sinks.write_json(evaluate.report(fx.truth(spark, sf), fx.pred(spark, sf)), path)
+    sinks.write_json(evaluate.report(fx.truth(spark, sf), fx.pred(spark, sf), fx.eval_files(spark, sf)), path)
     back = spark.read.json(path)
     sizes = {
         "correct": "correct",
@@ -959,7 +959,7 @@ def eval_report(spark, sf):
     ),
 )
 def macro_average(spark, sf):
-    means = flows.evaluation_average(fx.prediction_answers(spark, sf), fx.truth(spark, sf), "event_type")
+    means = flows.evaluation_average(fx.prediction_answers(spark, sf), fx.truth(spark, sf), fx.eval_files(spark, sf), "event_type")
     return means.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_score")], "num_files")
 
 

@@ -39,7 +39,7 @@ def test_strict(spark):
         '{"events": []}': None,
     }
     df = spark.createDataFrame([(c,) for c in cases], "content string")
-    got = {r.content: r.i for r in df.withColumn("i", answers.parse_answer_strict("content")).collect()}
+    got = {r.content: r.i for r in answers.with_strict_items(df, "content", "i").collect()}
     assert got == cases
 
 
@@ -95,12 +95,13 @@ def test_summary_documents(spark):
     assert (got["v2"].model, got["v2"].execution_time, got["v2"].total_groups, got["v2"].events) == ("", 0.0, 0, "{}")
 
 
-TRUTH = "00:00:01 1,4\n00:00:02 2, \n00:00:03\n00:00:02 4,2\n\n00:00:09 5"
-
-
 def truth(spark):
     lines = [(i, v) for i, v in enumerate(["00:00:01 1,4", "00:00:02 3,2", "00:00:03", "00:00:02 4,2", "", "00:00:09 5"])]
-    return evaluate.ground_truth(spark.createDataFrame(lines, "line_no int, value string"))
+    return evaluate.ground_truth(spark.createDataFrame(lines, "line_no int, value string").withColumn("gt_id", F.lit("1")))
+
+
+def held_against_one(spark, *names):
+    return spark.createDataFrame([(n, "1") for n in names], "source_file string, gt_id string")
 
 
 def test_truth(spark):
@@ -118,22 +119,24 @@ def test_metrics(spark):
         ],
         "source_file string, clock string, objects array<int>",
     )
-    got = {r.source_file: (r.tp, r.fp, r.fn, r.precision, r.recall) for r in evaluate.metrics(truth(spark), pred).collect()}
-    assert got == {"f": (1, 3, 1, 0.25, 0.5), "g": (1, 0, 2, 1.0, 1 / 3)}
-    missing = sorted((r.source_file, r.clock) for r in evaluate.missing(truth(spark), pred).collect())
+    of = held_against_one(spark, "f", "g", "silent")
+    got = {r.source_file: (r.tp, r.fp, r.fn, r.precision, r.recall) for r in evaluate.metrics(truth(spark), pred, of).collect()}
+    assert got == {"f": (1, 3, 1, 0.25, 0.5), "g": (1, 0, 2, 1.0, 1 / 3), "silent": (0, 0, 3, 0.0, 0.0)}
+    of = held_against_one(spark, "f", "g")
+    missing = sorted((r.source_file, r.clock) for r in evaluate.missing(truth(spark), pred, of).collect())
     assert missing == [("f", "00:00:09"), ("g", "00:00:01"), ("g", "00:00:02")]
-    verdicts = sorted((r.source_file, r.verdict) for r in evaluate.details(truth(spark), pred).collect())
+    verdicts = sorted((r.source_file, r.verdict) for r in evaluate.details(truth(spark), pred, of).collect())
     assert verdicts == [("f", "correct"), ("f", "extra"), ("f", "incorrect"), ("f", "incorrect"), ("f", "missing"),
                         ("g", "correct"), ("g", "missing"), ("g", "missing")]
-    whole = {r.source_file: r.details for r in evaluate.report(truth(spark), pred).collect()}
+    whole = {r.source_file: r.details for r in evaluate.report(truth(spark), pred, of).collect()}
     assert [len(whole["f"][k]) for k in ("correct", "missing_timestamps", "extra_timestamps", "incorrect_predictions")] == [1, 1, 1, 2]
-    parts = evaluate.report(truth(spark), pred, per_list=2)
+    parts = evaluate.report(truth(spark), pred, of, per_list=2)
     assert parts.where("source_file = 'f'").count() == 3
 
 
 def test_no_truth_match_is_zero(spark):
     pred = spark.createDataFrame([("f", "00:00:05", [1])], "source_file string, clock string, objects array<int>")
-    row = evaluate.metrics(truth(spark), pred).first()
+    row = evaluate.metrics(truth(spark), pred, held_against_one(spark, "f")).first()
     assert (row.precision, row.recall, row.f1_score) == (0.0, 0.0, 0.0)
 
 

@@ -73,13 +73,16 @@ def with_items(rows: DataFrame, content: str, name: str = "items") -> DataFrame:
     )
 
 
-def parse_answer_strict(col) -> Column:
-    """Items of a fenced ``json`` list or of a text that is a JSON list as a whole; else null."""
-    text = strip(F.coalesce(_c(col), F.lit("")))
-    fenced = F.regexp_extract(text, STRICT_FENCED_LIST, 1)
-    bare = F.when(text.startswith("[") & text.endswith("]"), text)
-    chosen = F.when(fenced != "", fenced).otherwise(bare)
-    return F.from_json(chosen, ITEMS, STRICT_JSON)
+def with_strict_items(rows: DataFrame, content: str, name: str = "items") -> DataFrame:
+    """Add the items of a fenced ``json`` list or of a text that is a JSON list as a whole; else null."""
+    bare = F.when(F.col("_text").startswith("[") & F.col("_text").endswith("]"), F.col("_text"))
+    return (
+        rows.withColumn("_text", strip(F.coalesce(_c(content), F.lit(""))))
+        .withColumn("_fenced", F.regexp_extract("_text", STRICT_FENCED_LIST, 1))
+        .withColumn("_json", F.when(F.col("_fenced") != "", F.col("_fenced")).otherwise(bare))
+        .withColumn(name, F.from_json("_json", ITEMS, STRICT_JSON))
+        .drop("_text", "_fenced", "_json")
+    )
 
 
 def last_entries(item) -> Column:

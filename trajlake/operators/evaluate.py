@@ -1,4 +1,10 @@
-"""Predicted object sets against truth: verdicts, precision, recall, F1, averages, reports."""
+"""Predicted object sets against truth: verdicts, precision, recall, F1, averages, reports.
+
+Three tables take part. ``truth`` has ``gt_id``, ``clock`` and ``objects``: one truth set per
+``gt_id``, usually per video. ``files`` has ``source_file`` and the ``gt_id`` it is held against;
+it also names files without any prediction. ``pred`` has ``source_file``, ``clock`` and
+``objects``, distinct.
+"""
 
 from __future__ import annotations
 
@@ -11,71 +17,85 @@ from trajlake.operators.scans import ordinal
 ENTRIES_PER_LIST = 10_000
 
 
-def ground_truth(lines: DataFrame, line_no: str = "line_no", text: str = "value") -> DataFrame:
+def ground_truth(lines: DataFrame, line_no: str = "line_no", text: str = "value", gt_id: str = "gt_id") -> DataFrame:
     """Truth from lines ``HH:MM:SS a,b``; shorter lines are skipped, a repeated clock's last line wins."""
     parts = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     rows = lines.withColumn("_parts", parts).where(F.size("_parts") >= 2)
     ids = F.transform(F.split(F.col("_parts")[1], ","), lambda s: F.trim(s).cast("int"))
     return (
-        rows.select(F.col("_parts")[0].alias("clock"), F.col(line_no).alias("_line"), object_set(ids).alias("objects"))
-        .groupBy("clock")
+        rows.select(
+            F.col(gt_id).alias("gt_id"),
+            F.col("_parts")[0].alias("clock"),
+            F.col(line_no).alias("_line"),
+            object_set(ids).alias("objects"),
+        )
+        .groupBy("gt_id", "clock")
         .agg(F.max_by("objects", "_line").alias("objects"))
     )
 
 
-def verdicts(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """Each predicted set as ``correct``, ``incorrect`` or ``extra``; one shuffle on the clock."""
-    joined = pred.join(truth.withColumnRenamed("objects", "truth"), "clock", "left")
+def verdicts(truth: DataFrame, pred: DataFrame, files: DataFrame) -> DataFrame:
+    """Each predicted set as ``correct``, ``incorrect`` or ``extra``."""
+    joined = pred.join(files, "source_file").join(
+        truth.withColumnRenamed("objects", "truth"), ["gt_id", "clock"], "left"
+    )
     verdict = (
         F.when(F.col("truth").isNull(), "extra")
         .when(F.col("truth") == F.col("objects"), "correct")
         .otherwise("incorrect")
     )
-    return joined.select("source_file", "clock", "truth", F.col("objects").alias("predicted"), verdict.alias("verdict"))
-
+    return joined.select(
+        "source_file", "gt_id", "clock", "truth", F.col("objects").alias("predicted"), verdict.alias("verdict")
+    )
 
-def missing(truth: DataFrame, pred: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Truth clocks a file has no prediction for: the report names each of them per file.
 
-    Every file is checked against the truth set assigned to it, joined by ``gt_id``. Without
-    such a column all files share one set.
-    """
-    files = files if files is not None else pred.select("source_file").distinct()
-    if "gt_id" not in truth.columns:
-        truth = truth.withColumn("gt_id", F.lit("1"))
-    if "gt_id" not in files.columns:
-        files = files.withColumn("gt_id", F.lit("1"))
-    due = files.join(truth, "gt_id").select("source_file", "clock", F.col("objects").alias("truth"))
+def missing(truth: DataFrame, pred: DataFrame, files: DataFrame) -> DataFrame:
+    """Truth clocks a file has no prediction for, each file held against its own truth set."""
+    due = files.join(truth, "gt_id").select("source_file", "gt_id", "clock", F.col("objects").alias("truth"))
     return due.join(pred.select("source_file", "clock").distinct(), ["source_file", "clock"], "left_anti")
 
 
-def details(truth: DataFrame, pred: DataFrame) -> DataFrame:
+def details(truth: DataFrame, pred: DataFrame, files: DataFrame) -> DataFrame:
     """Verdicts of all predicted sets and the missing clocks, in one table."""
-    none = F.lit(None).cast("array<int>")
-    absent = missing(truth, pred).select(
-        "source_file", "clock", "truth", none.alias("predicted"), F.lit("missing").alias("verdict")
+    absent = (
+        missing(truth, pred, files)
+        .withColumn("predicted", F.lit(None).cast("array<int>"))
+        .withColumn("verdict", F.lit("missing"))
     )
-    return verdicts(truth, pred).unionByName(absent)
+    return verdicts(truth, pred, files).unionByName(absent)
 
 
-def metrics(truth: DataFrame, pred: DataFrame) -> DataFrame:
+def metrics(truth: DataFrame, pred: DataFrame, files: DataFrame) -> DataFrame:
     """Counts, precision, recall and F1 per file; a set counts only if it matches exactly.
 
-    Missing clocks are counted, never listed: all truth clocks less those the file predicts
-    anything for. So truth is not repeated per file.
+    Missing clocks are counted, never listed: the clocks of the truth set less those the file
+    predicts anything for. So truth is not repeated per file.
     """
-    judged = verdicts(truth, pred).withColumn("_hit", F.col("truth").isNotNull())
     # First per file and clock, merged on the map side, so that a file with most of the rows
     # is counted in many tasks.
-    per_clock = judged.groupBy("source_file", "clock").agg(
+    per_clock = verdicts(truth, pred, files).groupBy("source_file", "clock").agg(
         F.count_if(F.col("verdict") == "correct").alias("_tp"),
         F.count_if(F.col("verdict") != "correct").alias("_fp"),
-        F.max("_hit").cast("int").alias("_met"),
+        F.max(F.col("truth").isNotNull()).cast("int").alias("_met"),
+    )
+    per_file = per_clock.groupBy("source_file").agg(
+        F.sum("_tp").alias("_tp"), F.sum("_fp").alias("_fp"), F.sum("_met").alias("_met")
+    )
+    clocks = truth.groupBy("gt_id").agg(F.count("*").alias("_clocks"))
+
+    def number(name: str):
+        return F.coalesce(name, F.lit(0)).cast("bigint")
+
+    counts = (
+        files.join(clocks, "gt_id", "left")
+        .join(per_file, "source_file", "left")
+        .select(
+            "source_file",
+            number("_tp").alias("tp"),
+            number("_fp").alias("fp"),
+            (number("_clocks") - number("_met")).alias("fn"),
+        )
     )
-    clocks = truth.agg(F.count("*")).scalar()
-    counts = per_clock.groupBy("source_file").agg(
-        F.sum("_tp").alias("tp"), F.sum("_fp").alias("fp"), F.sum("_met").alias("_met")
-    ).select("source_file", "tp", "fp", (clocks - F.col("_met")).alias("fn"))
     return with_scores(counts)
 
 
@@ -92,16 +112,17 @@ def with_scores(counts: DataFrame) -> DataFrame:
     return scored.withColumn("f1_score", share(F.lit(2.0) * F.col("precision") * F.col("recall"), both))
 
 
-def extra_clocks(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """Predicted clocks that the truth does not know."""
-    return pred.select("source_file", "clock").distinct().join(truth, "clock", "left_anti")
+def extra_clocks(truth: DataFrame, pred: DataFrame, files: DataFrame) -> DataFrame:
+    """Predicted clocks that the file's truth set does not know."""
+    predicted = pred.select("source_file", "clock").distinct().join(files, "source_file")
+    return predicted.join(truth, ["gt_id", "clock"], "left_anti").select("source_file", "clock")
 
 
 def all_clocks(truth: DataFrame, pred: DataFrame) -> DataFrame:
     return truth.select("clock").union(pred.select("clock")).distinct()
 
 
-def report(truth: DataFrame, pred: DataFrame, *, per_list: int = ENTRIES_PER_LIST) -> DataFrame:
+def report(truth: DataFrame, pred: DataFrame, files: DataFrame, *, per_list: int = ENTRIES_PER_LIST) -> DataFrame:
     """One document per file and part: rounded metrics, and details grouped by verdict.
 
     Details are cut by clock order into parts of at most ``per_list`` entries.
@@ -110,7 +131,7 @@ def report(truth: DataFrame, pred: DataFrame, *, per_list: int = ENTRIES_PER_LIS
     second = F.coalesce(h * 3600 + m * 60 + s, F.lit(-1).cast("bigint"))
     slot = F.pmod(F.xxhash64("verdict", "predicted"), F.lit(16))
     placed = ordinal(
-        details(truth, pred).withColumn("_b", second * 16 + slot),
+        details(truth, pred, files).drop("gt_id").withColumn("_b", second * 16 + slot),
         ["source_file"],
         "_b",
         1,
@@ -128,12 +149,12 @@ def report(truth: DataFrame, pred: DataFrame, *, per_list: int = ENTRIES_PER_LIS
         entries("extra").alias("extra_timestamps"),
         entries("incorrect").alias("incorrect_predictions"),
     )
-    rounded = metrics(truth, pred).select(
+    rounded = metrics(truth, pred, files).select(
         "source_file", *[F.round(c, 2).alias(c) for c in ("precision", "recall", "f1_score")]
     )
-    return parts.join(rounded, "source_file").select(
+    return rounded.join(parts, "source_file", "left").select(
         "source_file",
-        "part",
+        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
         F.struct("precision", "recall", "f1_score").alias("metrics"),
         F.struct("correct", "missing_timestamps", "extra_timestamps", "incorrect_predictions").alias("details"),
     )

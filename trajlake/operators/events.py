@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.functions.answers import last_entries, object_set, parse_answer_strict, with_items
+from trajlake.functions.answers import last_entries, object_set, with_items, with_strict_items
 from trajlake.functions.clock import clock_to_timestamp_text, parse_ts
 from trajlake.functions.ids import objid_from_number
 from trajlake.operators.asof import asof_position
@@ -130,9 +130,8 @@ def event_list_positions(events: DataFrame) -> DataFrame:
 
 def predictions(responses: DataFrame, source: str, content: str = "content") -> DataFrame:
     """Distinct predicted sets per source and clock, from answers that hold strict JSON."""
-    items = responses.select(
-        F.col(source).alias("source_file"), F.explode_outer(parse_answer_strict(content)).alias("_item")
-    )
+    read = with_strict_items(responses.select(F.col(source).alias("source_file"), content), content, "_items")
+    items = read.select("source_file", F.explode_outer("_items").alias("_item"))
     sets = items.withColumn("_e", F.explode_outer(last_entries("_item"))).select(
         "source_file", F.col("_e.key").alias("clock"), object_set("_e.value").alias("objects")
     )

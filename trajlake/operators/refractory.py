@@ -25,10 +25,11 @@ from trajlake.operators.scans import BUCKET, with_time_bucket
 DEFAULT_SECONDS = 600
 GAPS_PER_BUCKET = 64
 _NEVER = -(2**62)
-_EXITS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "guard")]))
+_LONGS = T.ArrayType(T.LongType())
+_EXITS = T.StructType([T.StructField(n, _LONGS) for n in ("firsts", "guards")])
 
 
-def _exits(ms: np.ndarray, limit: int, gap: int) -> list[dict]:
+def _exits(ms: np.ndarray, limit: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Guard with which a bucket ends, for each instant that may be the first one kept."""
     following = np.searchsorted(ms, ms + gap)
     last = np.where(following < len(ms), following, np.arange(len(ms)))
@@ -38,7 +39,18 @@ def _exits(ms: np.ndarray, limit: int, gap: int) -> list[dict]:
             break
         last = further
     starts = min(len(ms), int(np.searchsorted(ms, limit)) + 1)
-    return [{"first": int(f), "guard": int(g)} for f, g in zip(ms[:starts], ms[last[:starts]] + gap, strict=True)]
+    return ms[:starts], ms[last[:starts]] + gap
+
+
+def _starts(firsts: np.ndarray, guards: np.ndarray) -> np.ndarray:
+    """Guard with which each bucket of a key begins, buckets in order."""
+    guard, starts = _NEVER, []
+    for f, g in zip(firsts, guards, strict=True):
+        starts.append(guard)
+        i = int(np.searchsorted(f, guard))
+        if i < len(f):
+            guard = int(g[i])
+    return np.array(starts, dtype="int64")
 
 
 def _kept(ms: np.ndarray, guard: int, gap: int) -> np.ndarray:
@@ -52,9 +64,15 @@ def _kept(ms: np.ndarray, guard: int, gap: int) -> np.ndarray:
 
 
 @F.pandas_udf(_EXITS)
-def _exit_tables(ms: pd.Series, limit: pd.Series, gap: pd.Series) -> pd.Series:
-    tables = [m if m is None else _exits(m, b, g) for m, b, g in zip(ms, limit, gap, strict=True)]
-    return pd.Series(tables, dtype=object)
+def _exit_tables(ms: pd.Series, limit: pd.Series, gap: pd.Series) -> pd.DataFrame:
+    tables = [(None, None) if m is None else _exits(m, b, g) for m, b, g in zip(ms, limit, gap, strict=True)]
+    return pd.DataFrame(tables, columns=["firsts", "guards"], dtype=object)
+
+
+@F.pandas_udf(_LONGS)
+def _start_lists(firsts: pd.Series, guards: pd.Series) -> pd.Series:
+    lists = [f if f is None else _starts(f, g) for f, g in zip(firsts, guards, strict=True)]
+    return pd.Series(lists, dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -69,7 +87,6 @@ def spaced_rows(
     """The rows that the greedy rule keeps. A key must have at most one row per instant."""
     gap = round(gap_seconds * MICROS)
     bucket_seconds = max(bucket_seconds, -(-gap * GAPS_PER_BUCKET // MICROS))
-    names = [f"`{k}`" for k in keys]
     rest = [c for c in rows.columns if c not in keys]
     gathered = (
         with_time_bucket(rows, time, bucket_seconds)
@@ -81,23 +98,35 @@ def spaced_rows(
         .withColumn("_ms", F.when(F.size("_rows") > 1, F.transform("_rows", lambda r: r["_m"])))
     )
     limit = F.col(BUCKET) * F.lit(bucket_seconds * MICROS) + F.lit(gap)
-    alone = F.array(F.struct(F.col("_first").alias("first"), (F.col("_first") + F.lit(gap)).alias("guard")))
-    chain = (
-        gathered.select(*keys, BUCKET, F.coalesce(_exit_tables("_ms", limit, F.lit(gap)), alone).alias("_exits"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(BUCKET, "_exits"))).alias("_chain"))
-        .selectExpr(
-            *names,
-            f"""inline(aggregate(
-                  _chain,
-                  named_struct('guard', {_NEVER}L,
-                               'starts', cast(array() AS array<struct<{BUCKET}:bigint,_start:bigint>>)),
-                  (s, b) -> named_struct(
-                    'guard', coalesce(get(filter(b._exits, e -> e.first >= s.guard), 0).guard, s.guard),
-                    'starts', concat(s.starts, array(named_struct('{BUCKET}', b.{BUCKET}, '_start', s.guard)))),
-                  s -> s.starts)) AS ({BUCKET}, _start)""",
+    many = F.col("_ms").isNotNull()
+    exits = gathered.withColumn("_e", _exit_tables("_ms", limit, F.lit(gap))).select(
+        *keys,
+        BUCKET,
+        F.when(many, F.col("_e.firsts")).otherwise(F.array("_first")).alias("firsts"),
+        F.when(many, F.col("_e.guards")).otherwise(F.array(F.col("_first") + F.lit(gap))).alias("guards"),
+    )
+    # Keys that fit into one bucket begin without a guard; the others are chained.
+    chained = (
+        exits.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct(BUCKET, "firsts", "guards"))).alias("_chain"))
+        .withColumn("_long", F.when(F.size("_chain") > 1, F.col("_chain")))
+        .withColumn(
+            "_starts",
+            _start_lists(
+                F.transform("_long", lambda c: c["firsts"]), F.transform("_long", lambda c: c["guards"])
+            ),
         )
     )
+    no_guard = F.array(F.lit(_NEVER).cast("bigint"))
+    chain = chained.select(
+        *keys,
+        F.explode_outer(
+            F.arrays_zip(
+                F.transform("_chain", lambda c: c[BUCKET]).alias("bucket"),
+                F.coalesce("_starts", no_guard).alias("start"),
+            )
+        ).alias("_z"),
+    ).select(*keys, F.col("_z.bucket").alias(BUCKET), F.col("_z.start").alias("_start"))
     flagged = gathered.join(chain, [*keys, BUCKET]).select(
         *keys,
         "_rows",

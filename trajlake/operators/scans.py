@@ -110,10 +110,8 @@ def last_known(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    known = bucketed.where(F.col(value).isNotNull()).groupBy(*keys, BUCKET).agg(
-        F.max(F.struct(*order, F.col(value).alias("_v")))["_v"].alias("_last")
-    )
-    buckets = bucketed.select(*keys, BUCKET).distinct().join(known, [*keys, BUCKET], "left")
+    latest = F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_v"))))
+    buckets = bucketed.groupBy(*keys, BUCKET).agg(latest["_v"].alias("_last"))
     before = (
         (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
         .orderBy(BUCKET)

@@ -60,14 +60,14 @@ def summary_replay(traj: DataFrame, lines: DataFrame, *, seconds: float = 1.0, s
     return event_clips(traj, following, seconds=seconds, stop_at_end=stop_at_end)
 
 
-def evaluation(responses: DataFrame, truth: DataFrame, source: str) -> DataFrame:
-    """Answers to scores per file."""
-    return metrics(truth, predictions(responses, source))
+def evaluation(responses: DataFrame, truth: DataFrame, files: DataFrame, source: str) -> DataFrame:
+    """Answers to scores per file, each file held against its truth set."""
+    return metrics(truth, predictions(responses, source), files)
 
 
-def evaluation_average(responses: DataFrame, truth: DataFrame, source: str) -> DataFrame:
+def evaluation_average(responses: DataFrame, truth: DataFrame, files: DataFrame, source: str) -> DataFrame:
     """Answers to the average over files of the scores rounded to two places."""
-    scores = evaluation(responses, truth, source)
+    scores = evaluation(responses, truth, files, source)
     return macro_average(scores.select(*[F.round(c, 2).alias(c) for c in ("precision", "recall", "f1_score")]))
 
 
