@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(key).orderBy(time)`` puts all rows of a key into one task, which fails
 when one object holds a third of a large table. Here every scan works inside ``(key, bucket)``,
 where a bucket is a fixed stretch of the order column, and takes what it needs from earlier
-buckets out of a summary with one row per ``(key, bucket)``. A bucket holds at most as many
+buckets out of a summary with one row per ``(key, bucket)``. Keys must not be null (readers leave such rows out). A bucket holds at most as many
 rows as it has distinct order values, and a key at most span / width summary rows, whatever the
 number of rows. The order column is a BIGINT: microseconds for time, or a running number.
 """
@@ -29,9 +29,19 @@ def with_bucket(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn(BUCKET, floor_div(F.col(order).cast("bigint"), width))
 
 
+def _placed(bucketed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with keys and bucket. Said once and up front, the same condition reaches every use of
+    the rows, so that their shuffle is recognised as one."""
+    cond = F.col(BUCKET).isNotNull()
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return bucketed.where(cond)
+
+
 def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of the per-bucket summary; keys and bucket are never null here."""
-    return rows.join(carry, [*keys, BUCKET], "left")
+    """Join of the per-bucket summary, which has a row for every bucket. Being an inner join it
+    asks the same of both inputs, so a shuffle they share is written once."""
+    return rows.join(carry, [*keys, BUCKET])
 
 
 def neighbour_row(
@@ -43,19 +53,34 @@ def neighbour_row(
     *,
     forward: bool = False,
 ) -> DataFrame:
-    """Add struct ``name``: ``columns`` of the previous (or next) row of the same key."""
-    part = Window.partitionBy(*keys, BUCKET).orderBy(order)
-    step = F.lead if forward else F.lag
-    edge = F.min if forward else F.max
+    """Add struct ``name``: ``columns`` of the previous (or next) row of the same key.
+
+    The last (first) row of each bucket is repeated in the following (preceding) bucket of its key
+    as a guest, so one window finds all neighbours; guests leave afterwards. The result stays
+    partitioned and sorted for a further scan over the same buckets.
+    """
+    bucketed = _placed(bucketed, keys)
     fields = [order, *[c for c in columns if c != order]]
-    edges = bucketed.groupBy(*keys, BUCKET).agg(edge(F.struct(*fields)).alias("_edge"))
+    # Field by field: flat buffers merge in a hash aggregate on the map side, whereas a struct
+    # would have to be sorted.
+    outer, pick = (F.min, F.min_by) if forward else (F.max, F.max_by)
+    edges = bucketed.groupBy(*keys, BUCKET).agg(
+        outer(order).alias(order), *[pick(c, order).alias(c) for c in fields[1:]]
+    )
     over_buckets = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(BUCKET)
-    carry = edges.select(*keys, BUCKET, step("_edge").over(over_buckets).alias("_carry"))
-    own = bucketed.withColumn("_own", step(F.struct(*fields)).over(part))
+    visited = (F.lag if forward else F.lead)(BUCKET).over(over_buckets)
+    guests = (
+        edges.withColumn(BUCKET, visited)
+        .where(F.col(BUCKET).isNotNull())
+        .withColumn("_guest", F.lit(True))
+    )
+    together = bucketed.withColumn("_guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
+    part = Window.partitionBy(*keys, BUCKET).orderBy(order)
+    step = F.lead if forward else F.lag
     return (
-        _attach(own, carry, keys)
-        .withColumn(name, F.coalesce("_own", "_carry"))
-        .drop("_own", "_carry")
+        together.withColumn(name, step(F.struct(*fields)).over(part))
+        .where(~F.col("_guest"))
+        .drop("_guest")
     )
 
 
@@ -69,7 +94,7 @@ def streak_lengths(
     before = (
         Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
-    ranked = bucketed.withColumn("_rn", F.row_number().over(part)).withColumns(
+    ranked = _placed(bucketed, keys).withColumn("_rn", F.row_number().over(part)).withColumns(
         {f"_break_{f}": F.max(F.when(~F.col(f), F.col("_rn"))).over(upto) for f in flags}
     )
     # Per bucket: its rows and the place of each flag's last break, hence the streak it hands on.
@@ -110,6 +135,7 @@ def last_known(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    bucketed = _placed(bucketed, keys)
     latest = F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_v"))))
     buckets = bucketed.groupBy(*keys, BUCKET).agg(latest["_v"].alias("_last"))
     before = (
