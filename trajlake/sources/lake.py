@@ -118,30 +118,45 @@ def read_chunk_files(spark: SparkSession, uri: str, fmt: str = "csv") -> DataFra
     return read_trajectory(spark, f"{dataset_root(uri)}/chunk_*.{fmt}")
 
 
+def _chunk_of_instants(chunks: DataFrame, instants: DataFrame) -> DataFrame:
+    """``probe_ts`` and ``chunk`` for every distinct instant."""
+    starts = chunks.select(F.col("start").alias("frame_ts"), "chunk")
+    found = floor_times(starts.select("frame_ts"), instants, bucket_seconds=3600)
+    return found.join(starts, "frame_ts").select("probe_ts", "chunk")
+
+
 def chunk_for_time(chunks: DataFrame, probes: DataFrame, time: str = "probe") -> DataFrame:
     """Add ``chunk``: the one with the latest start not after the probe, else the first."""
-    starts = chunks.select(F.col("start").alias("frame_ts"), "chunk")
-    found = floor_times(starts.select("frame_ts"), probes.select(F.col(time).alias("probe_ts")), bucket_seconds=3600)
-    named = found.join(starts, "frame_ts").select(F.col("probe_ts").alias(time), "chunk")
-    return probes.join(named, time)
+    found = _chunk_of_instants(chunks, probes.select(F.col(time).alias("probe_ts")))
+    return probes.join(found.withColumnRenamed("probe_ts", time), time)
 
 
 def asof_lake(lake: DataFrame, chunks: DataFrame, probes: DataFrame, time: str = "probe") -> DataFrame:
     """Every probe with the rows of its frame, looked up inside its chunk alone.
 
-    The chunk of each probe comes first, so the lake is joined on its partition column and a
-    chunk no probe needs is not read.
+    Probe instants shrink to distinct milliseconds and find their chunk in the manifest first. So
+    the lake is joined on its partition column, and chunks no probe needs are not read.
     """
-    placed = chunk_for_time(chunks, probes, time).withColumn("_probe", trunc_ms(time))
-    wanted = placed.select("chunk", F.col("_probe").alias("_t")).distinct()
-    frames = lake.select("chunk", F.col("timestamp").alias("_t")).distinct().join(
-        placed.select("chunk").distinct(), "chunk", "left_semi"
+    cut = probes.withColumn("_probe", trunc_ms(time))
+    wanted = _chunk_of_instants(chunks, cut.select(F.col("_probe").alias("probe_ts")))
+    frames = (
+        lake.select("chunk", F.col("timestamp").alias("_t"))
+        .distinct()
+        .join(wanted.select("chunk").distinct(), "chunk", "left_semi")
     )
     marks = frames.withColumn("_frame", F.col("_t")).withColumn("_kind", F.lit(0)).unionByName(
-        wanted.withColumn("_frame", F.lit(None).cast("timestamp_ntz")).withColumn("_kind", F.lit(1))
+        wanted.select(
+            "chunk",
+            F.col("probe_ts").alias("_t"),
+            F.lit(None).cast("timestamp_ntz").alias("_frame"),
+            F.lit(1).alias("_kind"),
+        )
+    )
+    upto = (
+        Window.partitionBy("chunk")
+        .orderBy("_t", "_kind")
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    inside = Window.partitionBy("chunk").orderBy("_t", "_kind")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     found = (
         marks.withColumn("_seen", F.last("_frame", ignorenulls=True).over(upto))
         .withColumn("_first", F.min("_frame").over(Window.partitionBy("chunk")))
@@ -149,4 +164,4 @@ def asof_lake(lake: DataFrame, chunks: DataFrame, probes: DataFrame, time: str =
         .select("chunk", F.col("_t").alias("_probe"), F.coalesce("_seen", "_first").alias("frame_ts"))
     )
     rows = lake.withColumnRenamed("timestamp", "frame_ts")
-    return placed.join(found, ["chunk", "_probe"]).join(rows, ["chunk", "frame_ts"]).drop("_probe")
+    return cut.join(found, "_probe").join(rows, ["chunk", "frame_ts"]).drop("_probe")
