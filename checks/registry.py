@@ -1339,9 +1339,9 @@ def random_probes(spark, sf):
 # ---- streams ------------------------------------------------------------------------------
 
 
-def _event_stream(spark, sf):
+def _event_stream(spark, sf, **options):
     schema = fx.events(spark, sf).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(schema).options(pathGlobFilter="events.parquet", **options).parquet(sf)
 
 
 def _hourly_stream(spark, sf):
@@ -1389,7 +1389,7 @@ def stream_contacts(spark, sf):
 
 @check("stream_stalls", sql(f"SELECT {ts('timestamp')} AS timestamp, objid FROM stall_runs WHERE run = 2", "stall_runs"))
 def stream_stalls(spark, sf):
-    rows = fx.as_positions(_event_stream(spark, sf), clock.trunc_ms("ts"))
+    rows = fx.as_positions(_event_stream(spark, sf, maxFilesPerTrigger=1), clock.trunc_ms("ts"))
     found = jobs.live_stalls(rows, stuck_rows=2, **_STALL)
     return jobs.run_to_parquet(found, new_folder(spark, "live"), new_folder(spark, "marks")).select("timestamp", "objid")
 

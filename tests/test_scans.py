@@ -148,3 +148,21 @@ def test_run_stats(spark):
     got = {r.label: (r.runs_total, r.runs_success, r.wall_clock_s_mean, r.wall_clock_s_std) for r in stats.run_stats(df).collect()}
     assert got == {"a": (2, 2, 2.0, 1.0), "b": (2, 1, 5.0, 0.0), "c": (1, 0, None, None)}
     assert stats.speedup(df, "b", "a").select(F.col("speedup")).first()[0] == 2.5
+
+
+def test_scans_without_keys(spark, monkeypatch):
+    """Buckets in groups: neighbours and last values across empty buckets and groups."""
+    monkeypatch.setattr(scans, "GROUP", 3)
+    rng = seeded(11)
+    orders = sorted(rng.sample(range(-300, 3000), 60))
+    rows = [(o, rng.randrange(9) if rng.random() < 0.2 else None) for o in orders]
+    df = scans.with_bucket(spark.createDataFrame(rows, "o bigint, v int"), "o", 5)
+    both = scans.neighbour_row(scans.neighbour_row(df, [], "o", ["v"], "p"), [], "o", ["v"], "n", forward=True)
+    found = {r.o: (r.p and (r.p.o, r.p.v), r.n and (r.n.o, r.n.v)) for r in both.collect()}
+    for i, r in enumerate(rows):
+        assert found[r[0]] == (rows[i - 1] if i else None, rows[i + 1] if i + 1 < len(rows) else None)
+    seen = {r.o: r.s for r in scans.last_known(df, [], ["o"], "v", "s").collect()}
+    last = None
+    for o, v in rows:
+        last = v if v is not None else last
+        assert seen[o] == last

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.clock import MICROS, floor_div, micros, trunc_ms
+from trajlake.operators.scans import BUCKET, last_known, latest_before, with_bucket
 
-BUCKET = "_bucket"
 DEFAULT_BUCKET_SECONDS = 60
 
 
@@ -32,8 +32,8 @@ def floor_times(
 
     Both sides shrink to distinct instants first, so a bucket holds at most as many rows as it
     has instants. Inside a bucket a window carries the last frame forward; a probe with no
-    earlier frame in its bucket takes the carry-in, the latest frame of any earlier bucket. The
-    carry-in comes from a table with one row per bucket (time span / width rows).
+    earlier frame in its bucket takes the carry-in, the latest frame of any earlier bucket, from a
+    table with one row per bucket.
     """
     width = bucket_seconds * MICROS
     marks = (
@@ -48,18 +48,8 @@ def floor_times(
     per_bucket = marks.groupBy(BUCKET).agg(
         F.max("_frame").alias("_max"), F.min("_frame").alias("_min")
     )
-    all_buckets = Window.partitionBy(F.lit(0)).orderBy(BUCKET)
-    carry = per_bucket.select(
-        BUCKET,
-        F.coalesce(
-            F.max("_max").over(all_buckets.rowsBetween(Window.unboundedPreceding, -1)),
-            F.min("_min").over(
-                Window.partitionBy(F.lit(0)).orderBy(BUCKET).rowsBetween(
-                    Window.unboundedPreceding, Window.unboundedFollowing
-                )
-            ),
-        ).alias("_carry"),
-    )
+    carry = latest_before(per_bucket, [], "_max", "_carry").select(BUCKET, "_carry")
+    first = per_bucket.agg(F.min("_min")).scalar()
     inside = (
         Window.partitionBy(BUCKET)
         .orderBy("_t", "_kind")
@@ -68,9 +58,9 @@ def floor_times(
     return (
         marks.withColumn("_seen", F.last("_frame", ignorenulls=True).over(inside))
         .where(F.col("_kind") == 1)
-        .join(carry, BUCKET, "left")
+        .join(carry, BUCKET)
         .select(
-            F.col("_t").alias("probe_ts"), F.coalesce("_seen", "_carry").alias("frame_ts")
+            F.col("_t").alias("probe_ts"), F.coalesce("_seen", "_carry", first).alias("frame_ts")
         )
     )
 
@@ -115,13 +105,10 @@ def last_exact_hit(
     traj_times: DataFrame, probes: DataFrame, ordinal: str, time: str, *, width: int = 65536
 ) -> DataFrame:
     """Add ``hit_ts``: the latest probe, in probe order, that lay exactly on a frame; else null."""
-    from trajlake.operators.scans import BUCKET as B
-    from trajlake.operators.scans import last_known, with_bucket
-
     cut = probes.withColumn("_probe", trunc_ms(time))
     hits = traj_times.select(F.col("frame_ts").alias("_probe"), F.col("frame_ts").alias("_hit"))
     marked = with_bucket(cut.join(hits, "_probe", "left"), ordinal, width)
-    return last_known(marked, [], [ordinal], "_hit", "hit_ts").drop("_hit", "_probe", B)
+    return last_known(marked, [], [ordinal], "_hit", "hit_ts").drop("_hit", "_probe", BUCKET)
 
 
 def agreement_rate(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

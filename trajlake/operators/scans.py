@@ -19,6 +19,8 @@ from trajlake.functions.clock import MICROS, floor_div, micros
 
 BUCKET = "_bucket"
 DEFAULT_SECONDS = 600
+# Buckets that make up one group when there is no key to spread a summary by.
+GROUP = 4096
 
 
 def with_time_bucket(df: DataFrame, time: str, seconds: int = DEFAULT_SECONDS) -> DataFrame:
@@ -44,6 +46,50 @@ def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(carry, [*keys, BUCKET])
 
 
+def _next_bucket(edges: DataFrame, keys: Sequence[str], *, forward: bool, name: str) -> DataFrame:
+    """Add ``name``: the following bucket of the key (the preceding one with ``forward`` off).
+
+    Without keys the buckets are taken group by group, and only groups are put in one order.
+    """
+    step, nearest = (F.lead, F.min) if forward else (F.lag, F.max)
+    if keys:
+        return edges.withColumn(name, step(BUCKET).over(Window.partitionBy(*keys).orderBy(BUCKET)))
+    grouped = edges.withColumn("_group", floor_div(BUCKET, GROUP))
+    groups = grouped.groupBy("_group").agg(nearest(BUCKET).alias("_edge"))
+    all_groups = Window.partitionBy(F.lit(0)).orderBy("_group")
+    beyond = groups.select("_group", step("_edge").over(all_groups).alias("_beyond"))
+    inside = step(BUCKET).over(Window.partitionBy("_group").orderBy(BUCKET))
+    return (
+        grouped.withColumn("_inside", inside)
+        .join(beyond, "_group")
+        .withColumn(name, F.coalesce("_inside", "_beyond"))
+        .drop("_group", "_inside", "_beyond")
+    )
+
+
+def latest_before(buckets: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the latest non-null ``value`` among earlier buckets of the key.
+
+    Without keys the buckets are taken group by group, and only groups are put in one order.
+    """
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        return buckets.withColumn(name, F.last(value, ignorenulls=True).over(before))
+    grouped = buckets.withColumn("_group", floor_div(BUCKET, GROUP))
+    newest = F.max(F.when(F.col(value).isNotNull(), F.struct(BUCKET, F.col(value).alias("_v"))))
+    groups = grouped.groupBy("_group").agg(newest["_v"].alias("_newest"))
+    earlier = (Window.unboundedPreceding, -1)
+    all_groups = Window.partitionBy(F.lit(0)).orderBy("_group").rowsBetween(*earlier)
+    beyond = groups.select("_group", F.last("_newest", ignorenulls=True).over(all_groups).alias("_beyond"))
+    own_group = Window.partitionBy("_group").orderBy(BUCKET).rowsBetween(*earlier)
+    return (
+        grouped.withColumn("_inside", F.last(value, ignorenulls=True).over(own_group))
+        .join(beyond, "_group")
+        .withColumn(name, F.coalesce("_inside", "_beyond"))
+        .drop("_group", "_inside", "_beyond")
+    )
+
+
 def neighbour_row(
     bucketed: DataFrame,
     keys: Sequence[str],
@@ -67,10 +113,10 @@ def neighbour_row(
     edges = bucketed.groupBy(*keys, BUCKET).agg(
         outer(order).alias(order), *[pick(c, order).alias(c) for c in fields[1:]]
     )
-    over_buckets = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(BUCKET)
-    visited = (F.lag if forward else F.lead)(BUCKET).over(over_buckets)
     guests = (
-        edges.withColumn(BUCKET, visited)
+        _next_bucket(edges, keys, forward=not forward, name="_to")
+        .withColumn(BUCKET, F.col("_to"))
+        .drop("_to")
         .where(F.col(BUCKET).isNotNull())
         .withColumn("_guest", F.lit(True))
     )
@@ -138,14 +184,7 @@ def last_known(
     bucketed = _placed(bucketed, keys)
     latest = F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_v"))))
     buckets = bucketed.groupBy(*keys, BUCKET).agg(latest["_v"].alias("_last"))
-    before = (
-        (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-        .orderBy(BUCKET)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = buckets.select(
-        *keys, BUCKET, F.last("_last", ignorenulls=True).over(before).alias("_carry")
-    )
+    carry = latest_before(buckets, keys, "_last", "_carry").drop("_last")
     own = bucketed.withColumn("_own", F.last(value, ignorenulls=True).over(part))
     return (
         _attach(own, carry, keys)
