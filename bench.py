@@ -51,10 +51,12 @@ def ingest_rate(spark, sf: str) -> dict[str, float]:
     root = new_folder(spark, "lake")
     spent = timed(lambda: write_lake(rows, root, chunk_seconds=60, hz=5.0))
     found = read_lake(spark, root)
-    span = F.pmod(F.col("event_id") * 7919, F.lit(300_000))
-    start = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
-    probes = fx.events(spark, sf).select(
-        F.col("event_id").alias("query_id"), (start + F.make_dt_interval(secs=span / 1000)).alias("probe")
+    # Twenty probes per event, scattered over the whole range.
+    probes = (
+        fx.events(spark, sf)
+        .select(F.explode(F.sequence(F.col("event_id") * 20, F.col("event_id") * 20 + 19)).alias("query_id"))
+        .withColumn("ms", F.pmod(F.col("query_id") * 7919, F.lit(300_000)))
+        .select("query_id", F.timestamp_micros(F.lit(1_735_689_600_000_000) + F.col("ms") * 1000).cast("timestamp_ntz").alias("probe"))
     )
     # One object per answer, as a follower of that object would ask.
     placed = asof_lake(found.where(F.col("objid") == "obj001"), read_chunks(spark, root), probes)

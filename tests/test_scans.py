@@ -75,6 +75,9 @@ def test_expand_steps(spark):
     df = spark.createDataFrame([("a", 10), ("b", 0), ("c", 1)], "k string, n bigint")
     got = sorted((r.k, r.i) for r in scans.expand_steps(df, "n", "i", 3).collect())
     assert got == [("a", i) for i in range(10)] + [("c", 0)]
+    long = spark.createDataFrame([("a", 1000), ("b", 9), ("c", 27)], "k string, n bigint")
+    got = [(r.k, r.i) for r in scans.expand_steps(long, "n", "i", 3).collect()]
+    assert sorted(got) == [(k, i) for k, n in (("a", 1000), ("b", 9), ("c", 27)) for i in range(n)]
 
 
 def test_spacing(spark):

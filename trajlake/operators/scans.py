@@ -3,16 +3,17 @@
 A plain ``Window.partitionBy(key).orderBy(time)`` puts all rows of a key into one task, which fails
 when one object holds a third of a large table. Here every scan works inside ``(key, bucket)``,
 where a bucket is a fixed stretch of the order column, and takes what it needs from earlier
-buckets out of a summary with one row per ``(key, bucket)``. Keys must not be null (readers leave such rows out). A bucket holds at most as many
-rows as it has distinct order values, and a key at most span / width summary rows, whatever the
-number of rows. The order column is a BIGINT: microseconds for time, or a running number.
+buckets out of a summary with one row per ``(key, bucket)``. A bucket holds at most as many rows
+as it has distinct order values, and a key at most span / width summary rows, whatever the number
+of rows. The order column is a BIGINT or a timestamp. Keys must not be null; readers leave such
+rows out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.clock import MICROS, floor_div, micros
@@ -226,14 +227,20 @@ def ordinal(
 def expand_steps(df: DataFrame, count: str, name: str, block: int = 4096) -> DataFrame:
     """One row per step 0 .. ``count`` - 1 of each input row, in blocks spread over the cluster.
 
-    Two explodes with a shuffle between them: no row ever holds more than ``block`` numbers, and
-    a single long range is produced by many tasks.
+    Steps come in blocks and blocks in groups of as many, so even a series of a trillion steps
+    never makes a long list in one row; the shuffle of the blocks hands it to many tasks.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = df.where(F.col(count) > 0).withColumn(
-        "_block", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), floor_div(F.col(count) - 1, block)))
+    last_step = F.col(count).cast("bigint") - 1
+    zero = F.lit(0).cast("bigint")
+
+    def within(group: str, last: Column) -> Column:
+        first = F.col(group) * F.lit(block)
+        return F.explode_outer(F.sequence(first, F.least(first + F.lit(block - 1), last)))
+
+    groups = df.where(F.col(count) > 0).withColumn(
+        "_blocks", F.explode_outer(F.sequence(zero, floor_div(last_step, block * block)))
     )
+    blocks = groups.withColumn("_block", within("_blocks", floor_div(last_step, block))).drop("_blocks")
     spread = blocks.repartition(parts, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], "_block"))
-    first = F.col("_block") * F.lit(block)
-    last = F.least(first + F.lit(block - 1), F.col(count).cast("bigint") - 1)
-    return spread.withColumn(name, F.explode_outer(F.sequence(first, last))).drop("_block")
+    return spread.withColumn(name, within("_block", last_step)).drop("_block")

@@ -76,7 +76,9 @@ def truth_from_contacts(traj: DataFrame, distance: float, **guard) -> DataFrame:
     return truth_rows(pair_episodes(contacts(traj, distance), **guard))
 
 
-def ingest_and_look_up(traj: DataFrame, uri: str, probes: DataFrame, *, chunk_seconds: int, time: str = "probe") -> DataFrame:
+def ingest_and_look_up(
+    traj: DataFrame, uri: str, probes: DataFrame, *, chunk_seconds: int, time: str = "probe"
+) -> DataFrame:
     """Write a lake and answer probes from it, reading only the chunks they need."""
     spark = traj.sparkSession
     root = write_lake(traj, uri, chunk_seconds=chunk_seconds)

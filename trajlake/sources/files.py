@@ -104,7 +104,9 @@ def sniff_delimiter(lines: DataFrame, source: str = "source", text: str = "value
     )
 
 
-def delimited_cells(lines: DataFrame, source: str = "source", text: str = "value", delimiter: str | None = None) -> DataFrame:
+def delimited_cells(
+    lines: DataFrame, source: str = "source", text: str = "value", delimiter: str | None = None
+) -> DataFrame:
     """Cells of every non-blank line, cut at the source's own separator or at a given one."""
     kept = lines.withColumn("_line", strip(text)).where(F.col("_line") != "")
     if delimiter is not None:

@@ -99,11 +99,13 @@ def read_lake(
     seconds = int(head["chunk_seconds"])
     if start is not None:
         rows = rows.where(
-            (F.col("chunk") >= int((start - base).total_seconds() // seconds)) & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+            (F.col("chunk") >= int((start - base).total_seconds() // seconds))
+            & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
         )
     if end is not None:
         rows = rows.where(
-            (F.col("chunk") <= int((end - base).total_seconds() // seconds)) & (F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
+            (F.col("chunk") <= int((end - base).total_seconds() // seconds))
+            & (F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
         )
     return rows
 
