@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trajlake.llm.mixing import op3_mix_sources
 from trajlake.llm.reshard import op1_reshard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard": op1_reshard,
+    "op3_mix_sources": op3_mix_sources,
 }
 ORACLE: dict[str, str] = {}
