@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trajlake.llm.mixing import op3_mix_sources
 from trajlake.llm.reshard import op1_reshard
+from trajlake.llm.warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard": op1_reshard,
     "op3_mix_sources": op3_mix_sources,
+    "op5_warc": op5_warc,
+}
+ORACLE: dict[str, str] = {
+    "op5_warc": OP5_SQL,
 }
-ORACLE: dict[str, str] = {}
