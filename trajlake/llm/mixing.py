@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 #: A target is at most so many times its source's size.
 MOST = 3
 #: Documents per bucket when a source's word positions are summed up.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: Slots that one task makes from one row.
 CHUNK = 8192
 ROUNDS = 24
@@ -152,7 +152,8 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = written(docs.select("doc_id", "source", n_words(docs["text"]).alias("size")), "sizes")
     quota, packs, drawn = _prepared(slim)
     takes = drawn.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    found = pieces(packs).join(takes, ["sid", "block"], "left")
+    # Blocks grow with the data, which the planner cannot see behind the explode: no broadcast.
+    found = pieces(packs).join(takes.hint("merge"), ["sid", "block"], "left")
     taken = F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).alias("taken")
     found = found.groupBy("sid", "start", "doc_id", "size").agg(taken).select("sid", "doc_id", "size", "taken")
     s = quota.select("sid", "source", F.col("size").alias("source_size"), "target")
@@ -178,13 +179,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     slim = written(rows.select("doc_id", "mark", "source", "size").withColumn("copy", copy), "sizes")
     _, packs, drawn = _prepared(slim)
     names = ["doc_id", "mark", "copy", "source", "size"]
-    parts = pieces(packs).join(drawn.select("sid", "block", "turn"), ["sid", "block"])
+    parts = pieces(packs).join(drawn.select("sid", "block", "turn").hint("merge"), ["sid", "block"])
     cuts = parts.groupBy(*names, "turn").agg(
         F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("cuts"), F.sum("words").alias("taken")
     )
     left = rows.withColumn("copy", copy)
     same = [left[c].eqNullSafe(cuts[c]) for c in ("doc_id", "mark", "copy", "source")]
-    found = left.join(cuts, same).select("row", "cuts", "taken", cuts["size"].alias("size"))
+    found = left.join(cuts.hint("merge"), same).select("row", "cuts", "taken", cuts["size"].alias("size"))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
     some = F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["skip"] + 1).cast("int"), c["words"].cast("int"))))
     text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(F.array_join(some, " "))
