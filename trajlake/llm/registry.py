@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trajlake.llm.imatch import op10_imatch
+from trajlake.llm.importance import op6_importance
 from trajlake.llm.mixing import op3_mix_sources
 from trajlake.llm.reshard import op1_reshard
 from trajlake.llm.warc import OP5_SQL, op5_warc
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard": op1_reshard,
     "op3_mix_sources": op3_mix_sources,
     "op5_warc": op5_warc,
+    "op6_importance": op6_importance,
     "op10_imatch": op10_imatch,
 }
 ORACLE: dict[str, str] = {
