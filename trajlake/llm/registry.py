@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trajlake.llm.decontaminate import op8_decontaminate
 from trajlake.llm.imatch import op10_imatch
 from trajlake.llm.importance import op6_importance
 from trajlake.llm.mixing import op3_mix_sources
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op5_warc": op5_warc,
     "op6_importance": op6_importance,
+    "op8_decontaminate": op8_decontaminate,
     "op10_imatch": op10_imatch,
 }
 ORACLE: dict[str, str] = {
