@@ -11,6 +11,7 @@ from trajlake.llm.imatch import op10_imatch
 from trajlake.llm.importance import op6_importance
 from trajlake.llm.mixing import op3_mix_sources
 from trajlake.llm.reshard import op1_reshard
+from trajlake.llm.url_lists import OP9_SQL, op9_url_lists
 from trajlake.llm.warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,8 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_importance": op6_importance,
     "op8_decontaminate": op8_decontaminate,
+    "op9_url_lists": op9_url_lists,
     "op10_imatch": op10_imatch,
 }
 ORACLE: dict[str, str] = {
     "op5_warc": OP5_SQL,
+    "op9_url_lists": OP9_SQL,
 }
