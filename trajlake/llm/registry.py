@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trajlake.llm.class_lm import op7_class_lm
 from trajlake.llm.decontaminate import op8_decontaminate
 from trajlake.llm.imatch import op10_imatch
 from trajlake.llm.importance import op6_importance
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op5_warc": op5_warc,
     "op6_importance": op6_importance,
+    "op7_class_lm": op7_class_lm,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_lists": op9_url_lists,
     "op10_imatch": op10_imatch,
