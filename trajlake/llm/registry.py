@@ -12,11 +12,13 @@ from trajlake.llm.imatch import op10_imatch
 from trajlake.llm.importance import op6_importance
 from trajlake.llm.mixing import op3_mix_sources
 from trajlake.llm.reshard import op1_reshard
+from trajlake.llm.substring_dedup import op2_substring_dedup
 from trajlake.llm.url_lists import OP9_SQL, op9_url_lists
 from trajlake.llm.warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard": op1_reshard,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_warc": op5_warc,
     "op6_importance": op6_importance,
