@@ -10,6 +10,7 @@ from trajlake.llm.class_lm import op7_class_lm
 from trajlake.llm.decontaminate import op8_decontaminate
 from trajlake.llm.imatch import op10_imatch
 from trajlake.llm.importance import op6_importance
+from trajlake.llm.minhash_dedup import op4_minhash_dedup
 from trajlake.llm.mixing import op3_mix_sources
 from trajlake.llm.reshard import op1_reshard
 from trajlake.llm.substring_dedup import op2_substring_dedup
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard": op1_reshard,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_warc": op5_warc,
     "op6_importance": op6_importance,
     "op7_class_lm": op7_class_lm,
