@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import TO_LOWER, WORD, table, written
+from trajlake.llm.text import TO_LOWER, WORD, kth_largest, table, written
 
 #: Words that are clustered, and their classes.
 CLUSTERED, CLASSES = 4000, 64
@@ -229,7 +229,11 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = written(word_counts(texts), "words")
     sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     rows = texts.count()
-    top = counts.where(F.octet_length("word") <= HELD_BYTES).orderBy(F.desc("n"), "word").limit(HELD).toPandas()
+    short = counts.where(F.octet_length("word") <= HELD_BYTES)
+    # One more than are held, so that words as frequent as that one stay out and the bound holds.
+    limit = kth_largest(short, "n", HELD + 1)
+    top = (short if limit is None else short.where(F.col("n") > limit)).toPandas()
+    top = top.sort_values(["n", "word"], ascending=[False, True])
     held, n = list(top["word"]), top["n"].to_numpy(np.int64)
     pairs = written(pair_counts(texts, held), "pairs")
     classes, grid = exchange(pairs)

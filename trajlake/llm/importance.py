@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import table, written
+from trajlake.llm.text import kth_largest, table, written
 
 #: Buckets for words and for shape pairs each: the model's size whatever the data.
 BUCKETS = 1 << 18
-#: The target model is fitted on at most so many labelled documents, those with the smallest hashes.
+#: The target model is fitted on at most so many labelled documents, those with the largest hashes.
 TARGET_ROWS = 50_000
 #: Added to the counts compared.
 PRIOR = 0.5
@@ -100,7 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Both models, as one log ratio per bucket. Raw counts cover all documents."""
     judged = good_labels(labels)
     facts = judged.agg(F.avg(F.col("good").cast("double")).alias("share")).first()
-    target = judged.where("good").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(TARGET_ROWS)
+    target = judged.where("good").select("doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("mark"))
+    last = kth_largest(target, "mark", TARGET_ROWS)
+    target = target if last is None else target.where(F.col("mark") >= last)
     # At most TARGET_ROWS numbers: their size is known whatever the data.
     known = F.broadcast(target.select("doc_id", F.lit(True).alias("good")))
     rows = docs.select("doc_id", "text").join(known, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
@@ -143,25 +145,6 @@ def judged(docs: DataFrame, text: Column, key: Column, model: Model) -> DataFram
     return docs.withColumn("judged", judge(text, -F.ln(-F.ln(even))))
 
 
-def kth_largest(ranks: DataFrame, column: str, k: int) -> int | None:
-    """The ``k``-th largest of a column of longs, by counting 16 bits at a time; None if there are fewer."""
-    known = 0
-    left = k
-    for shift in (48, 32, 16, 0):
-        part = F.call_function("shiftright", F.col(column), F.lit(shift))
-        if shift < 48:
-            ranks = ranks.where(F.call_function("shiftright", F.col(column), F.lit(shift + 16)) == known)
-        counts = sorted(((r[0], r[1]) for r in ranks.groupBy(part).count().collect()), reverse=True)
-        for value, n in counts:
-            if left <= n:
-                known = value
-                break
-            left -= n
-        else:
-            return None
-    return known
-
-
 def drawn(docs: DataFrame, text: Column, key: Column, model: Model, *columns: Column) -> DataFrame:
     """``columns`` and log_weight of the drawn rows of ``docs``.
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import TO_LOWER, WORD, table, written
+from trajlake.llm.text import TO_LOWER, WORD, kth_largest, table, written
 
 #: Words per shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 85
@@ -90,7 +90,9 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_values(texts: DataFrame) -> np.ndarray:
     """Frequent shingles and their counts, in order of the shingles; ``FREQUENT`` at most."""
     counts = texts.mapInArrow(_frequent, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
-    top = counts.orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()
+    counts = written(counts, "frequent")
+    limit = kth_largest(counts, "n", FREQUENT + 1)
+    top = (counts if limit is None else counts.where(F.col("n") > limit)).toPandas()
     values = top["value"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     return np.stack([values[order], top["n"].to_numpy(np.int64)[order].view(np.uint64)])
