@@ -33,9 +33,11 @@ WINDOW, SEED = 35, 16
 #: Seeds that a window chooses from.
 CHOICE = WINDOW - SEED + 1
 #: Different passages of a seed from which windows are counted instead.
-MANY = 1000
+MANY = 500
 #: Distinct words a task remembers at a time.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Words whose seeds are sought together.
+TOGETHER = 100_000
 
 _WORD = re.compile(WORD)
 _P1, _P2, _P3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
@@ -71,52 +73,85 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def choices(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all k-grams, and for each window the place of its smallest one, the first of equal ones."""
-    n = len(hashes) - SEED + 1
-    gram = np.zeros(n, np.uint64)
+def grams(hashes: np.ndarray) -> np.ndarray:
+    n = max(0, len(hashes) - SEED + 1)
+    out = np.zeros(n, np.uint64)
     for k in range(SEED):
-        gram = gram * np.uint64(_P1) + hashes[k : k + n]
-    gram = mixed(gram)
-    return gram, sliding_window_view(gram, CHOICE).argmin(axis=1) + np.arange(n - CHOICE + 1)
+        out = out * np.uint64(_P1) + hashes[k : k + n]
+    return mixed(out)
 
 
-def stretch(at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words that share a window with the seed at ``at``."""
-    return np.maximum(at - (CHOICE - 1), 0), np.minimum(at + WINDOW, words)
+def running(pick: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """The least or greatest of every n successive values, by doubling."""
+    done = 1
+    while 2 * done <= n:
+        x = pick(x[:-done], x[done:])
+        done *= 2
+    return pick(x[: len(x) - (n - done)], x[n - done :]) if n > done else x
+
+
+def seeds(gram: np.ndarray, sound: np.ndarray) -> np.ndarray:
+    """Places of the k-grams that are the smallest of some window; ``sound`` says which windows count.
+
+    A place is chosen if its k-gram is the least of a window that holds it, all of equal ones.
+    """
+    least = np.where(sound, running(np.minimum, gram, CHOICE), np.uint64(0))
+    pad = np.zeros(CHOICE - 1, np.uint64)
+    return np.flatnonzero(running(np.maximum, np.concatenate([pad, least, pad]), CHOICE) == gram)
+
+
+def stretch(at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that share a window with the seed at ``at``, in a text from ``begin`` to ``end``."""
+    return np.maximum(at - (CHOICE - 1), begin), np.minimum(at + WINDOW, end)
+
+
+def _found(rows: list[int], sizes: list[int], hashes: np.ndarray, powers: Powers) -> pa.RecordBatch:
+    """The seeds of several texts whose words lie end to end."""
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(rows)), sizes)
+    gram = grams(hashes)
+    count = len(hashes) - WINDOW + 1
+    at = seeds(gram, text[:count] == text[WINDOW - 1 :])
+    of = text[at]
+    begin = (ends - sizes)[of]
+    low, high = stretch(at, begin, ends[of])
+    up, down = powers.upto(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mixed(hashes) * up[:-1], out=sums[1:])
+    whole = (sums[high] - sums[low]) * down[low]
+    # Passages cut off by a text's ends are told apart by where the seed lies in them.
+    shape = ((at - low) * 64 + (high - at)).astype(np.uint64)
+    around = mixed(whole + shape * np.uint64(_P1))
+    arrays = [np.asarray(rows)[of], (at - begin).astype(np.int32), gram[at].view(np.int64), around.view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["row", "at", "seed", "around"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, powers = WordHash(), Powers()
+    rows, sizes, waiting = [], [], []
     for batch in batches:
-        rows, places, grams, around = [], [], [], []
         for row, text in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
             words = _WORD.findall(text.as_py() or "")
             if len(words) < WINDOW:
                 continue
-            hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            every, chosen = choices(hashes)
-            at = np.unique(chosen)
-            low, high = stretch(at, len(words))
-            up, down = powers.upto(len(words) + 1)
-            sums = np.zeros(len(words) + 1, np.uint64)
-            np.cumsum(mixed(hashes) * up[:-1], out=sums[1:])
-            whole = (sums[high] - sums[low]) * down[low]
-            # Texts cut off by the document's ends are told apart by where the seed lies in them.
-            shape = (at - low) * 64 + (high - at)
-            rows.append(np.full(len(at), row))
-            places.append(at.astype(np.int32))
-            grams.append(every[at])
-            around.append(mixed(whole + shape.astype(np.uint64) * np.uint64(_P1)))
-        if rows:
-            columns = [np.concatenate(x) for x in (rows, places, grams, around)]
-            arrays = [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].view(np.int64)), pa.array(columns[3].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "at", "seed", "around"])
+            rows.append(row)
+            sizes.append(len(words))
+            waiting.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            if sum(sizes) > TOGETHER:
+                yield _found(rows, sizes, np.concatenate(waiting), powers)
+                rows, sizes, waiting = [], [], []
+    if rows:
+        yield _found(rows, sizes, np.concatenate(waiting), powers)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(batch), rows):
+        yield batch.slice(start, rows)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         texts = [squeeze.compress((x.as_py() or "").encode("utf-8", "replace")) for x in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["row", "doc_id", "packed"])
 
@@ -128,13 +163,13 @@ def _words(packed: pa.Scalar, open_: zstandard.ZstdDecompressor) -> list[str]:
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words around each wanted seed, and how many of them come before it."""
     open_ = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out: list[tuple] = []
         for packed, wanted in zip(batch.column("packed"), batch.column("wanted"), strict=True):
             words = _words(packed, open_)
             for w in wanted.as_py():
-                low, high = stretch(np.int64(w["at"]), len(words))
-                out.append((w["row"], w["at"], w["seed"], w["n"], int(w["at"] - low), " ".join(words[low:high])))
+                low, high = max(w["at"] - CHOICE + 1, 0), min(w["at"] + WINDOW, len(words))
+                out.append((w["row"], w["at"], w["seed"], w["n"], w["at"] - low, " ".join(words[low:high])))
         columns = list(zip(*out, strict=True)) or [[]] * 6
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         names = ["row", "at", "seed", "n", "before", "passage"]
@@ -275,9 +310,9 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes for each window of the passages that has the passage's seed as its own, with the window's bit.
+    """Two hashes for each window whose first smallest k-gram is the passage's seed, with the window's bit.
 
-    A window has one seed, so it is counted once however passages overlap.
+    Every window has one such seed, so it is counted once however passages overlap.
     """
     known, powers = WordHash(), Powers()
     for batch in batches:
@@ -293,7 +328,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.cumsum(mixed(hashes) * up[:-1], out=two[1:])
             second = mixed((two[WINDOW:] - two[:-WINDOW]) * down[:count])
             first = mixed(one)
-            for i in np.flatnonzero(choices(hashes)[1] == before):
+            own = sliding_window_view(grams(hashes), CHOICE).argmin(axis=1) + np.arange(count)
+            for i in np.flatnonzero(own == before):
                 out.append((row, at, n, 1 << (before - int(i)), int(first[i].view(np.int64)), int(second[i].view(np.int64))))
         columns = list(zip(*out, strict=True)) or [[]] * 6
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -312,7 +348,7 @@ def spans(mask: int, at: int, words: int) -> Iterator[int]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor()
     everything = (1 << CHOICE) - 1
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         docs, total, gone, digests, texts = [], [], [], [], []
         for key, packed, found in zip(batch.column("doc_id"), batch.column("packed"), batch.column("found"), strict=True):
             words = _words(packed, open_)
@@ -345,9 +381,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     words ``kept``. Texts of fewer words than a window are kept; a null text is empty.
     """
     rows = docs.select("row", "doc_id", "text")
-    anchors = rows.select("row", "text").mapInArrow(_anchors, "row long, at int, seed long, around long")
+    anchors = written(rows.select("row", "text").mapInArrow(_anchors, "row long, at int, seed long, around long"), "anchors")
     again = anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
-    found = anchors.join(again.select("seed", (F.col("low") != F.col("high")).alias("several")), "seed")
+    # As a table, so that the join deals out both sides and can split a seed that very many texts have.
+    again = written(again.select("seed", (F.col("low") != F.col("high")).alias("several")), "again")
+    found = anchors.join(again, "seed")
     # Everything below starts from this table: the places of repeated seeds.
     found = written(found.select("row", "at", "seed", "around", "several"), "seeds")
     several = found.where("several")
