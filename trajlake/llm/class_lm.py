@@ -1,8 +1,8 @@
 """Scoring with a Brown class-based bigram model.
 
 Exchange clustering puts the most frequent words into classes: in each round every word looks for the
-class that would raise the likelihood of the class bigrams most, all words at once, and half of those
-that gain move. Other words fall into classes by their ending. A text's probability is the product of
+class that would raise the likelihood of the class bigrams most, all words at once, and those that gain
+most move. Other words fall into classes by their ending. A text's probability is the product of
 smoothed class transitions and word emissions, its end included.
 
 Word counts cover all training text. The most frequent words, so many and so long at most, go to all
@@ -11,7 +11,6 @@ tasks; the others meet their counts in a join.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import TO_LOWER, WORD, kth_largest, table, written
+from trajlake.llm.text import byte_words, kth_largest, table, texts_of, written
 
 #: Words that are clustered, and their classes.
 CLUSTERED, CLASSES = 4000, 64
@@ -31,13 +30,13 @@ CLUSTERED, CLASSES = 4000, 64
 ENDINGS = 16
 #: Words, of so many bytes at most, whose counts every task holds.
 HELD, HELD_BYTES = 200_000, 64
-ROUNDS = 6
+#: Rounds, and the words that a class takes or gives up in one at most.
+ROUNDS, AT_ONCE = 10, 16
 #: Weight of the unigram class distribution in a transition.
 SMOOTHING = 10.0
 #: Distinct words, and distinct pairs, that a task gathers before it hands them on.
 GATHERED, GATHERED_PAIRS = 300_000, 3_000_000
 
-_WORD = re.compile(WORD)
 #: Class numbers: clustered ones, the end of a text, endings.
 END = CLASSES
 ALL = CLASSES + 1 + ENDINGS
@@ -45,8 +44,9 @@ ALL = CLASSES + 1 + ENDINGS
 NUMBERS = 1 + CLUSTERED + ENDINGS
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.translate(TO_LOWER)) if text else []
+def words(data: bytes | None) -> list[bytes]:
+    """Words in lower case; only A-Z has another case for ``bytes.lower``."""
+    return byte_words(data.lower()) if data else []
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,14 +55,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
+    counts: Counter[bytes] = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+        found = pa.array(counts.keys(), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([found, pa.array(counts.values(), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(words(text.as_py()))
+        for text in texts_of(batch.column(0)):
+            counts.update(words(text))
             if len(counts) > GATHERED:
                 yield out()
                 counts.clear()
@@ -77,12 +78,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Numbers(dict):
     """Word -> its number among the held ones (1, 2, ..), or minus its ending's number (-1, -2, ..)."""
 
-    def __missing__(self, word: str) -> int:
-        return -1 - zlib.crc32(word[-1].encode("utf-8", "replace")) % ENDINGS
+    def __missing__(self, word: bytes) -> int:
+        return -1 - zlib.crc32(word[-1:]) % ENDINGS
 
 
 def ending(word: Column) -> Column:
-    return F.pmod(F.crc32(F.right(word, F.lit(1))), F.lit(ENDINGS)).cast("int")
+    """The class number of a word's last byte among the endings."""
+    return F.pmod(F.crc32(F.substring(word.cast("binary"), -1, 1)), F.lit(ENDINGS)).cast("int")
 
 
 def pair_counts(texts: DataFrame, held: list[str]) -> DataFrame:
@@ -90,7 +92,7 @@ def pair_counts(texts: DataFrame, held: list[str]) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(held[:CLUSTERED])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers((w, i + 1) for i, w in enumerate(shared.value))
+        numbers = Numbers((w.encode(), i + 1) for i, w in enumerate(shared.value))
         codes, sums, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def out() -> pa.RecordBatch:
@@ -105,8 +107,8 @@ def pair_counts(texts: DataFrame, held: list[str]) -> DataFrame:
             codes, sums, waiting, size = both, total, [], 0
 
         for batch in batches:
-            for text in batch.column(0):
-                found = words(text.as_py())
+            for text in texts_of(batch.column(0)):
+                found = words(text)
                 line = np.zeros(len(found) + 2, np.int64)
                 line[1:-1] = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
                 line[line < 0] = CLUSTERED - line[line < 0]
@@ -158,7 +160,8 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, gr
     g[own, :] -= s
     g[:, own] -= p
     g[own, own] -= twice
-    row, col = g.sum(axis=1), g.sum(axis=0)
+    # Wherever the word goes, its neighbours' classes have it next to them.
+    row, col = g.sum(axis=1) + p, g.sum(axis=0) + s
     base, diag = _xlogx(g), np.arange(ALL)
     out, into = _xlogx(g + s[None, :]) - base, _xlogx(g + p[:, None]) - base
     gain = out.sum(axis=1) - out[diag, diag] + into.sum(axis=0) - into[diag, diag]
@@ -168,6 +171,23 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, gr
     return best, float(gain[best] - gain[own])
 
 
+def settled(classes: np.ndarray, mass: np.ndarray, moves: pd.DataFrame) -> np.ndarray:
+    """The classes after a round. The moves that gain most go first.
+
+    Gains hold for one move at a time, so a class takes and gives up so many words at most, and takes
+    no more than half of its own tokens anew.
+    """
+    out, taken, given, added = classes.copy(), np.zeros(ALL, int), np.zeros(ALL, int), np.zeros(ALL)
+    for m in moves[moves["gain"] > 1e-6].sort_values(["gain", "word"], ascending=[False, True]).itertuples():
+        to, own = int(m.to), int(classes[m.word])
+        if taken[to] < AT_ONCE and given[own] < AT_ONCE and (not added[to] or added[to] + m.mass <= mass[to] / 2):
+            taken[to] += 1
+            given[own] += 1
+            added[to] += m.mass
+            out[m.word] = to
+    return out
+
+
 def exchange(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all word numbers after so many rounds, and the class bigram counts."""
     sc = pairs.sparkSession.sparkContext
@@ -193,19 +213,17 @@ def exchange(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
             counts = np.zeros(2 * ALL + 1)
             counts[part["kind"]] = part["n"]
             to, gain = best_class(int(names[word]), counts[:ALL], counts[ALL : 2 * ALL], counts[-1], grid)
-            out.append((int(word), to, gain))
-        return pd.DataFrame(out, columns=["word", "to", "gain"])
+            out.append((int(word), to, gain, counts[:ALL].sum()))
+        return pd.DataFrame(out, columns=["word", "to", "gain", "mass"])
 
     grid = _class_pairs(pairs, classes)
-    for r in range(rounds):
+    for _ in range(rounds):
         shared = sc.broadcast((classes, grid))
         rows = pairs.mapInArrow(neighbours, "word long, kind long, n long").where(f"word between 1 and {CLUSTERED}")
         sums = rows.groupBy("word", "kind").agg(F.sum("n").alias("n")).withColumn("task", F.col("word") % 64)
         # One row per clustered word comes back.
-        moves = sums.groupBy("task").applyInPandas(move, "word long, to long, gain double").toPandas()
-        chosen = moves[(moves["gain"] > 1e-6) & ((moves["word"] + r) % 2 == 0)]
-        classes = classes.copy()
-        classes[chosen["word"].to_numpy(np.int64)] = chosen["to"].to_numpy(np.int64)
+        moves = sums.groupBy("task").applyInPandas(move, "word long, to long, gain double, mass double").toPandas()
+        classes = settled(classes, grid.sum(axis=1), moves)
         grid = _class_pairs(pairs, classes)
     return classes, grid
 
@@ -261,14 +279,14 @@ def parts(docs: DataFrame, model: Model) -> DataFrame:
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, n_ends = shared.value
-        numbers = Numbers((w, i + 1) for i, w in enumerate(m.held))
+        numbers = Numbers((w.encode(), i + 1) for i, w in enumerate(m.held))
         last = len(m.held)
         # By number, endings from the back: class, log10(count + 1), and log10 of the emission without that of rare words.
         kind, known, emit = np.zeros(last + 1 + ENDINGS, np.int64), np.zeros(last + 1 + ENDINGS), np.zeros(last + 1 + ENDINGS)
         clustered = min(last, CLUSTERED)
         kind[0], known[0] = END, np.log10(n_ends + 1)
         kind[1 : clustered + 1] = m.classes[1 : clustered + 1]
-        of_ending = [CLASSES - Numbers()[w] for w in m.held[clustered:]]
+        of_ending = [CLASSES - Numbers()[w.encode()] for w in m.held[clustered:]]
         kind[clustered + 1 : last + 1] = of_ending
         kind[last + 1 :] = CLASSES + ENDINGS - np.arange(ENDINGS)
         known[1 : last + 1] = np.log10(m.counts + 1)
@@ -278,14 +296,16 @@ def parts(docs: DataFrame, model: Model) -> DataFrame:
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
             columns = list(zip(*out, strict=True)) or [[]] * 7
             names = ["doc_id", "n_tokens", "n_held", "base", "score", "rare", "times"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            made[5] = made[5].cast(pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays(made, names)
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = words(text.as_py())
+            for key, text in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
+                found = words(text)
                 line = np.zeros(len(found) + 2, np.int64)
                 line[1:-1] = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
                 named = kind[line]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import table, written
+from trajlake.llm.text import table, unpacked, with_id, written
 
 #: Words per seed, and successive n-grams of which the rarest becomes one.
 GRAM, AMONG = 3, 4
@@ -192,9 +192,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", least_s
     hits = found.select("stretch", F.explode(F.arrays_zip("places", "grams")).alias("h"))
     hits = hits.select("stretch", F.col("h.places").alias("place"), F.col("h.grams").alias("gram"))
     counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("item_id", "block").orderBy(F.coalesce("n", F.lit(0)), "at"))
-    rare = item.join(counts, "gram", "left").withColumn("block", F.expr(f"at div {AMONG}")).withColumn("rank", rank)
-    seeds = rare.where("rank = 1 and n is not null").select("item_id", "words", "at", "gram")
+    # Of those that occur at all: what an edit broke must not stand for its neighbours.
+    rank = F.row_number().over(Window.partitionBy("item_id", "block").orderBy("n", "at"))
+    rare = item.join(counts, "gram").withColumn("block", F.expr(f"at div {AMONG}")).withColumn("rank", rank)
+    seeds = rare.where("rank = 1").select("item_id", "words", "at", "gram")
     near = hits.join(seeds, "gram").withColumn("offset", F.col("place") - F.col("at"))
     bands = near.groupBy("stretch", "item_id", "words", F.floor(F.col("offset") / OFFSET).alias("band")).agg(
         F.min("offset").alias("low"), F.max("offset").alias("high")
@@ -212,9 +213,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", least_s
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a copy of an item. Copies are found, and dropped, by text."""
-    mark = F.xxhash64(docs["text"])
-    found = contaminated(docs.select(mark.alias("mark"), "text"), items, "mark").select(F.col("mark").alias("_mark")).distinct()
-    return docs.join(found, mark == found["_mark"], "left_anti")
+    rows = with_id(docs).withColumn("mark", F.xxhash64("row.text"))
+    found = contaminated(rows.select("mark", F.col("row.text").alias("text")), items, "mark").select("mark").distinct()
+    return unpacked(rows.join(found, "mark", "left_anti"), docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

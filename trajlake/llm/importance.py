@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import kth_largest, table, written
+from trajlake.llm.text import kth_largest, table, unpacked, with_id, written
 
 #: Buckets for words and for shape pairs each: the model's size whatever the data.
 BUCKETS = 1 << 18
@@ -161,9 +161,8 @@ def drawn(docs: DataFrame, text: Column, key: Column, model: Model, *columns: Co
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The drawn documents, with the columns of ``docs``."""
     model = fit(docs, labels)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kept = drawn(rows, F.col("row.text"), F.col("row.doc_id"), model, F.col("row"))
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    kept = drawn(with_id(docs), F.col("row.text"), F.col("row.doc_id"), model, F.col("row"))
+    return unpacked(kept, docs.columns)
 
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

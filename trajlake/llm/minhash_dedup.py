@@ -11,7 +11,6 @@ dropped; the others are verified on the full shingle sets. Documents with equal
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import TO_LOWER, WORD, kth_largest, table, written
+from trajlake.llm.text import byte_words, kth_largest, table, texts_of, unpacked, with_id, written
 
 #: Words per shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 85
@@ -33,13 +32,12 @@ ESTIMATE, COMMON = 64, 32
 FREQUENT, SEEN, IN_CHUNK, CHUNK = 1 << 20, 16, 3, 4_000_000
 REMEMBERED = 300_000
 
-_WORD = re.compile(WORD)
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
         if len(self) < REMEMBERED:
             self[word] = value
         return value
@@ -50,17 +48,26 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, known: WordHash) -> np.ndarray:
-    """The hashes of a text's distinct shingles, in order; fewer words than a shingle are one."""
-    words = _WORD.findall(text.translate(TO_LOWER)) if text else []
+def all_shingles(data: bytes | None, known: WordHash) -> np.ndarray:
+    """The hashes of a text's shingles, repeated ones too; fewer words than a shingle are one.
+
+    Only A-Z has another case for ``bytes.lower``.
+    """
+    words = byte_words(data.lower()) if data else []
     if not words:
         return np.zeros(0, np.uint64)
     each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(SHINGLE, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
-        out = _mixed(out * _P + each[k : k + len(out)])
-    return np.unique(out)
+        out *= _P
+        out += each[k : k + len(out)]
+    return _mixed(out)
+
+
+def shingles(data: bytes | None, known: WordHash) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    return np.unique(all_shingles(data, known))
 
 
 def retained(n: int) -> int:
@@ -77,8 +84,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], ["value", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            waiting.append(shingles(text.as_py(), known))
+        for text in texts_of(batch.column(0)):
+            waiting.append(all_shingles(text, known))
             size += len(waiting[-1])
             if size > CHUNK:
                 yield out()
@@ -117,15 +124,17 @@ def _nodes(often) -> callable:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, frequent = WordHash(), often.value
         for batch in batches:
-            rows: list[tuple] = []
-            for row, key, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                values = shingles(text.as_py(), known)
-                mark = int(_mixed(values * _R).sum(dtype=np.uint64).view(np.int64)) if len(values) else None
-                found = sketch(values, frequent).view(np.int64) if len(values) else None
-                rows.append((row.as_py(), key.as_py(), len(values), mark, found))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "doc_id", "n", "mark", "sketch"])
+            sizes, marks, firsts, least = [], [], [], []
+            for text in texts_of(batch.column(2)):
+                values = shingles(text, known)
+                sizes.append(len(values))
+                marks.append(int(_mixed(values * _R).sum(dtype=np.uint64).view(np.int64)) if len(values) else None)
+                firsts.append(sketch(values, frequent).view(np.int64))
+                # The upper bits in the same order, for estimates.
+                least.append((values[:ESTIMATE] >> np.uint64(33)).astype(np.int32))
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            made = [pa.array(c, t) for c, t in zip((sizes, marks, firsts, least), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["row", "doc_id", "n", "mark", "sketch", "least"])
 
     return each
 
@@ -133,18 +142,10 @@ def _nodes(often) -> callable:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        texts = [squeeze.compress((x.as_py() or "").encode("utf-8", "replace")) for x in batch.column(1)]
+        texts = [squeeze.compress(x or b"") for x in texts_of(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["node", "packed"])
 
 
-def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_, known = zstandard.ZstdDecompressor(), WordHash()
-    for batch in batches:
-        # Halved, so that signed numbers keep the order.
-        least = [(shingles(open_.decompress(x.as_py()).decode(), known)[:ESTIMATE] >> np.uint64(1)).view(np.int64) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.list_(pa.int64()))], ["node", "packed", "least"])
-
-
 def could_link(n: Column, m: Column, i: Column, j: Column) -> Column:
     """Whether sets of n and m values can be similar enough if i and j come before their first common one."""
     common = F.least(n - i, m - j)
@@ -159,23 +160,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = []
         for i, (a, left, right) in enumerate(zip(batch.column(0).to_numpy(), batch.column(2), batch.column(3), strict=True)):
             if a != last:
-                last, mine = a, shingles(open_.decompress(left.as_py()).decode(), known)
-            other = shingles(open_.decompress(right.as_py()).decode(), known)
+                last, mine = a, shingles(open_.decompress(left.as_py()), known)
+            other = shingles(open_.decompress(right.as_py()), known)
             common = len(np.intersect1d(mine, other, assume_unique=True))
             if 100 * common >= PERCENT * (len(mine) + len(other) - common):
                 hits.append(i)
         yield batch.select(["a", "b"]).take(pa.array(hits, pa.int64()))
 
 
-def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, marks: DataFrame, packed: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough. Pairs are many more than the planner sees."""
-    marks = texts.select("node", "least")
     one = pairs.hint("merge").join(marks.select(F.col("node").alias("a"), F.col("least").alias("la")), "a")
     two = one.hint("merge").join(marks.select(F.col("node").alias("b"), F.col("least").alias("lb")), "b")
     union = F.slice(F.array_sort(F.array_union("la", "lb")), 1, ESTIMATE)
     common = F.size(F.array_intersect(F.array_intersect("la", "lb"), union))
     near = two.where(common * ESTIMATE >= COMMON * F.size(union)).select("a", "b")
-    packed = texts.select("node", "packed")
     right = near.hint("merge").join(packed.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
     both = right.hint("merge").join(packed.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a")
     return both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
@@ -216,23 +215,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("row", "doc_id", "text")
     often = spark.sparkContext.broadcast(frequent_values(rows.select("text")))
-    schema = "row long, doc_id long, n long, mark long, sketch array<long>"
+    schema = "row long, doc_id long, n long, mark long, sketch array<long>, least array<int>"
     each = written(rows.mapInArrow(_nodes(often), schema), "sketches")
     posts = each.where("n > 0").select("mark", "n", F.posexplode("sketch").alias("i", "value"))
     lists = posts.groupBy("value").agg(F.min(F.struct("mark", "n")).alias("low"), F.max(F.struct("mark", "n")).alias("high"))
-    shared = lists.where("low <> high").select("value")
-    # Postings are many more than the planner sees.
+    # As a table, so that the join deals out both sides and can split a long list.
+    shared = written(lists.where("low <> high").select("value"), "shared")
     posts = posts.hint("merge").join(shared.hint("merge"), "value").groupBy("value", "mark", "n").agg(F.min("i").alias("i"))
     posts = written(posts, "postings")
     groups = each.where("n > 0").groupBy("mark", "n").agg(F.min("row").alias("node"))
     named = written(posts.join(groups, ["mark", "n"]).select("value", "node", "n", "i"), "lists")
     wanted = named.select("node").distinct()
     packed = rows.select(F.col("row").alias("node"), "text").mapInArrow(_packed, "node long, packed binary")
-    texts = written(packed.join(wanted, "node").mapInArrow(_estimates, "node long, packed binary, least array<long>"), "texts")
+    packed = written(packed.join(wanted, "node"), "texts")
+    marks = each.select(F.col("row").alias("node"), "least")
     # First every member with its list's leader.
     leaders = named.groupBy("value").agg(F.min(F.struct("i", "node", "n")).alias("l"))
     led = named.join(leaders, "value").where((F.col("node") != F.col("l.node")) & could_link(F.col("n"), F.col("l.n"), F.col("i"), F.col("l.i")))
-    first = written(links(led.select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct(), texts), "links")
+    first = written(links(led.select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct(), marks, packed), "links")
     known = written(components(first), "components")
     # Then the members that are still in different components.
     placed = named.join(known, "node", "left").select("value", "node", "n", "i", F.coalesce("component", "node").alias("c"))
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = rest.select("value", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "i", "c")])
     pairs = rest.hint("merge").join(other, "value").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")))
     pairs = pairs.where(could_link(F.col("n"), F.col("n2"), F.col("i"), F.col("i2")))
-    second = links(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), texts)
+    second = links(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), marks, packed)
     found = written(components(first.unionAll(second)), "components")
     nodes = groups.join(found, "node", "left").select("mark", "n", F.coalesce("component", "node").alias("component"))
     grouped = each.select("row", "doc_id", "n", "mark").join(nodes, ["mark", "n"], "left")
@@ -262,3 +262,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """``docs``, a table read from files, with one row of each group: the one with the smallest doc_id."""
+    rows = with_id(docs)
+    groups = near_duplicates(rows.select(F.col("id").alias("row"), F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")))
+    return unpacked(rows.join(groups.where("not first").select(F.col("row").alias("id")), "id", "left_anti"), docs.columns)

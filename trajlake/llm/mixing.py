@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import WORD, n_words, table, written
+from trajlake.llm.text import WORD, n_words, table, with_id, written
 
 BLOCK = 256
 SLOTS = 1024
@@ -166,29 +166,21 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each pass over a source, the words taken of each document.
 
     A document whose blocks were all taken in a pass keeps its text as it is; of others the words
-    taken remain, joined by one blank. ``n_chars`` follows the text. Columns are those of ``docs``;
-    a document without words is not in the mix.
+    taken remain, joined by one blank. ``n_chars`` follows the text. Columns are those of ``docs``, a
+    table read from files; a document without words is not in the mix.
     """
-    key = [docs["doc_id"], F.xxhash64(docs["text"])]
-    rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        key[0].alias("doc_id"), key[1].alias("mark"), docs["source"].alias("source"), n_words(docs["text"]).alias("size"),
-    )
-    # Equal rows are told apart by a number; they can stand for each other.
-    copy = F.row_number().over(Window.partitionBy("doc_id", "mark", "source").orderBy("size"))
-    slim = written(rows.select("doc_id", "mark", "source", "size").withColumn("copy", copy), "sizes")
+    rows = with_id(docs)
+    slim = rows.select("id", F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"))
+    slim = written(slim, "sizes")
     _, packs, drawn = _prepared(slim)
-    names = ["doc_id", "mark", "copy", "source", "size"]
     parts = pieces(packs).join(drawn.select("sid", "block", "turn").hint("merge"), ["sid", "block"])
-    cuts = parts.groupBy(*names, "turn").agg(
+    cuts = parts.groupBy("id", "size", "turn").agg(
         F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("cuts"), F.sum("words").alias("taken")
     )
-    left = rows.withColumn("copy", copy)
-    same = [left[c].eqNullSafe(cuts[c]) for c in ("doc_id", "mark", "copy", "source")]
-    found = left.join(cuts.hint("merge"), same).select("row", "cuts", "taken", cuts["size"].alias("size"))
+    found = rows.join(cuts.hint("merge"), "id")
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
     some = F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["skip"] + 1).cast("int"), c["words"].cast("int"))))
     text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(F.array_join(some, " "))
-    out = found.withColumn("_text", text)
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    out = found.withColumn("text", text)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

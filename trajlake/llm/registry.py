@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from trajlake.llm.class_lm import op7_class_lm
 from trajlake.llm.decontaminate import op8_decontaminate
 from trajlake.llm.imatch import op10_imatch
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_lists": op9_url_lists,
     "op10_imatch": op10_imatch,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
     "op5_warc": OP5_SQL,

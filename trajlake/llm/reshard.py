@@ -220,6 +220,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> Layout:
     return layout
 
 
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``docs`` with ``shard``, which replaces a column of that name."""
+    rows = shard_documents(docs, shards).rows()
+    kept = [c for c in docs.columns if c.lower() != "shard"]
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "shard")
+
+
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 8 under the law ``bytes``, after resharding from the old layout.
 

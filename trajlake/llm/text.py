@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,30 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def byte_words(data: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8. ``bytes.split`` knows the same six blanks as ``WORD``."""
+    return data.split() if data else []
+
+
+def texts_of(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts of an Arrow column in UTF-8, without decoding them."""
+    for x in column.cast(pa.binary()):
+        yield x.as_py()
+
+
+def with_id(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs`` in a struct, so that no name clashes) and ``id``, a row's own number.
+
+    ``docs`` is a table read from files: its splits and so the numbers are the same in every use.
+    """
+    return docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``with_id`` put away."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and cut off from what made it.
 
