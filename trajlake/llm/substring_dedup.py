@@ -15,7 +15,6 @@ by one instead, by two hashes of 64 bits; the result is the same.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import WORD, table, written
+from trajlake.llm.text import byte_words, table, texts_of, written
 
 #: Words per window, and per seed.
 WINDOW, SEED = 35, 16
@@ -39,14 +38,13 @@ REMEMBERED = 200_000
 #: Words whose seeds are sought together.
 TOGETHER = 100_000
 
-_WORD = re.compile(WORD)
 _P1, _P2, _P3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 _INVERSE = pow(_P2, -1, 1 << 64)
 
 
 class WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) | 1
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word) | 1
         if len(self) < REMEMBERED:
             self[word] = value
         return value
@@ -130,8 +128,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, powers = WordHash(), Powers()
     rows, sizes, waiting = [], [], []
     for batch in batches:
-        for row, text in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
-            words = _WORD.findall(text.as_py() or "")
+        for row, text in zip(batch.column(0).to_numpy(), texts_of(batch.column(1)), strict=True):
+            words = byte_words(text)
             if len(words) < WINDOW:
                 continue
             rows.append(row)
@@ -152,12 +150,12 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in (part for whole in batches for part in slices(whole)):
-        texts = [squeeze.compress((x.as_py() or "").encode("utf-8", "replace")) for x in batch.column(2)]
+        texts = [squeeze.compress(x or b"") for x in texts_of(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["row", "doc_id", "packed"])
 
 
-def _words(packed: pa.Scalar, open_: zstandard.ZstdDecompressor) -> list[str]:
-    return _WORD.findall(open_.decompress(packed.as_py()).decode())
+def _words(packed: pa.Scalar, open_: zstandard.ZstdDecompressor) -> list[bytes]:
+    return byte_words(open_.decompress(packed.as_py()))
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +167,14 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _words(packed, open_)
             for w in wanted.as_py():
                 low, high = max(w["at"] - CHOICE + 1, 0), min(w["at"] + WINDOW, len(words))
-                out.append((w["row"], w["at"], w["seed"], w["n"], w["at"] - low, " ".join(words[low:high])))
+                out.append((w["row"], w["at"], w["seed"], w["n"], w["at"] - low, b" ".join(words[low:high])))
         columns = list(zip(*out, strict=True)) or [[]] * 6
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         names = ["row", "at", "seed", "n", "before", "passage"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-PASSAGE = "row long, at int, seed long, n long, before int, passage string"
+PASSAGE = "row long, at int, seed long, n long, before int, passage binary"
 
 
 class Automaton:
@@ -187,12 +185,12 @@ class Automaton:
     """
 
     def __init__(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
+        self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.first: list[int] = [1 << 62]
         self.last: list[int] = [-1]
 
-    def _state(self, follow: dict[str, int], link: int, length: int) -> int:
+    def _state(self, follow: dict[bytes, int], link: int, length: int) -> int:
         self.next.append(follow)
         self.link.append(link)
         self.length.append(length)
@@ -200,7 +198,7 @@ class Automaton:
         self.last.append(-1)
         return len(self.link) - 1
 
-    def _split(self, p: int, word: str, q: int) -> int:
+    def _split(self, p: int, word: bytes, q: int) -> int:
         """A copy of ``q`` for the runs that end shorter, between ``p`` and ``q``."""
         nxt, link = self.next, self.link
         clone = self._state(nxt[q].copy(), link[q], self.length[p] + 1)
@@ -210,7 +208,7 @@ class Automaton:
         link[q] = clone
         return clone
 
-    def add(self, words: list[str], place: int) -> list[int]:
+    def add(self, words: list[bytes], place: int) -> list[int]:
         """Add a sequence whose first word is at ``place``; returns the state of each prefix."""
         nxt, link, length, first, last = self.next, self.link, self.length, self.first, self.last
         at, states = 0, []
@@ -255,7 +253,7 @@ class Automaton:
         return out
 
 
-def repeated_windows(group: list[tuple[int, int, int, int, str]]) -> Iterator[tuple[int, int, int]]:
+def repeated_windows(group: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
     """(row, at, mask) of the passages (row, at, n, before, words) of one seed that occur once as a whole.
 
     Bit ``o`` of the mask stands for the window that begins ``o`` words before the seed. A place is a
@@ -265,7 +263,7 @@ def repeated_windows(group: list[tuple[int, int, int, int, str]]) -> Iterator[tu
     automaton, kept = Automaton(), []
     number: dict[int, int] = {}
     for row, at, n, before, passage in sorted(group, key=lambda g: (g[0], g[1])):
-        words = passage.split(" ")
+        words = passage.split(b" ")
         place = (number.setdefault(row, len(number)) << 40) + at - before
         states = automaton.add(words, place)
         if n > 1:
@@ -295,7 +293,7 @@ def _masks(rows: list[tuple]) -> pa.RecordBatch:
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of their seed."""
-    group: list[tuple[int, int, int, int, str]] = []
+    group: list[tuple[int, int, int, int, bytes]] = []
     seed = None
     for batch in batches:
         out: list[tuple] = []
@@ -318,7 +316,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for row, at, _, n, before, passage in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            words = passage.split(" ")
+            words = passage.split(b" ")
             hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
             up, down = powers.upto(len(words) + 1)
             count = len(words) - WINDOW + 1
@@ -363,14 +361,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         cover[start] += 1
                         cover[start + WINDOW] -= 1
             keep = np.cumsum(cover[:-1]) == 0
-            text = " ".join(w for w, k in zip(words, keep, strict=True) if k) if not keep.all() else " ".join(words)
+            text = b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep)])
             docs.append(key.as_py())
             total.append(len(words))
             gone.append(int(len(words) - keep.sum()))
-            digests.append(hashlib.sha256(text.encode()).hexdigest())
+            digests.append(hashlib.sha256(text).hexdigest())
             texts.append(text)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         columns = [pa.array(c, t) for c, t in zip((docs, total, gone, digests, texts), types, strict=True)]
+        columns[-1] = columns[-1].cast(pa.string())
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
