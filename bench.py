@@ -36,7 +36,7 @@ def ingest_rate(spark, sf: str) -> dict[str, float]:
     from checks import fixtures as fx
     from trajlake.operators.synth import synth_trajectory
     from trajlake.session import new_folder
-    from trajlake.sources.lake import asof_lake, read_chunks, read_lake, write_lake
+    from trajlake.sources.lake import asof_lake, read_instants, read_lake, write_lake
 
     specs = fx.users(spark, sf).select(
         (F.col("user_id") + 1).alias("number"),
@@ -58,8 +58,8 @@ def ingest_rate(spark, sf: str) -> dict[str, float]:
         .withColumn("ms", F.pmod(F.col("query_id") * 7919, F.lit(300_000)))
         .select("query_id", F.timestamp_micros(F.lit(1_735_689_600_000_000) + F.col("ms") * 1000).cast("timestamp_ntz").alias("probe"))
     )
-    # One object per answer, as a follower of that object would ask.
-    placed = asof_lake(found.where(F.col("objid") == "obj001"), read_chunks(spark, root), probes)
+    # Whole frames, as a replay of the scene asks.
+    placed = asof_lake(found, read_instants(spark, root), probes)
     asked = probes.count()
     seek = timed(lambda: placed.write.format("noop").mode("overwrite").save())
     return {

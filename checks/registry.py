@@ -621,6 +621,27 @@ def lake_range(spark, sf):
     return rows.select(*XYZ, "chunk")
 
 
+def _micro_rows(spark, sf):
+    """Rows at microseconds, the first one 600 after a full millisecond."""
+    e = fx.events(spark, sf)
+    at = F.lit(1_704_067_200_000_600) + F.col("event_id") * F.lit(5_999_990)
+    return fx.as_positions(e, clock.from_micros(at))
+
+
+@check(
+    "lake_range_border",
+    """SELECT event_id AS n, (event_id * 5999990) // 60000000 AS chunk FROM events
+       WHERE event_id * 5999990 BETWEEN 59999500 - 600 AND 600000000 - 600""",
+)
+def lake_range_border(spark, sf):
+    """A range whose ends lie less than a millisecond from chunk borders."""
+    root = lake.write_lake(_micro_rows(spark, sf).drop("event_id"), new_folder(spark, "lake"), chunk_seconds=60)
+    start = dt.datetime(2024, 1, 1, 0, 0, 59, 999500)
+    rows = lake.read_lake(spark, root, start=start, end=dt.datetime(2024, 1, 1, 0, 10))
+    n = (micros("timestamp") - F.lit(1_704_067_200_000_600)) / F.lit(5_999_990)
+    return rows.select(n.cast("bigint").alias("n"), "chunk")
+
+
 @check(
     "chunk_for_time",
     sql(
@@ -642,7 +663,7 @@ _ASOF_LAKE = sql(
 @check("asof_lake", _ASOF_LAKE)
 def asof_lake(spark, sf):
     root = _lake(spark, sf)
-    found = lake.asof_lake(lake.read_lake(spark, root), lake.read_chunks(spark, root), fx.probes(spark, sf))
+    found = lake.asof_lake(lake.read_lake(spark, root), lake.read_instants(spark, root), fx.probes(spark, sf))
     return found.select("query_id", "frame_ts", "objid", "x", "y", "z")
 
 
@@ -1348,29 +1369,45 @@ def _hourly_stream(spark, sf):
     return fx.as_positions(_event_stream(spark, sf), F.date_trunc("HOUR", "ts").cast("timestamp_ntz"))
 
 
+def _late_stream(spark, sf, seconds: int):
+    """The events in four files, each a micro-batch; an event is up to so many seconds late."""
+    path = new_folder(spark, "late")
+    e = fx.events(spark, sf)
+    first, last = e.agg(F.min(micros("ts")), F.max(micros("ts"))).first()
+    arrival = micros("ts") + F.pmod(F.col("event_id") * 7919, F.lit(seconds)) * MICROS
+    quarter = F.least(F.lit(3), F.floor((arrival - F.lit(first)) / F.lit((last - first) // 4 + 1)))
+    for k in range(4):
+        e.where(quarter == k).orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @check(
     "stream_ingest",
-    sql(f"SELECT DISTINCT {ts('timestamp')} AS timestamp, objid, epoch_us(timestamp) // 3600000000 AS chunk FROM hourly_rows", "hourly_rows"),
+    sql(
+        f"""SELECT {ts('timestamp')} AS timestamp, objid, x, y, z, epoch_us(timestamp) // 3600000000 AS chunk FROM traj
+            WHERE timestamp <= (SELECT max(timestamp) FROM traj) - INTERVAL 12 HOUR""",
+        "traj",
+    ),
 )
 def stream_ingest(spark, sf):
     path, marks = new_folder(spark, "live"), new_folder(spark, "marks")
-    jobs.start_ingest(_hourly_stream(spark, sf), path, marks, chunk_seconds=3600).awaitTermination()
-    return spark.read.schema("timestamp timestamp_ntz, objid string, chunk bigint").parquet(path).select(
-        "timestamp", "objid", "chunk"
-    )
+    rows = fx.as_positions(_late_stream(spark, sf, 36000), F.date_trunc("HOUR", "ts").cast("timestamp_ntz"))
+    jobs.start_ingest(rows, path, marks, order="event_id", chunk_seconds=3600, lateness="12 hours").awaitTermination()
+    return spark.read.schema("timestamp timestamp_ntz, objid string, x double, y double, z double, chunk bigint").parquet(path)
 
 
 @check(
     "stream_chunk_stats",
     sql(
-        f"""SELECT {ts("date_trunc('day', timestamp)")} AS window_start, count(*) AS rows, min(x) AS min_x, max(x) AS max_x,
-            min(z) AS min_z, max(z) AS max_z FROM hourly_rows GROUP BY 1""",
+        f"""SELECT {ts("date_trunc('day', timestamp)")} AS window_start, count(*) AS rows, count(DISTINCT objid) AS objects, min(x) AS min_x,
+            max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM hourly_rows GROUP BY 1""",
         "hourly_rows",
     ),
 )
 def stream_chunk_stats(spark, sf):
-    found = jobs.chunk_statistics(_hourly_stream(spark, sf), "1 day")
-    return jobs.run_complete(found, new_folder(spark, "live"), new_folder(spark, "marks"))
+    rows = fx.as_positions(_late_stream(spark, sf, 36000), F.date_trunc("HOUR", "ts").cast("timestamp_ntz"))
+    found = jobs.chunk_statistics(rows, "1 day", lateness="12 hours")
+    return jobs.window_totals(jobs.run_updates(found, new_folder(spark, "live"), new_folder(spark, "marks")))
 
 
 @check(
@@ -1387,10 +1424,18 @@ def stream_contacts(spark, sf):
     return jobs.run_to_parquet(found, new_folder(spark, "live"), new_folder(spark, "marks"))
 
 
-@check("stream_stalls", sql(f"SELECT {ts('timestamp')} AS timestamp, objid FROM stall_runs WHERE run = 2", "stall_runs"))
+@check(
+    "stream_stalls",
+    sql(
+        f"""SELECT {ts('timestamp')} AS timestamp, objid FROM stall_runs
+            WHERE run = 2 AND timestamp < (SELECT max(timestamp) FROM fine) - INTERVAL 12 HOUR""",
+        "stall_runs",
+    ),
+)
 def stream_stalls(spark, sf):
-    rows = fx.as_positions(_event_stream(spark, sf, maxFilesPerTrigger=1), clock.trunc_ms("ts"))
-    found = jobs.live_stalls(rows, stuck_rows=2, **_STALL)
+    """Rows out of order over several micro-batches, and objects silent for longer than a day."""
+    rows = fx.as_positions(_late_stream(spark, sf, 36000), clock.trunc_ms("ts"))
+    found = jobs.live_stalls(rows, stuck_rows=2, lateness="12 hours", forget_after_ms=10**12, **_STALL)
     return jobs.run_to_parquet(found, new_folder(spark, "live"), new_folder(spark, "marks")).select("timestamp", "objid")
 
 

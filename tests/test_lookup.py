@@ -49,7 +49,7 @@ def test_lake_agrees_with_full_load(spark):
     assert lake.read_chunks(spark, root).count() == 12
     head = lake.read_manifest(spark, root + "/manifest.json").first()
     assert (head["rows"], head["objects"], head["chunks"]) == (1200, 4, 12)
-    check(lake.asof_lake(lake.read_lake(spark, root), lake.read_chunks(spark, root), probes(spark)))
+    check(lake.asof_lake(lake.read_lake(spark, root), lake.read_instants(spark, root), probes(spark)))
 
 
 def test_lake_range_prunes_chunks(spark):

@@ -1,7 +1,7 @@
 """Timestamps, chunk numbers, progress and playback arithmetic as column expressions.
 
-Timestamps are TIMESTAMP_NTZ. Arithmetic runs on whole microseconds since 1970, which needs the
-session zone to be UTC (``session.require_utc``).
+Timestamps are TIMESTAMP_NTZ. Arithmetic runs on whole microseconds since 1970, taken from the
+timestamp's own fields, so the session's zone and its summer time do not matter.
 """
 
 from __future__ import annotations
@@ -29,19 +29,35 @@ def parse_ts(col) -> Column:
 
 def format_ts(col) -> Column:
     """``yyyy-MM-dd HH:mm:ss.SSS``, cutting anything below the millisecond."""
-    return F.date_format(_c(col), "yyyy-MM-dd HH:mm:ss.SSS")
+    text = _c(col).cast("timestamp_ntz").cast("string")
+    return F.concat(F.substring(text, 1, 19), F.lit("."), F.rpad(F.substring(text, 21, 3), 3, "0"))
 
 
-def trunc_ms(col) -> Column:
-    return F.date_trunc("MILLISECOND", _c(col)).cast("timestamp_ntz")
+def _origin() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def micros(col) -> Column:
-    return F.unix_micros(_c(col).cast("timestamp"))
+    """Microseconds since 1970, exact from 1700 to 2250. The difference of zone-free timestamps knows no zone.
+
+    Every form here names its argument once, since expressions nest.
+    """
+    since = (_c(col).cast("timestamp_ntz") - _origin()).cast("interval second")
+    return F.rint(since.cast("decimal(18,6)").cast("double") * F.lit(float(MICROS))).cast("bigint")
 
 
 def from_micros(col) -> Column:
-    return F.timestamp_micros(_c(col)).cast("timestamp_ntz")
+    """The zone-free timestamp that many microseconds after 1970."""
+    return _origin() + F.expr("INTERVAL '0.000001' SECOND") * _c(col).cast("bigint")
+
+
+def cut_ms(m: Column) -> Column:
+    """The timestamp at ``m`` microseconds, without what is below the millisecond."""
+    return _origin() + F.expr("INTERVAL '0.001' SECOND") * F.floor(m / F.lit(1000.0))
+
+
+def trunc_ms(col) -> Column:
+    return cut_ms(micros(col))
 
 
 def floor_div(num, den: int) -> Column:
@@ -112,7 +128,7 @@ def data_time(video_seconds, start, factor: float) -> Column:
 
 
 def clock_text(col) -> Column:
-    return F.date_format(_c(col), "HH:mm:ss")
+    return F.substring(_c(col).cast("timestamp_ntz").cast("string"), 12, 8)
 
 
 def clock_to_timestamp_text(clock, base_date) -> Column:

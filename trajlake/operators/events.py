@@ -31,12 +31,19 @@ def quarantine(responses: DataFrame, content: str = "content") -> DataFrame:
 
 
 def mentions(
-    responses: DataFrame, order: str, content: str = "content", *, base_date="2025-01-01", keep: tuple[str, ...] = ()
+    responses: DataFrame,
+    order: str,
+    content: str = "content",
+    *,
+    base_date="2025-01-01",
+    keep: tuple[str, ...] = (),
+    outer: bool = False,
 ) -> DataFrame:
     """One row per reported group: ``timestamp`` text, sorted place, ``grp`` of object ids.
 
     ``order`` is the BIGINT place of the answer; ``item_pos`` the place inside it. Empty groups
-    are dropped. ``base_date`` is a date text or a column.
+    are dropped. ``base_date`` is a date text or a column. With ``outer`` an answer or entry without
+    any group leaves a row whose ``timestamp`` is null.
     """
     date = F.lit(base_date) if isinstance(base_date, str) else base_date
     read = with_items(
@@ -44,10 +51,13 @@ def mentions(
     )
     # The outer forms keep the optimizer from testing, and so parsing, the list below the explode.
     items = read.select(*keep, "chunk_pos", "_date", F.posexplode_outer("_items").alias("item_pos", "_item"))
-    entries = items.withColumn("_e", F.explode_outer(last_entries("_item"))).where(F.size("_e.value") > 0)
+    entries = items.withColumn("_e", F.explode_outer(last_entries("_item")))
+    reported = F.coalesce(F.size("_e.value") > 0, F.lit(False))
+    entries = entries if outer else entries.where(reported)
+    at = clock_to_timestamp_text(F.col("_e.key"), F.col("_date"))
     return entries.select(
         *keep,
-        clock_to_timestamp_text(F.col("_e.key"), F.col("_date")).alias("timestamp"),
+        (F.when(reported, at) if outer else at).alias("timestamp"),
         "chunk_pos",
         "item_pos",
         F.transform("_e.value", objid_from_number).alias("grp"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.functions.clock import MICROS, floor_div, micros
+from trajlake.functions.clock import MICROS, floor_div, from_micros, micros
 from trajlake.functions.geometry import pixel, view_point
 from trajlake.operators.refractory import spaced_instants
 from trajlake.operators.scans import expand_steps, last_known, with_bucket
@@ -72,7 +72,7 @@ def overlap_windows(
     return (
         rows.join(starts, video)
         .withColumn("chunk_no", F.explode(F.sequence(first, last)))
-        .withColumn("chunk_start", F.timestamp_micros(micros("_start") + F.col("chunk_no") * stride).cast("timestamp_ntz"))
+        .withColumn("chunk_start", from_micros(micros("_start") + F.col("chunk_no") * stride))
         .drop("_start")
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.functions.clock import MICROS, from_micros, micros
+from trajlake.functions.clock import MICROS, cut_ms, from_micros, micros
 from trajlake.functions.ids import objid_from_number
 from trajlake.operators.scans import expand_steps
 
@@ -112,15 +112,10 @@ def probe_sets(
         *[
             F.struct(
                 F.lit(name).alias("pattern"),
-                F.date_trunc(
-                    "MILLISECOND",
-                    from_micros(
-                        (micros("start_ts") if sign > 0 else micros("end_ts"))
-                        + F.lit(sign) * F.col("query_id") * F.lit(round(step * MICROS))
-                    ),
-                )
-                .cast("timestamp_ntz")
-                .alias("probe"),
+                cut_ms(
+                    (micros("start_ts") if sign > 0 else micros("end_ts"))
+                    + F.lit(sign) * F.col("query_id") * F.lit(round(step * MICROS))
+                ).alias("probe"),
             )
             for name, step, sign in patterns
         ]
@@ -136,5 +131,4 @@ def random_probes(ranges: DataFrame, *, queries: str = "n_queries", offset_s: fl
     share = F.pmod(key, F.lit(1_000_003)).cast("double") / F.lit(1_000_003.0)
     slack = round(offset_s * MICROS)
     at = micros("start_ts") - F.lit(slack) + F.rint(share * (span + F.lit(2 * slack))).cast("bigint")
-    probe = F.date_trunc("MILLISECOND", from_micros(at)).cast("timestamp_ntz")
-    return rows.withColumn("pattern", F.lit("random_jump")).withColumn("probe", probe)
+    return rows.withColumn("pattern", F.lit("random_jump")).withColumn("probe", cut_ms(at))

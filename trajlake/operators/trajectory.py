@@ -59,6 +59,28 @@ def with_chunk(traj: DataFrame, chunk_seconds: int, time: str = "timestamp") ->
     return traj.withColumn("chunk", chunk_index(time, base, chunk_seconds))
 
 
+def chunk_parts(chunked: DataFrame) -> DataFrame:
+    """One row per chunk and object: what all manifest tables are made of.
+
+    Merged on the map side, so counting distinct chunks and objects never spreads the rows themselves.
+    """
+    return chunked.groupBy("chunk", "objid").agg(
+        F.count("*").alias("rows"),
+        F.min("timestamp").alias("start_ts"),
+        F.max("timestamp").alias("end_ts"),
+        *[F.min(a).alias(f"min_{a}") for a in AXES],
+        *[F.max(a).alias(f"max_{a}") for a in AXES],
+    )
+
+
+def stats_of_parts(parts: DataFrame, fmt: str = "parquet") -> DataFrame:
+    return (
+        parts.groupBy("chunk")
+        .agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("rows").alias("rows"))
+        .withColumn("key", chunk_key("start_ts", fmt))
+    )
+
+
 def chunk_stats(chunked: DataFrame, fmt: str = "parquet") -> DataFrame:
     """Start, end, rows and object key of every chunk."""
     return (
@@ -72,36 +94,32 @@ def chunk_stats(chunked: DataFrame, fmt: str = "parquet") -> DataFrame:
     )
 
 
-def manifest(
-    chunked: DataFrame, *, chunk_seconds: int, fmt: str = "parquet", hz: float | None = None, dataset: str = ""
+def head_of_parts(
+    parts: DataFrame, *, chunk_seconds: int, fmt: str = "parquet", hz: float | None = None, dataset: str = ""
 ) -> DataFrame:
     """The one-row head of a manifest. Chunks and object ids are tables of their own, because
     they grow with the data: ``chunk_stats`` and ``object_ids``."""
-    # One row per chunk and object first, merged on the map side, so that counting distinct
-    # chunks and objects never spreads the rows themselves.
-    parts = chunked.groupBy("chunk", "objid").agg(
-        F.count("*").alias("_n"),
-        F.min("timestamp").alias("_start"),
-        F.max("timestamp").alias("_end"),
-        *[F.min(a).alias(f"_min_{a}") for a in AXES],
-        *[F.max(a).alias(f"_max_{a}") for a in AXES],
-    )
     return parts.agg(
         F.lit(1).alias("version"),
         F.lit(dataset).alias("dataset"),
         F.lit(hz).cast("double").alias("hz"),
         F.lit(chunk_seconds).cast("bigint").alias("chunk_seconds"),
         F.lit(fmt).alias("format"),
-        format_ts(F.min("_start")).alias("start"),
-        format_ts(F.max("_end")).alias("end"),
-        F.sum("_n").alias("rows"),
+        format_ts(F.min("start_ts")).alias("start"),
+        format_ts(F.max("end_ts")).alias("end"),
+        F.sum("rows").alias("rows"),
         F.count_distinct("objid").alias("objects"),
         F.count_distinct("chunk").alias("chunks"),
-        *[F.min(f"_min_{a}").alias(f"min_{a}") for a in AXES],
-        *[F.max(f"_max_{a}").alias(f"max_{a}") for a in AXES],
+        *[F.min(f"min_{a}").alias(f"min_{a}") for a in AXES],
+        *[F.max(f"max_{a}").alias(f"max_{a}") for a in AXES],
     )
 
 
+def manifest(chunked: DataFrame, **facts) -> DataFrame:
+    """The head of a manifest of rows that have their ``chunk``."""
+    return head_of_parts(chunk_parts(chunked), **facts)
+
+
 def bounding_box(ranges: DataFrame, *, y_up: bool = True, min_height: float = MIN_HEIGHT) -> DataFrame:
     """Centre, size, half extents and wall margin of the box around a coordinate range."""
     up, depth_axis = ("y", "z") if y_up else ("z", "y")

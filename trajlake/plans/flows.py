@@ -15,7 +15,7 @@ from trajlake.operators.events import (
 )
 from trajlake.operators.playback import event_clips, next_event
 from trajlake.operators.proximity import contacts, pair_episodes, truth_rows
-from trajlake.sources.lake import asof_lake, read_chunks, read_lake, write_lake
+from trajlake.sources.lake import asof_lake, read_instants, read_lake, write_lake
 
 
 def answers_to_event_list(responses: DataFrame, order: str, traj: DataFrame, **reading) -> DataFrame:
@@ -26,30 +26,29 @@ def answers_to_event_list(responses: DataFrame, order: str, traj: DataFrame, **r
 def event_summary(documents: DataFrame, *, base_date="2025-01-01") -> DataFrame:
     """Per response document its counts and its events as JSON text.
 
-    Lists stay within one document, which was one row to begin with.
+    A document is a row, whatever its id: ids may be missing or repeated. Rows are numbered once, and
+    documents without any event stay because every explode keeps them.
     """
-    chunks = documents.select("id", F.posexplode("chunk_responses").alias("chunk_pos", "_c")).select(
-        "id", F.col("chunk_pos").cast("bigint").alias("chunk_pos"), F.col("_c.content").alias("content")
+    numbered = documents.withColumn("_doc", F.monotonically_increasing_id())
+    chunks = numbered.select(
+        "_doc", "id", "model", "execution_time", F.posexplode_outer("chunk_responses").alias("chunk_pos", "_c")
+    ).select(
+        "_doc", "id", "model", "execution_time", F.col("chunk_pos").cast("bigint").alias("chunk_pos"), F.col("_c.content").alias("content")
     )
-    found = mentions(chunks, "chunk_pos", base_date=base_date, keep=("id",))
-    per_time = found.groupBy("id", "timestamp").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_pos", "item_pos", "grp"))).alias("_g")
+    keep = ("_doc", "id", "model", "execution_time")
+    found = mentions(chunks, "chunk_pos", base_date=base_date, keep=keep, outer=True)
+    per_time = found.groupBy(*keep, "timestamp").agg(
+        F.array_sort(F.collect_list(F.when(F.col("timestamp").isNotNull(), F.struct("chunk_pos", "item_pos", "grp")))).alias("_g")
     )
-    entries = F.array_sort(F.collect_list(F.struct("timestamp", F.col("_g.grp").alias("groups"))))
-    per_document = per_time.groupBy("id").agg(
-        F.count("*").alias("_n"), F.sum(F.size("_g")).alias("_groups"), F.map_from_entries(entries).alias("_events")
-    )
-    return (
-        documents.select("id", "model", "execution_time")
-        .join(per_document, "id", "left")
-        .select(
-            F.coalesce("id", F.lit("")).alias("source_id"),
-            F.coalesce("model", F.lit("")).alias("model"),
-            F.coalesce("execution_time", F.lit(0.0)).alias("execution_time"),
-            F.coalesce("_n", F.lit(0)).alias("total_timestamps"),
-            F.coalesce("_groups", F.lit(0)).alias("total_groups"),
-            F.coalesce(F.to_json("_events"), F.lit("{}")).alias("events"),
-        )
+    entry = F.when(F.col("timestamp").isNotNull(), F.struct("timestamp", F.col("_g.grp").alias("groups")))
+    per_document = per_time.groupBy(*keep).agg(F.array_sort(F.collect_list(entry)).alias("_e"), F.sum(F.size("_g")).alias("_groups"))
+    return per_document.select(
+        F.coalesce("id", F.lit("")).alias("source_id"),
+        F.coalesce("model", F.lit("")).alias("model"),
+        F.coalesce("execution_time", F.lit(0.0)).alias("execution_time"),
+        F.size("_e").cast("bigint").alias("total_timestamps"),
+        F.col("_groups").alias("total_groups"),
+        F.to_json(F.map_from_entries("_e")).alias("events"),
     )
 
 
@@ -82,5 +81,5 @@ def ingest_and_look_up(
     """Write a lake and answer probes from it, reading only the chunks they need."""
     spark = traj.sparkSession
     root = write_lake(traj, uri, chunk_seconds=chunk_seconds)
-    return asof_lake(read_lake(spark, root), read_chunks(spark, root), probes, time)
+    return asof_lake(read_lake(spark, root), read_instants(spark, root), probes, time)
 

@@ -1,8 +1,9 @@
 """The lake: trajectories cut into time chunks, with a manifest of three small tables.
 
-``<root>/data/chunk=<n>/*.parquet`` holds the rows, ordered by time; ``<root>/manifest/head``,
-``chunks`` and ``objids`` hold the facts about them. Chunk and object tables grow with the data,
-so they are tables and not one document. Lakes that come as ``manifest.json`` plus
+``<root>/data/chunk=<n>/*.parquet`` holds the rows, ordered by time. Below ``<root>/manifest``,
+``parts`` has a row per chunk and object and ``instants`` one per chunk and instant, both made from what
+was written; ``head``, ``chunks`` and ``objids`` are made from ``parts``. All but the head grow with the
+data, so they are tables and not one document. Lakes that come as ``manifest.json`` plus
 ``chunk_*.csv`` or ``.parquet`` files can be read too.
 """
 
@@ -10,12 +11,12 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.functions.clock import format_ts, parse_ts, trunc_ms
+from trajlake.functions.clock import MICROS, floor_div, format_ts, micros, parse_ts, trunc_ms
 from trajlake.operators.asof import floor_times
-from trajlake.operators.trajectory import chunk_stats, manifest, object_ids, with_chunk
+from trajlake.operators.trajectory import chunk_parts, head_of_parts, object_ids, stats_of_parts
 from trajlake.schema import MANIFEST
 from trajlake.sources.files import read_trajectory, resolve
 
@@ -40,8 +41,10 @@ def write_lake(
     row groups can be skipped.
     """
     root = dataset_root(uri)
+    # Chunks count from the exact first instant, which the head keeps in whole microseconds.
+    origin = traj.agg(F.min(micros("timestamp"))).first()[0]
     ordered = (
-        with_chunk(traj, chunk_seconds)
+        traj.withColumn("chunk", floor_div(micros("timestamp") - F.lit(origin).cast("bigint"), chunk_seconds * MICROS))
         .select("timestamp", "objid", "x", "y", "z", "chunk")
         .hint("rebalance", F.col("chunk"))
         .sortWithinPartitions("chunk", "timestamp")
@@ -57,11 +60,15 @@ def write_lake(
         raise ValueError(f"unknown format: {fmt}")
     spark = traj.sparkSession
     written = _rows(spark, root, fmt)
-    manifest(written, chunk_seconds=chunk_seconds, fmt=fmt, hz=hz, dataset=dataset).write.json(f"{root}/manifest/head")
-    chunk_stats(written, fmt).select(
+    written.select("chunk", "timestamp").distinct().write.parquet(f"{root}/manifest/instants")
+    chunk_parts(written).write.parquet(f"{root}/manifest/parts")
+    parts = spark.read.parquet(f"{root}/manifest/parts")
+    head = head_of_parts(parts, chunk_seconds=chunk_seconds, fmt=fmt, hz=hz, dataset=dataset)
+    head.withColumn("origin_us", F.lit(origin).cast("bigint")).write.json(f"{root}/manifest/head")
+    stats_of_parts(parts, fmt).select(
         "chunk", "key", F.col("start_ts").alias("start"), F.col("end_ts").alias("end"), "rows"
     ).write.parquet(f"{root}/manifest/chunks")
-    object_ids(written).write.parquet(f"{root}/manifest/objids")
+    object_ids(parts).write.parquet(f"{root}/manifest/objids")
     return root
 
 
@@ -84,6 +91,15 @@ def read_chunks(spark: SparkSession, uri: str) -> DataFrame:
     return spark.read.parquet(f"{dataset_root(uri)}/manifest/chunks")
 
 
+def read_instants(spark: SparkSession, uri: str) -> DataFrame:
+    """``chunk`` and ``timestamp`` of every frame of a lake."""
+    return spark.read.parquet(f"{dataset_root(uri)}/manifest/instants")
+
+
+def _since_1970(t: datetime.datetime) -> int:
+    return (t - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+
+
 def read_lake(
     spark: SparkSession,
     uri: str,
@@ -95,18 +111,15 @@ def read_lake(
     root = dataset_root(uri)
     head = read_manifest(spark, root).first()
     rows = _rows(spark, root, head["format"])
-    base = datetime.datetime.fromisoformat(head["start"])
-    seconds = int(head["chunk_seconds"])
+    length = int(head["chunk_seconds"]) * MICROS
+    # Text files cut timestamps to the millisecond, chunks were numbered before that.
+    cut = 999 if head["format"] == "csv" else 0
     if start is not None:
-        rows = rows.where(
-            (F.col("chunk") >= int((start - base).total_seconds() // seconds))
-            & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
-        )
+        first = (_since_1970(start) - head["origin_us"]) // length
+        rows = rows.where((F.col("chunk") >= first) & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")))
     if end is not None:
-        rows = rows.where(
-            (F.col("chunk") <= int((end - base).total_seconds() // seconds))
-            & (F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
-        )
+        last = (_since_1970(end) + cut - head["origin_us"]) // length
+        rows = rows.where((F.col("chunk") <= last) & (F.col("timestamp") <= F.lit(end).cast("timestamp_ntz")))
     return rows
 
 
@@ -133,37 +146,16 @@ def chunk_for_time(chunks: DataFrame, probes: DataFrame, time: str = "probe") ->
     return probes.join(found.withColumnRenamed("probe_ts", time), time)
 
 
-def asof_lake(lake: DataFrame, chunks: DataFrame, probes: DataFrame, time: str = "probe") -> DataFrame:
-    """Every probe with the rows of its frame, looked up inside its chunk alone.
+def asof_lake(lake: DataFrame, instants: DataFrame, probes: DataFrame, time: str = "probe") -> DataFrame:
+    """Every probe with the rows of its frame; the lake's rows are read once.
 
-    Probe instants shrink to distinct milliseconds and find their chunk in the manifest first. So
-    the lake is joined on its partition column, and chunks no probe needs are not read.
+    Probe instants shrink to distinct milliseconds and find their frame among the manifest's
+    ``instants``. So the lake is joined on its partition column and the instant, and chunks no probe
+    needs are not read.
     """
     cut = probes.withColumn("_probe", trunc_ms(time))
-    wanted = _chunk_of_instants(chunks, cut.select(F.col("_probe").alias("probe_ts")))
-    frames = (
-        lake.select("chunk", F.col("timestamp").alias("_t"))
-        .distinct()
-        .join(wanted.select("chunk").distinct(), "chunk", "left_semi")
-    )
-    marks = frames.withColumn("_frame", F.col("_t")).withColumn("_kind", F.lit(0)).unionByName(
-        wanted.select(
-            "chunk",
-            F.col("probe_ts").alias("_t"),
-            F.lit(None).cast("timestamp_ntz").alias("_frame"),
-            F.lit(1).alias("_kind"),
-        )
-    )
-    upto = (
-        Window.partitionBy("chunk")
-        .orderBy("_t", "_kind")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = (
-        marks.withColumn("_seen", F.last("_frame", ignorenulls=True).over(upto))
-        .withColumn("_first", F.min("_frame").over(Window.partitionBy("chunk")))
-        .where(F.col("_kind") == 1)
-        .select("chunk", F.col("_t").alias("_probe"), F.coalesce("_seen", "_first").alias("frame_ts"))
-    )
+    frames = instants.select(F.col("timestamp").alias("frame_ts"), "chunk")
+    found = floor_times(frames.select("frame_ts"), cut.select(F.col("_probe").alias("probe_ts")))
+    placed = found.join(frames, "frame_ts").withColumnRenamed("probe_ts", "_probe")
     rows = lake.withColumnRenamed("timestamp", "frame_ts")
-    return cut.join(found, "_probe").join(rows, ["chunk", "frame_ts"]).drop("_probe")
+    return cut.join(placed, "_probe").join(rows, ["chunk", "frame_ts"]).drop("_probe")

@@ -1,7 +1,7 @@
 """Structured Streaming jobs: live ingest, chunk statistics, contacts, stalls, events.
 
-Streams carry TIMESTAMP event time, because watermarks need it; results go back to
-TIMESTAMP_NTZ. Every job takes a source stream and returns a stream or starts a query; the
+Streams carry TIMESTAMP event time, because watermarks need it: the instant that the zone-free clock
+names in UTC. Results go back to TIMESTAMP_NTZ. Every job takes a source stream and returns a stream or starts a query; the
 caller names trigger and folders. State is bounded by the watermark in all of them.
 """
 
@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trajlake.functions.clock import MICROS, floor_div
+from trajlake.functions.clock import MICROS, floor_div, from_micros, micros
 from trajlake.operators.events import mentions
 from trajlake.operators.motion import STEP_MAX, STEP_MIN, STUCK_RATIO, STUCK_ROWS
 
@@ -23,21 +24,26 @@ DEFAULT_LATENESS = "10 minutes"
 
 
 def event_time(rows: DataFrame, lateness: str = DEFAULT_LATENESS) -> DataFrame:
-    """A stream with ``timestamp`` as event time and a watermark on it."""
-    return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
+    """A stream with ``timestamp`` as event time, its clock read as UTC, and a watermark on it."""
+    return rows.withColumn("timestamp", F.timestamp_micros(micros("timestamp"))).withWatermark("timestamp", lateness)
 
 
-def ingest(rows: DataFrame, chunk_seconds: int, *, lateness: str = DEFAULT_LATENESS) -> DataFrame:
-    """Live rows ready for the lake: first arrival per instant and object, with chunk number.
+def zone_free(col) -> Column:
+    return from_micros(F.unix_micros(col))
 
-    Chunks of a live lake count from 1970, since the first instant of a stream is not known.
+
+def ingest(rows: DataFrame, chunk_seconds: int, *, order: str, lateness: str = DEFAULT_LATENESS) -> DataFrame:
+    """Live rows ready for the lake, with chunk number: per instant and object the row that comes last.
+
+    ``order`` says which comes last, as in the batch lake. A row is handed on once the watermark has
+    passed its instant, because until then a later one may replace it. Chunks of a live lake count from
+    1970, since the first instant of a stream is not known.
     """
-    return (
-        event_time(rows, lateness)
-        .dropDuplicatesWithinWatermark(["timestamp", "objid"])
-        .withColumn("chunk", floor_div(F.unix_micros("timestamp"), chunk_seconds * MICROS))
-        .withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    )
+    last = event_time(rows, lateness).groupBy("timestamp", "objid").agg(*[F.max_by(a, order).alias(a) for a in ("x", "y", "z")])
+    return last.select(
+        zone_free("timestamp").alias("timestamp"), "objid", "x", "y", "z",
+        floor_div(F.unix_micros("timestamp"), chunk_seconds * MICROS).alias("chunk"),
+    )
 
 
 def start_ingest(
@@ -45,6 +51,7 @@ def start_ingest(
     path: str,
     checkpoint: str,
     *,
+    order: str,
     chunk_seconds: int = 60,
     files_per_chunk: int = 2,
     lateness: str = DEFAULT_LATENESS,
@@ -53,7 +60,7 @@ def start_ingest(
     few enough for many chunks, and a crowded chunk still has several writers."""
     slot = F.pmod(F.xxhash64("objid"), F.lit(files_per_chunk))
     return (
-        ingest(rows, chunk_seconds, lateness=lateness)
+        ingest(rows, chunk_seconds, order=order, lateness=lateness)
         .repartition("chunk", slot)
         .writeStream.format("parquet")
         .partitionBy("chunk")
@@ -65,18 +72,26 @@ def start_ingest(
 
 
 def chunk_statistics(rows: DataFrame, window: str, *, lateness: str = DEFAULT_LATENESS) -> DataFrame:
-    """Rows and coordinate extremes per tumbling window, kept up to date as rows arrive."""
-    return (
-        event_time(rows, lateness)
-        .groupBy(F.window("timestamp", window).alias("w"))
-        .agg(
-            F.count("*").alias("rows"),
-            F.min("x").alias("min_x"),
-            F.max("x").alias("max_x"),
-            F.min("z").alias("min_z"),
-            F.max("z").alias("max_z"),
-        )
-        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "rows", "min_x", "max_x", "min_z", "max_z")
+    """Rows, objects and coordinate extremes per tumbling window, kept up to date as rows arrive.
+
+    Objects are counted exactly: first per window and object, then per window. In update mode a
+    micro-batch hands on the windows it changed, and the watermark ends their state.
+    """
+    window_start = F.window("timestamp", window)
+    return event_time(rows, lateness).groupBy(window_start.alias("w"), "objid").agg(
+        F.count("*").alias("rows"),
+        *[f(a).alias(f"{name}_{a}") for a in ("x", "y", "z") for name, f in (("min", F.min), ("max", F.max))],
+    ).select(zone_free("w.start").alias("window_start"), "objid", "rows", *[f"{n}_{a}" for a in ("x", "y", "z") for n in ("min", "max")])
+
+
+def window_totals(parts: DataFrame) -> DataFrame:
+    """Per window the totals of its objects' rows, the newest batch's where there are several."""
+    axes = [f"{n}_{a}" for a in ("x", "y", "z") for n in ("min", "max")]
+    newest = parts.groupBy("window_start", "objid").agg(F.max_by("rows", "batch").alias("rows"), *[F.max_by(c, "batch").alias(c) for c in axes])
+    return newest.groupBy("window_start").agg(
+        F.sum("rows").alias("rows"),
+        F.count("*").alias("objects"),
+        *[(F.min(c) if c.startswith("min") else F.max(c)).alias(c) for c in axes],
     )
 
 
@@ -123,14 +138,14 @@ def live_contacts(left: DataFrame, right: DataFrame, distance: float, *, latenes
         & (~F.col("own") | (F.col("o1") < F.col("o2"))),
     )
     return joined.select(
-        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+        zone_free("timestamp").alias("timestamp"),
         F.least("o1", "o2").alias("a"),
         F.greatest("o1", "o2").alias("b"),
     )
 
 
-STALL_SCHEMA = "objid string, timestamp timestamp, run int"
-STALL_STATE = "m long, x double, y double, z double, run int"
+STALL_SCHEMA = "objid string, timestamp timestamp_ntz, run int"
+STALL_STATE = "last array<double>, last_m long, run int, m array<long>, x array<double>, y array<double>, z array<double>"
 
 
 def live_stalls(
@@ -143,39 +158,53 @@ def live_stalls(
     lateness: str = DEFAULT_LATENESS,
     forget_after_ms: int = 24 * 3600 * 1000,
 ) -> DataFrame:
-    """Stall onsets per object from a live stream.
+    """Stall onsets per object from a live stream, the same as ``motion.stalls`` finds in the rows.
 
-    State per object is its last row and the length of its current run; it is dropped once the
-    watermark has passed the object's last row by ``forget_after_ms``. Rows older than the state
-    are ignored: their place in the run is gone.
+    Rows wait in the state until the watermark has passed them, so late rows take their place in
+    time order; of rows with one instant the last arrival counts. State per object is its last judged
+    row, the length of its run and the waiting rows, so the lateness bounds it. An object that is
+    silent for ``forget_after_ms`` is forgotten: its next row is then a first row, which is not judged.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last, last_m, run, *waiting = state.get if state.exists else (None, None, 0, [], [], [], [])
+        parts = [np.array([list(w) for w in waiting], dtype=float).reshape(4, -1)]
+        times = [np.array(waiting[0], dtype=np.int64)]
+        for batch in batches:
+            times.append(batch["m"].to_numpy(np.int64))
+            parts.append(np.stack([np.zeros(len(batch)), *[batch[a].to_numpy(float) for a in ("x", "y", "z")]]))
+        m, xyz = np.concatenate(times), np.concatenate(parts, axis=1)[1:]
+        # The last arrival of each instant, in time order.
+        m, place = np.unique(m[::-1], return_index=True)
+        xyz = xyz[:, ::-1][:, place]
+        if last_m is not None:
+            fresh = m > last_m
+            m, xyz = m[fresh], xyz[:, fresh]
+        ready = m < state.getCurrentWatermarkMs() * 1000
+        done, at = m[ready], xyz[:, ready]
+        onsets = np.zeros(0, np.int64)
+        if len(done):
+            before = np.concatenate([[done[0] if last_m is None else last_m], done[:-1]])
+            where = np.concatenate([at[:, :1] if last is None else np.array(last, dtype=float)[:, None], at[:, :-1]], axis=1)
+            step = np.clip((done - before) / MICROS, STEP_MIN, step_max)
+            stuck = np.sqrt(((at - where) ** 2).sum(axis=0)) < speed * step * ratio
+            if last_m is None:
+                stuck[0] = False
+            # Length of the run at each row: rows since the last one that was not stuck.
+            number = np.arange(1, len(done) + 1)
+            free = np.maximum.accumulate(np.where(stuck, 0, number))
+            runs = number - free + np.where(free == 0, run, 0)
+            onsets = done[stuck & (runs == stuck_rows)]
+            last, last_m, run = at[:, -1].tolist(), int(done[-1]), int(runs[-1])
+        rest = ~ready
+        if state.hasTimedOut and not rest.any() and not len(done):
             state.remove()
             return
-        chunk = pd.concat(list(batches)).drop_duplicates("m", keep="last").sort_values("m")
-        last = state.get if state.exists else None
-        onsets = []
-        for m, x, y, z in zip(chunk["m"], chunk["x"], chunk["y"], chunk["z"], strict=True):
-            if last is None:
-                last = (int(m), float(x), float(y), float(z), 0)
-                continue
-            if m <= last[0]:
-                continue
-            step = max(STEP_MIN, min(step_max, (m - last[0]) / MICROS))
-            way = ((x - last[1]) ** 2 + (y - last[2]) ** 2 + (z - last[3]) ** 2) ** 0.5
-            run = last[4] + 1 if way < speed * step * ratio else 0
-            last = (int(m), float(x), float(y), float(z), run)
-            if run == stuck_rows:
-                onsets.append(int(m))
-        state.update(last)
-        due = max(last[0] // 1000 + forget_after_ms, state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(due)
-        if onsets:
-            yield pd.DataFrame(
-                {"objid": key[0], "timestamp": pd.to_datetime(onsets, unit="us", utc=True), "run": stuck_rows}
-            )
+        state.update((last, last_m, run, m[rest].tolist(), *[a.tolist() for a in xyz[:, rest]]))
+        due = int(m[rest][0] // 1000) + 1 if rest.any() else last_m // 1000 + forget_after_ms
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if len(onsets):
+            yield pd.DataFrame({"objid": key[0], "timestamp": onsets.astype("datetime64[us]"), "run": stuck_rows})
 
     keyed = event_time(rows, lateness).select("objid", "timestamp", F.unix_micros("timestamp").alias("m"), "x", "y", "z")
     return keyed.groupBy("objid").applyInPandasWithState(
@@ -209,13 +238,17 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Drive an aggregate in complete mode; each micro-batch replaces the table as a whole."""
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drive an aggregate in update mode into one folder per micro-batch, and read them with ``batch``.
 
-    def replace(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    A repeated batch after a failure overwrites its own folder.
+    """
 
-    stream.writeStream.outputMode("complete").foreachBatch(replace).option(
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(keep).option(
         "checkpointLocation", checkpoint
     ).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    schema = stream.schema.add("batch", "long")
+    return stream.sparkSession.read.schema(schema).parquet(path)
