@@ -15,13 +15,11 @@ from trajlake.functions.ids import objid_from_number
 from trajlake.operators.asof import last_wins
 from trajlake.operators.evaluate import ground_truth
 from trajlake.operators.events import predictions
-from trajlake.session import require_utc
 
 # ---- Spark views ---------------------------------------------------------------------------
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    require_utc(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

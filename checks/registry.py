@@ -514,6 +514,13 @@ def delimited_cells(spark, sf):
     )
 
 
+_LIST = """'[{"' || strftime(ts, '%H:%M:%S') || '": [' || (user_id % 4 + 1) || ', ' || (user_id % 3 + 5) || ']}, {"' ||
+  strftime(ts, '%H:%M') || ':00": []}]'"""
+_ANSWER = f"""CASE WHEN event_id % 11 = 0 THEN 'no overlap was found' WHEN event_id % 7 = 0 THEN '[]'
+  WHEN event_id % 5 = 0 THEN '```json' || chr(10) || {_LIST} || chr(10) || '```' WHEN event_id % 5 = 1 THEN 'Here are the events: ' || {_LIST} || ' done.'
+  WHEN event_id % 5 = 2 THEN replace({_LIST}, '"', chr(39)) WHEN event_id % 5 = 3 THEN '{{"events": ' || {_LIST} || '}}' ELSE {_LIST} END"""
+
+
 def _write_responses(spark, sf) -> str:
     path = new_folder(spark, "responses")
     sinks.write_json(fx.documents(spark, sf), path)
@@ -522,12 +529,12 @@ def _write_responses(spark, sf) -> str:
 
 @check(
     "response_chunks",
-    """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS model, value AS execution_time, CAST(p AS INTEGER) AS chunk_pos
-       FROM events, (VALUES (0), (1)) v(p)""",
+    f"""SELECT CAST(event_id AS VARCHAR) AS id, event_type AS model, value AS execution_time, CAST(p AS INTEGER) AS chunk_pos,
+          CASE p WHEN 1 THEN '[]' ELSE {_ANSWER} END AS content FROM events, (VALUES (0), (1)) v(p)""",
 )
 def response_chunks(spark, sf):
     documents = files.read_responses(spark, _write_responses(spark, sf), multiline=False)
-    return files.response_chunks(documents).select("id", "model", "execution_time", "chunk_pos")
+    return files.response_chunks(documents).select("id", "model", "execution_time", "chunk_pos", "content")
 
 
 def _list_lines(spark, sf):
@@ -685,12 +692,12 @@ def trace_format(spark, sf):
     return spark.read.csv(path, header=True)
 
 
-@check("response_archive", "SELECT event_type AS model, 'user' || user_id AS video, count(*) AS answers FROM events GROUP BY ALL")
+@check("response_archive", f"SELECT event_id, event_type AS model, 'user' || user_id AS video, value AS execution_time, {_ANSWER} AS content FROM events")
 def response_archive(spark, sf):
     path = new_folder(spark, "archive")
     e = fx.events(spark, sf).select("event_id", F.concat(F.lit("user"), "user_id").alias("video"))
     sinks.archive_responses(fx.responses(spark, sf).join(e, "event_id").drop("day"), path)
-    return spark.read.json(path).groupBy("model", "video").agg(F.count("*").alias("answers"))
+    return spark.read.json(path).select("event_id", "model", "video", "execution_time", "content")
 
 
 # ---- events -------------------------------------------------------------------------------
@@ -709,24 +716,18 @@ def event_mentions(spark, sf):
     return _mentions(spark, sf).select("chunk_pos", "timestamp", joined("grp").alias("grp"))
 
 
-_GROUPS = """lists AS (SELECT timestamp, CAST(0 AS BIGINT) AS part,
-  string_agg(array_to_string(grp, ','), ';' ORDER BY event_id) AS groups FROM mentions GROUP BY 1)"""
+_GROUPS = """lists AS (SELECT timestamp, row_number() OVER (PARTITION BY timestamp ORDER BY event_id) - 1 AS group_no,
+  array_to_string(grp, ',') AS grp FROM mentions)"""
 
 
 @check("events_consolidated", sql("SELECT * FROM lists", "mentions", extra=_GROUPS))
 def events_consolidated(spark, sf):
-    found = events.consolidated(_mentions(spark, sf))
-    text = F.concat_ws(";", F.transform("groups", lambda g: F.concat_ws(",", g)))
-    return found.select("timestamp", "part", text.alias("groups"))
+    return events.consolidated(_mentions(spark, sf)).select("timestamp", "group_no", joined("grp").alias("grp"))
 
 
 @check(
     "events_jsonl",
-    sql(
-        """SELECT '{"' || timestamp || '":[' || string_agg('["' || array_to_string(grp, '","') || '"]', ',' ORDER BY event_id) || ']}' AS value
-           FROM mentions GROUP BY timestamp""",
-        "mentions",
-    ),
+    sql("""SELECT '{"' || timestamp || '":[["' || array_to_string(grp, '","') || '"]]}' AS value FROM mentions""", "mentions"),
 )
 def events_jsonl(spark, sf):
     path = new_folder(spark, "events") + ".jsonl"
@@ -949,28 +950,37 @@ def eval_flow(spark, sf):
 @check(
     "eval_report",
     sql(
-        """SELECT source_file, round(precision, 2) AS precision, round(recall, 2) AS recall, round(f1_score, 2) AS f1_score,
-           tp AS correct, fn AS missing, (SELECT count(*) FROM verdicts v WHERE v.source_file = s.source_file AND verdict = 'extra') AS extra,
-           (SELECT count(*) FROM verdicts v WHERE v.source_file = s.source_file AND verdict = 'incorrect') AS incorrect FROM scores s""",
+        """SELECT source_file, 'metrics' AS kind, round(precision, 2) AS precision, round(recall, 2) AS recall, round(f1_score, 2) AS f1_score,
+             NULL AS clock, '' AS truth, '' AS predicted FROM scores
+           UNION ALL SELECT source_file, verdict, NULL, NULL, NULL, clock, coalesce(ta || ',' || tb, ''), coalesce(pa || ',' || pb, '') FROM verdicts""",
         "scores",
     ),
 )
 def eval_report(spark, sf):
     path = new_folder(spark, "report")
-    sinks.write_json(evaluate.report(fx.truth(spark, sf), fx.pred(spark, sf), fx.eval_files(spark, sf)), path)
-    back = spark.read.json(path)
-    sizes = {
-        "correct": "correct",
-        "missing": "missing_timestamps",
-        "extra": "extra_timestamps",
-        "incorrect": "incorrect_predictions",
-    }
-    return back.groupBy("source_file").agg(
-        *[F.max(f"metrics.{m}").alias(m) for m in ("precision", "recall", "f1_score")],
-        *[F.sum(F.size(f"details.{f}")).alias(n) for n, f in sizes.items()],
+    lines = evaluate.report(fx.truth(spark, sf), fx.pred(spark, sf), fx.eval_files(spark, sf))
+    sinks.write_json(lines, path)
+    back = spark.read.schema(lines.schema).json(path)
+    return back.select(
+        "source_file", "kind", "metrics.*", "clock", joined("truth").alias("truth"), joined("predicted").alias("predicted")
     )
 
 
+@check(
+    "average_report",
+    sql(
+        """SELECT source_file, p AS precision, r AS recall, f AS f1_score, CAST(1 AS BIGINT) AS num_files FROM rounded
+           UNION ALL SELECT NULL, round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), count(*) FROM rounded""",
+        "scores",
+        extra="rounded AS (SELECT source_file, round(precision, 2) AS p, round(recall, 2) AS r, round(f1_score, 2) AS f FROM scores)",
+    ),
+)
+def average_report(spark, sf):
+    scores = flows.evaluation(fx.prediction_answers(spark, sf), fx.truth(spark, sf), fx.eval_files(spark, sf), "event_type")
+    lines = evaluate.average_report(scores.select("source_file", *[F.round(c, 2).alias(c) for c in evaluate.SCORES]))
+    return lines.select("source_file", *[F.round(c, 6).alias(c) for c in evaluate.SCORES], "num_files")
+
+
 @check(
     "macro_average",
     sql(
@@ -1445,9 +1455,7 @@ def stream_events(spark, sf):
     source = _write_event_answers(spark, sf)
     stream = spark.readStream.schema("event_id bigint, content string").json(source)
     jobs.start_events(stream, path, marks, order="event_id").awaitTermination()
-    found = events.consolidated(spark.read.parquet(path))
-    text = F.concat_ws(";", F.transform("groups", lambda g: F.concat_ws(",", g)))
-    return found.select("timestamp", "part", text.alias("groups"))
+    return events.consolidated(spark.read.parquet(path)).select("timestamp", "group_no", joined("grp").alias("grp"))
 
 
 def _write_event_answers(spark, sf) -> str:

@@ -45,18 +45,19 @@ def test_strict(spark):
 
 def test_consolidation(spark):
     rows = [
-        (0, '[{"00:00:28": [1, 4]}, {"00:00:30": [2, 4]}]'),
-        (1, '[{"00:00:28": [1, 4]}, {"00:00:31": []}, {"00:00:28": [7]}]'),
-        (2, '{"00:00:30": [1], "00:00:30": [1000, 2]}'),
+        (0, '[{"00:07:11": [3, 6]}, {"00:09:02": [5, 6]}]'),
+        (1, '[{"00:07:11": [3, 6]}, {"00:08:00": []}, {"00:07:11": [9]}]'),
+        (2, '{"00:09:02": [8], "00:09:02": [2000, 5]}'),
     ]
     found = events.mentions(spark.createDataFrame(rows, "pos bigint, content string"), "pos")
-    got = {r.timestamp: r.groups for r in events.consolidated(found).collect()}
+    got = {(r.timestamp, r.group_no): r.grp for r in events.consolidated(found).collect()}
     assert got == {
-        "2025-01-01 00:00:28.000": [["obj001", "obj004"], ["obj001", "obj004"], ["obj007"]],
-        "2025-01-01 00:00:30.000": [["obj002", "obj004"], ["obj1000", "obj002"]],
+        ("2025-01-01 00:07:11.000", 0): ["obj003", "obj006"],
+        ("2025-01-01 00:07:11.000", 1): ["obj003", "obj006"],
+        ("2025-01-01 00:07:11.000", 2): ["obj009"],
+        ("2025-01-01 00:09:02.000", 0): ["obj005", "obj006"],
+        ("2025-01-01 00:09:02.000", 1): ["obj2000", "obj005"],
     }
-    parts = {(r.timestamp[-6:], r.part): r.groups for r in events.consolidated(found, per_list=2).collect()}
-    assert parts[("28.000", 0)] == [["obj001", "obj004"]] * 2 and parts[("28.000", 1)] == [["obj007"]]
     stats = events.event_stats(found).first()
     assert (stats.timestamps, stats.event_groups, stats.objects) == (2, 5, 5)
 
@@ -92,6 +93,9 @@ def test_summary_documents(spark):
     got = {r.source_id: r for r in flows.event_summary(docs).collect()}
     assert got["v1"].total_timestamps == 2 and got["v1"].total_groups == 3
     assert got["v1"].events == '{"2025-01-01 00:00:01.000":[["obj002"]],"2025-01-01 00:00:02.000":[["obj001"],["obj003"]]}'
+    twice = docs.unionAll(docs).withColumn("id", F.when(F.col("model").isNotNull(), F.col("id")))
+    rows = flows.event_summary(twice).collect()
+    assert sorted((r.source_id, r.total_groups) for r in rows) == sorted([("v1", 3), ("v1", 3), ("", 0), ("", 0)])
     assert (got["v2"].model, got["v2"].execution_time, got["v2"].total_groups, got["v2"].events) == ("", 0.0, 0, "{}")
 
 
@@ -128,10 +132,10 @@ def test_metrics(spark):
     verdicts = sorted((r.source_file, r.verdict) for r in evaluate.details(truth(spark), pred, of).collect())
     assert verdicts == [("f", "correct"), ("f", "extra"), ("f", "incorrect"), ("f", "incorrect"), ("f", "missing"),
                         ("g", "correct"), ("g", "missing"), ("g", "missing")]
-    whole = {r.source_file: r.details for r in evaluate.report(truth(spark), pred, of).collect()}
-    assert [len(whole["f"][k]) for k in ("correct", "missing_timestamps", "extra_timestamps", "incorrect_predictions")] == [1, 1, 1, 2]
-    parts = evaluate.report(truth(spark), pred, of, per_list=2)
-    assert parts.where("source_file = 'f'").count() == 3
+    kinds = sorted((r.source_file, r.kind) for r in evaluate.report(truth(spark), pred, of).collect())
+    assert kinds == sorted(verdicts + [("f", "metrics"), ("g", "metrics")])
+    averaged = evaluate.average_report(evaluate.metrics(truth(spark), pred, of)).collect()
+    assert {(r.source_file, r.num_files) for r in averaged} == {("f", 1), ("g", 1), (None, 2)}
 
 
 def test_no_truth_match_is_zero(spark):
@@ -186,11 +190,14 @@ def test_text_rules(spark):
 
 
 def test_separators(spark):
-    df = spark.createDataFrame([("a", "x,y;z w"), ("a", " p , q "), ("b", "1 2  3"), ("b", ""), ("c", "x\ty\tz|w")], "source string, value string")
+    # By source: the commas of its lines together outnumber the rest, or blanks, or tabs do.
+    df = spark.createDataFrame(
+        [("a", "x,y;z"), ("a", "p,q,r"), ("b", "1 2  3"), ("b", ""), ("c", "x\ty\tz|w")], "source string, value string"
+    )
     got = {(r.source, r.value): r.cells for r in files.delimited_cells(df).collect()}
     assert got == {
-        ("a", "x,y;z w"): ["x", "y;z w"], ("a", " p , q "): ["p", "q"], ("b", "1 2  3"): ["1", "2", "3"], ("c", "x\ty\tz|w"): ["x", "y", "z|w"],
-    } or got[("b", "1 2  3")] == ["1", "2", "3"]
+        ("a", "x,y;z"): ["x", "y;z"], ("a", "p,q,r"): ["p", "q", "r"], ("b", "1 2  3"): ["1", "2", "3"], ("c", "x\ty\tz|w"): ["x", "y", "z|w"],
+    }
 
 
 def test_newest_list(spark, tmp_path):

@@ -96,12 +96,15 @@ def test_spacing(spark):
 
 
 def test_spacing_chain_over_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(refractory, "GAPS_PER_BUCKET", 2)
-    series = [i * 0.2 for i in range(1500)]
+    monkeypatch.setattr(refractory, "FAN", 4)
+    monkeypatch.setattr(refractory, "PIECE_ROWS", 20)
+    rng = seeded(6)
+    series = [i * 0.2 for i in range(1500)] + [100 + rng.random() * 2 for _ in range(500)] + [5000.0]
     df = spark.createDataFrame([(at(t),) for t in series], "t timestamp_ntz")
-    got = sorted(r.t for r in refractory.spaced_instants(df, [], "t", 1.7, bucket_seconds=4).collect())
-    want = greedy([round(t * 1e6) for t in series], 1_700_000)
-    assert [round((t - at(0)).total_seconds() * 1e6) for t in got] == want
+    for bucket in (0.5, 4, 1000):
+        got = sorted(r.t for r in refractory.spaced_instants(df, [], "t", 1.7, bucket_seconds=bucket).collect())
+        want = greedy([round((at(t) - at(0)).total_seconds() * 1e6) for t in series], 1_700_000)
+        assert [round((t - at(0)).total_seconds() * 1e6) for t in got] == want
 
 
 def test_stalls(spark):

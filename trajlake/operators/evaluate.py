@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.functions.answers import object_set
-from trajlake.operators.scans import ordinal
-
-ENTRIES_PER_LIST = 10_000
 
 
 def ground_truth(lines: DataFrame, line_no: str = "line_no", text: str = "value", gt_id: str = "gt_id") -> DataFrame:
@@ -122,42 +119,24 @@ def all_clocks(truth: DataFrame, pred: DataFrame) -> DataFrame:
     return truth.select("clock").union(pred.select("clock")).distinct()
 
 
-def report(truth: DataFrame, pred: DataFrame, files: DataFrame, *, per_list: int = ENTRIES_PER_LIST) -> DataFrame:
-    """One document per file and part: rounded metrics, and details grouped by verdict.
+SCORES = ("precision", "recall", "f1_score")
+
 
-    Details are cut by clock order into parts of at most ``per_list`` entries.
+def report(truth: DataFrame, pred: DataFrame, files: DataFrame) -> DataFrame:
+    """A report as lines: per file one of kind ``metrics``, rounded, and one for each detail.
+
+    A detail's kind is its verdict; a file's lines are as many as it has details, at every size.
     """
-    h, m, s = (F.split("clock", ":").getItem(i).try_cast("bigint") for i in range(3))
-    second = F.coalesce(h * 3600 + m * 60 + s, F.lit(-1).cast("bigint"))
-    slot = F.pmod(F.xxhash64("verdict", "predicted"), F.lit(16))
-    placed = ordinal(
-        details(truth, pred, files).drop("gt_id").withColumn("_b", second * 16 + slot),
-        ["source_file"],
-        "_b",
-        1,
-        ["clock", "verdict", "predicted"],
-        "_no",
-    ).withColumn("part", F.floor(F.col("_no") / F.lit(per_list)))
-    entry = F.struct("clock", "truth", "predicted")
-
-    def entries(verdict: str):
-        return F.array_sort(F.collect_list(F.when(F.col("verdict") == verdict, entry)))
-
-    parts = placed.groupBy("source_file", "part").agg(
-        entries("correct").alias("correct"),
-        entries("missing").alias("missing_timestamps"),
-        entries("extra").alias("extra_timestamps"),
-        entries("incorrect").alias("incorrect_predictions"),
-    )
-    rounded = metrics(truth, pred, files).select(
-        "source_file", *[F.round(c, 2).alias(c) for c in ("precision", "recall", "f1_score")]
-    )
-    return rounded.join(parts, "source_file", "left").select(
-        "source_file",
-        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-        F.struct("precision", "recall", "f1_score").alias("metrics"),
-        F.struct("correct", "missing_timestamps", "extra_timestamps", "incorrect_predictions").alias("details"),
+    rounded = F.struct(*[F.round(c, 2).alias(c) for c in SCORES])
+    nothing = F.lit(None)
+    heads = metrics(truth, pred, files).select(
+        "source_file", F.lit("metrics").alias("kind"), rounded.alias("metrics"), nothing.cast("string").alias("clock"),
+        nothing.cast("array<int>").alias("truth"), nothing.cast("array<int>").alias("predicted"),
+    )
+    lines = details(truth, pred, files).select(
+        "source_file", F.col("verdict").alias("kind"), nothing.cast(heads.schema["metrics"].dataType).alias("metrics"), "clock", "truth", "predicted"
     )
+    return heads.unionByName(lines)
 
 
 def macro_average(scores: DataFrame) -> DataFrame:
@@ -167,6 +146,14 @@ def macro_average(scores: DataFrame) -> DataFrame:
     )
 
 
+def average_report(scores: DataFrame) -> DataFrame:
+    """The average with the figures of every file, a line each; ``source_file`` is null for the average."""
+    names = list(SCORES)
+    single = scores.select("source_file", *names, F.lit(1).cast("bigint").alias("num_files"))
+    average = macro_average(scores).select(F.lit(None).cast("string").alias("source_file"), *names, "num_files")
+    return single.unionByName(average)
+
+
 def usable_metrics(files: DataFrame) -> DataFrame:
     """Metrics of the files that have all three figures."""
     names = ("precision", "recall", "f1_score")

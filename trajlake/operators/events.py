@@ -11,10 +11,6 @@ from trajlake.functions.ids import objid_from_number
 from trajlake.operators.asof import asof_position
 from trajlake.operators.scans import ordinal
 
-# Groups per output list. A timestamp with more of them continues in further parts, so no list
-# grows without bound however many answers name the same second.
-GROUPS_PER_LIST = 10_000
-
 
 def parsed(responses: DataFrame, content: str = "content") -> DataFrame:
     return with_items(responses, content)
@@ -69,17 +65,12 @@ def numbered(found: DataFrame, *, width: int = 4096) -> DataFrame:
     return ordinal(found, ["timestamp"], "chunk_pos", width, ["item_pos"], "group_no")
 
 
-def consolidated(found: DataFrame, *, per_list: int = GROUPS_PER_LIST) -> DataFrame:
-    """All groups of a timestamp in order, as lists of at most ``per_list`` groups.
+def consolidated(found: DataFrame) -> DataFrame:
+    """All groups of every timestamp, each a row with its place ``group_no``. Duplicates are kept.
 
-    Nearly always one row per timestamp (``part`` 0). Duplicates are kept.
+    One row per group at every size: however many answers name the same second, no list grows.
     """
-    sized = numbered(found).withColumn("part", F.floor(F.col("group_no") / F.lit(per_list)))
-    return (
-        sized.groupBy("timestamp", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("group_no", "grp"))).alias("_g"))
-        .select("timestamp", "part", F.col("_g.grp").alias("groups"))
-    )
+    return numbered(found).select("timestamp", "group_no", "grp")
 
 
 def event_stats(found: DataFrame) -> DataFrame:

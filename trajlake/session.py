@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "trajlake", cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -51,7 +51,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def require_utc(spark: SparkSession) -> None:
-    """Clock arithmetic treats zone-free timestamps as UTC, so the session must too."""
-    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table below the shared folder: computed once, whatever reads it, and safe from lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,13 +12,13 @@ DECIMALS = 3
 
 
 def event_lines(events: DataFrame) -> DataFrame:
-    """``{"<timestamp>": [[ids], ...]}`` per timestamp and part."""
-    return events.select("timestamp", "part", F.to_json(F.create_map("timestamp", "groups")).alias("value"))
+    """``{"<timestamp>": [[ids]]}`` for every group; a reader appends the lists of one timestamp."""
+    return events.select("timestamp", "group_no", F.to_json(F.create_map("timestamp", F.array("grp"))).alias("value"))
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Event lines ordered by timestamp; a range sort, so no task sees them all."""
-    event_lines(events).orderBy("timestamp", "part").select("value").write.text(path)
+    """Event lines in order of timestamp and group; a range sort, so no task sees them all."""
+    event_lines(events).orderBy("timestamp", "group_no").select("value").write.text(path)
 
 
 def event_list_rows(placed: DataFrame) -> DataFrame:
