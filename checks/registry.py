@@ -584,7 +584,7 @@ def event_list_positions(spark, sf):
     return events.event_list_positions(events.event_list(files.read_event_list(spark, path)))
 
 
-@check("latest_file")
+@check("latest_file", "SELECT 'later_eventlist.jsonl' AS name")
 def latest_file(spark, sf):
     folder = new_folder(spark, "lists")
     _write_event_list(spark, sf, folder)
@@ -599,10 +599,10 @@ def _lake(spark, sf, fmt="parquet") -> str:
     )
 
 
-@check("list_files")
+@check("list_files", sql("SELECT DISTINCT 'chunk=' || chunk AS chunk, true AS filled FROM chunked", "chunked"))
 def list_files(spark, sf):
     found = files.list_files(spark, _lake(spark, sf) + "/data", glob="*.parquet")
-    return found.select(F.regexp_extract("uri", "(chunk=[^/]+)", 1).alias("chunk"), "size")
+    return found.select(F.regexp_extract("uri", "(chunk=[^/]+)", 1).alias("chunk"), (F.col("size") > 0).alias("filled")).distinct()
 
 
 @check("lake_scan", sql(f"SELECT {XYZ_SQL}, chunk FROM chunked", "chunked"))
@@ -1083,14 +1083,14 @@ def scene_episodes(spark, sf):
     "truth_from_contacts",
     sql(
         """SELECT strftime(timestamp, '%H:%M:%S') AS clock, least(CAST(a[4:] AS INTEGER), CAST(b[4:] AS INTEGER)) || ',' ||
-           greatest(CAST(a[4:] AS INTEGER), CAST(b[4:] AS INTEGER)) AS objects FROM fires""",
+           greatest(CAST(a[4:] AS INTEGER), CAST(b[4:] AS INTEGER)) AS objects FROM visited WHERE fired""",
         "contacts",
-        extra=_spaced("contacts", ["a", "b"], 864000),
+        extra=_SCENE,
         recursive=True,
     ),
 )
 def truth_from_contacts(spark, sf):
-    rows = flows.truth_from_contacts(fx.traj(spark, sf), 25.0, guard_seconds=864000)
+    rows = flows.truth_from_contacts(fx.traj(spark, sf), 25.0)
     return rows.select("clock", joined("objects").alias("objects"))
 
 
@@ -1128,17 +1128,28 @@ def wall_hugs(spark, sf):
     return motion.wall_hugs(fx.fine(spark, sf), _box(spark, sf), rows=2).select(*XYZ, "wall_distance")
 
 
-_LABELS = """hits AS (SELECT timestamp, objid, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, min(r) AS r FROM (
-  SELECT timestamp, objid, x, y, z, 0 AS r FROM stall_runs WHERE run >= 2
-  UNION ALL SELECT timestamp, objid, x, y, z, 1 FROM wall_runs WHERE run >= 2) GROUP BY 1, 2),
-""" + _spaced("hits", ["objid"], 36000)
+# Row by row: n stuck and w wall rows in a row, whether the last position is forgotten, the last label.
+_BLOCKED = "(NOT v.forgot AND r.stuck AND v.n + 1 >= 2)"
+_HUGS = f"(NOT {_BLOCKED} AND r.near AND v.w + 1 >= 2)"
+_FREE = "(v.label IS NULL OR r.timestamp >= v.label + INTERVAL 10 HOUR)"
+_HIT = f"(({_BLOCKED} OR {_HUGS}) AND {_FREE})"
+_LABELS = f"""rows_in_order AS (SELECT f.timestamp, f.objid, f.x, f.y, f.z, f.stuck, n.near,
+    row_number() OVER (PARTITION BY f.objid ORDER BY f.timestamp) AS i FROM flags f JOIN near n USING (timestamp, objid)),
+  walk AS (SELECT objid, CAST(0 AS BIGINT) AS i, 0 AS n, 0 AS w, false AS forgot, CAST(NULL AS TIMESTAMP) AS label, '' AS kind
+    FROM (SELECT DISTINCT objid FROM rows_in_order)
+    UNION ALL SELECT r.objid, r.i,
+      CASE WHEN {_HIT} THEN 0 WHEN v.forgot THEN v.n WHEN r.stuck THEN v.n + 1 ELSE 0 END,
+      CASE WHEN {_HIT} THEN 0 WHEN {_BLOCKED} THEN v.w WHEN r.near THEN v.w + 1 ELSE 0 END,
+      {_HIT}, CASE WHEN {_HIT} THEN r.timestamp ELSE v.label END,
+      CASE WHEN NOT {_HIT} THEN '' WHEN {_BLOCKED} THEN 'stuck' ELSE 'wall' END
+    FROM walk v JOIN rows_in_order r ON r.objid = v.objid AND r.i = v.i + 1)"""
 
 
 @check(
     "collision_labels",
     sql(
-        f"""SELECT {ts('timestamp')} AS timestamp, coalesce(mapped, objid) AS objid, {_TRACE}, CASE r WHEN 0 THEN 'stuck' ELSE 'wall' END AS kind
-            FROM fires JOIN hits USING (timestamp, objid) LEFT JOIN mapping USING (objid)""",
+        f"""SELECT {ts('timestamp')} AS timestamp, coalesce(mapped, objid) AS objid, {_TRACE}, kind
+            FROM walk JOIN rows_in_order USING (objid, i) LEFT JOIN mapping USING (objid) WHERE kind <> ''""",
         "stall_runs",
         "wall_runs",
         "mapping",
@@ -1157,16 +1168,10 @@ def collision_labels(spark, sf):
 
 @check(
     "object_hits",
-    sql(
-        f"""SELECT {ts('timestamp')} AS timestamp, unnest([a, b]) AS objid FROM fires""",
-        "contacts",
-        extra=_spaced("contacts", ["a", "b"], 864000),
-        recursive=True,
-    ),
+    sql(f"SELECT {ts('timestamp')} AS timestamp, unnest([a, b]) AS objid FROM visited WHERE fired", "contacts", extra=_SCENE, recursive=True),
 )
 def object_hits(spark, sf):
-    fired = proximity.pair_episodes(proximity.contacts(fx.traj(spark, sf), 25.0), guard_seconds=864000)
-    return proximity.object_hits(fired)
+    return proximity.object_hits(proximity.scene_episodes(proximity.contacts(fx.traj(spark, sf), 25.0)))
 
 
 # ---- frames -------------------------------------------------------------------------------

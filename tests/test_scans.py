@@ -172,3 +172,38 @@ def test_scans_without_keys(spark, monkeypatch):
     for o, v in rows:
         last = v if v is not None else last
         assert seen[o] == last
+
+
+def test_labels_begin_anew(spark, monkeypatch):
+    """Counters, forgotten positions and the cooldown, against a plain loop, over many small pieces."""
+    from trajlake.operators import labelling
+
+    monkeypatch.setattr(labelling, "FAN", 3)
+    monkeypatch.setattr(refractory, "FAN", 3)
+    rng = seeded(12)
+    rows = []
+    for k in ("a", "b", "c"):
+        t, stuck, near = 0.0, False, False
+        for _ in range(400):
+            t += rng.choice((0.03, 0.2, 0.2, 0.2, 3.0 if rng.random() < 0.1 else 0.2))
+            stuck = stuck if rng.random() < 0.85 else not stuck
+            near = near if rng.random() < 0.9 else not near
+            rows.append((k, at(round(t, 3)), stuck, near))
+    df = spark.createDataFrame(rows, "objid string, timestamp timestamp_ntz, stuck boolean, near boolean")
+    for cooldown, bucket in ((0.5, 2.0), (5.0, 2.0), (0.5, 100.0)):
+        got = labelling.collision_rows(df, stuck_rows=5, wall_rows=4, cooldown=cooldown, bucket_seconds=bucket).collect()
+        want, state = [], {}
+        for k, t, stuck, near in rows:
+            n, w, forgot, label = state.get(k, (0, 0, False, None))
+            if not forgot:
+                n = n + 1 if stuck else 0
+            blocked = not forgot and n >= 5
+            if not blocked:
+                w = w + 1 if near else 0
+            hit = (blocked or w >= 4) and (label is None or (t - label).total_seconds() >= cooldown)
+            if hit:
+                want.append((k, t, "stuck" if blocked else "wall"))
+                n, w, label = 0, 0, t
+            state[k] = (n, w, hit, label)
+        assert sorted((r.objid, r.timestamp, r.kind) for r in got) == sorted(want)
+        assert len(want) > 20

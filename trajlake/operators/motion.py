@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.clock import MICROS, micros
 from trajlake.functions.geometry import heading
-from trajlake.operators.refractory import spaced_rows
+from trajlake.operators.labelling import collision_rows
 from trajlake.operators.scans import BUCKET, neighbour_row, streak_lengths, with_time_bucket
+from trajlake.session import written
 
 # The share of the expected progress below which an object is stuck, how many
 # rows in a row it takes, the limits of a time step in seconds, and the label cooldown.
@@ -146,16 +147,11 @@ def collision_labels(
     stall_rule: dict | None = None,
     wall_rule: dict | None = None,
 ) -> DataFrame:
-    """Label rows ``stuck`` and ``wall``, at most one per object within the cooldown.
+    """Label rows ``stuck`` and ``wall``: counters begin anew after each label, see ``labelling``.
 
     A row that is both counts as stuck, because that is looked at first.
     """
     flagged = near_flags(stuck_flags(traj, **(stall_rule or {})), box, **(wall_rule or {}))
-    runs = streak_lengths(
-        flagged, ["objid"], "timestamp", {"stuck": "_stuck_run", "near": "_wall_run"}
-    )
-    stuck, wall = F.col("_stuck_run") >= stuck_rows, F.col("_wall_run") >= wall_rows
-    hits = runs.where(stuck | wall).select(
-        "timestamp", "objid", "x", "y", "z", F.when(stuck, "stuck").otherwise("wall").alias("kind")
-    )
-    return spaced_rows(hits, ["objid"], "timestamp", cooldown)
+    flagged = written(flagged.select("timestamp", "objid", "x", "y", "z", "stuck", "near"), "flagged")
+    labels = collision_rows(flagged, stuck_rows=stuck_rows, wall_rows=wall_rows, cooldown=cooldown)
+    return flagged.drop("stuck", "near").join(labels, ["objid", "timestamp"]).select("timestamp", "objid", "x", "y", "z", "kind")

@@ -82,7 +82,7 @@ def _keep(ms: pd.Series, guard: pd.Series, gap: pd.Series) -> pd.Series:
     return pd.Series([_kept(m, s, g) for m, s, g in zip(ms, guard, gap, strict=True)], dtype=object)
 
 
-def _pieces(instants: DataFrame, keys: Sequence[str], width: int) -> tuple[DataFrame, int]:
+def cut_into_pieces(instants: DataFrame, keys: Sequence[str], width: int) -> tuple[DataFrame, int]:
     """Add ``_piece``, growing with time, and the number of ``FAN`` levels above the pieces.
 
     Where a stretch of ``width`` microseconds holds too many instants of a key it is cut into a power
@@ -156,7 +156,7 @@ def spaced_instants(
     width = round(bucket_seconds * MICROS) if bucket_seconds else max(DEFAULT_SECONDS * MICROS, gap * GAPS_PER_BUCKET)
     distinct = instants.select(*keys, micros(time).alias("_m")).where("_m is not null").distinct()
     distinct = written(distinct, "instants")
-    placed, levels = _pieces(distinct, keys, width)
+    placed, levels = cut_into_pieces(distinct, keys, width)
     gathered = placed.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
     tables = gathered.withColumn("_t", _tables("_ms", F.lit(gap))).select(*keys, "_piece", "_t.firsts", "_t.guards")
     # Keys with a single piece begin without a guard; only the others are chained.

@@ -14,7 +14,7 @@ from trajlake.operators.events import (
     predictions,
 )
 from trajlake.operators.playback import event_clips, next_event
-from trajlake.operators.proximity import contacts, pair_episodes, truth_rows
+from trajlake.operators.proximity import contacts, scene_episodes, truth_rows
 from trajlake.sources.lake import asof_lake, read_instants, read_lake, write_lake
 
 
@@ -71,8 +71,11 @@ def evaluation_average(responses: DataFrame, truth: DataFrame, files: DataFrame,
 
 
 def truth_from_contacts(traj: DataFrame, distance: float, **guard) -> DataFrame:
-    """Truth rows made by computation: contacts that fire, as clock and object numbers."""
-    return truth_rows(pair_episodes(contacts(traj, distance), **guard))
+    """Truth rows made by computation: contacts that fire, as clock and object numbers.
+
+    A contact fires when both objects are past their guards, whoever caused these.
+    """
+    return truth_rows(scene_episodes(contacts(traj, distance), **guard))
 
 
 def ingest_and_look_up(
