@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.functions.clock import format_ts, trunc_ms
+from trajlake.functions.clock import format_ts, from_micros, trunc_ms
 from trajlake.functions.ids import objid_from_number
 from trajlake.operators.asof import last_wins
 from trajlake.operators.evaluate import ground_truth
@@ -38,9 +38,19 @@ def as_positions(ev: DataFrame, time) -> DataFrame:
     )
 
 
+#: Consecutive events that make up a frame: its crowd is the same at any size, the frames grow in number.
+PER_FRAME = 14
+
+
+def frame_time():
+    """The full hour of an event's frame."""
+    hours = F.floor(F.col("event_id") / PER_FRAME)
+    return from_micros(F.lit(1_704_067_200_000_000) + hours * F.lit(3_600_000_000))
+
+
 def hourly_rows(spark, sf):
-    """Rows with the instant cut to the hour; an object can occur several times in one frame."""
-    return as_positions(events(spark, sf), F.date_trunc("HOUR", "ts").cast("timestamp_ntz"))
+    """Rows by hourly frames; an object can occur several times in one frame."""
+    return as_positions(events(spark, sf), frame_time())
 
 
 def traj(spark, sf):
@@ -125,12 +135,14 @@ def second_clock():
     return F.format_string("%02d:%02d:%02d", F.floor(c / 3600), F.floor(c / 60) % 60, c % 60)
 
 
+HELD_AGAINST = {"click": "view", "view": "error", "error": "signup", "signup": "purchase"}
+
+
 def truth_lines(spark, sf):
-    """Two truth sets, one from the errors and one from the views."""
+    """A truth set of every event type."""
     pair = F.concat_ws(",", (F.col("user_id") % 4 + 1).cast("string"), (F.col("user_id") % 3 + 5).cast("string"))
     return (
         events(spark, sf)
-        .where(F.col("event_type").isin("error", "view"))
         .select(
             F.col("event_type").alias("gt_id"),
             F.col("event_id").alias("line_no"),
@@ -163,8 +175,10 @@ def pred(spark, sf):
 
 
 def eval_files(spark, sf):
-    """Every source with the truth set it is held against."""
-    of = F.when(F.col("event_type").isin("click", "error", "signup"), "view").otherwise("error")
+    """Every source with the truth set it is held against, that of another type."""
+    of = F.lit("click")
+    for source, other in HELD_AGAINST.items():
+        of = F.when(F.col("event_type") == source, other).otherwise(of)
     return events(spark, sf).select(F.col("event_type").alias("source_file"), of.alias("gt_id")).distinct()
 
 
@@ -206,10 +220,10 @@ _POSITION = """arg_max(value, event_id) AS x,
 _CLOCK = "printf('%02d:%02d:%02d', (event_id // 10) // 3600, ((event_id // 10) // 60) % 60, (event_id // 10) % 60)"
 
 CTES = {
-    "hourly_rows": """hourly_rows AS (SELECT date_trunc('hour', ts) AS timestamp, printf('obj%03d', user_id + 1) AS objid,
+    "hourly_rows": """hourly_rows AS (SELECT TIMESTAMP '2024-01-01' + to_hours(event_id // 14) AS timestamp, printf('obj%03d', user_id + 1) AS objid,
   value AS x, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS y,
   CAST((event_id * 7919) % 500 AS DOUBLE) AS z, event_id FROM events)""",
-    "traj": f"""traj AS (SELECT date_trunc('hour', ts) AS timestamp, printf('obj%03d', user_id + 1) AS objid,
+    "traj": f"""traj AS (SELECT TIMESTAMP '2024-01-01' + to_hours(event_id // 14) AS timestamp, printf('obj%03d', user_id + 1) AS objid,
   {_POSITION} FROM events GROUP BY 1, 2)""",
     "fine": f"""fine AS (SELECT date_trunc('millisecond', ts) AS timestamp, printf('obj%03d', user_id + 1) AS objid,
   {_POSITION} FROM events GROUP BY 1, 2)""",
@@ -228,11 +242,12 @@ CTES = {
   [printf('obj%03d', user_id % 4 + 1), printf('obj%03d', user_id % 3 + 5)] AS grp
   FROM events WHERE event_id % 11 <> 0 AND event_id % 7 <> 0)""",
     "truth": f"""truth AS (SELECT event_type AS gt_id, {_CLOCK} AS clock, arg_max(user_id % 4 + 1, event_id) AS a,
-  arg_max(user_id % 3 + 5, event_id) AS b FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2)""",
+  arg_max(user_id % 3 + 5, event_id) AS b FROM events GROUP BY 1, 2)""",
     "pred": f"""pred AS (SELECT DISTINCT event_type AS source_file, {_CLOCK} AS clock,
   user_id % 4 + 1 AS a, user_id % 3 + 5 AS b FROM events WHERE event_type <> 'signup' AND event_id % 3 <> 2)""",
     "eval_files": """eval_files AS (SELECT DISTINCT event_type AS source_file,
-  CASE WHEN event_type IN ('click', 'error', 'signup') THEN 'view' ELSE 'error' END AS gt_id FROM events)""",
+  CASE event_type WHEN 'click' THEN 'view' WHEN 'view' THEN 'error' WHEN 'error' THEN 'signup' WHEN 'signup' THEN 'purchase'
+    ELSE 'click' END AS gt_id FROM events)""",
     "verdicts": """verdicts AS (SELECT coalesce(g.source_file, p.source_file) AS source_file,
   coalesce(g.clock, p.clock) AS clock, g.a AS ta, g.b AS tb, p.a AS pa, p.b AS pb,
   CASE WHEN g.clock IS NULL THEN 'extra' WHEN p.clock IS NULL THEN 'missing'

@@ -298,10 +298,14 @@ def fence_strip(spark, sf):
 
 @check(
     "list_in_prose",
-    r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?s)(\[\s*\{.*?\}\s*(?:,\s*\{.*?\}\s*)*\])', 1), ''), text) AS found FROM documents""",
+    f"""SELECT doc_id, coalesce(nullif(regexp_extract(prose, '{answers.LIST_IN_PROSE}', 1), ''), prose) AS found FROM (
+        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' [{{"a": [' || doc_id || ']}}, {{"b": []}}] ' || text ELSE text END AS prose FROM documents)""",
 )
 def list_in_prose(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", answers.list_in_prose("text").alias("found"))
+    """Every third document has a list of objects in its middle."""
+    held = F.concat("text", F.lit(' [{"a": ['), F.col("doc_id").cast("string"), F.lit(']}, {"b": []}] '), "text")
+    prose = F.when(F.col("doc_id") % 3 == 0, held).otherwise(F.col("text"))
+    return fx.table(spark, sf, "documents").select("doc_id", answers.list_in_prose(prose).alias("found"))
 
 
 @check(
@@ -619,12 +623,12 @@ def lake_roundtrip(spark, sf):
     "lake_range",
     sql(
         f"""SELECT {XYZ_SQL}, chunk FROM chunked
-            WHERE timestamp BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'""",
+            WHERE timestamp BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-03 12:00:00'""",
         "chunked",
     ),
 )
 def lake_range(spark, sf):
-    rows = lake.read_lake(spark, _lake(spark, sf), start=dt.datetime(2024, 1, 10), end=dt.datetime(2024, 1, 12, 12))
+    rows = lake.read_lake(spark, _lake(spark, sf), start=dt.datetime(2024, 1, 2), end=dt.datetime(2024, 1, 3, 12))
     return rows.select(*XYZ, "chunk")
 
 
@@ -1367,9 +1371,21 @@ def probe_sets(spark, sf):
     return found.select("user_id", "query_id", "pattern", "probe")
 
 
-@check("random_probes")
+@check(
+    "random_probes",
+    sql(
+        f"""SELECT event_id AS query_id, 'random_jump' AS pattern,
+            {ts(f"make_timestamp(((m + CAST(round_even(({_uniform_sql('event_id', 2)} * 2.0::DOUBLE - 1.0) * 500000.0, 0) AS BIGINT)) // 1000) * 1000)")} AS probe
+            FROM (SELECT event_id, CAST(floor({_uniform_sql('event_id', 1)} * (SELECT count(*) FROM placed)) AS BIGINT) AS place FROM events)
+            JOIN placed USING (place)""",
+        "fine",
+        extra="""placed AS (SELECT epoch_us(timestamp) AS m, row_number() OVER (ORDER BY timestamp) - 1 AS place
+          FROM (SELECT DISTINCT timestamp FROM fine))""",
+    ),
+)
 def random_probes(spark, sf):
-    return synth.random_probes(fx.users(spark, sf), queries="n").select("user_id", "query_id", "pattern", "probe")
+    queries = fx.events(spark, sf).select(F.col("event_id").alias("query_id"))
+    return synth.random_probes(fx.fine(spark, sf), queries)
 
 
 # ---- streams ------------------------------------------------------------------------------
@@ -1381,15 +1397,15 @@ def _event_stream(spark, sf, **options):
 
 
 def _hourly_stream(spark, sf):
-    return fx.as_positions(_event_stream(spark, sf), F.date_trunc("HOUR", "ts").cast("timestamp_ntz"))
+    return fx.as_positions(_event_stream(spark, sf), fx.frame_time())
 
 
-def _late_stream(spark, sf, seconds: int):
+def _late_stream(spark, sf, time, seconds: int):
     """The events in four files, each a micro-batch; an event is up to so many seconds late."""
     path = new_folder(spark, "late")
     e = fx.events(spark, sf)
-    first, last = e.agg(F.min(micros("ts")), F.max(micros("ts"))).first()
-    arrival = micros("ts") + F.pmod(F.col("event_id") * 7919, F.lit(seconds)) * MICROS
+    first, last = e.agg(F.min(micros(time)), F.max(micros(time))).first()
+    arrival = micros(time) + F.pmod(F.col("event_id") * 7919, F.lit(seconds)) * MICROS
     quarter = F.least(F.lit(3), F.floor((arrival - F.lit(first)) / F.lit((last - first) // 4 + 1)))
     for k in range(4):
         e.where(quarter == k).orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(path)
@@ -1406,7 +1422,7 @@ def _late_stream(spark, sf, seconds: int):
 )
 def stream_ingest(spark, sf):
     path, marks = new_folder(spark, "live"), new_folder(spark, "marks")
-    rows = fx.as_positions(_late_stream(spark, sf, 36000), F.date_trunc("HOUR", "ts").cast("timestamp_ntz"))
+    rows = fx.as_positions(_late_stream(spark, sf, fx.frame_time(), 36000), fx.frame_time())
     jobs.start_ingest(rows, path, marks, order="event_id", chunk_seconds=3600, lateness="12 hours").awaitTermination()
     return spark.read.schema("timestamp timestamp_ntz, objid string, x double, y double, z double, chunk bigint").parquet(path)
 
@@ -1420,7 +1436,7 @@ def stream_ingest(spark, sf):
     ),
 )
 def stream_chunk_stats(spark, sf):
-    rows = fx.as_positions(_late_stream(spark, sf, 36000), F.date_trunc("HOUR", "ts").cast("timestamp_ntz"))
+    rows = fx.as_positions(_late_stream(spark, sf, fx.frame_time(), 36000), fx.frame_time())
     found = jobs.chunk_statistics(rows, "1 day", lateness="12 hours")
     return jobs.window_totals(jobs.run_updates(found, new_folder(spark, "live"), new_folder(spark, "marks")))
 
@@ -1449,7 +1465,7 @@ def stream_contacts(spark, sf):
 )
 def stream_stalls(spark, sf):
     """Rows out of order over several micro-batches, and objects silent for longer than a day."""
-    rows = fx.as_positions(_late_stream(spark, sf, 36000), clock.trunc_ms("ts"))
+    rows = fx.as_positions(_late_stream(spark, sf, F.col("ts"), 36000), clock.trunc_ms("ts"))
     found = jobs.live_stalls(rows, stuck_rows=2, lateness="12 hours", forget_after_ms=10**12, **_STALL)
     return jobs.run_to_parquet(found, new_folder(spark, "live"), new_folder(spark, "marks")).select("timestamp", "objid")
 

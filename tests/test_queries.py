@@ -23,3 +23,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_without_the_training_data_operators(tmp_path):
+    """The library, its queries and the entry stand without the subpackage and the pipeline."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parent.parent
+    left_out = shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse", "*.parquet")
+    copy = tmp_path / "repo"
+    shutil.copytree(repo, copy, ignore=left_out)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == sorted(registry.QUERIES)

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.clock import MICROS, cut_ms, from_micros, micros
 from trajlake.functions.ids import objid_from_number
-from trajlake.operators.scans import expand_steps
+from trajlake.operators.scans import expand_steps, ordinal
+
+# Instants are numbered in buckets of so many seconds.
+NUMBERING_SECONDS = 3600
 
 # Fixed values of the number mixer: multipliers and modulus.
 _MIX = (1103515245, 12345, 104729, 2147483647)
@@ -123,12 +126,15 @@ def probe_sets(
     return rows.withColumn("_p", F.explode(probes)).select("*", "_p.pattern", "_p.probe").drop("_p")
 
 
-def random_probes(ranges: DataFrame, *, queries: str = "n_queries", offset_s: float = 0.5, seed: int = 42) -> DataFrame:
-    """Probes anywhere in each range, up to ``offset_s`` beyond it; repeatable for a seed."""
-    rows = expand_steps(ranges, queries, "query_id")
-    span = micros("end_ts") - micros("start_ts")
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in ranges.columns], "query_id")
-    share = F.pmod(key, F.lit(1_000_003)).cast("double") / F.lit(1_000_003.0)
-    slack = round(offset_s * MICROS)
-    at = micros("start_ts") - F.lit(slack) + F.rint(share * (span + F.lit(2 * slack))).cast("bigint")
-    return rows.withColumn("pattern", F.lit("random_jump")).withColumn("probe", cut_ms(at))
+def random_probes(instants: DataFrame, queries: DataFrame, *, time: str = "timestamp", offset_s: float = 0.5, seed: int = 42) -> DataFrame:
+    """For each ``query_id`` a recorded instant, moved by up to ``offset_s`` either way and cut to milliseconds.
+
+    Instants are numbered, so a query finds its own by an equality join. Repeatable for a seed.
+    """
+    recorded = instants.select(F.col(time).alias("_t")).where("_t is not null").distinct().withColumn("_m", micros("_t"))
+    placed = ordinal(recorded, [], "_m", NUMBERING_SECONDS * MICROS, [], "_place").select("_m", "_place")
+    share = _uniform(F.col("query_id"), 1, seed)
+    asked = queries.withColumn("_place", F.floor(share * recorded.agg(F.count("*")).scalar()))
+    offset = F.rint((_uniform(F.col("query_id"), 2, seed) * 2.0 - 1.0) * F.lit(offset_s * MICROS)).cast("bigint")
+    found = asked.join(placed, "_place").withColumn("pattern", F.lit("random_jump")).withColumn("probe", cut_ms(F.col("_m") + offset))
+    return found.drop("_m", "_place")
