@@ -297,22 +297,22 @@ def test_importance_on_held_out_labels(spark):
     judged = labels.where("doc_id % 2 = 1").join(kept.withColumn("kept", F.lit(1)), "doc_id", "left")
     rows = judged.groupBy((F.expr("quality = 1 and toxic = 0")).alias("good")).agg(F.avg(F.coalesce("kept", F.lit(0))).alias("share")).collect()
     share = {r.good: r.share for r in rows}
-    assert share[True] > 0.95 and share[False] < 0.15
+    assert share[True] > 0.95 and share[False] < 0.1
 
 
 def test_importance_edges(spark, odd):
     rows = registry.QUERIES["op6_importance"](spark, odd).collect()
     ids = [r.doc_id for r in rows]
     docs = odd_documents()
-    assert set(ids) <= {i for i, _, _ in docs} and 0 < len(rows) < len(docs)
+    assert set(ids) <= {i for i, _, _ in docs} and 0 < len(rows) <= len(docs)
     assert all(r.log_weight <= 0 for r in rows)
 
 
 def test_gumbel_draws_by_weight(spark):
     F = importance.F
-    model = importance.Model(np.zeros(2 * importance.BUCKETS, np.float32), 0.25)
+    model = importance.Model(np.zeros(importance.PARTS * importance.BUCKETS, np.float32), None)
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"))
-    kept = importance.drawn(docs, F.col("text"), F.col("doc_id"), model, F.col("doc_id")).collect()
+    kept = importance.drawn(docs, F.col("text"), F.col("doc_id"), model, F.col("doc_id"), rows=1000).collect()
     assert len(kept) == 1000
     # Equal weights: a draw at random, not a prefix.
     assert 1800 < np.mean([r.doc_id for r in kept]) < 2200

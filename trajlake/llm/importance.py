@@ -2,10 +2,10 @@
 
 Two generative models over hashed n-grams, one of target text (documents labelled good and not toxic)
 and one of all text, give every document a log importance weight; documents are then drawn without
-replacement by Gumbel top-k, as many as the share of good labels says.
+replacement by Gumbel top-k, as many as reach the weight that parts good labels from others best.
 
-N-grams are words in lower case, runs of symbols, and pairs of word shapes (capitals, digits,
-repetition). Counts are compared with those the raw model expects of the target: a ratio counts only
+N-grams are words in lower case and runs of symbols, their first four and first five characters, and
+pairs of word shapes (capitals, digits, repetition). Counts are compared with those the raw model expects of the target: a ratio counts only
 where the two differ by more than chance, and is cut at 1, so that length cannot buy weight.
 """
 
@@ -24,14 +24,15 @@ from pyspark.sql import functions as F
 
 from trajlake.llm.text import kth_largest, table, unpacked, with_id, written
 
-#: Buckets for words and for shape pairs each: the model's size whatever the data.
+#: Buckets for words, beginnings of either length, and shape pairs each: the model's size whatever the data.
 BUCKETS = 1 << 18
+PARTS = 4
 #: The target model is fitted on at most so many labelled documents, those with the largest hashes.
 TARGET_ROWS = 50_000
 #: Added to the counts compared.
 PRIOR = 0.5
 #: Standard deviations by which a count has to differ from the expected one.
-CHANCE = 1.8
+CHANCE = 3.0
 #: A log weight is the sum over n-grams by the number of words to this power.
 LENGTH = 0.75
 #: Log weights times this meet Gumbel noise; the larger, the nearer to picking the heaviest.
@@ -39,6 +40,8 @@ SHARPNESS = 60.0
 SEED = 11
 #: Distinct words a task remembers at a time.
 REMEMBERED = 300_000
+#: Log weights are told apart down to the first, in so many steps a unit, to find the weight that parts best.
+LOWEST, STEPS = -16, 256
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -59,23 +62,36 @@ class Marks(dict):
         return mark
 
 
-def features(text: str, marks: Marks) -> tuple[np.ndarray, int]:
-    """Buckets of a text's n-grams (pairs of shapes after words), and its number of tokens."""
+class Heads(dict):
+    """Token -> the hashes of its first four and first five characters, in lower case; forgets when full."""
+
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        four = zlib.crc32(low[:4].encode("utf-8", "replace")) & (BUCKETS - 1)
+        value = four * BUCKETS + (zlib.crc32(low[:5].encode("utf-8", "replace")) & (BUCKETS - 1))
+        if len(self) < REMEMBERED:
+            self[token] = value
+        return value
+
+
+def features(text: str, marks: Marks, heads: Heads) -> tuple[np.ndarray, int]:
+    """Buckets of a text's n-grams, part after part, and its number of tokens."""
     tokens = TOKEN.findall(text)
     seen = np.fromiter(map(marks.__getitem__, tokens), np.int64, len(tokens))
+    begin = np.fromiter(map(heads.__getitem__, tokens), np.int64, len(tokens))
     word, shape = seen >> 4, seen & 15
     shape[1:][word[1:] == word[:-1]] = 0
     pairs = shape[:-1] * 16 + shape[1:]
     word = (word * 0x9E3779B1) >> 11 & (BUCKETS - 1)
-    return np.concatenate([word, BUCKETS + pairs]), len(tokens)
+    return np.concatenate([word, BUCKETS + begin // BUCKETS, 2 * BUCKETS + begin % BUCKETS, 3 * BUCKETS + pairs]), len(tokens)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marks = Marks()
-    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    marks, heads = Marks(), Heads()
+    raw, target = np.zeros(PARTS * BUCKETS, np.int64), np.zeros(PARTS * BUCKETS, np.int64)
     for batch in batches:
         for text, good in zip(batch.column(0), batch.column(1), strict=True):
-            found, _ = features(text.as_py() or "", marks)
+            found, _ = features(text.as_py() or "", marks, heads)
             np.add.at(raw, found, 1)
             if good.as_py():
                 np.add.at(target, found, 1)
@@ -86,8 +102,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     weights: np.ndarray
-    #: Share of good documents among the labelled ones.
-    share: float
+    #: doc_id and ``good`` of the labelled documents.
+    labels: DataFrame
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
@@ -99,7 +115,6 @@ def good_labels(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Both models, as one log ratio per bucket. Raw counts cover all documents."""
     judged = good_labels(labels)
-    facts = judged.agg(F.avg(F.col("good").cast("double")).alias("share")).first()
     target = judged.where("good").select("doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("mark"))
     last = kth_largest(target, "mark", TARGET_ROWS)
     target = target if last is None else target.where(F.col("mark") >= last)
@@ -109,16 +124,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = rows.mapInArrow(_counts, "bucket long, raw long, target long")
     # One row per bucket at most, from every task one at most before that.
     sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, seen = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
+    raw, seen = np.zeros(PARTS * BUCKETS), np.zeros(PARTS * BUCKETS)
     raw[sums["bucket"]], seen[sums["bucket"]] = sums["raw"], sums["target"]
-    weights = np.zeros(2 * BUCKETS)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
+    weights = np.zeros(PARTS * BUCKETS)
+    for part in (slice(k * BUCKETS, (k + 1) * BUCKETS) for k in range(PARTS)):
         if seen[part].sum():
             due = raw[part] * (seen[part].sum() / raw[part].sum())
             ratio = np.log((seen[part] + PRIOR) / (due + PRIOR))
             by_chance = np.abs(seen[part] - due) < CHANCE * np.sqrt(due)
             weights[part] = np.minimum(np.where(by_chance, 0.0, ratio), 0.0)
-    return Model(weights.astype(np.float32), 1.0 if facts["share"] is None else facts["share"])
+    return Model(weights.astype(np.float32), judged)
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
@@ -133,11 +148,11 @@ def judged(docs: DataFrame, text: Column, key: Column, model: Model) -> DataFram
 
     @F.pandas_udf("log_weight double, rank long")
     def judge(texts: pd.Series, noise: pd.Series) -> pd.DataFrame:
-        marks, w = Marks(), weights.value
+        marks, heads, w = Marks(), Heads(), weights.value
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
             if text:
-                found, n = features(text, marks)
+                found, n = features(text, marks, heads)
                 out[i] = w[found].sum(dtype=np.float64) / max(1, n) ** LENGTH
         return pd.DataFrame({"log_weight": out, "rank": ordered(SHARPNESS * out + noise.to_numpy(np.float64))})
 
@@ -145,17 +160,37 @@ def judged(docs: DataFrame, text: Column, key: Column, model: Model) -> DataFram
     return docs.withColumn("judged", judge(text, -F.ln(-F.ln(even))))
 
 
-def drawn(docs: DataFrame, text: Column, key: Column, model: Model, *columns: Column) -> DataFrame:
-    """``columns`` and log_weight of the drawn rows of ``docs``.
+def how_many(found: DataFrame, labels: DataFrame) -> int:
+    """The number of documents (``_key``, ``log_weight``) that reach the weight that parts the labels best.
+
+    Documents fall into a fixed number of steps by weight; the cut leaves the fewest good ones below and
+    others above. Without labels all documents are drawn.
+    """
+    step = F.floor(F.least(-F.col("log_weight"), F.lit(float(-LOWEST))) * STEPS).cast("int").alias("step")
+    known = labels.withColumnRenamed("doc_id", "_key")
+    table_ = found.join(known, "_key", "left").groupBy(step).agg(
+        F.count(F.lit(1)).alias("all"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+    ).toPandas().sort_values("step")
+    if not table_["good"].sum() + table_["bad"].sum():
+        return int(table_["all"].sum())
+    wrong = table_["bad"].cumsum() - table_["good"].cumsum()
+    # The last of equal cuts: nothing speaks against the documents between them.
+    cut = int(np.flatnonzero(wrong.to_numpy() == wrong.min())[-1])
+    return int(table_["all"].cumsum().iloc[cut])
+
+
+def drawn(docs: DataFrame, text: Column, key: Column, model: Model, *columns: Column, rows: int | None = None) -> DataFrame:
+    """``columns`` and log_weight of the drawn rows of ``docs``; ``rows`` of them, or as many as reach the cut.
 
     Rows that tie with the last one drawn are drawn too.
     """
-    chosen = judged(docs, text, key, model).select(*columns, "judged.log_weight", F.col("judged.rank").alias("_rank"))
+    chosen = judged(docs, text, key, model).select(*columns, key.alias("_key"), "judged.log_weight", F.col("judged.rank").alias("_rank"))
     found = written(chosen, "judged")
-    rows = round(model.share * found.count())
+    if rows is None:
+        rows = how_many(found.select("_key", "log_weight"), model.labels)
     last = kth_largest(found, "_rank", rows) if rows else None
     kept = found.where("false") if last is None else found.where(F.col("_rank") >= last)
-    return kept.drop("_rank")
+    return kept.drop("_rank", "_key")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
