@@ -142,7 +142,10 @@ def test_thin_grid_thirty_per_second(spark):
 def test_percentile(spark):
     rng = seeded(9)
     groups = {"a": [float(i) for i in range(20)], "b": [rng.expovariate(0.001) for _ in range(3001)], "c": [4.0], "d": [2.0] * 50 + [3.0]}
+    groups["e"] = [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(500)] + [-0.0, float("inf"), float("-inf")]
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    last = spark.createDataFrame([("n", v) for v in (float("nan"), 3.0, float("inf"))], "g string, v double")
+    assert [stats.percentile_index(last, "g", "v", q).first().percentile for q in (0.0, 0.5)] == [3.0, float("inf")]
     for q in (0.0, 0.5, 0.95, 1.0):
         got = {r.g: r.percentile for r in stats.percentile_index(df, "g", "v", q).collect()}
         assert got == {g: sorted(vs)[min(len(vs) - 1, int(q * len(vs)))] for g, vs in groups.items()}

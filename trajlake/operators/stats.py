@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BINS = 4096
-ROUNDS = 2
+from trajlake.session import written
 
 
 def run_stats(runs: DataFrame, label: str = "label", values: tuple[str, ...] = ("wall_clock_s",)) -> DataFrame:
@@ -32,49 +34,46 @@ def run_errors(runs: DataFrame, label: str = "label") -> DataFrame:
     return runs.where(~F.col("success")).select(label, "error")
 
 
+@F.pandas_udf(T.LongType())
+def order_number(values: pd.Series) -> pd.Series:
+    """Whole numbers in the order of the doubles, made of their bits; NaN comes last, -0.0 is 0.0."""
+    x = values.to_numpy(dtype=np.float64) + 0.0
+    bits = np.where(np.isnan(x), np.float64("nan"), x).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+
+@F.pandas_udf(T.DoubleType())
+def ordered_value(numbers: pd.Series) -> pd.Series:
+    """The doubles that ``order_number`` numbered."""
+    n = numbers.to_numpy(dtype=np.int64)
+    return pd.Series(np.where(n < 0, n ^ np.int64(0x7FFFFFFFFFFFFFFF), n).view(np.float64))
+
+
 def percentile_index(rows: DataFrame, group: str, value: str, q: float) -> DataFrame:
-    """Per group the sorted value at index ``min(n - 1, int(q * n))``, exactly.
+    """Per group the sorted value at index ``min(n - 1, int(q * n))``, exactly; nulls do not count.
 
-    No group is sorted in one task. Counts per equal-width bin find the bin that holds the index;
-    the rows of that bin are binned again; the few distinct values left are counted in order.
+    No group is sorted. Values are read as whole numbers in the same order, and four rounds count them by
+    16 bits each: at most 65,536 counts per group and round, however the values are spread. NaN is
+    greater than any number.
     """
-    data = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
-    state = data.groupBy(group).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
+    data = rows.where(F.col(value).isNotNull()).select(group, order_number(F.col(value).cast("double")).alias("_k"))
+    data = written(data, "ordered")
+    sizes = data.groupBy(group).agg(F.count("*").alias("_n"))
     index = F.least(F.col("_n") - 1, F.floor(F.lit(float(q)) * F.col("_n")).cast("bigint"))
-    state = state.select(group, index.alias("_skip"), "_lo", "_hi")
+    state = sizes.select(group, index.alias("_skip"), F.lit(0).cast("bigint").alias("_prefix"))
     running = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(ROUNDS):
-        inside = data.join(state, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        span = F.col("_hi") - F.col("_lo")
-        at = F.least(
-            F.lit(BINS - 1), F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), span), F.lit(0.0)) * BINS)
-        )
-        bins = inside.groupBy(group, at.alias("_bin")).agg(
-            F.count("*").alias("_n"),
-            F.min("_v").alias("_bin_lo"),
-            F.max("_v").alias("_bin_hi"),
-            F.first("_skip").alias("_skip"),
+    for shift in (48, 32, 16, 0):
+        inside = data.join(state, group)
+        if shift < 48:
+            inside = inside.where(F.call_function("shiftright", F.col("_k"), F.lit(shift + 16)) == F.col("_prefix"))
+        bins = inside.groupBy(group, F.call_function("shiftright", F.col("_k"), F.lit(shift)).alias("_bin")).agg(
+            F.count("*").alias("_n"), F.min("_skip").alias("_skip")
         )
-        state = (
-            bins.withColumn("_upto", F.sum("_n").over(running))
-            .where((F.col("_upto") > F.col("_skip")) & (F.col("_upto") - F.col("_n") <= F.col("_skip")))
-            .select(
-                group,
-                (F.col("_skip") - (F.col("_upto") - F.col("_n"))).alias("_skip"),
-                F.col("_bin_lo").alias("_lo"),
-                F.col("_bin_hi").alias("_hi"),
-            )
-        )
-    left = data.join(state, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    values = left.groupBy(group, "_v").agg(F.count("*").alias("_n"), F.first("_skip").alias("_skip"))
-    in_order = Window.partitionBy(group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        values.withColumn("_upto", F.sum("_n").over(in_order))
-        .where((F.col("_upto") > F.col("_skip")) & (F.col("_upto") - F.col("_n") <= F.col("_skip")))
-        .select(group, F.col("_v").alias("percentile"))
-    )
+        upto = bins.withColumn("_upto", F.sum("_n").over(running))
+        held = upto.where((F.col("_upto") > F.col("_skip")) & (F.col("_upto") - F.col("_n") <= F.col("_skip")))
+        left = (F.col("_skip") - (F.col("_upto") - F.col("_n"))).alias("_skip")
+        state = written(held.select(group, left, F.col("_bin").alias("_prefix")), "bins")
+    return state.select(group, ordered_value("_prefix").alias("percentile"))
 
 
 def speedup(runs: DataFrame, slow: str, fast: str, label: str = "label", value: str = "wall_clock_s") -> DataFrame:
