@@ -33,8 +33,13 @@ def format_ts(col) -> Column:
     return F.concat(F.substring(text, 1, 19), F.lit("."), F.rpad(F.substring(text, 21, 3), 3, "0"))
 
 
+def instant(t) -> Column:
+    """A date and time without zone as a literal; a datetime literal would mean an instant of the session's zone."""
+    return F.lit(str(t)).cast("timestamp_ntz")
+
+
 def _origin() -> Column:
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return instant("1970-01-01 00:00:00")
 
 
 def micros(col) -> Column:

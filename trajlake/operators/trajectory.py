@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.functions.clock import chunk_index, chunk_key, format_ts
+from trajlake.functions.clock import chunk_index, chunk_key, format_ts, instant
 
 AXES = ("x", "y", "z")
 
@@ -188,9 +188,7 @@ def range_scan(traj: DataFrame, start, end) -> DataFrame:
     """
     if end <= start:
         raise ValueError("the end must lie after the start")
-    return traj.where(
-        F.col("timestamp").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
-    )
+    return traj.where(F.col("timestamp").between(instant(start), instant(end)))
 
 
 def objects_in_frame(frame: DataFrame, mapping: DataFrame) -> DataFrame:

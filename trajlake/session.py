@@ -15,7 +15,7 @@ def local_session(app: str = "trajlake", cpus: int | str = 8, memory: str = "8g"
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("TRAJLAKE_ZONE", "UTC"))
         .config("spark.driver.memory", os.environ.get("TRAJLAKE_MEMORY", memory))
         .config("spark.ui.enabled", "false")
         # Test data is small: let even little shuffles keep all cores busy.

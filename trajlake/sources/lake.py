@@ -14,7 +14,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.functions.clock import MICROS, floor_div, format_ts, micros, parse_ts, trunc_ms
+from trajlake.functions.clock import MICROS, floor_div, format_ts, instant, micros, parse_ts, trunc_ms
 from trajlake.operators.asof import floor_times
 from trajlake.operators.trajectory import chunk_parts, head_of_parts, object_ids, stats_of_parts
 from trajlake.schema import MANIFEST
@@ -116,10 +116,10 @@ def read_lake(
     cut = 999 if head["format"] == "csv" else 0
     if start is not None:
         first = (_since_1970(start) - head["origin_us"]) // length
-        rows = rows.where((F.col("chunk") >= first) & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")))
+        rows = rows.where((F.col("chunk") >= first) & (F.col("timestamp") >= instant(start)))
     if end is not None:
         last = (_since_1970(end) + cut - head["origin_us"]) // length
-        rows = rows.where((F.col("chunk") <= last) & (F.col("timestamp") <= F.lit(end).cast("timestamp_ntz")))
+        rows = rows.where((F.col("chunk") <= last) & (F.col("timestamp") <= instant(end)))
     return rows
 
 
