@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from trajlake.functions.clock import MICROS, floor_div, from_micros, micros
 from trajlake.operators.events import mentions
 from trajlake.operators.motion import STEP_MAX, STEP_MIN, STUCK_RATIO, STUCK_ROWS
+from trajlake.operators.proximity import OFFSETS
 
 DEFAULT_LATENESS = "10 minutes"
 
@@ -95,11 +96,14 @@ def window_totals(parts: DataFrame) -> DataFrame:
     )
 
 
-def live_contacts(left: DataFrame, right: DataFrame, distance: float, *, lateness: str = DEFAULT_LATENESS) -> DataFrame:
+def live_contacts(
+    left: DataFrame, right: DataFrame, distance: float, *, salts: int = 4, lateness: str = DEFAULT_LATENESS
+) -> DataFrame:
     """Contacts per frame as a stream-stream join of two readings of the same stream.
 
     Joined on instant and grid cell, like the batch operator; both sides keep state only as long
-    as the watermark allows.
+    as the watermark allows. Which cells will be crowded is not known ahead in a stream, so every cell is
+    spread over ``salts`` groups: a row waits in one of them and visits all.
     """
     side = F.lit(float(distance))
 
@@ -110,14 +114,14 @@ def live_contacts(left: DataFrame, right: DataFrame, distance: float, *, latenes
             .withColumn("cv", F.floor(F.col("z") / side))
         )
 
-    offsets = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
     home = cells(left).select(
-        "timestamp", "cu", "cv", F.col("objid").alias("o1"), F.col("x").alias("x1"), F.col("z").alias("z1")
+        "timestamp", "cu", "cv", F.pmod(F.xxhash64("objid"), F.lit(salts)).alias("salt"), F.col("objid").alias("o1"), F.col("x").alias("x1"), F.col("z").alias("z1")
     )
     visiting = (
         cells(right)
-        .withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])))
+        .withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in OFFSETS])))
         .select(
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt_2"),
             F.col("timestamp").alias("timestamp_2"),
             (F.col("cu") - F.col("o.i")).alias("cu_2"),
             (F.col("cv") - F.col("o.j")).alias("cv_2"),
@@ -133,6 +137,7 @@ def live_contacts(left: DataFrame, right: DataFrame, distance: float, *, latenes
         (F.col("timestamp") == F.col("timestamp_2"))
         & (F.col("cu") == F.col("cu_2"))
         & (F.col("cv") == F.col("cv_2"))
+        & (F.col("salt") == F.col("salt_2"))
         & (du * du + dv * dv < side * side)
         & (F.col("o1") != F.col("o2"))
         & (~F.col("own") | (F.col("o1") < F.col("o2"))),
