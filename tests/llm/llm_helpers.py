@@ -29,7 +29,7 @@ def shingle_set(text, n):
 
 
 def jaccard_groups(docs, n, percent):
-    """Set sizes and the smallest id of each group, over all pairs."""
+    """Set sizes, the smallest id of each group, and the group, over all pairs."""
     sets = [shingle_set(t, n) for _, t in docs]
     parent = list(range(len(docs)))
 
@@ -47,7 +47,7 @@ def jaccard_groups(docs, n, percent):
         root = find(i)
         if key is not None:
             least[root] = min(least.get(root, sys.maxsize), key)
-    return [len(s) for s in sets], [least.get(find(i)) for i in range(len(docs))]
+    return [len(s) for s in sets], [least.get(find(i)) for i in range(len(docs))], [find(i) for i in range(len(docs))]
 
 
 def waterfill(size, weights, most):

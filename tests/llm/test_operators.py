@@ -198,7 +198,7 @@ def test_near_duplicates(spark, odd, often, monkeypatch):
         monkeypatch.setattr(minhash_dedup, "IN_CHUNK", 2)
     got = registry.QUERIES["op4_minhash_dedup"](spark, odd).collect()
     docs = odd_documents()
-    sizes, least = jaccard_groups([(i, t) for i, t, _ in docs], minhash_dedup.SHINGLE, minhash_dedup.PERCENT)
+    sizes, least, _ = jaccard_groups([(i, t) for i, t, _ in docs], minhash_dedup.SHINGLE, minhash_dedup.PERCENT)
     want = [(i, n, c, i == c) for (i, _, _), n, c in zip(docs, sizes, least, strict=True)]
     assert sorted(map(some, got)) == sorted(map(some, want))
 
@@ -220,7 +220,7 @@ def test_groups_of_edited_copies(spark, tmp_path):
         rows.append((9000 + i, " ".join(chain)))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.component_id for r in registry.QUERIES["op4_minhash_dedup"](spark, str(tmp_path)).collect()}
-    _, least = jaccard_groups(rows, 5, 85)
+    _, least, _ = jaccard_groups(rows, 5, 85)
     assert got == {i: c for (i, _), c in zip(rows, least, strict=True)}
     assert len(set(least)) < len(rows) - 100
 
