@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = written(lists.where("low <> high").select("value"), "shared")
     posts = posts.hint("merge").join(shared.hint("merge"), "value").groupBy("value", "mark", "n").agg(F.min("i").alias("i"))
     posts = written(posts, "postings")
-    groups = each.where("n > 0").groupBy("mark", "n").agg(F.min("row").alias("node"))
+    # Tables, here and below, so that joins deal out both sides and can split a large group of copies.
+    groups = written(each.where("n > 0").groupBy("mark", "n").agg(F.min("row").alias("node")), "groups")
     named = written(posts.join(groups, ["mark", "n"]).select("value", "node", "n", "i"), "lists")
     wanted = named.select("node").distinct()
     packed = rows.select(F.col("row").alias("node"), "text").mapInArrow(_packed, "node long, packed binary")
@@ -245,9 +246,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     second = links(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), marks, packed)
     found = written(components(first.unionAll(second)), "components")
     nodes = groups.join(found, "node", "left").select("mark", "n", F.coalesce("component", "node").alias("component"))
+    nodes = written(nodes, "nodes")
     grouped = each.select("row", "doc_id", "n", "mark").join(nodes, ["mark", "n"], "left")
     grouped = written(grouped.withColumn("component", F.coalesce("component", "row")), "grouped")
     facts = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"))
+    facts = written(facts, "facts")
     return grouped.join(facts, "component").select(
         "row", "doc_id", F.col("n").alias("n_shingles"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("f.row")).alias("first"),
