@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import table
+from trajlake.llm.text import table, written
 from trajlake.session import new_folder
 
 #: Payloads of fewer bytes are never replaced by a revisit.
@@ -86,7 +86,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     mark = F.when(F.length(payload) >= least_bytes, F.sha2(payload, 256))
     marked = pages.select("page_id", "url", "html", mark.alias("mark"))
-    firsts = marked.where("mark is not null").groupBy("mark").agg(F.min("page_id").alias("first"))
+    # As a table, so that the join deals out both sides and can split a payload that very many pages have.
+    firsts = written(marked.where("mark is not null").groupBy("mark").agg(F.min("page_id").alias("first")), "firsts")
     out = marked.join(firsts, "mark", "left")
     revisit = F.coalesce(F.col("first") != F.coalesce(F.col("page_id"), F.col("first") + 1), F.lit(False))
     return out.select("page_id", "url", "html", "first", revisit.alias("revisit"))
