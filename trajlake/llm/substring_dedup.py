@@ -409,7 +409,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     whole = F.lit((1 << CHOICE) - 1).alias("mask")
     same = found.where("not several").select("row", "at", whole)
     repeats = passages.where("n > 1").select("seed", "around")
-    met = several.join(repeats, ["seed", "around"], "left_semi").select("row", "at", whole)
+    # A passage is in there once, so this adds no rows.
+    met = several.join(repeats, ["seed", "around"]).select("row", "at", whole)
     marks = same.unionAll(met).unionAll(few).unionAll(many).groupBy("row").agg(F.collect_list(F.struct("at", "mask")).alias("found"))
     ready = packed.join(marks, "row", "left").select("doc_id", "packed", "found")
     return ready.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
