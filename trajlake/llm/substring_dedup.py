@@ -120,8 +120,18 @@ def _found(rows: list[int], sizes: list[int], hashes: np.ndarray, powers: Powers
     # Passages cut off by a text's ends are told apart by where the seed lies in them.
     shape = ((at - low) * 64 + (high - at)).astype(np.uint64)
     around = mixed(whole + shape * np.uint64(_P1))
-    arrays = [np.asarray(rows)[of], (at - begin).astype(np.int32), gram[at].view(np.int64), around.view(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["row", "at", "seed", "around"])
+    # Periodic texts have the same seed and passage at very many places: one row for each text.
+    place, seed = (at - begin).astype(np.int32), gram[at].view(np.int64)
+    order = np.lexsort((place, around, seed, of))
+    of, place, seed, around = of[order], place[order], seed[order], around[order].view(np.int64)
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (seed[1:] != seed[:-1]) | (around[1:] != around[:-1])
+    first = np.flatnonzero(new)
+    others = np.diff(np.append(first, len(of))) - 1
+    offsets = np.append(0, np.cumsum(others)).astype(np.int32)
+    more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[~new]), mask=pa.array(others == 0))
+    arrays = [pa.array(np.asarray(rows)[of[first]]), pa.array(place[first]), more, pa.array(seed[first]), pa.array(around[first])]
+    return pa.RecordBatch.from_arrays(arrays, ["row", "at", "more", "seed", "around"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,9 +363,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cover = np.zeros(len(words) + 1, np.int32)
             for f in found.as_py() or ():
                 if f["mask"] == everything:
-                    low, high = max(0, f["at"] - CHOICE + 1), min(f["at"] + WINDOW, len(words))
-                    cover[low] += 1
-                    cover[high] -= 1
+                    at = np.array([f["at"], *(f["more"] or ())])
+                    np.add.at(cover, np.maximum(0, at - CHOICE + 1), 1)
+                    np.add.at(cover, np.minimum(at + WINDOW, len(words)), -1)
                 else:
                     for start in spans(f["mask"], f["at"], len(words)):
                         cover[start] += 1
@@ -380,15 +390,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     words ``kept``. Texts of fewer words than a window are kept; a null text is empty.
     """
     rows = docs.select("row", "doc_id", "text")
-    anchors = written(rows.select("row", "text").mapInArrow(_anchors, "row long, at int, seed long, around long"), "anchors")
-    again = anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
+    anchors = written(rows.select("row", "text").mapInArrow(_anchors, "row long, at int, more array<int>, seed long, around long"), "anchors")
+    places = F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1))
+    again = anchors.groupBy("seed").agg(places.alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
     # As a table, so that the join deals out both sides and can split a seed that very many texts have.
     again = written(again.select("seed", (F.col("low") != F.col("high")).alias("several")), "again")
     found = anchors.join(again, "seed")
     # Everything below starts from this table: the places of repeated seeds.
-    found = written(found.select("row", "at", "seed", "around", "several"), "seeds")
+    found = written(found.select("row", "at", "more", "seed", "around", "several"), "seeds")
     several = found.where("several")
-    passages = several.groupBy("seed", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("place"))
+    passages = several.groupBy("seed", "around").agg(places.alias("n"), F.min(F.struct("row", "at")).alias("place"))
     passages = written(passages, "passages")
     sizes = passages.groupBy("seed").agg(F.count(F.lit(1)).alias("size"))
     wanted = passages.join(sizes, "seed").select(
@@ -407,11 +418,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     twice = windows.groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").select("one", "two")
     many = windows.join(twice, ["one", "two"]).select("row", "at", "mask")
     whole = F.lit((1 << CHOICE) - 1).alias("mask")
-    same = found.where("not several").select("row", "at", whole)
+    same = found.where("not several").select("row", "at", "more", whole)
     repeats = passages.where("n > 1").select("seed", "around")
     # A passage is in there once, so this adds no rows.
-    met = several.join(repeats, ["seed", "around"]).select("row", "at", whole)
-    marks = same.unionAll(met).unionAll(few).unionAll(many).groupBy("row").agg(F.collect_list(F.struct("at", "mask")).alias("found"))
+    met = several.join(repeats, ["seed", "around"]).select("row", "at", "more", whole)
+    single = few.unionAll(many).select("row", "at", F.lit(None).cast("array<int>").alias("more"), "mask")
+    marks = same.unionAll(met).unionAll(single).groupBy("row").agg(F.collect_list(F.struct("at", "more", "mask")).alias("found"))
     ready = packed.join(marks, "row", "left").select("doc_id", "packed", "found")
     return ready.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
