@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import byte_words, kth_largest, table, texts_of, unpacked, with_id, written
+from trajlake.llm.text import byte_words, kth_largest, table, texts_of, unpacked, with_id, with_row, written
 
 #: Words per shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 85
@@ -263,7 +263,7 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows without doc_id are kept only in groups where none has one; rows that repeat the group's
     smallest doc_id are all kept. An empty table gives no rows.
     """
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    docs = with_row(table(spark, sf_dir, "documents", "doc_id", "text"))
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 

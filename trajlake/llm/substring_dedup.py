@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import byte_words, table, texts_of, written
+from trajlake.llm.text import byte_words, table, texts_of, with_row, written
 
 #: Words per window, and per seed.
 WINDOW, SEED = 35, 16
@@ -433,5 +433,5 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Repeated rows are documents of their own, so their windows repeat. An empty table gives no rows.
     """
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    docs = with_row(table(spark, sf_dir, "documents", "doc_id", "text"))
     return dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")

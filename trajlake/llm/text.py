@@ -47,12 +47,23 @@ def texts_of(column: pa.Array) -> Iterator[bytes | None]:
         yield x.as_py()
 
 
-def with_id(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns of ``docs`` in a struct, so that no name clashes) and ``id``, a row's own number.
+def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs``, a table read from files, with each row's own number: that of its file and its place there.
 
-    ``docs`` is a table read from files: its splits and so the numbers are the same in every use.
+    Unlike numbers by partition these stay the same when a table is read again in other splits, as
+    happens when executors come or go. The files are listed on the driver, as any scan lists them.
     """
-    return docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _number long")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    found = placed.join(F.broadcast(numbers), "_file")
+    return found.select(*docs.columns, (F.col("_number") * F.lit(1 << 40) + F.col("_index")).alias(name))
+
+
+def with_id(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs`` in a struct, so that no name clashes) and ``id`` by ``with_row``."""
+    columns = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return with_row(docs.select(columns), "id")
 
 
 def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
