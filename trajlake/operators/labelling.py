@@ -86,14 +86,17 @@ def _through(early: np.ndarray, leaving: np.ndarray, state: np.ndarray, rule: tu
     return after
 
 
-def collision_rows(flagged: DataFrame, *, stuck_rows: int, wall_rows: int, cooldown: float, bucket_seconds: float = 3600) -> DataFrame:
+def collision_rows(flagged: DataFrame, *, stuck_rows: int, wall_rows: int, cooldown: float, bucket_seconds: float | None = None) -> DataFrame:
     """``objid``, ``timestamp`` and ``kind`` of every label, from rows with the flags ``stuck`` and ``near``.
 
     A row counts as stuck or not, unless the last position is forgotten. At ``stuck_rows`` in a row the
     object is blocked, and its wall counter stands still; else at ``wall_rows`` in a row it hugs the
     wall. Either is labelled unless the last label is less than ``cooldown`` seconds old; a label sets
     both counters to 0 and forgets the position. Counters that cannot be labelled yet keep standing.
+    Pieces are ``bucket_seconds`` long, by default an hour or 64 cooldowns, whichever is longer; the
+    length is a matter of speed only.
     """
+    bucket_seconds = bucket_seconds or max(3600.0, 64 * cooldown)
     rule = (stuck_rows, wall_rows, round(cooldown * MICROS))
     flag = F.when(F.col("stuck"), 1).otherwise(0) + F.when(F.col("near"), 2).otherwise(0)
     rows = flagged.select("objid", micros("timestamp").alias("_m"), flag.cast("bigint").alias("_f"))
@@ -136,7 +139,10 @@ def collision_rows(flagged: DataFrame, *, stuck_rows: int, wall_rows: int, coold
         return group.assign(_start=starts)[["objid", "_piece", "_start"]]
 
     up = F.expr(f"_piece div {FAN}").alias("_up")
-    stages = [gathered.withColumn("_t", tables("_ms", "_fs")).select("objid", "_piece", "_t.early", "_t.leaving")]
+    # Objects with a single piece begin fresh; only the others are chained.
+    several = gathered.groupBy("objid").agg(F.count("*").alias("_n")).where("_n > 1").select("objid")
+    chained = gathered.join(several, "objid", "left_semi")
+    stages = [chained.withColumn("_t", tables("_ms", "_fs")).select("objid", "_piece", "_t.early", "_t.leaving")]
     for _ in range(levels - 1):
         stages.append(stages[-1].select("*", up).groupBy("objid", "_up").applyInPandas(compose, schema))
     fresh = F.array(*[F.lit(v).cast("bigint") for v in _FRESH])
@@ -157,6 +163,7 @@ def collision_rows(flagged: DataFrame, *, stuck_rows: int, wall_rows: int, coold
             out.append(found)
         return pd.Series(out, dtype=object)
 
-    hits = gathered.join(starts, ["objid", "_piece"]).select("objid", F.explode(labelled("_ms", "_fs", "_start")).alias("h"))
+    begun = gathered.join(starts, ["objid", "_piece"], "left").withColumn("_start", F.coalesce("_start", fresh))
+    hits = begun.select("objid", F.explode(labelled("_ms", "_fs", "_start")).alias("h"))
     kind = F.when(F.col("h.kind") == 1, "stuck").otherwise("wall").alias("kind")
     return hits.select("objid", from_micros("h.m").alias("timestamp"), kind)
