@@ -422,6 +422,25 @@ def test_edited_copies(spark):
     assert {(r.doc_id, r.item_id) for r in found} == hit
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    """An exact copy of the item elsewhere hides no edited one, whichever words the edits left."""
+    rng = np.random.default_rng(9)
+    pick = lambda n: [f"v{w}" for w in rng.integers(0, 5000, n)]
+    items = [(i, " ".join(pick(40))) for i in range(30)]
+    docs, hit = [], set()
+    for i, t in items:
+        for k, every in enumerate([0, 4, 5, 6]):
+            copy = t.split(" ")
+            for p in range(3, 40, every) if every else []:
+                copy[p] = f"edit{k}"
+            docs.append((10 * i + k, " ".join(pick(60) + copy + pick(60))))
+            hit.add((10 * i + k, i))
+    found = decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == hit
+
+
 def test_alignment():
     rng = np.random.default_rng(8)
     a = [rng.integers(0, 4, rng.integers(1, 12)) for _ in range(40)]

@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 One pass over the texts finds the places that may hold an n-gram of a test item (a bit filter of fixed
-size) and keeps the words around them. Exact joins then tell real hits, and count how often each
-n-gram occurs in the corpus. Of every few successive n-grams of an item the rarest is a seed. Passages
-that share a seed with an item are aligned with it word by word; edited copies keep a high score.
+size) and keeps the words around them. An exact join then tells real hits. Each n-gram of an item is a
+seed: passages that hold one are aligned with the item word by word, whatever other copies the corpus
+holds; edited copies keep a high score.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.llm.text import table, unpacked, with_id, written
 
-#: Words per seed, and successive n-grams of which the rarest becomes one.
-GRAM, AMONG = 3, 4
+#: Words per seed.
+GRAM = 3
 #: Bits of the filter: its size whatever the benchmark's. A full filter only makes more work.
 FILTER_BITS = 1 << 24
 #: Words kept on either side of a hit, besides the longest item's length.
@@ -191,11 +191,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", least_s
     found = written(found.withColumn("stretch", F.monotonically_increasing_id()), "passages")
     hits = found.select("stretch", F.explode(F.arrays_zip("places", "grams")).alias("h"))
     hits = hits.select("stretch", F.col("h.places").alias("place"), F.col("h.grams").alias("gram"))
-    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # Of those that occur at all: what an edit broke must not stand for its neighbours.
-    rank = F.row_number().over(Window.partitionBy("item_id", "block").orderBy("n", "at"))
-    rare = item.join(counts, "gram").withColumn("block", F.expr(f"at div {AMONG}")).withColumn("rank", rank)
-    seeds = rare.where("rank = 1").select("item_id", "words", "at", "gram")
+    # Every n-gram of an item is a seed: a rarer one elsewhere in the corpus must not stand for one that an edited copy kept.
+    seeds = item.select("item_id", "words", "at", "gram")
     near = hits.join(seeds, "gram").withColumn("offset", F.col("place") - F.col("at"))
     bands = near.groupBy("stretch", "item_id", "words", F.floor(F.col("offset") / OFFSET).alias("band")).agg(
         F.min("offset").alias("low"), F.max("offset").alias("high")
