@@ -441,6 +441,17 @@ def test_edited_copies_beside_exact_ones(spark):
     assert {(r.doc_id, r.item_id) for r in found} == hit
 
 
+def test_texts_of_one_item(spark):
+    """Each text of an item is found, however rare the other's words are."""
+    rng = np.random.default_rng(10)
+    pick = lambda n: " ".join(f"v{w}" for w in rng.integers(0, 5000, n))
+    often, rare = pick(40), pick(40)
+    docs = [(i, f"{pick(50)} {often} {pick(50)}") for i in range(3)] + [(3, f"{pick(50)} {rare}"), (4, pick(100))]
+    items = spark.createDataFrame([(0, often), (0, rare)], "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in found} == {(i, 0, 1.0) for i in range(4)}
+
+
 def test_alignment():
     rng = np.random.default_rng(8)
     a = [rng.integers(0, 4, rng.integers(1, 12)) for _ in range(40)]

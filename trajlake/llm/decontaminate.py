@@ -65,7 +65,7 @@ def grams(words: list[str], known: WordHash, n: int = GRAM) -> np.ndarray:
 
 
 def item_grams(items: DataFrame) -> DataFrame:
-    """``item``, its number of words, and its n-grams: ``gram`` at ``at``. A short item is one n-gram."""
+    """``item``, its number of words, and its n-grams: ``gram`` at ``at``. A shorter item has none."""
 
     @F.pandas_udf("words int, grams array<long>")
     def split(texts: pd.Series) -> pd.DataFrame:
