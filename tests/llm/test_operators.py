@@ -392,6 +392,59 @@ def test_exchange_gain():
         assert abs(best - likelihood(grid(moved))) < 1e-6
 
 
+def test_placed_class():
+    """The class of a word left to an ending is the one that ``best_class`` finds."""
+    rng = np.random.default_rng(11)
+    size = class_lm.ALL
+    for _ in range(20):
+        kinds = rng.integers(0, size, 30)
+        pairs = rng.integers(0, 5, (30, 30)) * rng.integers(0, 2, (30, 30))
+        own = kinds[0] = class_lm.CLASSES + 1 + rng.integers(class_lm.ENDINGS)
+        grid, after, before = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+        np.add.at(grid, (kinds[:, None], kinds[None, :]), pairs)
+        np.add.at(after, kinds, pairs[0])
+        np.add.at(before, kinds, pairs[:, 0])
+        want, _ = class_lm.best_class(int(own), after, before, pairs[0, 0], grid)
+        assert class_lm.placed_class(int(own), after, before, pairs[0, 0], grid, grid.sum(axis=1), grid.sum(axis=0)) == want
+
+
+@pytest.mark.parametrize("held", [200_000, 30])
+def test_every_frequent_word_has_a_class(spark, held, monkeypatch):
+    """Words past the first ones are clustered too, and scores are those of all words' classes."""
+    monkeypatch.setattr(class_lm, "HELD", held)
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{min(int(x), 9000)}" for x in rng.zipf(1.3, 400))) for i in range(150)] + [(900, None)]
+    rows += [(1000 + i, " ".join(f"k{(i * 300 + k) % 6000}" for k in range(300))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = class_lm.train(docs)
+    named = {r.word: (r.n, r.kind) for r in counts.collect()}
+    frequent = {w for w, (n, _) in named.items() if n >= 3}
+    assert len(frequent) > class_lm.CLUSTERED and all(named[w][1] < class_lm.CLASSES for w in frequent)
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    end = class_lm.END
+
+    def kinds(t):
+        ending = lambda w: class_lm.CLASSES + 1 + zlib.crc32(w[-1:].encode()) % class_lm.ENDINGS
+        return [end, *(named[w][1] if w in named else ending(w) for w in words(t)), end]
+
+    grid = np.zeros((class_lm.ALL, class_lm.ALL))
+    for i, t in rows:
+        line = kinds(t)
+        if not out(i):
+            np.add.at(grid, (line[:-1], line[1:]), 1)
+    assert (model.mass[: class_lm.CLASSES] == grid.sum(axis=0)[: class_lm.CLASSES]).all()
+    want = {}
+    for i, t in rows:
+        line = kinds(t)
+        score = model.steps[line[:-1], line[1:]].sum()
+        for w in words(t):
+            n, kind = named.get(w, (0, kinds(w)[1]))
+            score += math.log10((n + (kind > end)) / model.mass[kind])
+        want[i] = score
+    got = {r.doc_id: r.score for r in class_lm.score(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 # ---- 8 ------------------------------------------------------------------------------------
 
 

@@ -2,11 +2,13 @@
 
 Exchange clustering puts the most frequent words into classes: in each round every word looks for the
 class that would raise the likelihood of the class bigrams most, all words at once, and those that gain
-most move. Other words fall into classes by their ending. A text's probability is the product of
-smoothed class transitions and word emissions, its end included.
+most move. Every other word that occurs ``LEAST`` times joins the class that raises the likelihood most next to
+these, however many such words there are: their neighbours' classes are counted, and their classes found,
+as tables. Rarer words, which stand for those never seen, fall into classes by their ending. A text's
+probability is the product of smoothed class transitions and word emissions, its end included.
 
 Word counts cover all training text. The most frequent words, so many and so long at most, go to all
-tasks; the others meet their counts in a join.
+tasks; the others meet their counts and classes in a join.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from trajlake.llm.text import byte_words, kth_largest, table, texts_of, written
 
-#: Words that are clustered, and their classes.
+#: Words that are clustered in rounds, and the classes.
 CLUSTERED, CLASSES = 4000, 64
+#: Other words that occur so often at least join the class they gain most by.
+LEAST = 3
 #: Classes of the other words.
 ENDINGS = 16
 #: Words, of so many bytes at most, whose counts every task holds.
@@ -42,6 +46,10 @@ END = CLASSES
 ALL = CLASSES + 1 + ENDINGS
 #: Word numbers in pairs: 0 is the end, then clustered words, then one for each ending.
 NUMBERS = 1 + CLUSTERED + ENDINGS
+#: What is counted next to a word: classes after it, classes before it, repetitions.
+KINDS = 2 * ALL + 1
+#: In a line: a word whose class a join will tell.
+OPEN = 255
 
 
 def words(data: bytes | None) -> list[bytes]:
@@ -82,6 +90,31 @@ class Numbers(dict):
         return -1 - zlib.crc32(word[-1:]) % ENDINGS
 
 
+class Others(Numbers):
+    """Word -> its number among the first ones, or ``NUMBERS`` and more: its place in ``found``, which grows."""
+
+    def __init__(self, first) -> None:
+        super().__init__(first)
+        self.first, self.found = dict(self), []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = NUMBERS + len(self.found)
+        self.found.append(word)
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.update(self.first)
+        self.found = []
+
+
+class Unheld(dict):
+    """Word -> its number among the held ones (1, 2, ..), or -1."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def ending(word: Column) -> Column:
     """The class number of a word's last byte among the endings."""
     return F.pmod(F.crc32(F.substring(word.cast("binary"), -1, 1)), F.lit(ENDINGS)).cast("int")
@@ -138,7 +171,11 @@ def _class_pairs(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    sums = pairs.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    return _grid(pairs.mapInArrow(count, "cell long, n long"))
+
+
+def _grid(cells: DataFrame) -> np.ndarray:
+    sums = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(ALL * ALL)
     out[sums["cell"].to_numpy(np.int64)] = sums["n"]
     return out.reshape(ALL, ALL)
@@ -228,10 +265,108 @@ def exchange(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
     return classes, grid
 
 
+def contexts(texts: DataFrame, held: list[str], classes: np.ndarray) -> DataFrame:
+    """For each ``word`` not among the first: how often (``ns``) each class is next to it (``kinds``).
+
+    Kinds are classes after it, classes before it, repetitions. A word has one row for each task that
+    gathers it. ``classes`` are those of ``exchange``.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((held[:CLUSTERED], classes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, names = shared.value
+        others = Others((w.encode(), i + 1) for i, w in enumerate(first))
+        codes, sums, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merge() -> None:
+            nonlocal codes, sums, waiting, size
+            line = np.concatenate(waiting)
+            kind = np.concatenate([names, np.array([CLASSES - Numbers()[w] for w in others.found], np.int64)])[line]
+            at = np.flatnonzero(line >= NUMBERS)
+            own = (line[at] - NUMBERS) * KINDS
+            new = [own + kind[at + 1], own + ALL + kind[at - 1], own[line[at] == line[at + 1]] + 2 * ALL]
+            new, n = np.unique(np.concatenate(new), return_counts=True)
+            both, place = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            total = np.bincount(place, weights=np.concatenate([sums, n]), minlength=len(both)).astype(np.int64)
+            codes, sums, waiting, size = both, total, [], 0
+
+        def out() -> pa.RecordBatch:
+            word, kind = np.divmod(codes, KINDS)
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            cuts = pa.array(np.append(begin, len(word)).astype(np.int32))
+            found = pa.array([others.found[i] for i in word[begin]], pa.binary()).cast(pa.string())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(t))) for x, t in ((kind, np.int16), (sums, np.int64))]
+            return pa.RecordBatch.from_arrays([found, *lists], ["word", "kinds", "ns"])
+
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                found = words(text)
+                line = np.zeros(len(found) + 2, np.int64)
+                line[1:-1] = np.fromiter(map(others.__getitem__, found), np.int64, len(found))
+                waiting.append(line)
+                size += len(line)
+                if size > 2_000_000 or len(others.found) > GATHERED:
+                    merge()
+                    if len(codes) > GATHERED_PAIRS or len(others.found) > GATHERED:
+                        yield out()
+                        codes, sums = codes[:0], sums[:0]
+                        others.forget()
+        if waiting:
+            merge()
+        yield out()
+
+    return texts.mapInArrow(count, "word string, kinds array<short>, ns array<long>")
+
+
+def placed_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, grid: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> int:
+    """The class of ``best_class`` for a word whose own class is an ending; work goes by the classes next to it.
+
+    ``rows`` and ``cols`` are the sums of ``grid``.
+    """
+    s, p = after.copy(), before.copy()
+    s[own] -= twice
+    p[own] -= twice
+    a, b = np.flatnonzero(s), np.flatnonzero(p)
+    g, h = grid[:CLASSES, a], grid[b, :CLASSES]
+    g[:, a == own] -= p[:CLASSES, None]
+    h[b == own, :] -= s[None, :CLASSES]
+    gain = (_xlogx(g + s[a]) - _xlogx(g)).sum(axis=1) + (_xlogx(h + p[b, None]) - _xlogx(h)).sum(axis=0)
+    d, s0, p0 = np.diag(grid)[:CLASSES], s[:CLASSES], p[:CLASSES]
+    gain += _xlogx(d + s0 + p0 + twice) + _xlogx(d) - _xlogx(d + s0) - _xlogx(d + p0)
+    r, c = rows[:CLASSES], cols[:CLASSES]
+    gain -= _xlogx(r + s.sum() + twice) - _xlogx(r) + _xlogx(c + p.sum() + twice) - _xlogx(c)
+    return int(np.argmax(gain))
+
+
+def placed(found: DataFrame, grid: np.ndarray) -> DataFrame:
+    """``word`` and ``kind``: the class that each word of ``contexts`` gains most by, if it occurs ``LEAST`` times."""
+    shared = found.sparkSession.sparkContext.broadcast(grid)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = shared.value
+        rows, cols = grid.sum(axis=1), grid.sum(axis=0)
+        for batch in batches:
+            names, kinds = [], []
+            for word, of, ns in zip(*batch.columns, strict=True):
+                at, n = of.values.to_numpy(), ns.values.to_numpy()
+                if n[at < ALL].sum() < LEAST:
+                    continue
+                counts = np.bincount(at, n, minlength=KINDS)
+                own = CLASSES - Numbers()[word.as_py().encode()]
+                names.append(word.as_py())
+                kinds.append(placed_class(own, counts[:ALL], counts[ALL : 2 * ALL], counts[-1], grid, rows, cols))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.int32())], ["word", "kind"])
+
+    each = found.groupBy("word").agg(F.collect_list(F.struct("kinds", "ns")).alias("p"))
+    each = each.select("word", F.flatten("p.kinds").alias("kinds"), F.flatten("p.ns").alias("ns"))
+    return each.mapInArrow(place, "word string, kind int")
+
+
 @dataclass
 class Model:
     held: list[str]
     counts: np.ndarray
+    #: Classes of the end and of the held words.
     classes: np.ndarray
     #: log10 of a class after a class.
     steps: np.ndarray
@@ -241,101 +376,159 @@ class Model:
     distinct: int
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the rows of ``docs`` (doc_id, text) that are not held out, and all words' counts."""
-    texts = docs.where(~held_out(F.col("doc_id"))).select("text")
-    counts = written(word_counts(texts), "words")
-    sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    rows = texts.count()
-    short = counts.where(F.octet_length("word") <= HELD_BYTES)
-    # One more than are held, so that words as frequent as that one stay out and the bound holds.
-    limit = kth_largest(short, "n", HELD + 1)
-    top = (short if limit is None else short.where(F.col("n") > limit)).toPandas()
-    top = top.sort_values(["n", "word"], ascending=[False, True])
-    held, n = list(top["word"]), top["n"].to_numpy(np.int64)
-    pairs = written(pair_counts(texts, held), "pairs")
-    classes, grid = exchange(pairs)
-    total = grid.sum(axis=0)
-    # What is left of each ending when the clustered words are taken away.
-    clustered = counts.sparkSession.createDataFrame([(w,) for w in held[:CLUSTERED]], "word string")
-    rest = counts.join(F.broadcast(clustered), "word", "left_anti").groupBy(ending(F.col("word")).alias("e")).agg(F.count(F.lit(1)).alias("v"))
-    mass = total.copy()
-    mass[CLASSES + 1 :] += 1
-    for r in rest.collect():
-        mass[CLASSES + 1 + r["e"]] += r["v"]
-    share = (total + 1) / (total.sum() + ALL)
-    steps = np.log10((grid + SMOOTHING * share[None, :]) / (grid.sum(axis=1, keepdims=True) + SMOOTHING))
-    model = Model(held, n, classes, steps, mass, int(sums[0] or 0) + rows, int(sums[1] or 0) + bool(rows))
-    return model, counts
-
+def class_lines(docs: DataFrame, named: DataFrame, held: list[str], n: np.ndarray, classes: np.ndarray, facts: tuple[int, int, int]) -> DataFrame:
+    """Every document's words as classes (``line``, a byte each, the end first and last), and what its words' counts tell.
 
-def parts(docs: DataFrame, model: Model) -> DataFrame:
-    """What a document's own words and the held counts tell: one row each.
-
-    ``base`` and ``score`` lack log10(count + 1) of the words in ``rare``, which are not held.
+    ``emit`` is log10 of the emissions without their classes' mass. ``named`` holds the classes of all words;
+    those of the held ones go to all tasks, the others meet theirs in a join. ``facts``: training texts,
+    tokens, distinct words.
     """
-    ends = docs.where(~held_out(F.col("doc_id"))).count()
-    shared = docs.sparkSession.sparkContext.broadcast((model, ends))
+    shared = docs.sparkSession.sparkContext.broadcast((held, n, classes, facts))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, n_ends = shared.value
-        numbers = Numbers((w.encode(), i + 1) for i, w in enumerate(m.held))
-        last = len(m.held)
-        # By number, endings from the back: class, log10(count + 1), and log10 of the emission without that of rare words.
-        kind, known, emit = np.zeros(last + 1 + ENDINGS, np.int64), np.zeros(last + 1 + ENDINGS), np.zeros(last + 1 + ENDINGS)
-        clustered = min(last, CLUSTERED)
-        kind[0], known[0] = END, np.log10(n_ends + 1)
-        kind[1 : clustered + 1] = m.classes[1 : clustered + 1]
-        of_ending = [CLASSES - Numbers()[w.encode()] for w in m.held[clustered:]]
-        kind[clustered + 1 : last + 1] = of_ending
-        kind[last + 1 :] = CLASSES + ENDINGS - np.arange(ENDINGS)
-        known[1 : last + 1] = np.log10(m.counts + 1)
-        emit[1 : clustered + 1] = np.log10(m.counts[:clustered] / np.maximum(m.mass[kind[1 : clustered + 1]], 1))
-        emit[clustered + 1 :] = known[clustered + 1 :] - np.log10(m.mass[kind[clustered + 1 :]])
-        floor = np.log10(m.tokens + m.distinct + 1)
+        held, n, classes, (n_ends, tokens, distinct) = shared.value
+        numbers = Unheld((w.encode(), i + 1) for i, w in enumerate(held))
+        # By number, the words not held at the back.
+        kind = np.append(classes, OPEN).astype(np.uint8)
+        known = np.concatenate([[np.log10(n_ends + 1)], np.log10(n + 1), [0.0]])
+        emit = np.concatenate([[0.0], np.log10(n + (classes[1:] > END)), [0.0]])
+        floor = np.log10(tokens + distinct + 1)
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            names = ["doc_id", "n_tokens", "n_held", "base", "score", "rare", "times"]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            columns = list(zip(*out, strict=True)) or [[]] * 9
             made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            made[5] = made[5].cast(pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays(made, names)
+            made[6] = made[6].cast(pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays(made, ["doc_id", "n_tokens", "n_held", "base", "emit", "line", "rare", "times", "spots"])
 
         for batch in batches:
             for key, text in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
                 found = words(text)
                 line = np.zeros(len(found) + 2, np.int64)
                 line[1:-1] = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-                named = kind[line]
-                score = m.steps[named[:-1], named[1:]].sum() + emit[line[1:]].sum()
-                base = known[line[1:]].sum() - (len(found) + 1) * floor
-                rare = Counter(found[i] for i in np.flatnonzero(line[1:-1] < 0))
+                left = [found[i] for i in np.flatnonzero(line[1:-1] < 0)]
+                rare = Counter(left)
+                place = {w: i for i, w in enumerate(rare)}
                 here = int((line[1:] > 0).sum()) + (n_ends > 0)
-                out.append((key.as_py(), len(found) + 1, here, base, score, list(rare), list(rare.values())))
+                base = known[line[1:]].sum() - (len(found) + 1) * floor
+                spots = [place[w] for w in left]
+                out.append((key.as_py(), len(found) + 1, here, base, emit[line[1:]].sum(), kind[line].tobytes(), list(rare), list(rare.values()), spots))
                 if len(out) >= 500:
                     yield flush()
                     out.clear()
         yield flush()
 
-    schema = "doc_id long, n_tokens long, n_held long, base double, score double, rare array<string>, times array<int>"
-    return docs.select("doc_id", "text").mapInArrow(one, schema)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = []
+            for line, rare, spots, at, kinds in zip(*(batch[c] for c in ("line", "rare", "spots", "at", "kinds")), strict=True):
+                codes = np.frombuffer(line.as_py(), np.uint8)
+                if len(rare):
+                    codes = codes.copy()
+                    of = np.array([CLASSES - Numbers()[w.encode()] for w in rare.as_py()], np.uint8)
+                    if at.is_valid:
+                        of[at.values.to_numpy()] = kinds.values.to_numpy()
+                    codes[codes == OPEN] = of[spots.values.to_numpy()]
+                lines.append(codes.tobytes())
+            kept = [batch[c] for c in ("doc_id", "n_tokens", "n_known", "base", "emit")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lines, pa.binary())], ["doc_id", "n_tokens", "n_known", "base", "emit", "line"])
+
+    schema = "doc_id long, n_tokens long, n_held long, base double, emit double, line binary, rare array<string>, times array<int>, spots array<int>"
+    each = docs.select("doc_id", "text").mapInArrow(one, schema)
+    each = written(each.withColumn("row", F.monotonically_increasing_id()), "scores")
+    rare = each.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("at", "r"))
+    rare = rare.select("row", "at", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    # Words never seen in training add log10(1), that is nothing; they grow unseen by the planner.
+    seen = rare.hint("merge").join(named, "word")
+    emitted = F.col("n") + F.when(F.col("kind") > END, 1).otherwise(0)
+    sums = seen.groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum(F.col("times") * F.log10(emitted)).alias("more_emit"),
+        F.sum("times").alias("seen"), F.collect_list(F.struct("at", "kind")).alias("p"),
+    )
+    full = each.join(sums.hint("merge"), "row", "left").select(
+        "doc_id", "n_tokens", (F.col("n_held") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base"), (F.col("emit") + F.coalesce("more_emit", F.lit(0.0))).alias("emit"),
+        "line", "rare", "spots", F.col("p.at").alias("at"), F.col("p.kind").alias("kinds"),
+    )
+    return full.mapInArrow(fill, "doc_id long, n_tokens long, n_known long, base double, emit double, line binary")
+
+
+def _line_pairs(lines: DataFrame) -> np.ndarray:
+    """Class bigram counts of ``line``, a matrix of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ALL * ALL, np.int64)
+        for batch in batches:
+            for line in texts_of(batch.column(0)):
+                codes = np.frombuffer(line, np.uint8).astype(np.int64)
+                total += np.bincount(codes[:-1] * ALL + codes[1:], minlength=ALL * ALL)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    return _grid(lines.select("line").mapInArrow(count, "cell long, n long"))
+
+
+def trained(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the rows of ``docs`` (doc_id, text) that are not held out, all words' counts and classes, and all rows' lines."""
+    texts = docs.where(~held_out(F.col("doc_id"))).select("text")
+    counts = written(word_counts(texts), "words")
+    sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    rows = texts.count()
+    is_short = F.octet_length("word") <= HELD_BYTES
+    # One more than are held, so that words as frequent as that one stay out and the bound holds.
+    limit = kth_largest(counts.where(is_short), "n", HELD + 1)
+    is_held = is_short if limit is None else is_short & (F.col("n") > limit)
+    top = counts.where(is_held).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    first = list(top["word"][:CLUSTERED])
+    classes, grid = exchange(written(pair_counts(texts, first), "pairs"))
+    others = placed(contexts(texts, first, classes), grid)
+    clustered = counts.sparkSession.createDataFrame([(w, int(c)) for w, c in zip(first, classes[1:], strict=False)], "word string, first int")
+    # Both sides grow with the vocabulary.
+    named = counts.join(F.broadcast(clustered), "word", "left").hint("merge").join(others, "word", "left")
+    kind = F.coalesce("first", "kind", F.lit(CLASSES + 1) + ending(F.col("word")))
+    named = written(named.select("word", "n", kind.alias("kind")), "classes")
+    top = named.where(is_held).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    held, n = list(top["word"]), top["n"].to_numpy(np.int64)
+    classes = np.append(END, top["kind"].to_numpy(np.int64))
+    facts = rows, int(sums[0] or 0) + rows, int(sums[1] or 0) + bool(rows)
+    lines = written(class_lines(docs, named, held, n, classes, facts), "lines")
+    grid = _line_pairs(lines.where(~held_out(F.col("doc_id"))))
+    total = grid.sum(axis=0)
+    # Words left to the endings.
+    mass = total.copy()
+    mass[CLASSES + 1 :] += 1
+    for r in named.where(F.col("kind") > END).groupBy("kind").count().collect():
+        mass[r["kind"]] += r["count"]
+    share = (total + 1) / (total.sum() + ALL)
+    steps = np.log10((grid + SMOOTHING * share[None, :]) / (grid.sum(axis=1, keepdims=True) + SMOOTHING))
+    return Model(held, n, classes, steps, mass, *facts[1:]), named, lines
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the rows of ``docs`` (doc_id, text) that are not held out, and all words' counts and classes."""
+    return trained(docs)[:2]
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (doc_id, text), scored by the model of those not held out."""
-    model, counts = train(docs)
-    each = written(parts(docs, model).withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = each.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    # Words never seen in training add log10(1), that is nothing; they grow unseen by the planner.
-    seen = rare.hint("merge").join(counts, "word").select("row", "times", (F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
-    sums = seen.groupBy("row").agg(F.sum("more").alias("more"), F.sum("times").alias("seen"))
-    more = F.coalesce("more", F.lit(0.0))
-    return each.join(sums.hint("merge"), "row", "left").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
-        (F.col("n_held") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+    model, _, lines = trained(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((model.steps, model.mass))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, mass = shared.value
+        share = np.log10(np.maximum(mass, 1))
+        share[END] = 0.0
+        for batch in batches:
+            codes = [np.frombuffer(x, np.uint8) for x in texts_of(batch["line"])]
+            found = [steps[c[:-1], c[1:]].sum() - share[c[1:]].sum() for c in codes]
+            kept = [batch[c] for c in ("doc_id", "n_tokens", "n_known", "base", "emit")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.float64())], ["doc_id", "n_tokens", "n_known", "base", "emit", "steps"])
+
+    found = lines.mapInArrow(scored, "doc_id long, n_tokens long, n_known long, base double, emit double, steps double")
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), (F.col("emit") + F.col("steps")).alias("score"),
     )
 
 
