@@ -1400,30 +1400,54 @@ def _hourly_stream(spark, sf):
     return fx.as_positions(_event_stream(spark, sf), fx.frame_time())
 
 
-def _late_stream(spark, sf, time, seconds: int):
-    """The events in four files, each a micro-batch; an event is up to so many seconds late."""
-    path = new_folder(spark, "late")
-    e = fx.events(spark, sf)
-    first, last = e.agg(F.min(micros(time)), F.max(micros(time))).first()
-    arrival = micros(time) + F.pmod(F.col("event_id") * 7919, F.lit(seconds)) * MICROS
-    quarter = F.least(F.lit(3), F.floor((arrival - F.lit(first)) / F.lit((last - first) // 4 + 1)))
+def _late_folder(rows, time, order, seconds: int) -> str:
+    """The rows in four files, each a micro-batch; a row is up to so many seconds late, the last ones come first."""
+    path = new_folder(rows.sparkSession, "late")
+    first, last = rows.agg(F.min(micros(time)), F.max(micros(time))).first()
+    arrival = micros(time) + F.pmod(order * 7919, F.lit(seconds)) * MICROS
+    quarter = F.least(F.lit(3), F.floor((arrival - F.lit(first)) / F.lit(((last or 0) - (first or 0)) // 4 + 1)))
     for k in range(4):
-        e.where(quarter == k).orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(quarter == k).orderBy(order.desc()).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _stream_of(spark, path):
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _copy_of_a_row(spark, path, **changed) -> None:
+    """One more file with a row as it comes, but for some columns."""
+    rows = spark.read.parquet(path)
+    row = rows.limit(1).withColumns(changed).select(rows.columns)
+    spark.createDataFrame(row.collect(), rows.schema).coalesce(1).write.mode("append").parquet(path)
+
+
+#: The event whose frame is the closing instant.
+_LAST_EVENT = fx.PER_FRAME * ((jobs.END - dt.datetime(2024, 1, 1)) // dt.timedelta(hours=1))
+
+
+def _late_events(spark, sf, time, seconds: int):
+    """The stream of late events, and what closes it."""
+    path = _late_folder(fx.events(spark, sf), time, F.col("event_id"), seconds)
+
+    def close() -> None:
+        _copy_of_a_row(spark, path, event_id=F.lit(_LAST_EVENT).cast("bigint"), ts=clock.instant(jobs.END))
+
+    return _stream_of(spark, path), close
 
 
 @check(
     "stream_ingest",
     sql(
-        f"""SELECT {ts('timestamp')} AS timestamp, objid, x, y, z, epoch_us(timestamp) // 3600000000 AS chunk FROM traj
-            WHERE timestamp <= (SELECT max(timestamp) FROM traj) - INTERVAL 12 HOUR""",
+        f"SELECT {ts('timestamp')} AS timestamp, objid, x, y, z, epoch_us(timestamp) // 3600000000 AS chunk FROM traj",
         "traj",
     ),
 )
 def stream_ingest(spark, sf):
     path, marks = new_folder(spark, "live"), new_folder(spark, "marks")
-    rows = fx.as_positions(_late_stream(spark, sf, fx.frame_time(), 36000), fx.frame_time())
-    jobs.start_ingest(rows, path, marks, order="event_id", chunk_seconds=3600, lateness="12 hours").awaitTermination()
+    late, close = _late_events(spark, sf, fx.frame_time(), 36000)
+    rows = fx.as_positions(late, fx.frame_time())
+    jobs.finished(lambda: jobs.start_ingest(rows, path, marks, order="event_id", chunk_seconds=3600, lateness="12 hours"), close)
     return spark.read.schema("timestamp timestamp_ntz, objid string, x double, y double, z double, chunk bigint").parquet(path)
 
 
@@ -1436,7 +1460,8 @@ def stream_ingest(spark, sf):
     ),
 )
 def stream_chunk_stats(spark, sf):
-    rows = fx.as_positions(_late_stream(spark, sf, fx.frame_time(), 36000), fx.frame_time())
+    late, _ = _late_events(spark, sf, fx.frame_time(), 36000)
+    rows = fx.as_positions(late, fx.frame_time())
     found = jobs.chunk_statistics(rows, "1 day", lateness="12 hours")
     return jobs.window_totals(jobs.run_updates(found, new_folder(spark, "live"), new_folder(spark, "marks")))
 
@@ -1458,16 +1483,56 @@ def stream_contacts(spark, sf):
 @check(
     "stream_stalls",
     sql(
-        f"""SELECT {ts('timestamp')} AS timestamp, objid FROM stall_runs
-            WHERE run = 2 AND timestamp < (SELECT max(timestamp) FROM fine) - INTERVAL 12 HOUR""",
+        f"SELECT {ts('timestamp')} AS timestamp, objid FROM stall_runs WHERE run = 2",
         "stall_runs",
     ),
 )
 def stream_stalls(spark, sf):
     """Rows out of order over several micro-batches, and objects silent for longer than a day."""
-    rows = fx.as_positions(_late_stream(spark, sf, F.col("ts"), 36000), clock.trunc_ms("ts"))
-    found = jobs.live_stalls(rows, stuck_rows=2, lateness="12 hours", forget_after_ms=10**12, **_STALL)
-    return jobs.run_to_parquet(found, new_folder(spark, "live"), new_folder(spark, "marks")).select("timestamp", "objid")
+    late, close = _late_events(spark, sf, F.col("ts"), 36000)
+    rows = fx.as_positions(late, clock.trunc_ms("ts"))
+    found = jobs.live_stalls(rows, stuck_rows=2, lateness="12 hours", **_STALL)
+    return jobs.run_to_parquet(found, new_folder(spark, "live"), new_folder(spark, "marks"), close).select("timestamp", "objid")
+
+
+@check(
+    "stream_contact_fires",
+    sql(
+        f"SELECT {ts('timestamp')} AS timestamp, a, b FROM fires",
+        "contacts",
+        extra=_spaced("contacts", ["a", "b"], 864000),
+        recursive=True,
+    ),
+)
+def stream_contact_fires(spark, sf):
+    """Contacts out of order over several micro-batches, to the end of the stream."""
+    found = proximity.contacts(fx.traj(spark, sf), 25.0).select("timestamp", "a", "b")
+    path = _late_folder(found, F.col("timestamp"), F.xxhash64("a", "b") % 1000, 36000)
+
+    def close() -> None:
+        _copy_of_a_row(spark, path, timestamp=clock.instant(jobs.END))
+
+    fires = jobs.live_fires(_stream_of(spark, path), guard_seconds=864000, lateness="12 hours")
+    return jobs.run_to_parquet(fires, new_folder(spark, "live"), new_folder(spark, "marks"), close)
+
+
+@check(
+    "stream_contact_chain",
+    sql(
+        f"SELECT {ts('timestamp')} AS timestamp, a, b FROM fires",
+        "hourly_rows",
+        extra="""met AS (SELECT DISTINCT l.timestamp, l.objid AS a, r.objid AS b FROM hourly_rows l JOIN hourly_rows r
+          ON l.timestamp = r.timestamp AND l.objid < r.objid
+          WHERE (l.x - r.x) * (l.x - r.x) + (l.z - r.z) * (l.z - r.z) < 625), """ + _spaced("met", ["a", "b"], 864000),
+        recursive=True,
+    ),
+)
+def stream_contact_chain(spark, sf):
+    """From late positions to fires in one query: the join of frames and the refractory, both stateful."""
+    late, close = _late_events(spark, sf, fx.frame_time(), 36000)
+    rows = fx.as_positions(late, fx.frame_time())
+    fires = jobs.live_contact_fires(rows, rows, 25.0, guard_seconds=864000, lateness="12 hours")
+    return jobs.run_to_parquet(fires, new_folder(spark, "live"), new_folder(spark, "marks"), close)
 
 
 @check("stream_events", sql("SELECT * FROM lists", "mentions", extra=_GROUPS))

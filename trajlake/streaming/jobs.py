@@ -3,30 +3,55 @@
 Streams carry TIMESTAMP event time, because watermarks need it: the instant that the zone-free clock
 names in UTC. Results go back to TIMESTAMP_NTZ. Every job takes a source stream and returns a stream or starts a query; the
 caller names trigger and folders. State is bounded by the watermark in all of them.
+
+A job that waits for the watermark holds back the last span of lateness, since later rows may still come.
+A finished log ends with a closing row: any row at or after ``END``, complete like other rows, as a row that lacks what a job
+joins on is not read at all. It is no data; it moves the watermark past everything, so that all that waits is judged
+and written. ``finished`` runs a job, closes its source and runs it again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trajlake.functions.clock import MICROS, floor_div, from_micros, micros
+from trajlake.functions.clock import MICROS, floor_div, from_micros, instant, micros
 from trajlake.operators.events import mentions
 from trajlake.operators.motion import STEP_MAX, STEP_MIN, STUCK_RATIO, STUCK_ROWS
-from trajlake.operators.proximity import OFFSETS
+from trajlake.operators.proximity import GUARD_SECONDS, OFFSETS
 
 DEFAULT_LATENESS = "10 minutes"
+#: A row at or after this instant closes its stream.
+END = datetime.datetime(9999, 1, 1)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_time(rows: DataFrame, lateness: str = DEFAULT_LATENESS) -> DataFrame:
-    """A stream with ``timestamp`` as event time, its clock read as UTC, and a watermark on it."""
-    return rows.withColumn("timestamp", F.timestamp_micros(micros("timestamp"))).withWatermark("timestamp", lateness)
+    """A stream with ``timestamp`` as event time, its clock read as UTC, and a watermark on it.
+
+    Closing rows move the watermark and go no further. The condition is one on the event time, which the
+    optimizer does not take below the watermark.
+    """
+    timed = rows.withColumn("timestamp", F.timestamp_micros(micros("timestamp"))).withWatermark("timestamp", lateness)
+    return timed.where(F.col("timestamp") < F.timestamp_micros(micros(instant(END))))
+
+
+def finished(start: Callable[[], StreamingQuery], close: Callable[[], None]) -> None:
+    """Run a job over what there is, let ``close`` add the closing row to its source, and run it to the end.
+
+    ``start`` starts the job with the same checkpoint each time. After a failure both steps can be repeated:
+    a second closing row changes nothing.
+    """
+    start().awaitTermination()
+    close()
+    start().awaitTermination()
 
 
 def zone_free(col) -> Column:
@@ -96,10 +121,8 @@ def window_totals(parts: DataFrame) -> DataFrame:
     )
 
 
-def live_contacts(
-    left: DataFrame, right: DataFrame, distance: float, *, salts: int = 4, lateness: str = DEFAULT_LATENESS
-) -> DataFrame:
-    """Contacts per frame as a stream-stream join of two readings of the same stream.
+def timed_contacts(left: DataFrame, right: DataFrame, distance: float, *, salts: int, lateness: str) -> DataFrame:
+    """Contacts per frame, with event time, as a stream-stream join of two readings of the same stream.
 
     Joined on instant and grid cell, like the batch operator; both sides keep state only as long
     as the watermark allows. Which cells will be crowded is not known ahead in a stream, so every cell is
@@ -142,13 +165,102 @@ def live_contacts(
         & (F.col("o1") != F.col("o2"))
         & (~F.col("own") | (F.col("o1") < F.col("o2"))),
     )
-    return joined.select(
-        zone_free("timestamp").alias("timestamp"),
-        F.least("o1", "o2").alias("a"),
-        F.greatest("o1", "o2").alias("b"),
+    return joined.select("timestamp", F.least("o1", "o2").alias("a"), F.greatest("o1", "o2").alias("b"))
+
+
+def live_contacts(
+    left: DataFrame, right: DataFrame, distance: float, *, salts: int = 4, lateness: str = DEFAULT_LATENESS
+) -> DataFrame:
+    """Contacts per frame: ``timestamp``, ``a`` and ``b``. ``left`` and ``right`` read the same stream."""
+    found = timed_contacts(left, right, distance, salts=salts, lateness=lateness)
+    return found.withColumn("timestamp", zone_free("timestamp"))
+
+
+class Refractory(StatefulProcessor):
+    """Fires of one pair: an instant fires if it is at least ``gap`` microseconds after the last fire.
+
+    Instants wait until the watermark has passed them, so that late ones take their place in time order; a
+    timer on the first that waits wakes the pair; one that comes too early does nothing. State: the last fire, and the waiting instants, which the
+    lateness bounds. Once neither a guard nor an instant is left the pair is forgotten.
+    """
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.fired = handle.getValueState("fired", "m long")
+        self.waiting = handle.getListState("waiting", "m long")
+
+    def settle(self, key: tuple, fresh: np.ndarray, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        kept = [m for (m,) in self.waiting.get()] if self.waiting.exists() else []
+        instants = np.unique(np.concatenate([np.array(kept, dtype=np.int64), fresh]))
+        passed = int(np.searchsorted(instants, watermark_ms * 1000))
+        ready, rest = instants[:passed], instants[passed:]
+        last = self.fired.get()[0] if self.fired.exists() else None
+        fires = []
+        at = 0
+        while at < len(ready):
+            # Straight to the first instant past the guard: a step per fire, not per row.
+            at = at if last is None else int(np.searchsorted(ready, last + self.gap))
+            if at < len(ready):
+                last = int(ready[at])
+                fires.append(last)
+        if len(rest):
+            self.waiting.put([(int(m),) for m in rest])
+            self.handle.registerTimer(int(rest[0]) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if last is not None and (len(rest) or last + self.gap > watermark_ms * 1000):
+            self.fired.update((last,))
+            if not len(rest):
+                self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        else:
+            self.fired.clear()
+        if fires:
+            yield pd.DataFrame({"timestamp": pd.to_datetime(np.array(fires), unit="us"), "a": key[0], "b": key[1]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh = np.concatenate([batch["m"].to_numpy(np.int64) for batch in rows])
+        yield from self.settle(key, fresh, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.settle(key, np.empty(0, np.int64), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def timed_fires(pairs: DataFrame, guard_seconds: float) -> DataFrame:
+    """``live_fires`` of contacts that carry event time and its watermark, from a stateful operator before it perhaps."""
+    # Timers and lists of state need the state store on disk.
+    pairs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return pairs.select("a", "b", "timestamp", F.unix_micros("timestamp").alias("m")).groupBy("a", "b").transformWithStateInPandas(
+        statefulProcessor=Refractory(round(guard_seconds * MICROS)),
+        outputStructType="timestamp timestamp_ntz, a string, b string",
+        outputMode="Append",
+        timeMode="EventTime",
     )
 
 
+def live_fires(pairs: DataFrame, *, guard_seconds: float = GUARD_SECONDS, lateness: str = DEFAULT_LATENESS) -> DataFrame:
+    """Contacts of a live stream (timestamp, a, b) that fire, the same as ``proximity.pair_episodes`` finds.
+
+    A pair fires when it is past the guard after its own last fire. An instant is judged once the watermark has passed it.
+    """
+    return timed_fires(event_time(pairs, lateness), guard_seconds)
+
+
+def live_contact_fires(
+    left: DataFrame, right: DataFrame, distance: float, *, guard_seconds: float = GUARD_SECONDS, salts: int = 4,
+    lateness: str = DEFAULT_LATENESS,
+) -> DataFrame:
+    """``live_fires`` of ``live_contacts`` in one query: the join hands its watermark on to the refractory."""
+    return timed_fires(timed_contacts(left, right, distance, salts=salts, lateness=lateness), guard_seconds)
+
+
+
+
 STALL_SCHEMA = "objid string, timestamp timestamp_ntz, run int"
 STALL_STATE = "last array<double>, last_m long, run int, m array<long>, x array<double>, y array<double>, z array<double>"
 
@@ -161,14 +273,14 @@ def live_stalls(
     stuck_rows: int = STUCK_ROWS,
     step_max: float = STEP_MAX,
     lateness: str = DEFAULT_LATENESS,
-    forget_after_ms: int = 24 * 3600 * 1000,
+    forget_after_ms: int | None = None,
 ) -> DataFrame:
     """Stall onsets per object from a live stream, the same as ``motion.stalls`` finds in the rows.
 
     Rows wait in the state until the watermark has passed them, so late rows take their place in
     time order; of rows with one instant the last arrival counts. State per object is its last judged
-    row, the length of its run and the waiting rows, so the lateness bounds it. An object that is
-    silent for ``forget_after_ms`` is forgotten: its next row is then a first row, which is not judged.
+    row, the length of its run and the waiting rows, so the lateness bounds it; objects are kept. Only a caller that
+    names ``forget_after_ms`` has objects forgotten after so long a silence: their next row is then a first row, which is not judged.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -206,8 +318,9 @@ def live_stalls(
             state.remove()
             return
         state.update((last, last_m, run, m[rest].tolist(), *[a.tolist() for a in xyz[:, rest]]))
-        due = int(m[rest][0] // 1000) + 1 if rest.any() else last_m // 1000 + forget_after_ms
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if rest.any() or forget_after_ms is not None:
+            due = int(m[rest][0] // 1000) + 1 if rest.any() else last_m // 1000 + forget_after_ms
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if len(onsets):
             yield pd.DataFrame({"objid": key[0], "timestamp": onsets.astype("datetime64[us]"), "run": stuck_rows})
 
@@ -235,11 +348,13 @@ def start_events(responses: DataFrame, path: str, checkpoint: str, *, order: str
     )
 
 
-def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Drive an append stream over what is available into a table and read it back."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, close: Callable[[], None] | None = None) -> DataFrame:
+    """Drive an append stream over what is available, and with ``close`` to its end, into a table and read it back."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if close is None:
+        writer.start().awaitTermination()
+    else:
+        finished(writer.start, close)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
