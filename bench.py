@@ -36,7 +36,7 @@ def ingest_rate(spark, sf: str) -> dict[str, float]:
     from checks import fixtures as fx
     from trajlake.operators.synth import synth_trajectory
     from trajlake.session import new_folder
-    from trajlake.sources.lake import asof_lake, read_instants, read_lake, write_lake
+    from trajlake.sources.lake import asof_lake, write_lake
 
     specs = fx.users(spark, sf).select(
         (F.col("user_id") + 1).alias("number"),
@@ -50,7 +50,6 @@ def ingest_rate(spark, sf: str) -> dict[str, float]:
     count = rows.count()
     root = new_folder(spark, "lake")
     spent = timed(lambda: write_lake(rows, root, chunk_seconds=60, hz=5.0))
-    found = read_lake(spark, root)
     # Twenty probes per event, scattered over the whole range.
     probes = (
         fx.events(spark, sf)
@@ -59,7 +58,7 @@ def ingest_rate(spark, sf: str) -> dict[str, float]:
         .select("query_id", F.timestamp_micros(F.lit(1_735_689_600_000_000) + F.col("ms") * 1000).cast("timestamp_ntz").alias("probe"))
     )
     # Whole frames, as a replay of the scene asks.
-    placed = asof_lake(found, read_instants(spark, root), probes)
+    placed = asof_lake(spark, root, probes)
     asked = probes.count()
     seek = timed(lambda: placed.write.format("noop").mode("overwrite").save())
     return {

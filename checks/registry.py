@@ -603,10 +603,12 @@ def _lake(spark, sf, fmt="parquet") -> str:
     )
 
 
-@check("list_files", sql("SELECT DISTINCT 'chunk=' || chunk AS chunk, true AS filled FROM chunked", "chunked"))
+@check("list_files", "SELECT DISTINCT 'event_type=' || event_type AS folder, true AS filled FROM events")
 def list_files(spark, sf):
-    found = files.list_files(spark, _lake(spark, sf) + "/data", glob="*.parquet")
-    return found.select(F.regexp_extract("uri", "(chunk=[^/]+)", 1).alias("chunk"), (F.col("size") > 0).alias("filled")).distinct()
+    path = new_folder(spark, "parted")
+    fx.events(spark, sf).write.partitionBy("event_type").parquet(path)
+    found = files.list_files(spark, path, glob="*.parquet")
+    return found.select(F.regexp_extract("uri", "(event_type=[^/]+)", 1).alias("folder"), (F.col("size") > 0).alias("filled")).distinct()
 
 
 @check("lake_scan", sql(f"SELECT {XYZ_SQL}, chunk FROM chunked", "chunked"))
@@ -619,6 +621,27 @@ def lake_roundtrip(spark, sf):
     return trajectory.chunk_stats(lake.read_lake(spark, _lake(spark, sf, "csv")), "csv")
 
 
+@check(
+    "lake_export",
+    sql(
+        f"""SELECT printf('chunk_%013d.csv', epoch_ms(min(timestamp))) AS key, {ts('min(timestamp)')} AS start, {ts('max(timestamp)')} AS last,
+            count(*) AS rows, count(*) AS found, max(x) AS x,
+            (SELECT string_agg(DISTINCT objid, ',' ORDER BY objid) FROM traj) AS objids
+            FROM traj GROUP BY date_diff('second', (SELECT min(timestamp) FROM traj), timestamp) // 86400""",
+        "traj",
+    ),
+)
+def lake_export(spark, sf):
+    """What others' tools read: the document's chunks, and what each of its files holds."""
+    root = lake.write_lake(fx.traj(spark, sf), new_folder(spark, "lake"), chunk_seconds=86400)
+    target = new_folder(spark, "single")
+    doc = lake.read_manifest_document(spark, lake.export_lake(spark, root, target))
+    named = doc.select(F.array_join("objids", ",").alias("objids"), F.inline("chunks"))
+    text = spark.read.option("header", True).csv(f"{target}/chunk_*.csv")
+    held = text.groupBy(F.col("_metadata.file_name").alias("key")).agg(F.count("*").alias("found"), F.max(F.col("x").cast("double")).alias("x"))
+    return named.join(held, "key").select("key", "start", F.col("end").alias("last"), "rows", "found", "x", "objids")
+
+
 @check(
     "lake_range",
     sql(
@@ -674,7 +697,7 @@ _ASOF_LAKE = sql(
 @check("asof_lake", _ASOF_LAKE)
 def asof_lake(spark, sf):
     root = _lake(spark, sf)
-    found = lake.asof_lake(lake.read_lake(spark, root), lake.read_instants(spark, root), fx.probes(spark, sf))
+    found = lake.asof_lake(spark, root, fx.probes(spark, sf))
     return found.select("query_id", "frame_ts", "objid", "x", "y", "z")
 
 

@@ -2,6 +2,7 @@
 
 import bisect
 
+import pytest
 from helpers import at, positions
 from pyspark.sql import functions as F
 
@@ -49,16 +50,49 @@ def test_lake_agrees_with_full_load(spark):
     assert lake.read_chunks(spark, root).count() == 12
     head = lake.read_manifest(spark, root + "/manifest.json").first()
     assert (head["rows"], head["objects"], head["chunks"]) == (1200, 4, 12)
-    check(lake.asof_lake(lake.read_lake(spark, root), lake.read_instants(spark, root), probes(spark)))
+    check(lake.asof_lake(spark, root, probes(spark)))
 
 
-def test_lake_range_prunes_chunks(spark):
-    root = lake.write_lake(grid(spark), new_folder(spark, "lake"), chunk_seconds=5)
+def test_lookup_opens_wanted_files_only(spark):
+    root = lake.write_lake(grid(spark), new_folder(spark, "lake"), chunk_seconds=5, files=6)
+    few = spark.createDataFrame([(at(12.3),), (at(12.5),)], "probe timestamp_ntz")
+    found = lake.asof_lake(spark, root, few)
+    assert found.count() == 2 * 4
+    opened = {f.rsplit("/", 1)[1] for f in found.inputFiles() if "/data/" in f}
+    zones = lake.read_files(spark, root).collect()
+    assert opened == {z.file for z in zones if z["first"] <= at(12.4) and z["last"] >= at(12.2)}
+    assert len(opened) < len(zones)
+
+
+def test_export(spark, monkeypatch):
+    root = lake.write_lake(grid(spark), new_folder(spark, "lake"), chunk_seconds=5, hz=5.0, dataset="grid")
+    for fmt in ("csv", "parquet"):
+        target = new_folder(spark, "single")
+        doc = lake.read_manifest_document(spark, lake.export_lake(spark, root, target, fmt)).first()
+        assert (doc.rows, doc.hz, doc.dataset, len(doc.chunks), len(doc.objids)) == (1200, 5.0, "grid", 12, 4)
+        back = lake.read_chunk_files(spark, target, fmt).drop("seq")
+        assert back.exceptAll(grid(spark).select(back.columns)).isEmpty() and back.count() == 1200
+        # Again over what is there: replaced, not doubled.
+        lake.export_lake(spark, root, target, fmt)
+        assert lake.read_chunk_files(spark, target, fmt).count() == 1200
+    monkeypatch.setattr(lake, "EXPORT_CHUNKS", 11)
+    with pytest.raises(ValueError, match="too large"):
+        lake.export_lake(spark, root, new_folder(spark, "single"))
+
+
+def test_empty_lake(spark):
+    root = lake.write_lake(grid(spark).limit(0), new_folder(spark, "lake"), chunk_seconds=5)
+    assert lake.read_lake(spark, root).count() == 0
+    assert lake.asof_lake(spark, root, probes(spark)).count() == 0
+
+
+def test_lake_range_prunes_files(spark):
+    root = lake.write_lake(grid(spark), new_folder(spark, "lake"), chunk_seconds=5, files=6)
     some = lake.read_lake(spark, root, start=at(12), end=at(17))
     assert {r.chunk for r in some.select("chunk").distinct().collect()} == {2, 3}
     assert some.count() == 26 * 4
-    plan = some._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(chunk" in plan
+    assert len(some.inputFiles()) < len(lake.read_lake(spark, root).inputFiles())
+    assert "GreaterThanOrEqual(timestamp" in some._jdf.queryExecution().toString()
 
 
 def test_probe_is_cut_to_milliseconds(spark):

@@ -15,7 +15,7 @@ from trajlake.operators.events import (
 )
 from trajlake.operators.playback import event_clips, next_event
 from trajlake.operators.proximity import contacts, scene_episodes, truth_rows
-from trajlake.sources.lake import asof_lake, read_instants, read_lake, write_lake
+from trajlake.sources.lake import asof_lake, write_lake
 
 
 def answers_to_event_list(responses: DataFrame, order: str, traj: DataFrame, **reading) -> DataFrame:
@@ -81,8 +81,8 @@ def truth_from_contacts(traj: DataFrame, distance: float, **guard) -> DataFrame:
 def ingest_and_look_up(
     traj: DataFrame, uri: str, probes: DataFrame, *, chunk_seconds: int, time: str = "probe"
 ) -> DataFrame:
-    """Write a lake and answer probes from it, reading only the chunks they need."""
+    """Write a lake and answer probes from it, reading only the files they need."""
     spark = traj.sparkSession
     root = write_lake(traj, uri, chunk_seconds=chunk_seconds)
-    return asof_lake(read_lake(spark, root), read_instants(spark, root), probes, time)
+    return asof_lake(spark, root, probes, time)
 

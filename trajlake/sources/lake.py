@@ -1,23 +1,30 @@
-"""The lake: trajectories cut into time chunks, with a manifest of three small tables.
+"""The lake: trajectories in files clustered by time, with a manifest of small tables.
 
-``<root>/data/chunk=<n>/*.parquet`` holds the rows, ordered by time. Below ``<root>/manifest``,
-``parts`` has a row per chunk and object and ``instants`` one per chunk and instant, both made from what
-was written; ``head``, ``chunks`` and ``objids`` are made from ``parts``. All but the head grow with the
-data, so they are tables and not one document. Lakes that come as ``manifest.json`` plus
-``chunk_*.csv`` or ``.parquet`` files can be read too.
+``<root>/data`` holds the rows: files of even size, each a range of instants, sorted by time; a crowded
+instant may fill several. Chunks of equal length are a number computed from the first instant, not folders.
+Below ``<root>/manifest``, ``instants`` has a row per file and instant and ``parts`` one per chunk and object,
+both made from what was written; ``files`` is the zone map (first and last instant and rows of each file) and ``head`` one row of
+facts. Readers take from the zone map the files that a range or a set of probes touches, and open no
+others. All but the head grow with the data, so they are tables and not one document.
+
+Lakes that come as ``manifest.json`` plus ``chunk_*.csv`` or ``.parquet`` files can be read, and written by
+``export_lake``.
 """
 
 from __future__ import annotations
 
 import datetime
+import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.functions.clock import MICROS, floor_div, format_ts, instant, micros, parse_ts, trunc_ms
 from trajlake.operators.asof import floor_times
 from trajlake.operators.trajectory import chunk_parts, head_of_parts, object_ids, stats_of_parts
 from trajlake.schema import MANIFEST
+from trajlake.session import written
 from trajlake.sources.files import read_trajectory, resolve
 
 MANIFEST_DOCUMENT = "manifest.json"
@@ -32,72 +39,98 @@ def dataset_root(uri: str) -> str:
 
 
 def write_lake(
-    traj: DataFrame, uri: str, *, chunk_seconds: int = 60, hz: float | None = None, dataset: str = "", fmt: str = "parquet"
-) -> str:
+    traj: DataFrame, uri: str, *, chunk_seconds: int = 60, hz: float | None = None, dataset: str = "", fmt: str = "parquet",
+    files: int | None = None,
+) -> str:
     """Write rows and manifest; returns the root.
 
-    The rebalance hint brings the rows of a chunk together without a sampling pass, splits
-    chunks that outgrow a partition and joins small ones. Rows are sorted by time inside files, so
-    row groups can be skipped.
+    Rows are dealt out by ranges of time, so that neighbouring instants share a file: ``files`` of them, or as
+    many as adaptive execution finds fit, which joins small neighbours. Text files cut timestamps to milliseconds, and what is written is what counts.
     """
     root = dataset_root(uri)
-    # Chunks count from the exact first instant, which the head keeps in whole microseconds.
-    origin = traj.agg(F.min(micros("timestamp"))).first()[0]
-    ordered = (
-        traj.withColumn("chunk", floor_div(micros("timestamp") - F.lit(origin).cast("bigint"), chunk_seconds * MICROS))
-        .select("timestamp", "objid", "x", "y", "z", "chunk")
-        .hint("rebalance", F.col("chunk"))
-        .sortWithinPartitions("chunk", "timestamp")
-    )
-    if fmt == "csv":
-        ordered = ordered.withColumn("timestamp", format_ts("timestamp"))
-    writer = ordered.write.partitionBy("chunk")
+    rows = traj.select("timestamp", "objid", "x", "y", "z")
+    by = (files, "timestamp", "objid") if files else ("timestamp", "objid")
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions("timestamp", "objid")
     if fmt == "parquet":
-        writer.parquet(f"{root}/data")
+        ordered.write.parquet(f"{root}/data")
     elif fmt == "csv":
-        writer.option("header", True).csv(f"{root}/data")
+        ordered.withColumn("timestamp", format_ts("timestamp")).write.option("header", True).csv(f"{root}/data")
     else:
         raise ValueError(f"unknown format: {fmt}")
     spark = traj.sparkSession
-    written = _rows(spark, root, fmt)
-    written.select("chunk", "timestamp").distinct().write.parquet(f"{root}/manifest/instants")
-    chunk_parts(written).write.parquet(f"{root}/manifest/parts")
-    parts = spark.read.parquet(f"{root}/manifest/parts")
-    head = head_of_parts(parts, chunk_seconds=chunk_seconds, fmt=fmt, hz=hz, dataset=dataset)
+    at = _rows(spark, fmt, f"{root}/data").select("timestamp", F.col("_metadata.file_name").alias("file"))
+    at.groupBy("file", "timestamp").agg(F.count("*").alias("rows")).write.parquet(f"{root}/manifest/instants")
+    instants = spark.read.schema(INSTANTS).parquet(f"{root}/manifest/instants")
+    zones = instants.groupBy("file").agg(
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.sum("rows").alias("rows")
+    )
+    zones.coalesce(1).write.parquet(f"{root}/manifest/files")
+    origin = read_files(spark, root).agg(F.min(micros("first"))).first()[0]
+    chunked = _rows(spark, fmt, f"{root}/data").withColumn("chunk", _chunk(origin, chunk_seconds))
+    chunk_parts(chunked).write.parquet(f"{root}/manifest/parts")
+    head = head_of_parts(read_parts(spark, root), chunk_seconds=chunk_seconds, fmt=fmt, hz=hz, dataset=dataset)
     head.withColumn("origin_us", F.lit(origin).cast("bigint")).write.json(f"{root}/manifest/head")
-    stats_of_parts(parts, fmt).select(
-        "chunk", "key", F.col("start_ts").alias("start"), F.col("end_ts").alias("end"), "rows"
-    ).write.parquet(f"{root}/manifest/chunks")
-    object_ids(parts).write.parquet(f"{root}/manifest/objids")
     return root
 
 
-def _rows(spark: SparkSession, root: str, fmt: str) -> DataFrame:
+HEAD = (
+    "version int, dataset string, hz double, chunk_seconds bigint, format string, start string, end string, rows bigint, objects bigint, "
+    "chunks bigint, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, origin_us bigint"
+)
+INSTANTS = "file string, timestamp timestamp_ntz, rows bigint"
+ROWS = "timestamp {}, objid string, x double, y double, z double"
+
+
+def _chunk(origin: int | None, chunk_seconds: int) -> Column:
+    return floor_div(micros("timestamp") - F.lit(origin).cast("bigint"), chunk_seconds * MICROS)
+
+
+def _rows(spark: SparkSession, fmt: str, *paths: str) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], ROWS.format("timestamp_ntz"))
     if fmt == "csv":
-        raw = spark.read.option("header", True).schema(
-            "timestamp string, objid string, x double, y double, z double, chunk bigint"
-        ).csv(f"{root}/data")
-        return raw.withColumn("timestamp", parse_ts("timestamp"))
-    return spark.read.schema(
-        "timestamp timestamp_ntz, objid string, x double, y double, z double, chunk bigint"
-    ).parquet(f"{root}/data")
+        raw = spark.read.option("header", True).schema(ROWS.format("string")).csv(list(paths))
+        return raw.select("*", "_metadata").withColumn("timestamp", parse_ts("timestamp"))
+    return spark.read.schema(ROWS.format("timestamp_ntz")).parquet(*paths)
 
 
 def read_manifest(spark: SparkSession, uri: str) -> DataFrame:
-    return spark.read.json(f"{dataset_root(uri)}/manifest/head")
+    return spark.read.schema(HEAD).json(f"{dataset_root(uri)}/manifest/head")
+
+
+def read_files(spark: SparkSession, uri: str) -> DataFrame:
+    """The zone map: ``file``, its ``first`` and ``last`` instant, and ``rows``."""
+    return spark.read.parquet(f"{dataset_root(uri)}/manifest/files")
+
+
+def read_parts(spark: SparkSession, uri: str) -> DataFrame:
+    """Facts per chunk and object."""
+    return spark.read.parquet(f"{dataset_root(uri)}/manifest/parts")
 
 
 def read_chunks(spark: SparkSession, uri: str) -> DataFrame:
-    return spark.read.parquet(f"{dataset_root(uri)}/manifest/chunks")
+    """``chunk``, its key, first and last instant, and rows."""
+    fmt = read_manifest(spark, uri).first()["format"]
+    stats = stats_of_parts(read_parts(spark, uri), fmt)
+    return stats.select("chunk", "key", F.col("start_ts").alias("start"), F.col("end_ts").alias("end"), "rows")
 
 
 def read_instants(spark: SparkSession, uri: str) -> DataFrame:
-    """``chunk`` and ``timestamp`` of every frame of a lake."""
-    return spark.read.parquet(f"{dataset_root(uri)}/manifest/instants")
+    """``file``, ``timestamp`` and ``rows`` of every frame of a lake; a frame that fills several files has a row in each."""
+    return spark.read.schema(INSTANTS).parquet(f"{dataset_root(uri)}/manifest/instants")
+
 
+def read_some(spark: SparkSession, uri: str, files: DataFrame) -> DataFrame:
+    """Rows of the files that ``files`` (file) names, with their ``chunk``; nothing else is opened or listed.
 
-def _since_1970(t: datetime.datetime) -> int:
-    return (t - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    The driver takes the names, as it takes those of any scan.
+    """
+    root = dataset_root(uri)
+    head = read_manifest(spark, root).first()
+    names = sorted(r[0] for r in files.select("file").distinct().collect())
+    rows = _rows(spark, head["format"], *[f"{root}/data/{name}" for name in names])
+    found = rows.withColumn("chunk", _chunk(head["origin_us"], head["chunk_seconds"]))
+    return found.select("timestamp", "objid", "x", "y", "z", "chunk")
 
 
 def read_lake(
@@ -107,19 +140,17 @@ def read_lake(
     start: datetime.datetime | None = None,
     end: datetime.datetime | None = None,
 ) -> DataFrame:
-    """Rows of a lake with their ``chunk``; a time range reads only the chunks it touches."""
-    root = dataset_root(uri)
-    head = read_manifest(spark, root).first()
-    rows = _rows(spark, root, head["format"])
-    length = int(head["chunk_seconds"]) * MICROS
-    # Text files cut timestamps to the millisecond, chunks were numbered before that.
-    cut = 999 if head["format"] == "csv" else 0
+    """Rows of a lake with their ``chunk``; a time range opens only the files it touches, and skips row groups in them."""
+    files = read_files(spark, uri)
+    if start is not None:
+        files = files.where(F.col("last") >= instant(start))
+    if end is not None:
+        files = files.where(F.col("first") <= instant(end))
+    rows = read_some(spark, uri, files)
     if start is not None:
-        first = (_since_1970(start) - head["origin_us"]) // length
-        rows = rows.where((F.col("chunk") >= first) & (F.col("timestamp") >= instant(start)))
+        rows = rows.where(F.col("timestamp") >= instant(start))
     if end is not None:
-        last = (_since_1970(end) + cut - head["origin_us"]) // length
-        rows = rows.where((F.col("chunk") <= last) & (F.col("timestamp") <= instant(end)))
+        rows = rows.where(F.col("timestamp") <= instant(end))
     return rows
 
 
@@ -146,16 +177,106 @@ def chunk_for_time(chunks: DataFrame, probes: DataFrame, time: str = "probe") ->
     return probes.join(found.withColumnRenamed("probe_ts", time), time)
 
 
-def asof_lake(lake: DataFrame, instants: DataFrame, probes: DataFrame, time: str = "probe") -> DataFrame:
-    """Every probe with the rows of its frame; the lake's rows are read once.
+def asof_lake(spark: SparkSession, uri: str, probes: DataFrame, time: str = "probe") -> DataFrame:
+    """Every probe with the rows of its frame, from the files that hold wanted frames only.
 
-    Probe instants shrink to distinct milliseconds and find their frame among the manifest's
-    ``instants``. So the lake is joined on its partition column and the instant, and chunks no probe
-    needs are not read.
+    Probe instants shrink to distinct milliseconds and find their frame among the manifest's instants.
+    These wanted instants (a table in the shared folder) choose the files; inside them their first and last
+    one skip row groups, and a bit set of their hashes, of fixed size, drops rows as they are read, before the join
+    deals anything out.
     """
     cut = probes.withColumn("_probe", trunc_ms(time))
-    frames = instants.select(F.col("timestamp").alias("frame_ts"), "chunk")
-    found = floor_times(frames.select("frame_ts"), cut.select(F.col("_probe").alias("probe_ts")))
-    placed = found.join(frames, "frame_ts").withColumnRenamed("probe_ts", "_probe")
-    rows = lake.withColumnRenamed("timestamp", "frame_ts")
-    return cut.join(placed, "_probe").join(rows, ["chunk", "frame_ts"]).drop("_probe")
+    instants = read_instants(spark, uri).select(F.col("timestamp").alias("frame_ts"), "file")
+    found = written(floor_times(instants.select("frame_ts").distinct(), cut.select(F.col("_probe").alias("probe_ts"))), "frames")
+    wanted = found.select("frame_ts").distinct()
+    rows = read_some(spark, uri, instants.join(wanted, "frame_ts")).withColumnRenamed("timestamp", "frame_ts")
+    rows = only_wanted(rows, wanted, "frame_ts")
+    return cut.join(found.withColumnRenamed("probe_ts", "_probe"), "_probe").join(rows, "frame_ts").drop("_probe")
+
+
+#: Bits of the set of wanted instants, and those in one element of it.
+WANTED_BITS, WORD_BITS = 20, 6
+
+
+def only_wanted(rows: DataFrame, wanted: DataFrame, time: str) -> DataFrame:
+    """``rows`` without most of those whose instant is not wanted: a range and a hashed bit set, 128 KB at any size.
+
+    The set is one row, made by merging bits, and a scalar for the scan. It only saves work: the join decides.
+    """
+    low, high = wanted.agg(F.min(time), F.max(time)).first()
+    if low is None:
+        return rows.limit(0)
+
+    def slot(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << WANTED_BITS))
+
+    words = wanted.select(slot(time).alias("s")).groupBy(F.shiftright("s", WORD_BITS).alias("i")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("s", F.lit(1 << WORD_BITS)).cast("int"))).alias("w")
+    )
+    bits = words.collect()
+    filled = sum((w & ((1 << 64) - 1)).bit_count() for _, w in bits)
+    in_range = rows.where(F.col(time).between(instant(low), instant(high)))
+    if filled * 2 > 1 << WANTED_BITS:
+        return in_range  # so full a set would drop next to nothing
+    row = [0] * (1 << (WANTED_BITS - WORD_BITS))
+    for i, w in bits:
+        row[i] = w
+    table = rows.sparkSession.createDataFrame([(row,)], "bits array<bigint>").scalar()
+    word = F.element_at(table, (F.shiftright(slot(time), WORD_BITS) + 1).cast("int"))
+    hit = F.call_function("shiftright", word, F.pmod(slot(time), F.lit(1 << WORD_BITS)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return in_range.where(hit)
+
+
+# ---- lakes as single files ------------------------------------------------------------------
+
+#: Above these sizes a lake is not written as one document and single files.
+EXPORT_CHUNKS, EXPORT_OBJECTS, EXPORT_CHUNK_ROWS = 10_000, 100_000, 20_000_000
+
+
+def export_lake(spark: SparkSession, uri: str, target: str, fmt: str = "csv") -> str:
+    """Write a lake as ``manifest.json`` and one ``chunk_*`` file per chunk, for tools that read that form.
+
+    Such a form has one document and one file per chunk whatever the data, so it is refused above
+    ``EXPORT_CHUNKS`` chunks, ``EXPORT_OBJECTS`` objects or ``EXPORT_CHUNK_ROWS`` rows in one chunk. The document is written last,
+    under another name, and then renamed: readers see a whole lake or none. Returns the document's path.
+    """
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"unknown format: {fmt}")
+    root, target = dataset_root(uri), dataset_root(target)
+    head = read_manifest(spark, root).first()
+    parts = read_parts(spark, root)
+    if head["chunks"] > EXPORT_CHUNKS or head["objects"] > EXPORT_OBJECTS:
+        raise ValueError(f"too large for one document: {head['chunks']} chunks, {head['objects']} objects")
+    chunks = stats_of_parts(parts, fmt).orderBy("chunk").select(
+        "chunk", "key", format_ts("start_ts").alias("start"), format_ts("end_ts").alias("end"), "rows"
+    ).collect()
+    if any(c["rows"] > EXPORT_CHUNK_ROWS for c in chunks):
+        raise ValueError(f"a chunk has more than {EXPORT_CHUNK_ROWS} rows")
+    rows = read_lake(spark, root)
+    if fmt == "csv":
+        rows = rows.withColumn("timestamp", format_ts("timestamp"))
+    parting = f"{target}/_chunks"
+    single = rows.repartition(max(1, len(chunks)), "chunk").sortWithinPartitions("chunk", "timestamp", "objid").write.partitionBy("chunk")
+    single.option("maxRecordsPerFile", 0).option("header", True).mode("overwrite").format(fmt).save(parting)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    for c in chunks:
+        (part,) = fs.globStatus(hadoop.Path(f"{parting}/chunk={c['chunk']}/part-*"))
+        fs.delete(hadoop.Path(f"{target}/{c['key']}"), False)
+        fs.rename(part.getPath(), hadoop.Path(f"{target}/{c['key']}"))
+    fs.delete(hadoop.Path(parting), True)
+    document = {k: head[k] for k in ("version", "dataset", "hz", "chunk_seconds")} | {
+        "format": fmt,
+        "objids": sorted(r[0] for r in object_ids(parts).collect()),
+        **{k: head[k] for k in ("start", "end", "rows")},
+        "coord_min": [head[f"min_{a}"] for a in ("x", "y", "z")],
+        "coord_max": [head[f"max_{a}"] for a in ("x", "y", "z")],
+        "chunks": [{k: c[k] for k in ("key", "start", "end", "rows")} for c in chunks],
+    }
+    path, hidden = f"{target}/{MANIFEST_DOCUMENT}", f"{target}/.{MANIFEST_DOCUMENT}.{uuid.uuid4().hex}"
+    out = fs.create(hadoop.Path(hidden), True)
+    out.write(bytearray(json.dumps(document, ensure_ascii=False, indent=2).encode()))
+    out.close()
+    fs.delete(hadoop.Path(path), False)
+    fs.rename(hadoop.Path(hidden), hadoop.Path(path))
+    return path
