@@ -16,6 +16,7 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +65,11 @@ def write_lake(
     zones = instants.groupBy("file").agg(
         F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.sum("rows").alias("rows")
     )
-    zones.coalesce(1).write.parquet(f"{root}/manifest/files")
-    origin = read_files(spark, root).agg(F.min(micros("first"))).first()[0]
+    # A row per file, as the driver of any scan holds: written from there in one piece.
+    found = zones.withColumn("first_us", micros("first")).collect()
+    origin = min((z["first_us"] for z in found), default=None)
+    listed = spark.createDataFrame([z[:4] for z in found], FILES).coalesce(1)
+    listed.write.parquet(f"{root}/manifest/files")
     chunked = _rows(spark, fmt, f"{root}/data").withColumn("chunk", _chunk(origin, chunk_seconds))
     chunk_parts(chunked).write.parquet(f"{root}/manifest/parts")
     head = head_of_parts(read_parts(spark, root), chunk_seconds=chunk_seconds, fmt=fmt, hz=hz, dataset=dataset)
@@ -77,6 +81,7 @@ HEAD = (
     "version int, dataset string, hz double, chunk_seconds bigint, format string, start string, end string, rows bigint, objects bigint, "
     "chunks bigint, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, origin_us bigint"
 )
+FILES = "file string, first timestamp_ntz, last timestamp_ntz, rows bigint"
 INSTANTS = "file string, timestamp timestamp_ntz, rows bigint"
 ROWS = "timestamp {}, objid string, x double, y double, z double"
 
@@ -100,7 +105,7 @@ def read_manifest(spark: SparkSession, uri: str) -> DataFrame:
 
 def read_files(spark: SparkSession, uri: str) -> DataFrame:
     """The zone map: ``file``, its ``first`` and ``last`` instant, and ``rows``."""
-    return spark.read.parquet(f"{dataset_root(uri)}/manifest/files")
+    return spark.read.schema(FILES).parquet(f"{dataset_root(uri)}/manifest/files")
 
 
 def read_parts(spark: SparkSession, uri: str) -> DataFrame:
@@ -120,15 +125,11 @@ def read_instants(spark: SparkSession, uri: str) -> DataFrame:
     return spark.read.schema(INSTANTS).parquet(f"{dataset_root(uri)}/manifest/instants")
 
 
-def read_some(spark: SparkSession, uri: str, files: DataFrame) -> DataFrame:
-    """Rows of the files that ``files`` (file) names, with their ``chunk``; nothing else is opened or listed.
-
-    The driver takes the names, as it takes those of any scan.
-    """
+def read_some(spark: SparkSession, uri: str, names: Iterable[str]) -> DataFrame:
+    """Rows of the named files, with their ``chunk``; nothing else is opened or listed."""
     root = dataset_root(uri)
     head = read_manifest(spark, root).first()
-    names = sorted(r[0] for r in files.select("file").distinct().collect())
-    rows = _rows(spark, head["format"], *[f"{root}/data/{name}" for name in names])
+    rows = _rows(spark, head["format"], *[f"{root}/data/{name}" for name in sorted(names)])
     found = rows.withColumn("chunk", _chunk(head["origin_us"], head["chunk_seconds"]))
     return found.select("timestamp", "objid", "x", "y", "z", "chunk")
 
@@ -146,7 +147,7 @@ def read_lake(
         files = files.where(F.col("last") >= instant(start))
     if end is not None:
         files = files.where(F.col("first") <= instant(end))
-    rows = read_some(spark, uri, files)
+    rows = read_some(spark, uri, [z["file"] for z in files.select("file").collect()])
     if start is not None:
         rows = rows.where(F.col("timestamp") >= instant(start))
     if end is not None:
@@ -187,44 +188,48 @@ def asof_lake(spark: SparkSession, uri: str, probes: DataFrame, time: str = "pro
     """
     cut = probes.withColumn("_probe", trunc_ms(time))
     instants = read_instants(spark, uri).select(F.col("timestamp").alias("frame_ts"), "file")
-    found = written(floor_times(instants.select("frame_ts").distinct(), cut.select(F.col("_probe").alias("probe_ts"))), "frames")
-    wanted = found.select("frame_ts").distinct()
-    rows = read_some(spark, uri, instants.join(wanted, "frame_ts")).withColumnRenamed("timestamp", "frame_ts")
-    rows = only_wanted(rows, wanted, "frame_ts")
+    found = written(floor_times(instants.select("frame_ts"), cut.select(F.col("_probe").alias("probe_ts"))), "frames")
+    wanted = found.select("frame_ts").distinct().withColumn("wanted", F.lit(True))
+    # A row per file: how many of its frames are wanted, and from when to when.
+    hit = F.col("wanted").isNotNull()
+    zones = instants.join(wanted, "frame_ts", "left").groupBy("file").agg(
+        F.count("*").alias("frames"), F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("frame_ts"))).alias("low"),
+        F.max(F.when(hit, F.col("frame_ts"))).alias("high"),
+    ).where("hits > 0").collect()
+    rows = read_some(spark, uri, [z["file"] for z in zones]).withColumnRenamed("timestamp", "frame_ts")
+    if zones:
+        rows = rows.where(F.col("frame_ts").between(instant(min(z["low"] for z in zones)), instant(max(z["high"] for z in zones))))
+    if sum(z["hits"] for z in zones) * SPARSE < sum(z["frames"] for z in zones):
+        rows = only_wanted(rows, wanted, "frame_ts")
     return cut.join(found.withColumnRenamed("probe_ts", "_probe"), "_probe").join(rows, "frame_ts").drop("_probe")
 
 
 #: Bits of the set of wanted instants, and those in one element of it.
 WANTED_BITS, WORD_BITS = 20, 6
+#: The set is made where less than one of so many frames in the opened files is wanted.
+SPARSE = 4
 
 
 def only_wanted(rows: DataFrame, wanted: DataFrame, time: str) -> DataFrame:
-    """``rows`` without most of those whose instant is not wanted: a range and a hashed bit set, 128 KB at any size.
+    """``rows`` without most of those whose instant is not wanted, by a hashed bit set of 128 KB at any size.
 
-    The set is one row, made by merging bits, and a scalar for the scan. It only saves work: the join decides.
+    The set is a scalar for the scan. It only saves work: the join that follows decides.
     """
-    low, high = wanted.agg(F.min(time), F.max(time)).first()
-    if low is None:
-        return rows.limit(0)
 
     def slot(column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(1 << WANTED_BITS))
 
+    bit = F.pmod("s", F.lit(1 << WORD_BITS)).cast("int")
     words = wanted.select(slot(time).alias("s")).groupBy(F.shiftright("s", WORD_BITS).alias("i")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("s", F.lit(1 << WORD_BITS)).cast("int"))).alias("w")
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("w")
     )
-    bits = words.collect()
-    filled = sum((w & ((1 << 64) - 1)).bit_count() for _, w in bits)
-    in_range = rows.where(F.col(time).between(instant(low), instant(high)))
-    if filled * 2 > 1 << WANTED_BITS:
-        return in_range  # so full a set would drop next to nothing
     row = [0] * (1 << (WANTED_BITS - WORD_BITS))
-    for i, w in bits:
+    for i, w in words.collect():
         row[i] = w
     table = rows.sparkSession.createDataFrame([(row,)], "bits array<bigint>").scalar()
     word = F.element_at(table, (F.shiftright(slot(time), WORD_BITS) + 1).cast("int"))
-    hit = F.call_function("shiftright", word, F.pmod(slot(time), F.lit(1 << WORD_BITS)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return in_range.where(hit)
+    at = F.pmod(slot(time), F.lit(1 << WORD_BITS)).cast("int")
+    return rows.where(F.call_function("shiftright", word, at).bitwiseAND(F.lit(1)) == 1)
 
 
 # ---- lakes as single files ------------------------------------------------------------------
