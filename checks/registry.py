@@ -1082,20 +1082,24 @@ def _spaced(source: str, keys: list[str], seconds: int) -> str:
     sql(
         f"SELECT {ts('timestamp')} AS timestamp, a, b, distance FROM fires JOIN contacts USING (timestamp, a, b)",
         "contacts",
-        extra=_spaced("contacts", ["a", "b"], 864000),
+        extra=_spaced("contacts", ["a", "b"], 7200),
         recursive=True,
     ),
 )
 def contact_episodes(spark, sf):
-    return proximity.pair_episodes(proximity.contacts(fx.traj(spark, sf), 25.0), guard_seconds=864000)
+    return proximity.pair_episodes(proximity.contacts(fx.traj(spark, sf), 25.0), guard_seconds=7200)
+
 
+#: Hours, as frames are an hour apart: a guard reaches over many frames and, at this size of segment, several segments.
+_GUARD_HOURS, _SEGMENT = 7, 500
 
-_SCENE = """numbered AS (SELECT *, row_number() OVER (PARTITION BY timestamp ORDER BY a, b) AS i FROM contacts),
-  visited AS (SELECT timestamp, i, a, b, [a, b] AS used, true AS fired FROM numbered WHERE i = 1
-    UNION ALL SELECT n.timestamp, n.i, n.a, n.b,
-      CASE WHEN list_contains(v.used, n.a) OR list_contains(v.used, n.b) THEN v.used ELSE list_concat(v.used, [n.a, n.b]) END,
-      NOT (list_contains(v.used, n.a) OR list_contains(v.used, n.b))
-    FROM visited v JOIN numbered n ON n.timestamp = v.timestamp AND n.i = v.i + 1)"""
+_SCENE = f"""numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY timestamp, a, b) AS i FROM contacts),
+  visited AS (SELECT 0::BIGINT AS i, NULL::TIMESTAMP AS timestamp, ''::VARCHAR AS a, ''::VARCHAR AS b, MAP {{}}::MAP(VARCHAR, TIMESTAMP) AS guards, false AS fired
+    UNION ALL SELECT n.i, n.timestamp, n.a, n.b,
+      CASE WHEN ok THEN map_concat(v.guards, MAP {{n.a: n.timestamp + INTERVAL {_GUARD_HOURS} HOUR, n.b: n.timestamp + INTERVAL {_GUARD_HOURS} HOUR}}) ELSE v.guards END, ok
+    FROM visited v JOIN numbered n ON n.i = v.i + 1,
+      LATERAL (SELECT coalesce(n.timestamp >= v.guards[n.a], true) AND coalesce(n.timestamp >= v.guards[n.b], true) AS ok))"""
+_SCENE_RULE = {"guard_seconds": _GUARD_HOURS * 3600, "segment_rows": _SEGMENT}
 
 
 @check(
@@ -1103,7 +1107,7 @@ _SCENE = """numbered AS (SELECT *, row_number() OVER (PARTITION BY timestamp ORD
     sql(f"SELECT {ts('timestamp')} AS timestamp, a, b FROM visited WHERE fired", "contacts", extra=_SCENE, recursive=True),
 )
 def scene_episodes(spark, sf):
-    return proximity.scene_episodes(proximity.contacts(fx.traj(spark, sf), 25.0))
+    return proximity.scene_episodes(proximity.contacts(fx.traj(spark, sf), 25.0), **_SCENE_RULE)
 
 
 @check(
@@ -1117,7 +1121,7 @@ def scene_episodes(spark, sf):
     ),
 )
 def truth_from_contacts(spark, sf):
-    rows = flows.truth_from_contacts(fx.traj(spark, sf), 25.0)
+    rows = flows.truth_from_contacts(fx.traj(spark, sf), 25.0, **_SCENE_RULE)
     return rows.select("clock", joined("objects").alias("objects"))
 
 
@@ -1198,7 +1202,7 @@ def collision_labels(spark, sf):
     sql(f"SELECT {ts('timestamp')} AS timestamp, unnest([a, b]) AS objid FROM visited WHERE fired", "contacts", extra=_SCENE, recursive=True),
 )
 def object_hits(spark, sf):
-    return proximity.object_hits(proximity.scene_episodes(proximity.contacts(fx.traj(spark, sf), 25.0)))
+    return proximity.object_hits(proximity.scene_episodes(proximity.contacts(fx.traj(spark, sf), 25.0), **_SCENE_RULE))
 
 
 # ---- frames -------------------------------------------------------------------------------

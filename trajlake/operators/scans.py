@@ -47,7 +47,7 @@ def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(carry, [*keys, BUCKET])
 
 
-def _next_bucket(edges: DataFrame, keys: Sequence[str], *, forward: bool, name: str) -> DataFrame:
+def next_bucket(edges: DataFrame, keys: Sequence[str], *, forward: bool, name: str) -> DataFrame:
     """Add ``name``: the following bucket of the key (the preceding one with ``forward`` off).
 
     Without keys the buckets are taken group by group, and only groups are put in one order.
@@ -115,7 +115,7 @@ def neighbour_row(
         outer(order).alias(order), *[pick(c, order).alias(c) for c in fields[1:]]
     )
     guests = (
-        _next_bucket(edges, keys, forward=not forward, name="_to")
+        next_bucket(edges, keys, forward=not forward, name="_to")
         .withColumn(BUCKET, F.col("_to"))
         .drop("_to")
         .where(F.col(BUCKET).isNotNull())
