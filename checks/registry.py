@@ -1091,7 +1091,7 @@ def contact_episodes(spark, sf):
 
 
 #: Hours, as frames are an hour apart: a guard reaches over many frames and, at this size of segment, several segments.
-_GUARD_HOURS, _SEGMENT = 7, 500
+_GUARD_HOURS, _SEGMENT = 7, 1000
 
 _SCENE = f"""numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY timestamp, a, b) AS i FROM contacts),
   visited AS (SELECT 0::BIGINT AS i, NULL::TIMESTAMP AS timestamp, ''::VARCHAR AS a, ''::VARCHAR AS b, MAP {{}}::MAP(VARCHAR, TIMESTAMP) AS guards, false AS fired
