@@ -533,10 +533,11 @@ def test_intervals_as_of(spark):
         (9, "http://example.com", None), (10, "http://example.com", 5000), (10, "http://example.com", 5000), (11, "http://x.org", 3),
     ]
     spans = url_lists.intervals(spark.createDataFrame(entries, "domain string, day long, action string"))
-    rows = spark.createDataFrame(captures, "page_id long, url string, day long").selectExpr("*", "'x' AS verdict", "1 AS bucket")
+    rows = spark.createDataFrame(captures, "page_id long, url string, day long").selectExpr("*", "'x' AS verdict", "1 AS bucket", "page_id * 2 AS _id", "'n' AS _note", "0 AS row")
     got = url_lists.as_of(rows, spans, "url", "day").collect()
     want = {1: "none", 2: "block", 3: "block", 4: "none", 5: "allow", 6: "none", 7: "block", 8: "none", 9: "none", 10: "block", 11: "none"}
     assert len(got) == len(captures) and {r.page_id: r.verdict for r in got} == want
+    assert all((r._id, r._note, r["row"], r.bucket) == (2 * r.page_id, "n", 0, 1) for r in got)
     assert {(r.entry, r.valid_from, r.valid_to) for r in got if r.page_id == 3} == {("example.com", 10, 20)}
 
 

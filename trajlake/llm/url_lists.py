@@ -53,9 +53,9 @@ def as_of(captures: DataFrame, spans: DataFrame, url: str, day: str) -> DataFram
     Intervals are cut into buckets of days up to the last capture's, and joined on domain and bucket.
     A capture without host or day matches nothing. Columns that clash are replaced.
     """
-    added = ["verdict", "entry", "valid_from", "valid_to", "_host", "_day"]
-    rows = captures.drop(*[c for c in added if c in captures.columns])
-    rows = rows.withColumn("_host", host(captures[url])).withColumn("_day", captures[day])
+    kept = [c for c in captures.columns if c not in ("verdict", "entry", "valid_from", "valid_to")]
+    packed = F.struct(*[captures[c] for c in kept]).alias("row")
+    rows = captures.select(packed, host(captures[url]).alias("_host"), captures[day].alias("_day"))
     last = rows.agg(F.max("_day")).first()[0]
     end = F.least(F.coalesce(F.col("valid_to") - 1, F.lit(last)), F.lit(last)).cast("long")
     cut = spans.where(F.col("valid_from") <= F.lit(last)).withColumn(
@@ -73,7 +73,7 @@ def as_of(captures: DataFrame, spans: DataFrame, url: str, day: str) -> DataFram
     )
     out = rows.join(best, ["_host", "_day"], "left")
     return out.select(
-        *[c for c in rows.columns if not c.startswith("_")],
+        *[F.col(f"row.`{c}`").alias(c) for c in kept],
         F.coalesce("b.action", F.lit("none")).alias("verdict"), "b.entry", "b.valid_from", "b.valid_to",
     )
 
