@@ -230,3 +230,15 @@ def test_products_beyond_64_bits(spark):
     }
     row = collocations.scored(counts, 2).first()
     assert row.score == 10**6 * (6 * 10**12 + 1) ** 2 // (9 * 10**12 * 7 * 10**12)
+
+
+def test_first_of_each_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "MERGED", 2)
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.randrange(50), f"p{i:04}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "lang string, score int, phrase string").repartition(9)
+    frame = frame.checkpoint() if spark.sparkContext.getCheckpointDir() else frame
+    got = collocations.first_of_each(frame, "lang", [collocations.F.col("score").desc(), collocations.F.col("phrase")], 40).collect()
+    for lang in "ab":
+        want = sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[1], r[2]))[:40]
+        assert [(r.lang, r.score, r.phrase) for r in sorted((r for r in got if r.lang == lang), key=lambda r: r["rank"])] == want

@@ -87,8 +87,8 @@ def slots(hashes: list[np.ndarray]) -> np.ndarray:
     """The bits of sequences, from their words' hashes; ``slot`` is the same in SQL."""
     out = hashes[0]
     for h in hashes[1:]:
-        out = (out * 31 + h) & 0xFFFFFFFF
-    return out >> (32 - BITS)
+        out = out * np.uint32(31) + h  # modulo 2 ** 32
+    return out >> np.uint32(32 - BITS)
 
 
 def slot(words: list[str]) -> Column:
@@ -126,7 +126,7 @@ def starts(ids: np.ndarray, n: int, hashes: np.ndarray | None, bits: np.ndarray
         good &= ids[i : last + i] > 0
     if bits is not None:
         at = slots([hashes[ids[i : last + 1 + i]] for i in range(n - 1)])
-        hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        hit = (bits[at >> np.uint32(3)] >> (7 - (at & np.uint32(7))).astype(np.uint8)) & 1 > 0
         good &= hit[:-1] & hit[1:]
     return np.flatnonzero(good)
 
@@ -135,10 +135,10 @@ def counted(lang: str, words: Words, texts: list[np.ndarray], n: int, bits: np.n
     """(lang, w1 .., f) of the sequences of ``n`` in some texts."""
     known, ids = list(words), np.concatenate(texts)
     start = zlib.crc32(lang.encode() + b" ")
-    hashes = None if bits is None else np.array([zlib.crc32(w, start) for w in known], dtype=np.int64)
+    hashes = None if bits is None else np.array([zlib.crc32(w, start) for w in known], dtype=np.uint32)
     at = starts(ids, n, hashes, bits)
     # A word more each time; what has been seen is numbered anew, so that keys stay small.
-    keys, seen = ids[at], []
+    keys, seen = ids[at].astype(np.int64), []
     for i in range(1, n):
         distinct, keys = np.unique(keys * len(known) + ids[at + i], return_inverse=True)
         seen.append(distinct)
@@ -171,7 +171,9 @@ def sequences(docs: DataFrame, n: int, bits: bytes | None) -> DataFrame:
                 for found in stretches(text, n):
                     numbers = words.setdefault(lang, Words()).__getitem__
                     # Texts end as pieces do.
-                    held.setdefault(lang, []).append(np.array([*map(numbers, found), 0], dtype=np.int64))
+                    ids = np.zeros(len(found) + 1, dtype=np.int32)
+                    ids[:-1] = np.fromiter(map(numbers, found), dtype=np.int32, count=len(found))
+                    held.setdefault(lang, []).append(ids)
                     total += len(found)
                     if total >= HELD or sum(map(len, words.values())) >= DISTINCT:
                         for x in held:
@@ -213,12 +215,24 @@ def extended(counts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return tuple(counts.groupBy("lang", *part).agg(F.max("f")) for part in (words[:-1], words[1:]))
 
 
+#: Parts that are put together at a time on the way to the first rows of a key.
+MERGED = 32
+
+
 def first_of_each(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of each key, with ``rank``: the first of each key and partition, then of those."""
-    own = Window.partitionBy(key, "part").orderBy(*order)
-    some = rows.withColumn("part", F.spark_partition_id()).withColumn("rank", F.row_number().over(own))
-    last = Window.partitionBy(key).orderBy(*order)
-    return some.where(F.col("rank") <= k).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).drop("part")
+    """The first ``k`` rows of each key, with ``rank``: of each key and partition, then of ``MERGED`` of these, and so on.
+
+    No task sorts more than ``MERGED * k`` rows of a key beyond those of one partition. ``rows`` is a written table.
+    """
+    parts = rows.rdd.getNumPartitions()
+    rows = rows.withColumn("part", F.spark_partition_id())
+    while True:
+        own = Window.partitionBy(key, "part").orderBy(*order)
+        rows = rows.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+        if parts <= 1:
+            return rows.drop("part")
+        parts = -(-parts // MERGED)
+        rows = rows.withColumn("part", F.call_function("div", F.col("part"), F.lit(MERGED)).cast("int"))
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, absorbed: int = ABSORBED) -> DataFrame:
