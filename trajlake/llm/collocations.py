@@ -17,11 +17,13 @@ Null texts have no words and a null lang is ``und``, together with documents of
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,7 +134,7 @@ def starts(ids: np.ndarray, n: int, hashes: np.ndarray | None, bits: np.ndarray
 
 
 def counted(lang: str, words: Words, texts: list[np.ndarray], n: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(lang, w1 .., f) of the sequences of ``n`` in some texts."""
+    """(key, f) of the sequences of ``n`` in some texts; a key is lang and words joined by blanks, as words hold none."""
     known, ids = list(words), np.concatenate(texts)
     start = zlib.crc32(lang.encode() + b" ")
     hashes = None if bits is None else np.array([zlib.crc32(w, start) for w in known], dtype=np.uint32)
@@ -153,8 +155,8 @@ def counted(lang: str, words: Words, texts: list[np.ndarray], n: int, bits: np.n
     for first in range(0, len(counts), 100_000):
         some = slice(first, first + 100_000)
         taken = [names.take(pa.array(p[some])) for p in reversed(parts)]
-        langs = pa.array([lang] * len(taken[0]), pa.string())
-        yield pa.RecordBatch.from_arrays([langs, *taken, pa.array(counts[some])], ["lang", *columns(n), "f"])
+        key = pc.binary_join_element_wise(pa.scalar(lang), *taken, " ")
+        yield pa.RecordBatch.from_arrays([key, pa.array(counts[some])], ["key", "f"])
 
 
 def sequences(docs: DataFrame, n: int, bits: bytes | None) -> DataFrame:
@@ -182,8 +184,21 @@ def sequences(docs: DataFrame, n: int, bits: bytes | None) -> DataFrame:
         for x in held:
             yield from counted(x, words[x], held[x], n, frequent)
 
-    schema = ", ".join(["lang string", *[f"{w} string" for w in columns(n)], "f long"])
-    return docs.mapInArrow(run, schema).groupBy("lang", *columns(n)).agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+
+
+def split_keys(counts: DataFrame, n: int) -> DataFrame:
+    """(lang, w1 .., f): the words are the last ``n`` parts of a key, whatever the lang holds."""
+    phrase = F.substring_index("key", " ", -n)
+    lang = F.expr(f"left(key, char_length(key) - char_length(substring_index(key, ' ', -{n})) - 1)")
+    words = F.split(phrase, " ")
+    return counts.select(lang.alias("lang"), *[words[i].alias(w) for i, w in enumerate(columns(n))], "f")
+
+
+def released(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go, which Spark keeps until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def merged(left: DataFrame, counts: DataFrame, names: list[str], found: str, how: str = "inner") -> DataFrame:
@@ -242,11 +257,14 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, ab
     ``absorbed`` of its count; one word more is enough to look at, as still longer ones are rarer.
     """
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    every = written(sequences(texts, 1, None), "phrase-words")
+    every = split_keys(written(sequences(texts, 1, None), "phrase-words"), 1)
     counts = {1: every.where(F.col("f") >= least)}
     for n in range(2, longest + 1):
-        found = sequences(texts, n, bit_set(counts[n - 1], n - 1))
-        counts[n] = written(found.where(F.col("f") >= least), "phrase-counts")
+        bits = bit_set(counts[n - 1], n - 1)
+        released(docs.sparkSession)
+        found = sequences(texts, n, bits).where(F.col("f") >= least)
+        counts[n] = written(split_keys(found, n), "phrase-counts")
+    released(docs.sparkSession)
     out = None
     for n in range(2, longest + 1):
         rows = scored(counts, n)
