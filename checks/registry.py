@@ -611,6 +611,22 @@ def list_files(spark, sf):
     return found.select(F.regexp_extract("uri", "(event_type=[^/]+)", 1).alias("folder"), (F.col("size") > 0).alias("filled")).distinct()
 
 
+@check(
+    "file_stat",
+    """SELECT 'event_type=' || event_type AS name, true AS found, true AS filled, count(*) AS asked FROM events GROUP BY 1
+       UNION ALL SELECT 'event_type=none/part', false, false, 1""",
+)
+def file_stat(spark, sf):
+    """A path for every event, that of its type's folder, and one that is missing."""
+    path = new_folder(spark, "parted")
+    fx.events(spark, sf).write.partitionBy("event_type").parquet(path)
+    names = fx.events(spark, sf).select(F.concat(F.lit("event_type="), "event_type").alias("name"))
+    names = names.unionAll(spark.range(1).select(F.lit("event_type=none/part")))
+    found = files.file_stat(spark, path, names.withColumn("uri", F.concat(F.lit(f"{path}/"), "name")))
+    filled = (F.coalesce("size", F.lit(0)) > 0).alias("filled")
+    return found.groupBy("name", "found", filled).agg(F.count("*").alias("asked"))
+
+
 @check("lake_scan", sql(f"SELECT {XYZ_SQL}, chunk FROM chunked", "chunked"))
 def lake_scan(spark, sf):
     return lake.read_lake(spark, _lake(spark, sf)).select(*XYZ, "chunk")

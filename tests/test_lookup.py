@@ -150,3 +150,19 @@ def test_single_file_lake(spark, tmp_path):
     rows = lake.read_chunk_files(spark, str(tmp_path), "csv")
     assert rows.count() == 3
     assert rows.agg(F.max("timestamp")).first()[0] == at(5)
+
+
+def test_file_stat(spark, tmp_path):
+    from trajlake.sources import files
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "one.txt").write_text("12345")
+    (tmp_path / "a" / "two.txt").write_text("123")
+    (tmp_path / "a" / "empty.txt").write_text("")
+    paths = ["a", "a/", "a/b", "a/b/one.txt", "a/empty.txt", "a/b/none.txt", "a/two.txt"]
+    wanted = spark.createDataFrame([(p, f"{'file://' * (i % 2)}{tmp_path}/{p}") for i, p in enumerate(paths)] + [("null", None)], "p string, uri string")
+    got = {r.p: (r.found, r.files, r["size"]) for r in files.file_stat(spark, str(tmp_path), wanted).collect()}
+    assert got == {
+        "a": (True, 2, 8), "a/": (True, 2, 8), "a/b": (True, 1, 5), "a/b/one.txt": (True, 1, 5), "a/empty.txt": (False, 0, None),
+        "a/b/none.txt": (False, 0, None), "a/two.txt": (True, 1, 3), "null": (False, 0, None),
+    }

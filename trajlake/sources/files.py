@@ -151,6 +151,30 @@ def list_files(spark: SparkSession, uri: str, *, recursive: bool = True, glob: s
     )
 
 
+def _bare(uri: Column) -> Column:
+    """A path without what local file systems may put before it, and without a slash at its end."""
+    return F.regexp_replace(F.regexp_replace(uri, "^file:/+", "/"), "(?<=.)/+$", "")
+
+
+def file_stat(spark: SparkSession, folder: str, wanted: DataFrame, uri: str = "uri") -> DataFrame:
+    """``wanted`` with what there is at each of its paths: ``found``, ``files``, ``size``, ``last_modified``.
+
+    A path may be a file or a folder: all files at or below it count, and one that is missing has no
+    files. Spark's scans leave empty files out, so these count as missing. ``folder`` is where all wanted paths lie; it is listed once, in parallel where it is large, and each file
+    is counted for itself and the folders above it, summed on the map side. No path is asked for on its own.
+    """
+    parts = F.split("_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    listed = list_files(spark, folder).withColumn("_path", _bare(F.col("uri")))
+    known = listed.select(F.explode(above).alias("_path"), "size", "last_modified").groupBy("_path").agg(
+        F.count("*").alias("files"), F.sum("size").alias("size"), F.max("last_modified").alias("last_modified")
+    )
+    asked = wanted.withColumn("_path", _bare(F.col(uri)))
+    return asked.join(known, "_path", "left").drop("_path").withColumns(
+        {"found": F.col("files").isNotNull(), "files": F.coalesce("files", F.lit(0))}
+    )
+
+
 def latest_file(spark: SparkSession, uri: str, suffix: str = EVENT_LIST_SUFFIX) -> DataFrame:
     """The newest file or output folder with a suffix, by time and then by name."""
     found = list_files(spark, f"{uri.rstrip('/')}/*{suffix}")
