@@ -5,7 +5,8 @@ from which it may be labelled again. That is sequential, but no object is follow
 are cut into pieces of time, and every state a piece may be entered with is carried through it at once.
 Counters are small numbers, and of guards only those within the piece's first rows differ, so a piece
 is a small table from entering to leaving states. Tables are composed level by level like those of
-greedy spacing; the states come back down, and each piece then finds its own labels.
+greedy spacing; the states come back down, and each piece then finds its own labels. Rows are stepped
+through many pieces and states at once, so the steps of a task are the rows of its longest piece.
 """
 
 from __future__ import annotations
@@ -46,37 +47,79 @@ def _lane(state: np.ndarray, early: np.ndarray, stuck_rows: int, wall_rows: int)
     return np.ravel_multi_index((state[:, 0], state[:, 1], state[:, 2], place), shape)
 
 
-def _step(state: np.ndarray, m: int, stuck: bool, near: bool, rule: tuple[int, int, int]) -> np.ndarray:
-    """All states after a row; returns which of them labelled it (1 stuck, 2 wall)."""
+def _step(state: np.ndarray, m: np.ndarray, stuck: np.ndarray, near: np.ndarray, rule: tuple[int, int, int]) -> np.ndarray:
+    """All states after a row each; returns which of them labelled it (1 stuck, 2 wall)."""
     stuck_rows, wall_rows, cooldown = rule
     judged = state[:, 2] == 0
-    state[:, 0] = np.where(judged, np.minimum(state[:, 0] + 1, stuck_rows) if stuck else 0, state[:, 0])
-    state[:, 2] = 0
+    state[:, 0] = np.where(judged, np.where(stuck, np.minimum(state[:, 0] + 1, stuck_rows), 0), state[:, 0])
     blocked = judged & (state[:, 0] >= stuck_rows)
-    walls = np.minimum(state[:, 1] + 1, wall_rows) if near else np.zeros(len(state), np.int64)
+    walls = np.where(near, np.minimum(state[:, 1] + 1, wall_rows), 0)
     state[:, 1] = np.where(blocked, state[:, 1], walls)
-    hugging = ~blocked & (state[:, 1] >= wall_rows)
-    hit = (blocked | hugging) & (m >= state[:, 3])
-    state[hit] = (0, 0, 1, m + cooldown)
+    hit = (blocked | (state[:, 1] >= wall_rows)) & (m >= state[:, 3])
+    state[:, :2][hit] = 0
+    state[:, 2] = hit
+    state[:, 3] = np.where(hit, m + cooldown, state[:, 3])
     return np.where(hit, np.where(blocked, 1, 2), 0)
 
 
-def _table(ms: np.ndarray, flags: np.ndarray, rule: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """A piece's early instants and, for each state it may be entered with, the state it leaves behind."""
-    early = ms[: int(np.searchsorted(ms, ms[0] + rule[2]))]
-    states = _entries(early, *rule[:2])
-    begun = states[:, 3].copy()
-    # States that have become equal go on as one, unless their guards still are those they came with.
-    lanes = np.arange(len(states))
-    for i, (m, f) in enumerate(zip(ms.tolist(), flags.tolist(), strict=True)):
-        _step(states, m, bool(f & 1), bool(f & 2), rule)
-        if i % 8 == 7 and len(states) > 1:
-            states, place = np.unique(states, axis=0, return_inverse=True)
-            lanes = place.ravel()[lanes]
-    leaving = states[lanes]
-    # Labels set later guards than any that a state may come with.
-    leaving[leaving[:, 3] == begun, 3] = _KEPT
-    return early, leaving
+#: States that are stepped through together.
+TOGETHER = 200_000
+
+
+def _march(ms: list, fs: list, states: list[np.ndarray], rule: tuple[int, int, int], *, merge: bool) -> tuple[list[np.ndarray], list[list[dict]]]:
+    """The states after each of several pieces, and the labels on the way.
+
+    A step takes the next row of every piece that has one, for all its states. Longest pieces come first,
+    so those that go on are a prefix. With ``merge`` states that have become equal go on as one.
+    """
+    order = sorted(range(len(ms)), key=lambda i: -len(ms[i]))
+    lengths = np.array([len(ms[i]) for i in order])
+    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    m_all = np.concatenate([ms[i] for i in order])
+    f_all = np.concatenate([fs[i] for i in order])
+    owner = np.repeat(np.arange(len(order)), [len(states[i]) for i in order])
+    state = np.concatenate([states[i] for i in order])
+    lanes = np.arange(len(state))
+    found: list[list[dict]] = [[] for _ in ms]
+    for t in range(int(lengths[0])):
+        active = int(np.searchsorted(-lengths, -t, side="left"))
+        k = int(np.searchsorted(owner, active))
+        at = begins[owner[:k]] + t
+        m, f = m_all[at], f_all[at]
+        kinds = _step(state[:k], m, f & 1 > 0, f & 2 > 0, rule)
+        if not merge:
+            for i in np.flatnonzero(kinds).tolist():
+                found[order[owner[i]]].append({"m": int(m[i]), "kind": int(kinds[i])})
+        # After 8, 16, 32 .. rows: most states have met by then, and what is left costs little.
+        elif t >= 7 and (t + 1) & t == 0 and len(state) > len(order):
+            both, place = np.unique(np.column_stack([owner, state]), axis=0, return_inverse=True)
+            lanes, owner, state = place.ravel()[lanes], both[:, 0], np.ascontiguousarray(both[:, 1:])
+    ends = state[lanes]
+    out: list[np.ndarray] = [ends[:0]] * len(ms)
+    first = 0
+    for i in order:
+        out[i] = ends[first : first + len(states[i])]
+        first += len(states[i])
+    return out, found
+
+
+def _tables(ms: list, fs: list, rule: tuple[int, int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each piece its early instants and, for each state it may be entered with, the state it leaves behind."""
+    early = [m[: int(np.searchsorted(m, m[0] + rule[2]))] for m in ms]
+    begun = [_entries(e, *rule[:2]) for e in early]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    first = total = 0
+    for i, states in enumerate(begun):
+        total += len(states)
+        if total >= TOGETHER or i + 1 == len(begun):
+            some = slice(first, i + 1)
+            leaving, _ = _march(ms[some], fs[some], begun[some], rule, merge=True)
+            for e, before, after in zip(early[some], begun[some], leaving, strict=True):
+                # Labels set later guards than any that a state may come with.
+                after[after[:, 3] == before[:, 3], 3] = _KEPT
+                out.append((e, after))
+            first, total = i + 1, 0
+    return out
 
 
 def _through(early: np.ndarray, leaving: np.ndarray, state: np.ndarray, rule: tuple[int, int, int]) -> np.ndarray:
@@ -108,7 +151,7 @@ def collision_rows(flagged: DataFrame, *, stuck_rows: int, wall_rows: int, coold
 
     @F.pandas_udf(T.StructType([T.StructField("early", _LONGS), T.StructField("leaving", _LONGS)]))
     def tables(ms: pd.Series, fs: pd.Series) -> pd.DataFrame:
-        made = [_table(m, f, rule) for m, f in zip(ms, fs, strict=True)]
+        made = _tables(ms.to_list(), fs.to_list(), rule)
         return pd.DataFrame([(e, s.ravel()) for e, s in made], columns=["early", "leaving"], dtype=object)
 
     def through(early: np.ndarray, leaving: np.ndarray, state: np.ndarray) -> np.ndarray:
@@ -153,15 +196,8 @@ def collision_rows(flagged: DataFrame, *, stuck_rows: int, wall_rows: int, coold
 
     @F.pandas_udf("array<struct<m:long,kind:int>>")
     def labelled(ms: pd.Series, fs: pd.Series, start: pd.Series) -> pd.Series:
-        out = []
-        for m, f, s in zip(ms, fs, start, strict=True):
-            state, found = np.array(s, dtype=np.int64).reshape(1, 4), []
-            for at, flags in zip(m.tolist(), f.tolist(), strict=True):
-                kind = int(_step(state, at, bool(flags & 1), bool(flags & 2), rule)[0])
-                if kind:
-                    found.append({"m": at, "kind": kind})
-            out.append(found)
-        return pd.Series(out, dtype=object)
+        states = [np.array(s, dtype=np.int64).reshape(1, 4) for s in start]
+        return pd.Series(_march(ms.to_list(), fs.to_list(), states, rule, merge=False)[1] if len(ms) else [], dtype=object)
 
     begun = gathered.join(starts, ["objid", "_piece"], "left").withColumn("_start", F.coalesce("_start", fresh))
     hits = begun.select("objid", F.explode(labelled("_ms", "_fs", "_start")).alias("h"))
