@@ -494,6 +494,58 @@ def test_edited_copies_beside_exact_ones(spark):
     assert {(r.doc_id, r.item_id) for r in found} == hit
 
 
+def test_frequent_words_make_long_seeds(spark):
+    """Texts of a few frequent words share many n-grams with items by chance; hardly any is aligned, all copies are found."""
+    rng = np.random.default_rng(12)
+    share = 1 / np.arange(1, 5001)
+    pick = lambda n: [f"v{w}" for w in rng.choice(5000, n, p=share / share.sum())]
+    items = [(i, " ".join(pick(40))) for i in range(200)]
+    docs, hit = [], set()
+    for i in range(1000):
+        words = pick(300)
+        if i % 20 == 0:
+            copy = items[i // 20][1].split(" ")
+            copy[7::8] = pick(len(copy[7::8]))
+            words[100:100] = copy
+            hit.add((i, i // 20))
+        docs.append((i, " ".join(words)))
+    docs, items = spark.createDataFrame(docs, "key long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.candidates(docs, items).count() < 500
+    found = decontaminate.contaminated(docs, items, "key").collect()
+    assert {(r.key, r.item_id) for r in found} == hit
+
+
+def test_seeds():
+    """Seeds are the shortest that are rare enough; each is found in any text that holds it, grown from its beginnings."""
+    rng = np.random.default_rng(13)
+    known = decontaminate.WordHash()
+    words = [f"w{x}" for x in rng.integers(0, 50, 60)]
+    each = decontaminate.hashes(words, known)
+    bits = rng.uniform(0.5, 6, 60).astype(np.float32)
+    places, found, whole = decontaminate.seeds(each, bits, 20.0)
+    ends = {}
+    for at in range(60):
+        end = next((e for e in range(at + decontaminate.GRAM, 61) if bits[at:e].sum() >= 20 - 1e-4), None)
+        if end is not None:
+            ends[at] = end
+    assert {p for p, w in zip(places, whole, strict=True) if w} == set(ends)
+    for p, g, w in zip(places, found, whole, strict=True):
+        if w:
+            assert g == decontaminate.grams(each[p : ends[p]], ends[p] - p).view(np.int64)[0]
+
+    def filled(flag):
+        out = np.zeros(decontaminate.FILTER_BITS >> 6, np.uint64)
+        for g in (x for x, w in zip(found, whole, strict=True) if w == flag):
+            slot = g & (decontaminate.FILTER_BITS - 1)
+            out[slot >> 6] |= np.uint64(1 << (slot & 63))
+        return out
+
+    where, hits = decontaminate.seed_hits(each, filled(True), filled(False))
+    want = {(p, g) for p, g, w in zip(places, found, whole, strict=True) if w}
+    assert want <= set(zip(where.tolist(), hits.tolist(), strict=True))
+    assert not len(decontaminate.seed_hits(each[:2], filled(True), filled(False))[0])
+
+
 def test_texts_of_one_item(spark):
     """Each text of an item is found, however rare the other's words are."""
     rng = np.random.default_rng(10)

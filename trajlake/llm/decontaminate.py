@@ -1,9 +1,14 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-One pass over the texts finds the places that may hold an n-gram of a test item (a bit filter of fixed
-size) and keeps the words around them. An exact join then tells real hits. Each n-gram of an item is a
-seed: passages that hold one are aligned with the item word by word, whatever other copies the corpus
-holds; edited copies keep a high score.
+Each place of a test item begins a seed: the shortest n-gram, of three words or more, that is rare
+enough, by the shares its words have of the whole corpus, to turn up by chance once in ``BY_CHANCE`` words of the
+corpus at most, all seeds taken together. So common words make longer seeds, and chance alignments grow with
+the corpus alone, not with corpus times benchmark. Rarity depends on words, not on copies of the n-gram: copies
+elsewhere take no seed from an edited copy.
+
+One pass over the texts sums up word shares. A second finds the places that may hold a seed (bit filters
+of fixed size) and keeps the words around them. An exact join then tells real hits, and the passages are
+aligned with the item word by word; edited copies keep a high score.
 """
 
 from __future__ import annotations
@@ -20,8 +25,14 @@ from pyspark.sql import functions as F
 
 from trajlake.llm.text import table, unpacked, with_id, written
 
-#: Words per seed.
+#: Words per seed, at least.
 GRAM = 3
+#: Words of the corpus for each hit of a seed that chance may make.
+BY_CHANCE = 1 << 13
+#: Words are counted by hash in so many slots: the size of the counts whatever the vocabulary.
+SLOTS = 1 << 18
+#: Words that the corpus is taken to hold besides its own, so that words of a small corpus are not all common.
+BESIDES = 1 << 14
 #: Bits of the filter: its size whatever the benchmark's. A full filter only makes more work.
 FILTER_BITS = 1 << 24
 #: Words kept on either side of a hit, besides the longest item's length.
@@ -51,30 +62,94 @@ class WordHash(dict):
         return value
 
 
-def grams(words: list[str], known: WordHash, n: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of each n-gram."""
-    if len(words) < n:
-        return np.zeros(0, np.int64)
-    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
+def hashes(words: list[str], known: WordHash) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The hashes of n-grams that go on with a word each."""
     with np.errstate(over="ignore"):
-        for k in range(n):
-            out = (out ^ each[k : len(words) - n + 1 + k]) * _ODD
-            out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+        out = (grams ^ words) * _ODD
+    return out ^ (out >> np.uint64(29))
+
+
+def grams(each: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of each n-gram of hashed words."""
+    out = np.zeros(max(0, len(each) - n + 1), np.uint64)
+    for k in range(n if len(out) else 0):
+        out = longer(out, each[k : len(each) - n + 1 + k])
+    return out
+
+
+def _slots(each: np.ndarray) -> np.ndarray:
+    return ((each * _ODD) >> np.uint64(46)).astype(np.int64)
+
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, total = WordHash(), np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for text in batch.column(0):
+            total += np.bincount(_slots(hashes(normal_words(text.as_py()), known)), minlength=SLOTS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+
+def word_bits(docs: DataFrame) -> np.ndarray:
+    """How rare a word of each slot is in all of ``docs``: minus the binary logarithm of its share."""
+    counts = docs.select("text").mapInArrow(_word_counts, "slot long, n long")
+    found = counts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(SLOTS)
+    total[found["slot"].to_numpy(np.int64)] = found["n"]
+    return np.log2((total.sum() + BESIDES) / (total + 1)).astype(np.float32)
+
+
+def seeds(each: np.ndarray, bits: np.ndarray, least: float) -> tuple[list[int], list[int], list[bool]]:
+    """Of an item's hashed words: the place and hash of each seed and of its beginnings, and whether it is whole.
+
+    A seed reaches ``least`` bits, or half of the item's if that is less, and ``GRAM`` words. Places too near the
+    end for that begin none, but the first does always.
+    """
+    out: tuple[list[int], list[int], list[bool]] = ([], [], [])
+    sums = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
+    ends = np.searchsorted(sums, sums[:-1] + min(least, sums[-1] / 2) - 1e-6)
+    start = grams(each).view(np.int64)
+    for at in range(len(start)):
+        end = max(int(ends[at]), at + GRAM)
+        if end > len(each):
+            break
+        gram = start[at : at + 1].view(np.uint64)
+        for n in range(at + GRAM, end + 1):
+            out[0].append(at)
+            out[1].append(int(gram.view(np.int64)[0]))
+            out[2].append(n == end)
+            if n < end:
+                gram = longer(gram, each[n : n + 1])
+    return out
 
-def item_grams(items: DataFrame) -> DataFrame:
-    """``item``, its number of words, and its n-grams: ``gram`` at ``at``. A shorter item has none."""
 
-    @F.pandas_udf("words int, grams array<long>")
+def item_seeds(items: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``item_id``, its number of words, and its seeds and their beginnings: ``gram`` at ``at``, ``whole`` or not.
+
+    An item of fewer than ``GRAM`` words has none.
+    """
+    words = F.pandas_udf(lambda texts: texts.map(lambda t: len(normal_words(t))), "long")
+    total = items.agg(F.sum(words("text"))).first()[0] or 0
+    least = float(np.log2(BY_CHANCE) + np.log2(max(1, total)))
+    # One number per slot.
+    shared = items.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("words int, places array<int>, grams array<long>, whole array<boolean>")
     def split(texts: pd.Series) -> pd.DataFrame:
-        known = WordHash()
-        found = [normal_words(t) for t in texts]
-        return pd.DataFrame({"words": [len(w) for w in found], "grams": [grams(w, known) for w in found]})
+        known, rare = WordHash(), shared.value
+        out = []
+        for t in texts:
+            each = hashes(normal_words(t), known)
+            out.append((len(each), *seeds(each, rare[_slots(each)], least)))
+        return pd.DataFrame(out, columns=["words", "places", "grams", "whole"])
 
     out = items.select("item_id", split("text").alias("s"))
-    return out.select("item_id", F.col("s.words").alias("words"), F.posexplode("s.grams").alias("at", "gram"))
+    out = out.select("item_id", F.col("s.words").alias("words"), F.explode(F.arrays_zip("s.places", "s.grams", "s.whole")).alias("g"))
+    return out.select("item_id", "words", F.col("g.places").alias("at"), F.col("g.grams").alias("gram"), F.col("g.whole").alias("whole"))
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,37 +161,61 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(sums.view(np.int64))], ["word", "bits"])
 
 
-def gram_filter(hashes: DataFrame) -> np.ndarray:
+def gram_filter(rows: DataFrame) -> np.ndarray:
     """The bit filter of all n-grams in ``gram``; at most ``FILTER_BITS / 64`` rows reach the driver."""
-    parts = hashes.select("gram").mapInArrow(_bits, "word long, bits long")
+    parts = rows.select("gram").mapInArrow(_bits, "word long, bits long")
     found = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS >> 6, np.uint64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def passages(docs: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
+def inside(filter_: np.ndarray, found: np.ndarray) -> np.ndarray:
+    slots = found & np.uint64(FILTER_BITS - 1)
+    return (filter_[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def seed_hits(each: np.ndarray, whole: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in hashed words that may begin a seed, and the seeds' hashes; grows what may be the beginning of one."""
+    found = grams(each)
+    place = np.flatnonzero(inside(whole | begun, found))
+    found, n = found[place], GRAM
+    places, hits = [], []
+    while len(place):
+        done = inside(whole, found)
+        places.append(place[done])
+        hits.append(found[done])
+        goes_on = inside(begun, found) & (place + n < len(each))
+        place, found = place[goes_on], found[goes_on]
+        found = longer(found, each[place + n])
+        n += 1
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, found = np.concatenate(places), np.concatenate(hits).view(np.int64)
+    order = np.argsort(place, kind="stable")
+    return place[order], found[order]
+
+
+def passages(docs: DataFrame, whole: np.ndarray, begun: np.ndarray, reach: int) -> DataFrame:
     """The stretches of words around possible hits in ``docs`` (key, text): key, passage (words joined by blanks), hits.
 
     Stretches that overlap are one, so no word is kept twice.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast((whole, begun))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, full = WordHash(), shared.value
+        known = WordHash()
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = normal_words(text.as_py())
-                found = grams(words, known)
-                slots = (found & (FILTER_BITS - 1)).astype(np.uint64)
-                hit = np.flatnonzero(full[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1))
+                hit, found = seed_hits(hashes(words, known), *shared.value)
                 if not len(hit):
                     continue
-                cut = np.flatnonzero(np.diff(hit) > 2 * reach) + 1
-                for group in np.split(hit, cut):
-                    low, high = max(0, int(group[0]) - reach), int(group[-1]) + reach
-                    out.append((key.as_py(), " ".join(words[low:high]), (group - low).tolist(), found[group].tolist()))
+                cuts = [0, *(np.flatnonzero(np.diff(hit) > 2 * reach) + 1).tolist(), len(hit)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    low, high = max(0, int(hit[a]) - reach), int(hit[b - 1]) + reach
+                    out.append((key.as_py(), " ".join(words[low:high]), (hit[a:b] - low).tolist(), found[a:b].tolist()))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             types = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
@@ -178,22 +277,19 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _flush(rows)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", least_score: float = LEAST_SCORE) -> DataFrame:
-    """Pairs (``key``, item_id) with the alignment ``score``, at least ``least_score``.
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """What is to be aligned: ``key``, item_id, item_text, passage, and the words ``low`` .. ``high`` of it.
 
-    ``docs`` needs ``key`` (a long) and text, ``items`` item_id and text. Rows with the same key, or
-    without one, count as one document; rows of one item_id as one item. Null texts, items without
-    item_id and items of fewer than ``GRAM`` words match nothing.
+    ``docs`` has key and text. One row per passage, item and band of offsets, however many seeds they share.
     """
-    item = written(item_grams(items), "grams")
+    item = written(item_seeds(items, word_bits(docs)), "seeds")
     longest = item.agg(F.max("words")).first()[0] or 0
-    found = passages(docs.select(F.col(key).alias("key"), "text"), gram_filter(item), longest + MARGIN)
+    whole, begun = gram_filter(item.where("whole")), gram_filter(item.where("not whole"))
+    found = passages(docs, whole, begun, longest + MARGIN)
     found = written(found.withColumn("stretch", F.monotonically_increasing_id()), "passages")
     hits = found.select("stretch", F.explode(F.arrays_zip("places", "grams")).alias("h"))
     hits = hits.select("stretch", F.col("h.places").alias("place"), F.col("h.grams").alias("gram"))
-    # Every n-gram of an item is a seed: a rarer one elsewhere in the corpus must not stand for one that an edited copy kept.
-    seeds = item.select("item_id", "words", "at", "gram")
-    near = hits.join(seeds, "gram").withColumn("offset", F.col("place") - F.col("at"))
+    near = hits.join(item.where("whole").drop("whole"), "gram").withColumn("offset", F.col("place") - F.col("at"))
     bands = near.groupBy("stretch", "item_id", "words", F.floor(F.col("offset") / OFFSET).alias("band")).agg(
         F.min("offset").alias("low"), F.max("offset").alias("high")
     )
@@ -201,9 +297,18 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", least_s
     pairs = bands.select("stretch", "item_id", low.cast("long").alias("low"), high.cast("long").alias("high"))
     texts = items.select("item_id", F.col("text").alias("item_text"))
     ready = pairs.join(found.select("stretch", "key", "passage"), "stretch").join(texts, "item_id")
-    scores = ready.select("key", "item_id", "passage", "low", "high", "item_text").mapInArrow(
-        _aligned, "key long, item_id long, score double"
-    )
+    return ready.select("key", "item_id", "passage", "low", "high", "item_text")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", least_score: float = LEAST_SCORE) -> DataFrame:
+    """Pairs (``key``, item_id) with the alignment ``score``, at least ``least_score``.
+
+    ``docs`` needs ``key`` (a long) and text, ``items`` item_id and text. Rows with the same key, or
+    without one, count as one document; rows of one item_id as one item. Null and empty texts, items without
+    item_id and items of fewer than ``GRAM`` words match nothing. Texts of any length are read whole.
+    """
+    pairs = candidates(docs.select(F.col(key).alias("key"), "text"), items)
+    scores = pairs.mapInArrow(_aligned, "key long, item_id long, score double")
     best = scores.where(F.col("score") >= least_score).groupBy("key", "item_id").agg(F.max("score").alias("score"))
     return best.withColumnRenamed("key", key)
 
