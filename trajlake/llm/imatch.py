@@ -22,6 +22,10 @@ BAND = (0.0005, 0.25)
 DENSEST, LEVELS, SEEDS = 3, 8, 4
 #: Documents per bucket, on average, when each meets its successor.
 BUCKET_ROWS = 512
+#: Percentiles of doc_id, and of doc_id between two of them, by which buckets are cut: bounded whatever the data.
+KNOTS = 256
+#: Buckets whose order is worked out together.
+GROUP = 4096
 
 
 def terms(text: Column) -> Column:
@@ -92,6 +96,53 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), (F.length(text) - half).cast("int")), F.substr(other, F.lit(1), half))
 
 
+def _knots(key: Column) -> Column:
+    return F.percentile_approx(key, F.array(*[F.lit(i / KNOTS) for i in range(KNOTS + 1)]), 10 * KNOTS)
+
+
+def _below(knots: Column, key: Column) -> tuple[Column, Column]:
+    """How many knots are smaller than ``key``, and how many are no larger."""
+    return F.size(F.filter(knots, lambda k: k < key)), F.size(F.filter(knots, lambda k: k <= key))
+
+
+def bucketed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``bucket``, which counts up in descending doc_id, rows without one last.
+
+    Buckets follow the counts, not the range of doc_id: percentiles cut the rows into bands, and
+    percentiles of each band cut it again; between two of these buckets are equal ranges. A doc_id, or none, that
+    very many rows have lies on several percentiles and is spread over its buckets in order of its texts' hashes.
+    """
+    # Turned over, so that it ascends in descending doc_id, with nothing beyond what stands for null.
+    turned = docs.withColumn("turned", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)))
+    first = turned.agg(_knots(F.col("turned")).alias("knots")).first()["knots"] or []
+    band = _below(F.array(*[F.lit(k).cast("long") for k in first]), F.col("turned"))[1].alias("band")
+    bands = turned.select("turned", band).groupBy("band").agg(F.count(F.lit(1)).alias("n"), _knots(F.col("turned")).alias("knots"))
+    wide = bands.withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS))
+    before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    # KNOTS + 1 rows of KNOTS + 1 numbers.
+    wide = wide.withColumn("base", F.coalesce(F.sum(F.col("buckets") + 1).over(before), F.lit(0)))
+    found = turned.withColumn("band", band).join(F.broadcast(wide), "band")
+    smaller, reached = _below(F.col("knots"), F.col("turned"))
+    found = found.withColumn("_smaller", smaller).withColumn("_reached", reached)
+    low, high = F.get("knots", F.col("_smaller") - 1).cast("double"), F.get("knots", F.col("_smaller")).cast("double")
+    between = F.col("_smaller") - 1 + F.coalesce((F.col("turned").cast("double") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    part = F.xxhash64("text").cast("double") / float(1 << 64) + 0.5
+    on_one = F.col("_smaller") + part * (F.col("_reached") - F.col("_smaller") - 1)
+    place = F.when(F.col("_reached") > F.col("_smaller"), on_one).otherwise(F.greatest(between, F.lit(0.0)))
+    bucket = F.col("base") + F.floor(F.least(place / KNOTS, F.lit(1.0)) * F.col("buckets"))
+    return found.select(*docs.columns, bucket.cast("long").alias("bucket"))
+
+
+def followed(buckets: DataFrame) -> DataFrame:
+    """Each ``bucket`` with the next larger one (``head``); the first follows the last."""
+    grouped = buckets.select("bucket", F.expr(f"bucket div {GROUP}").alias("group"))
+    groups = grouped.groupBy("group").agg(F.min("bucket").alias("least"))
+    next_group = F.coalesce(F.lead("least").over(Window.orderBy("group")), F.min("least").over(Window.partitionBy()))
+    after = groups.select("group", next_group.alias("after"))
+    inside = grouped.withColumn("head", F.lead("bucket").over(Window.partitionBy("group").orderBy("bucket")))
+    return inside.join(after, "group").select("bucket", F.coalesce("head", "after").alias("head"))
+
+
 def _compared(rows: DataFrame, bits: Column) -> DataFrame:
     """Adds what depends on the successor (``next_text``, ``next_print``); null where it is not known yet."""
     out = rows.withColumn("_edited", edited(F.col("text"), F.col("next_text")))
@@ -109,13 +160,8 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     row is its own. An empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    facts = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    bits = lexicon(docs, "text", facts["n"])
-    low, high = facts["low"] or 0, facts["high"] or 0
-    width = max(1, (high - low + 1) * BUCKET_ROWS // max(1, facts["n"]))
-    # Buckets count up in descending doc_id; what has none is in the last one.
-    bucket = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)), F.lit((high - low) // width + 1)).cast("long")
-    rows = docs.select("doc_id", "text", fingerprint(F.col("text"), bits).alias("print"), bucket.alias("bucket"))
+    bits = lexicon(docs, "text", docs.count())
+    rows = bucketed(docs).select("doc_id", "text", fingerprint(F.col("text"), bits).alias("print"), "bucket")
     inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     rows = (
         rows.withColumn("next_text", F.lead("text").over(inside))
@@ -132,9 +178,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "prints",
     )
     heads = found.where("place = 1").select(F.col("bucket").alias("head"), F.col("text").alias("next_text"), F.col("print").alias("next_print"))
-    order = Window.orderBy("bucket")
-    follow = heads.select(F.col("head").alias("bucket")).withColumn("head", F.lead("bucket").over(order))
-    follow = follow.withColumn("head", F.coalesce("head", F.min("bucket").over(Window.partitionBy())))
+    follow = followed(heads.select(F.col("head").alias("bucket")))
     lasts = found.where("last").drop("next_print", "edited_sha256", "edited_print").join(follow, "bucket").join(heads, "head")
     columns = ["doc_id", "n_chars", "edited_sha256", "print", "edited_print", "next_print"]
     out = found.where("not last").select(columns).unionAll(_compared(lasts, bits).select(columns))
