@@ -1,6 +1,7 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Each source's documents are packed end to end into blocks of ``BLOCK`` words. A source's target, in
+Each source's documents are packed end to end into blocks of ``BLOCK`` words; a source too small for
+``BLOCKS`` of these has blocks of a ``BLOCKS``-th of its size, so that it can meet its target too. A target, in
 words, gives its quota of blocks. The output consists of shards of ``SLOTS`` blocks; how many each
 shard gets of each source is a multinomial draw conditioned on the quotas (slots are dealt to shards
 by a pseudorandom permutation), so the totals meet the targets. A source's slots, counted on from
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from trajlake.llm.text import WORD, n_words, table, with_id, written
 
 BLOCK = 256
+#: Blocks that a source is cut into at least, if it has as many words.
+BLOCKS = 256
 SLOTS = 1024
 SEED = 20_250
 WEIGHTS = (5, 2, 1)
@@ -68,8 +71,10 @@ def targets(sources: DataFrame, most: float = MOST) -> DataFrame:
 
 
 def quotas(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of each source, how many of them to take (``quota``), and where its slots begin."""
-    n = F.ceil(F.col("size") / block)
+    """The length and number of each source's blocks, how many to take (``quota``), and where its slots begin."""
+    length = F.least(F.lit(block), F.greatest(F.lit(1), F.expr(f"size div {BLOCKS}"))).cast("long")
+    sources = sources.withColumn("length", length)
+    n = F.ceil(F.col("size") / F.col("length"))
     quota = F.least(n * MOST, F.round(F.col("target") * n / F.greatest(F.col("size"), F.lit(1))).cast("long"))
     out = sources.withColumn("blocks", n).withColumn("quota", quota)
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,13 +85,13 @@ def quotas(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def packed(docs: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
-    """``docs`` (source, size, order columns) with the source's number and the word position ``start``.
+    """``docs`` (source, size, order columns) with the source's number, its blocks' ``length``, and the word position ``start``.
 
     Positions are summed inside buckets; a source has one row per bucket to sum along.
     """
     buckets = max(1, -(-rows // BUCKET_ROWS))
     keys = [c for c in docs.columns if c != "source"]
-    s = sources.select(F.col("source").alias("_source"), "sid")
+    s = sources.select(F.col("source").alias("_source"), "sid", "length")
     out = docs.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     out = out.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     sums = out.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
@@ -122,13 +127,13 @@ def draws(counts: DataFrame, seed: int = SEED) -> DataFrame:
     return each.select("sid", "shard", turn.alias("turn"), index.alias("block"))
 
 
-def pieces(packs: DataFrame, block: int = BLOCK) -> DataFrame:
+def pieces(packs: DataFrame) -> DataFrame:
     """A row for each block that a document's words lie in: the document's words ``skip`` .. ``skip + words - 1``."""
     end = F.col("start") + F.col("size")
-    spread = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
+    spread = F.sequence(F.expr("start div length"), F.expr("(start + size - 1) div length"))
     out = packs.where("size > 0").withColumn("block", F.explode(spread))
-    low = F.greatest(F.col("start"), F.col("block") * block)
-    high = F.least(end, (F.col("block") + 1) * block)
+    low = F.greatest(F.col("start"), F.col("block") * F.col("length"))
+    high = F.least(end, (F.col("block") + 1) * F.col("length"))
     return out.withColumn("skip", low - F.col("start")).withColumn("words", high - low)
 
 
