@@ -409,20 +409,24 @@ def test_exchange_gain():
         assert abs(best - likelihood(grid(moved))) < 1e-6
 
 
-def test_placed_class():
-    """The class of a word left to an ending is the one that ``best_class`` finds."""
+@pytest.mark.parametrize("together", [7, 1 << 14])
+def test_placed_classes(together, monkeypatch):
+    """The classes of words left to endings are those that ``best_class`` finds, however many are placed together."""
+    monkeypatch.setattr(class_lm, "PLACED_COUNTS", together)
     rng = np.random.default_rng(11)
     size = class_lm.ALL
     for _ in range(20):
         kinds = rng.integers(0, size, 30)
         pairs = rng.integers(0, 5, (30, 30)) * rng.integers(0, 2, (30, 30))
-        own = kinds[0] = class_lm.CLASSES + 1 + rng.integers(class_lm.ENDINGS)
-        grid, after, before = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+        kinds[:9] = class_lm.CLASSES + 1 + rng.integers(class_lm.ENDINGS, size=9)
+        grid, after, before = np.zeros((size, size)), np.zeros((9, size)), np.zeros((9, size))
         np.add.at(grid, (kinds[:, None], kinds[None, :]), pairs)
-        np.add.at(after, kinds, pairs[0])
-        np.add.at(before, kinds, pairs[:, 0])
-        want, _ = class_lm.best_class(int(own), after, before, pairs[0, 0], grid)
-        assert class_lm.placed_class(int(own), after, before, pairs[0, 0], grid, grid.sum(axis=1), grid.sum(axis=0)) == want
+        for w in range(9):
+            np.add.at(after[w], kinds, pairs[w])
+            np.add.at(before[w], kinds, pairs[:, w])
+        twice = np.diag(pairs)[:9]
+        got = class_lm.placed_classes(kinds[:9], after, before, twice, grid)
+        assert got.tolist() == [class_lm.best_class(int(kinds[w]), after[w], before[w], twice[w], grid)[0] for w in range(9)]
 
 
 @pytest.mark.parametrize("held", [200_000, 30])

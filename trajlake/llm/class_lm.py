@@ -38,6 +38,10 @@ HELD, HELD_BYTES = 200_000, 64
 ROUNDS, AT_ONCE = 10, 16
 #: Weight of the unigram class distribution in a transition.
 SMOOTHING = 10.0
+#: Bits of the filter of words that occur ``LEAST`` times: its size whatever the vocabulary. False hits only make work.
+FILTER_BITS = 1 << 25
+#: Words, and counts next to them, that are placed together.
+PLACED, PLACED_COUNTS = 2048, 1 << 14
 #: Distinct words, and distinct pairs, that a task gathers before it hands them on.
 GATHERED, GATHERED_PAIRS = 300_000, 3_000_000
 
@@ -91,13 +95,19 @@ class Numbers(dict):
 
 
 class Others(Numbers):
-    """Word -> its number among the first ones, or ``NUMBERS`` and more: its place in ``found``, which grows."""
+    """Word -> its number among the first ones, the number of its ending, or ``NUMBERS`` and more: its place in ``found``.
 
-    def __init__(self, first) -> None:
+    Endings are for words that the filter ``often`` leaves out; ``found`` grows.
+    """
+
+    def __init__(self, first, often: np.ndarray) -> None:
         super().__init__(first)
-        self.first, self.found = dict(self), []
+        self.first, self.often, self.found = dict(self), often.astype("<i8").tobytes(), []
 
     def __missing__(self, word: bytes) -> int:
+        slot = zlib.crc32(word) & (FILTER_BITS - 1)
+        if not self.often[slot >> 3] >> (slot & 7) & 1:
+            return CLUSTERED + 1 + zlib.crc32(word[-1:]) % ENDINGS
         self[word] = value = NUMBERS + len(self.found)
         self.found.append(word)
         return value
@@ -265,17 +275,28 @@ def exchange(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
     return classes, grid
 
 
-def contexts(texts: DataFrame, held: list[str], classes: np.ndarray) -> DataFrame:
-    """For each ``word`` not among the first: how often (``ns``) each class is next to it (``kinds``).
+def frequent(counts: DataFrame) -> np.ndarray:
+    """The bit filter of the words that occur ``LEAST`` times; at most ``FILTER_BITS / 64`` rows reach the driver."""
+    slot = F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit(FILTER_BITS - 1))
+    slots = counts.where(F.col("n") >= LEAST).select(slot.alias("slot"))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    found = slots.groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[found["at"].to_numpy(np.int64)] = found["bits"]
+    return out
+
+
+def contexts(texts: DataFrame, held: list[str], classes: np.ndarray, often: np.ndarray) -> DataFrame:
+    """For each ``word`` of the filter ``often``, the first ones aside: how often (``ns``) each class is next to it (``kinds``).
 
     Kinds are classes after it, classes before it, repetitions. A word has one row for each task that
     gathers it. ``classes`` are those of ``exchange``.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((held[:CLUSTERED], classes))
+    shared = texts.sparkSession.sparkContext.broadcast((held[:CLUSTERED], classes, often))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, names = shared.value
-        others = Others((w.encode(), i + 1) for i, w in enumerate(first))
+        first, names, often = shared.value
+        others = Others(((w.encode(), i + 1) for i, w in enumerate(first)), often)
         codes, sums, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def merge() -> None:
@@ -318,24 +339,38 @@ def contexts(texts: DataFrame, held: list[str], classes: np.ndarray) -> DataFram
     return texts.mapInArrow(count, "word string, kinds array<short>, ns array<long>")
 
 
-def placed_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, grid: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> int:
-    """The class of ``best_class`` for a word whose own class is an ending; work goes by the classes next to it.
+def _gains(sides: np.ndarray, others: np.ndarray, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """What each class gains by the classes on one side of words: a row for each word of ``sides``.
 
-    ``rows`` and ``cols`` are the sums of ``grid``.
+    ``grid`` counts the clustered classes (rows) with all on that side; ``others`` counts the other side.
     """
-    s, p = after.copy(), before.copy()
-    s[own] -= twice
-    p[own] -= twice
-    a, b = np.flatnonzero(s), np.flatnonzero(p)
-    g, h = grid[:CLASSES, a], grid[b, :CLASSES]
-    g[:, a == own] -= p[:CLASSES, None]
-    h[b == own, :] -= s[None, :CLASSES]
-    gain = (_xlogx(g + s[a]) - _xlogx(g)).sum(axis=1) + (_xlogx(h + p[b, None]) - _xlogx(h)).sum(axis=0)
-    d, s0, p0 = np.diag(grid)[:CLASSES], s[:CLASSES], p[:CLASSES]
-    gain += _xlogx(d + s0 + p0 + twice) + _xlogx(d) - _xlogx(d + s0) - _xlogx(d + p0)
-    r, c = rows[:CLASSES], cols[:CLASSES]
-    gain -= _xlogx(r + s.sum() + twice) - _xlogx(r) + _xlogx(c + p.sum() + twice) - _xlogx(c)
-    return int(np.argmax(gain))
+    out = np.zeros((len(sides), CLASSES))
+    base = _xlogx(grid)
+    word, kind = np.nonzero(sides)
+    for low in range(0, len(word), PLACED_COUNTS):
+        w, k = word[low : low + PLACED_COUNTS], kind[low : low + PLACED_COUNTS]
+        before, was = grid.T[k], base.T[k]
+        same = np.flatnonzero(k == own[w])
+        before[same] -= others[w[same], :CLASSES]
+        was[same] = _xlogx(before[same])
+        before += sides[w, k][:, None]
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        out[w[first]] += np.add.reduceat(_xlogx(before) - was, first, axis=0)
+    return out
+
+
+def placed_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The classes of ``best_class`` for words whose own class is an ending, a row each; work goes by the classes next to them."""
+    s, p, each = after.astype(float), before.astype(float), np.arange(len(own))
+    s[each, own] -= twice
+    p[each, own] -= twice
+    gain = _gains(s, p, own, grid[:CLASSES]) + _gains(p, s, own, grid[:, :CLASSES].T)
+    d, s0, p0, t = np.diag(grid)[:CLASSES], s[:, :CLASSES], p[:, :CLASSES], np.asarray(twice, float)[:, None]
+    gain += _xlogx(d + s0 + p0 + t) + _xlogx(d) - _xlogx(d + s0) - _xlogx(d + p0)
+    r, c = grid.sum(axis=1)[:CLASSES], grid.sum(axis=0)[:CLASSES]
+    s1, p1 = s.sum(axis=1, keepdims=True) + t, p.sum(axis=1, keepdims=True) + t
+    gain -= _xlogx(r + s1) - _xlogx(r) + _xlogx(c + p1) - _xlogx(c)
+    return gain.argmax(axis=1)
 
 
 def placed(found: DataFrame, grid: np.ndarray) -> DataFrame:
@@ -344,18 +379,17 @@ def placed(found: DataFrame, grid: np.ndarray) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = shared.value
-        rows, cols = grid.sum(axis=1), grid.sum(axis=0)
         for batch in batches:
-            names, kinds = [], []
-            for word, of, ns in zip(*batch.columns, strict=True):
-                at, n = of.values.to_numpy(), ns.values.to_numpy()
-                if n[at < ALL].sum() < LEAST:
-                    continue
-                counts = np.bincount(at, n, minlength=KINDS)
-                own = CLASSES - Numbers()[word.as_py().encode()]
-                names.append(word.as_py())
-                kinds.append(placed_class(own, counts[:ALL], counts[ALL : 2 * ALL], counts[-1], grid, rows, cols))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.int32())], ["word", "kind"])
+            for low in range(0, len(batch), PLACED):
+                part = batch.slice(low, PLACED)
+                sizes = part["kinds"].value_lengths().to_numpy()
+                code = np.repeat(np.arange(len(part)) * KINDS, sizes) + part["kinds"].flatten().to_numpy()
+                counts = np.bincount(code, part["ns"].flatten().to_numpy(), minlength=len(part) * KINDS).reshape(-1, KINDS)
+                enough = np.flatnonzero(counts[:, :ALL].sum(axis=1) >= LEAST)
+                counts, words_ = counts[enough], part["word"].take(pa.array(enough))
+                own = np.array([CLASSES - Numbers()[w] for w in texts_of(words_)], np.int64)
+                kinds = placed_classes(own, counts[:, :ALL], counts[:, ALL : 2 * ALL], counts[:, -1], grid)
+                yield pa.RecordBatch.from_arrays([words_, pa.array(kinds, pa.int32())], ["word", "kind"])
 
     each = found.groupBy("word").agg(F.collect_list(F.struct("kinds", "ns")).alias("p"))
     each = each.select("word", F.flatten("p.kinds").alias("kinds"), F.flatten("p.ns").alias("ns"))
@@ -482,7 +516,7 @@ def trained(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     top = counts.where(is_held).toPandas().sort_values(["n", "word"], ascending=[False, True])
     first = list(top["word"][:CLUSTERED])
     classes, grid = exchange(written(pair_counts(texts, first), "pairs"))
-    others = placed(contexts(texts, first, classes), grid)
+    others = placed(contexts(texts, first, classes, frequent(counts)), grid)
     clustered = counts.sparkSession.createDataFrame([(w, int(c)) for w, c in zip(first, classes[1:], strict=False)], "word string, first int")
     # Both sides grow with the vocabulary.
     named = counts.join(F.broadcast(clustered), "word", "left").hint("merge").join(others, "word", "left")
