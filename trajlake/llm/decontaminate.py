@@ -87,9 +87,16 @@ def _slots(each: np.ndarray) -> np.ndarray:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, total = WordHash(), np.zeros(SLOTS, np.int64)
+    waiting, size = [], 0
     for batch in batches:
         for text in batch.column(0):
-            total += np.bincount(_slots(hashes(normal_words(text.as_py()), known)), minlength=SLOTS)
+            waiting.append(_slots(hashes(normal_words(text.as_py()), known)))
+            size += len(waiting[-1])
+            if size > SLOTS:
+                total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+                waiting, size = [], 0
+    if waiting:
+        total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
@@ -178,7 +185,7 @@ def inside(filter_: np.ndarray, found: np.ndarray) -> np.ndarray:
 def seed_hits(each: np.ndarray, whole: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in hashed words that may begin a seed, and the seeds' hashes; grows what may be the beginning of one."""
     found = grams(each)
-    place = np.flatnonzero(inside(whole | begun, found))
+    place = np.flatnonzero(inside(whole, found) | inside(begun, found))
     found, n = found[place], GRAM
     places, hits = [], []
     while len(place):
