@@ -315,6 +315,11 @@ def test_importance_on_held_out_labels(spark):
     rows = judged.groupBy((F.expr("quality = 1 and toxic = 0")).alias("good")).agg(F.avg(F.coalesce("kept", F.lit(0))).alias("share")).collect()
     share = {r.good: r.share for r in rows}
     assert share[True] > 0.95 and share[False] < 0.1
+    # Both directions count, and a text without tokens is worth least.
+    assert (model.weights > 0).sum() > 50 and (model.weights < 0).sum() > 50
+    texts = docs.sparkSession.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, "a word")], "doc_id long, text string")
+    found = {r.doc_id: r.judged.log_weight for r in importance.judged(texts, F.col("text"), F.col("doc_id"), model).collect()}
+    assert found[1] == found[2] == found[3] == importance.LOWEST < found[4]
 
 
 def test_importance_edges(spark, odd):
@@ -322,14 +327,15 @@ def test_importance_edges(spark, odd):
     ids = [r.doc_id for r in rows]
     docs = odd_documents()
     assert set(ids) <= {i for i, _, _ in docs} and 0 < len(rows) <= len(docs)
-    assert all(r.log_weight <= 0 for r in rows)
+    empty = {i for i, t, _ in docs if not (t or "").strip()}
+    assert all((r.log_weight == importance.LOWEST) <= (r.doc_id in empty) for r in rows)
 
 
 def test_gumbel_draws_by_weight(spark):
     F = importance.F
     model = importance.Model(np.zeros(importance.PARTS * importance.BUCKETS, np.float32), None)
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"))
-    kept = importance.drawn(docs, F.col("text"), F.col("doc_id"), model, F.col("doc_id"), rows=1000).collect()
+    kept = importance.drawn(docs, F.col("text"), F.col("doc_id"), model, F.col("doc_id"), share=0.25).collect()
     assert len(kept) == 1000
     # Equal weights: a draw at random, not a prefix.
     assert 1800 < np.mean([r.doc_id for r in kept]) < 2200

@@ -1,11 +1,14 @@
 """Every stage of the pipeline on its own, against plain versions, on tables that hold odd rows."""
 
 import collections
+import math
 import re
+import struct
 
 import corpus_pipeline
 import numpy as np
 import pytest
+import xxhash
 from llm_helpers import jaccard_groups, waterfill
 
 from trajlake.llm import decontaminate, importance, minhash_dedup, mixing, text
@@ -59,15 +62,26 @@ def test_quality(spark, odd, docs):
     for b in np.flatnonzero(raw):
         part = slice(b // importance.BUCKETS * importance.BUCKETS, (b // importance.BUCKETS + 1) * importance.BUCKETS)
         due = raw[b] * target[part].sum() / raw[part].sum()
-        if abs(target[b] - due) >= importance.CHANCE * due**0.5:
-            weights[b] = min(0.0, np.log((target[b] + importance.PRIOR) / (due + importance.PRIOR)))
+        ratio = math.log((target[b] + importance.PRIOR) / (due + importance.PRIOR)) if target[part].sum() else 0.0
+        weights[b] = math.copysign(max(0.0, abs(ratio) - importance.CHANCE / (due + importance.PRIOR) ** 0.5), ratio)
+    assert (weights > 0).any() and (weights < 0).any()
+    rank = []
+    for r in rows:
+        found, n = importance.features(r.text or "", marks, heads)
+        weight = weights[found].sum(dtype=float) * importance.TOKENS / n if n else importance.LOWEST
+        mark = 42 if r.doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)
+        mark = xxhash.xxh64_intdigest(struct.pack("<i", importance.SEED), mark) % (1 << 52)
+        rank.append((weight - math.log(-math.log((mark + 0.5) / (1 << 52))), weight))
+    k = int(len(rows) * sum(good.values()) / len(good) + 0.5)
+    last = sorted((x for x, _ in rank), reverse=True)[k - 1]
+    want = [(key((r.doc_id, r.text)), w) for r, (x, w) in zip(rows, rank, strict=True) if x >= last]
+    assert 0 < len(want) < len(rows)
     got = importance.drawn(
         docs, importance.F.col("text"), importance.F.col("doc_id"),
         importance.fit(docs, spark.read.parquet(f"{odd}/labels.parquet")), importance.F.col("doc_id"), importance.F.col("text"),
     ).collect()
-    for r in got:
-        found, n = importance.features(r.text or "", marks, heads)
-        assert abs(r.log_weight - weights[found].sum(dtype=float) / max(1, n) ** importance.LENGTH) < 1e-6
+    for (a, w), (b, v) in zip(sorted(want), sorted((key((r.doc_id, r.text)), r.log_weight) for r in got), strict=True):
+        assert a == b and abs(w - v) < 1e-3
     kept = run(spark, odd, docs, "quality classifier").collect()
     assert sorted(key((r.doc_id, r.text)) for r in kept) == sorted(key((r.doc_id, r.text)) for r in got)
     assert not collections.Counter(map(str, kept)) - collections.Counter(map(str, rows))

@@ -2,11 +2,14 @@
 
 Two generative models over hashed n-grams, one of target text (documents labelled good and not toxic)
 and one of all text, give every document a log importance weight; documents are then drawn without
-replacement by Gumbel top-k, as many as reach the weight that parts good labels from others best.
+replacement by Gumbel top-k: noise of scale 1 is added to the log weights, and the k largest sums are
+drawn. k is a share of the documents, a parameter; if it is not given, that of good ones among the labels.
 
 N-grams are words in lower case and runs of symbols, their first four and first five characters, and
-pairs of word shapes (capitals, digits, repetition). Counts are compared with those the raw model expects of the target: a ratio counts only
-where the two differ by more than chance, and is cut at 1, so that length cannot buy weight.
+pairs of word shapes (capitals, digits, repetition). A ratio compares the target's count with the one
+the raw model expects, in both directions, and is drawn towards 1 by some standard errors of that count,
+so that n-grams seen too seldom to tell say nothing. A text's log weight is that of ``TOKENS`` of its
+tokens on average, so that length alone buys none.
 """
 
 from __future__ import annotations
@@ -31,17 +34,15 @@ PARTS = 4
 TARGET_ROWS = 50_000
 #: Added to the counts compared.
 PRIOR = 0.5
-#: Standard deviations by which a count has to differ from the expected one.
+#: Standard errors by which a log ratio is drawn towards 0.
 CHANCE = 3.0
-#: A log weight is the sum over n-grams by the number of words to this power.
-LENGTH = 0.75
-#: Log weights times this meet Gumbel noise; the larger, the nearer to picking the heaviest.
-SHARPNESS = 60.0
+#: A log weight is the mean over a text's tokens times this.
+TOKENS = 100.0
+#: The log weight of a text without tokens, below any other: 4 ratios a token, none beyond the logarithm of 2^64.
+LOWEST = -100_000.0
 SEED = 11
 #: Distinct words a task remembers at a time.
 REMEMBERED = 300_000
-#: Log weights are told apart down to the first, in so many steps a unit, to find the weight that parts best.
-LOWEST, STEPS = -16, 256
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -131,8 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         if seen[part].sum():
             due = raw[part] * (seen[part].sum() / raw[part].sum())
             ratio = np.log((seen[part] + PRIOR) / (due + PRIOR))
-            by_chance = np.abs(seen[part] - due) < CHANCE * np.sqrt(due)
-            weights[part] = np.minimum(np.where(by_chance, 0.0, ratio), 0.0)
+            weights[part] = np.sign(ratio) * np.maximum(np.abs(ratio) - CHANCE / np.sqrt(due + PRIOR), 0.0)
     return Model(weights.astype(np.float32), judged)
 
 
@@ -149,52 +149,38 @@ def judged(docs: DataFrame, text: Column, key: Column, model: Model) -> DataFram
     @F.pandas_udf("log_weight double, rank long")
     def judge(texts: pd.Series, noise: pd.Series) -> pd.DataFrame:
         marks, heads, w = Marks(), Heads(), weights.value
-        out = np.zeros(len(texts))
+        out = np.full(len(texts), LOWEST)
         for i, text in enumerate(texts):
-            if text:
-                found, n = features(text, marks, heads)
-                out[i] = w[found].sum(dtype=np.float64) / max(1, n) ** LENGTH
-        return pd.DataFrame({"log_weight": out, "rank": ordered(SHARPNESS * out + noise.to_numpy(np.float64))})
+            found, n = features(text or "", marks, heads)
+            if n:
+                out[i] = w[found].sum(dtype=np.float64) * TOKENS / n
+        return pd.DataFrame({"log_weight": out, "rank": ordered(out + noise.to_numpy(np.float64))})
 
     even = (F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return docs.withColumn("judged", judge(text, -F.ln(-F.ln(even))))
 
 
-def how_many(found: DataFrame, labels: DataFrame) -> int:
-    """The number of documents (``_key``, ``log_weight``) that reach the weight that parts the labels best.
+def good_share(labels: DataFrame) -> float:
+    """The share of good documents among the labelled ones (doc_id, ``good``); 1 without labels."""
+    n, good = labels.agg(F.count(F.lit(1)), F.count_if("good")).first()
+    return good / n if n else 1.0
 
-    Documents fall into a fixed number of steps by weight; the cut leaves the fewest good ones below and
-    others above. Without labels all documents are drawn.
-    """
-    step = F.floor(F.least(-F.col("log_weight"), F.lit(float(-LOWEST))) * STEPS).cast("int").alias("step")
-    known = labels.withColumnRenamed("doc_id", "_key")
-    table_ = found.join(known, "_key", "left").groupBy(step).agg(
-        F.count(F.lit(1)).alias("all"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
-    ).toPandas().sort_values("step")
-    if not table_["good"].sum() + table_["bad"].sum():
-        return int(table_["all"].sum())
-    wrong = table_["bad"].cumsum() - table_["good"].cumsum()
-    # The last of equal cuts: nothing speaks against the documents between them.
-    cut = int(np.flatnonzero(wrong.to_numpy() == wrong.min())[-1])
-    return int(table_["all"].cumsum().iloc[cut])
-
-
-def drawn(docs: DataFrame, text: Column, key: Column, model: Model, *columns: Column, rows: int | None = None) -> DataFrame:
-    """``columns`` and log_weight of the drawn rows of ``docs``; ``rows`` of them, or as many as reach the cut.
+
+def drawn(docs: DataFrame, text: Column, key: Column, model: Model, *columns: Column, share: float | None = None) -> DataFrame:
+    """``columns`` and log_weight of the drawn rows of ``docs``: a ``share`` of them, or that of good labels.
 
     Rows that tie with the last one drawn are drawn too.
     """
-    chosen = judged(docs, text, key, model).select(*columns, key.alias("_key"), "judged.log_weight", F.col("judged.rank").alias("_rank"))
+    chosen = judged(docs, text, key, model).select(*columns, "judged.log_weight", F.col("judged.rank").alias("_rank"))
     found = written(chosen, "judged")
-    if rows is None:
-        rows = how_many(found.select("_key", "log_weight"), model.labels)
+    rows = int(found.count() * (good_share(model.labels) if share is None else share) + 0.5)
     last = kth_largest(found, "_rank", rows) if rows else None
     kept = found.where("false") if last is None else found.where(F.col("_rank") >= last)
-    return kept.drop("_rank", "_key")
+    return kept.drop("_rank")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The drawn documents, with the columns of ``docs``."""
+    """The drawn documents, with the columns of ``docs``. Texts without tokens are drawn last."""
     model = fit(docs, labels)
     kept = drawn(with_id(docs), F.col("row.text"), F.col("row.doc_id"), model, F.col("row"))
     return unpacked(kept, docs.columns)
@@ -203,8 +189,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling draws: doc_id, log_weight.
 
-    A null or empty text has no n-grams and the weight 1 (log 0, the highest). Without labels all
-    documents are drawn. Rows of one doc_id get the same noise; equal rows are drawn together.
+    As many are drawn as the labels' share of good documents says; without labels all, with none
+    labelled good none. A null or empty text has the lowest log weight, ``LOWEST``, and is drawn only when
+    all others are. Very long texts are read whole. Rows of one doc_id get the same noise (those without
+    one too); equal rows are drawn together. An empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
