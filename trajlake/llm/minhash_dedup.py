@@ -6,7 +6,8 @@ is, as long as it is the same for all. So values known to be frequent come last
 of passages that many documents share are short. An inverted list leads its members to its leader, the
 member with the fewest rarer values; links verified so far join components, and only pairs of
 different components are looked at further. Pairs whose union sketch shows too little overlap are
-dropped; the others are verified on the full shingle sets. Documents with equal sets are one node.
+dropped; the others are verified on the full shingle sets. Documents with equal sets, as told by their
+size and 128 bits of hash, are one node, and only one of them has a sketch in the lists.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ ESTIMATE, COMMON = 64, 32
 FREQUENT, SEEN, IN_CHUNK, CHUNK = 1 << 20, 16, 3, 4_000_000
 REMEMBERED = 300_000
 
-_P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Factors of the two halves of a set's mark.
+_R, _T = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 class WordHash(dict):
@@ -70,6 +73,11 @@ def shingles(data: bytes | None, known: WordHash) -> np.ndarray:
     return np.unique(all_shingles(data, known))
 
 
+def half_mark(values: np.ndarray, factor: np.uint64) -> int | None:
+    """64 bits that depend on which values a set has, not on their order; None for the empty set."""
+    return int(_mixed(values * factor).sum(dtype=np.uint64).view(np.int64)) if len(values) else None
+
+
 def retained(n: int) -> int:
     """Of n values in any common order, how many hold one of each set that is similar enough."""
     return n - (PERCENT * n + 99) // 100 + 1
@@ -124,17 +132,19 @@ def _nodes(often) -> callable:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, frequent = WordHash(), often.value
         for batch in batches:
-            sizes, marks, firsts, least = [], [], [], []
+            sizes, marks, twins, firsts, least = [], [], [], [], []
             for text in texts_of(batch.column(2)):
                 values = shingles(text, known)
                 sizes.append(len(values))
-                marks.append(int(_mixed(values * _R).sum(dtype=np.uint64).view(np.int64)) if len(values) else None)
+                marks.append(half_mark(values, _R))
+                twins.append(half_mark(values, _T))
                 firsts.append(sketch(values, frequent).view(np.int64))
                 # The upper bits in the same order, for estimates.
                 least.append((values[:ESTIMATE] >> np.uint64(33)).astype(np.int32))
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            made = [pa.array(c, t) for c, t in zip((sizes, marks, firsts, least), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["row", "doc_id", "n", "mark", "sketch", "least"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            made = [pa.array(c, t) for c, t in zip((sizes, marks, twins, firsts, least), types, strict=True)]
+            names = ["row", "doc_id", "n", "mark", "twin", "sketch", "least"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names)
 
     return each
 
@@ -215,17 +225,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("row", "doc_id", "text")
     often = spark.sparkContext.broadcast(frequent_values(rows.select("text")))
-    schema = "row long, doc_id long, n long, mark long, sketch array<long>, least array<int>"
+    schema = "row long, doc_id long, n long, mark long, twin long, sketch array<long>, least array<int>"
     each = written(rows.mapInArrow(_nodes(often), schema), "sketches")
-    posts = each.where("n > 0").select("mark", "n", F.posexplode("sketch").alias("i", "value"))
-    lists = posts.groupBy("value").agg(F.min(F.struct("mark", "n")).alias("low"), F.max(F.struct("mark", "n")).alias("high"))
+    # Tables, here and below, so that joins deal out both sides and can split a large group of copies.
+    groups = written(each.where("n > 0").groupBy("mark", "twin", "n").agg(F.min("row").alias("node")), "groups")
+    # One sketch of each group: ``node`` is a row's own number, so the join has no hot key.
+    chosen = written(each.select(F.col("row").alias("node"), "n", "sketch").join(groups.select("node"), "node"), "chosen")
+    posts = chosen.select("node", "n", F.posexplode("sketch").alias("i", "value"))
+    lists = posts.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     # As a table, so that the join deals out both sides and can split a long list.
     shared = written(lists.where("low <> high").select("value"), "shared")
-    posts = posts.hint("merge").join(shared.hint("merge"), "value").groupBy("value", "mark", "n").agg(F.min("i").alias("i"))
-    posts = written(posts, "postings")
-    # Tables, here and below, so that joins deal out both sides and can split a large group of copies.
-    groups = written(each.where("n > 0").groupBy("mark", "n").agg(F.min("row").alias("node")), "groups")
-    named = written(posts.join(groups, ["mark", "n"]).select("value", "node", "n", "i"), "lists")
+    named = written(posts.hint("merge").join(shared.hint("merge"), "value").select("value", "node", "n", "i"), "lists")
     wanted = named.select("node").distinct()
     packed = rows.select(F.col("row").alias("node"), "text").mapInArrow(_packed, "node long, packed binary")
     packed = written(packed.join(wanted, "node"), "texts")
@@ -245,9 +255,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.where(could_link(F.col("n"), F.col("n2"), F.col("i"), F.col("i2")))
     second = links(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), marks, packed)
     found = written(components(first.unionAll(second)), "components")
-    nodes = groups.join(found, "node", "left").select("mark", "n", F.coalesce("component", "node").alias("component"))
+    nodes = groups.join(found, "node", "left").select("mark", "twin", "n", F.coalesce("component", "node").alias("component"))
     nodes = written(nodes, "nodes")
-    grouped = each.select("row", "doc_id", "n", "mark").join(nodes, ["mark", "n"], "left")
+    grouped = each.select("row", "doc_id", "n", "mark", "twin").join(nodes, ["mark", "twin", "n"], "left")
     grouped = written(grouped.withColumn("component", F.coalesce("component", "row")), "grouped")
     facts = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"))
     facts = written(facts, "facts")
@@ -260,8 +270,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group: doc_id, n_shingles, component_id, kept.
 
-    Rows without doc_id are kept only in groups where none has one; rows that repeat the group's
-    smallest doc_id are all kept. An empty table gives no rows.
+    A null or empty text has no shingles and is a group of its own; very long texts count whole. Rows
+    without doc_id are kept only in groups where none has one; rows that repeat the group's smallest
+    doc_id are all kept. An empty table gives no rows.
     """
     docs = with_row(table(spark, sf_dir, "documents", "doc_id", "text"))
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
