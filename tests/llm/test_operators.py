@@ -242,6 +242,16 @@ def test_groups_of_edited_copies(spark, tmp_path):
     assert len(set(least)) < len(rows) - 100
 
 
+def test_set_marks():
+    """Two halves that tell sets apart each on its own, whatever the order."""
+    rng = np.random.default_rng(8)
+    sets = [rng.integers(0, 1 << 63, 1 + i % 40).astype(np.uint64) for i in range(2000)]
+    marks = [(minhash_dedup.half_mark(v, minhash_dedup._R), minhash_dedup.half_mark(v, minhash_dedup._T)) for v in sets]
+    assert len({a for a, _ in marks}) == len({b for _, b in marks}) == len(sets) and all(a != b for a, b in marks)
+    assert marks == [(minhash_dedup.half_mark(v[::-1], minhash_dedup._R), minhash_dedup.half_mark(v[::-1], minhash_dedup._T)) for v in sets]
+    assert minhash_dedup.half_mark(sets[0][:0], minhash_dedup._R) is None
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 120)] + [(119, 50), (7, 7)]
     found = minhash_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
@@ -270,7 +280,7 @@ def test_warc_pages(spark, odd):
 def test_warc_round_trip(spark, odd, tmp_path):
     pages = spark.read.parquet(f"{odd}/pages.parquet")
     path = str(tmp_path / "w")
-    warc.write_warc(warc.with_revisits(pages, least_bytes=8), path, records=7)
+    warc.write_warc(warc.with_revisits(pages, least_bytes=8), path, size=2000, date="2026-01-31T23:59:59Z")
     rows = warc.read_warc(spark, path).collect()
     assert len(rows) == len(odd_pages()) and all(r.fault is None for r in rows)
     payloads = collections.Counter(h or "" for _, _, h in odd_pages())
@@ -280,13 +290,32 @@ def test_warc_round_trip(spark, odd, tmp_path):
         else:
             assert r.payload is None and r.payload_bytes >= 8
     # Every file is a plain sequence of gzip members.
-    for f in (tmp_path / "w").glob("part-*"):
-        assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n")
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("archive=*/part-*")]
+    assert len(files) > 4
+    for data in files:
+        found = list(warc.Reader(data).records())
+        assert gzip.decompress(data).startswith(b"WARC/1.1\r\n")
+        assert all(head["warc-date"] == "2026-01-31T23:59:59Z" for head, _ in found)
+        # Without its last record an archive is within its size.
+        sizes = [len(gzip.compress(block, 6)) for _, block in found]
+        assert len(data) - sizes[-1] <= 2000 + 1000
+
+
+def test_warc_large_record(spark, tmp_path):
+    """A page of 20 million bytes that do not compress well, and small ones about it."""
+    rng = np.random.default_rng(3)
+    large = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 7_000_000)))
+    rows = [(1, "u", "small", None, False), (2, "u", large, None, False), (3, "u", "small too", None, False)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, first long, revisit boolean").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "w"), size=1 << 20)
+    assert len(list((tmp_path / "w").glob("archive=*/part-*"))) == 2
+    got = warc.read_warc(spark, str(tmp_path / "w")).select("page_id", "payload_bytes", "fault").collect()
+    assert sorted(map(tuple, got)) == [(1, 5, None), (2, len(large.encode()), None), (3, 9, None)]
 
 
 def test_warc_reader_faults():
-    one = warc.record(1, "http://a", b"payload" * 50_000, False, None)
-    two = warc.record(2, "http://a", b"", False, None)
+    one = warc.record(1, "http://a", b"payload" * 50_000, False, None, "2026-01-31T23:59:59Z")
+    two = warc.record(2, "http://a", b"", False, None, "2026-01-31T23:59:59Z")
     data = gzip.compress(one) + b"\0" + gzip.compress(two) + b"\0\0"
     found = [warc._parsed(*r) for r in warc.Reader(data).records()]
     assert [(f[0], f[4], f[6]) for f in found] == [(1, 350_000, None), (2, 0, None)]

@@ -13,6 +13,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +24,8 @@ from trajlake.session import new_folder
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 0
-#: Records per archive at most, which bounds a reader's memory.
-RECORDS = 2000
+#: An archive ends with the record that takes it beyond so many bytes, which bounds a reader's memory.
+ARCHIVE_BYTES = 32 << 20
 #: Bytes inflated at a time.
 STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,12 +46,15 @@ def _page(name: str | None) -> int | None:
     return int(number) if number else None
 
 
-def record(page: int | None, url: str | None, payload: bytes, revisit: bool, first: int | None) -> bytes:
-    """One record: a response with its payload, or a revisit of an earlier response without it."""
+def record(page: int | None, url: str | None, payload: bytes, revisit: bool, first: int | None, date: str) -> bytes:
+    """One record: a response with its payload, or a revisit of an earlier response without it.
+
+    ``date`` is the instant of capture, in UTC, as 2026-01-31T23:59:59Z.
+    """
     kind = "revisit" if revisit else "response"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page)}", f"WARC-Date: {date}"]
     # A URL cannot hold line breaks; percent signs keep the header one line whatever the table has.
     head.append("WARC-Target-URI: " + "".join(f"%{ord(c):02X}" if c in "\r\n" else c for c in url or ""))
     head.append("Content-Type: application/http; msgtype=response")
@@ -69,12 +73,20 @@ def member(data: bytes) -> bytes:
     return out[:-1] if out[-1] == 0 else out
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = []
-        for page, url, html, first, revisit in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            values.append(member(record(page, url, (html or "").encode(), revisit, first)))
-        yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
+def _members(date: str, size: int) -> callable:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, filled = 0, 0
+        for batch in batches:
+            values, archives = [], []
+            for page, url, html, first, revisit in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                values.append(member(record(page, url, (html or "").encode(), revisit, first, date)))
+                archives.append(archive)
+                filled += len(values[-1]) + 1
+                if filled > size:
+                    archive, filled = archive + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(archives, pa.int32())], ["value", "archive"])
+
+    return each
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -93,12 +105,18 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     return out.select("page_id", "url", "html", "first", revisit.alias("revisit"))
 
 
-def write_warc(pages: DataFrame, path: str, records: int = RECORDS) -> None:
-    """Write a record for each row of ``pages`` (page_id, url, html, first, revisit)."""
+def write_warc(pages: DataFrame, path: str, size: int = ARCHIVE_BYTES, date: str | None = None) -> None:
+    """Write a record for each row of ``pages`` (page_id, url, html, first, revisit).
+
+    A task's archives are numbered, one folder for each number, and each ends with the record that
+    takes it beyond ``size`` bytes. All records bear ``date``, the driver's present by default: a task
+    that runs again writes the same.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     value: Column = F.col("value").cast("string")
-    rows = pages.select("page_id", "url", "html", "first", "revisit").mapInArrow(_members, "value binary").select(value)
-    writer = rows.write.option("lineSep", "\0").option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records)
-    writer.text(path)
+    rows = pages.select("page_id", "url", "html", "first", "revisit").mapInArrow(_members(date, size), "value binary, archive int")
+    writer = rows.select(value, "archive").write.option("lineSep", "\0").option("encoding", "ISO-8859-1")
+    writer.partitionBy("archive").text(path)
 
 
 class Reader:
@@ -219,8 +237,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives in a folder.
 
     ``fault`` is null for sound records, names a digest that does not hold, or says why an archive
-    could not be read on; the records before that are returned. Archives are read whole by one task
-    each, so keep them small (``RECORDS``); their contents are inflated step by step.
+    could not be read on; the records before that are returned. An archive is one value, so those of
+    other writers may have 2 GB at most (``ARCHIVE_BYTES`` here); their contents are inflated step by step.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     # Arrow batches are bounded in bytes, so a task holds few archives at a time.
