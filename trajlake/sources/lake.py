@@ -17,8 +17,9 @@ import datetime
 import json
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.functions.clock import MICROS, floor_div, format_ts, instant, micros, parse_ts, trunc_ms
@@ -234,8 +235,10 @@ def only_wanted(rows: DataFrame, wanted: DataFrame, time: str) -> DataFrame:
 
 # ---- lakes as single files ------------------------------------------------------------------
 
-#: Above these sizes a lake is not written as one document and single files.
-EXPORT_CHUNKS, EXPORT_OBJECTS, EXPORT_CHUNK_ROWS = 10_000, 100_000, 20_000_000
+#: Above these sizes a lake is not written as one document and single files: HDFS holds 1,048,576 files in a folder.
+EXPORT_CHUNKS, EXPORT_OBJECTS, EXPORT_CHUNK_ROWS = 1_000_000, 1_000_000, 20_000_000
+#: Rows of a task that writes single files, and files named at a time.
+EXPORT_TASK_ROWS, EXPORT_RENAMES = 500_000, 16
 
 
 def export_lake(spark: SparkSession, uri: str, target: str, fmt: str = "csv") -> str:
@@ -261,14 +264,23 @@ def export_lake(spark: SparkSession, uri: str, target: str, fmt: str = "csv") ->
     if fmt == "csv":
         rows = rows.withColumn("timestamp", format_ts("timestamp"))
     parting = f"{target}/_chunks"
-    single = rows.repartition(max(1, len(chunks)), "chunk").sortWithinPartitions("chunk", "timestamp", "objid").write.partitionBy("chunk")
+    # A chunk is in one task and so in one file; tasks go with the rows, not with the chunks.
+    tasks = max(1, min(len(chunks), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(head["rows"] or 0) // EXPORT_TASK_ROWS))))
+    single = rows.repartition(tasks, "chunk").sortWithinPartitions("chunk", "timestamp", "objid").write.partitionBy("chunk")
     single.option("maxRecordsPerFile", 0).option("header", True).mode("overwrite").format(fmt).save(parting)
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    for c in chunks:
+
+    def named(c: Row) -> None:
         (part,) = fs.globStatus(hadoop.Path(f"{parting}/chunk={c['chunk']}/part-*"))
-        fs.delete(hadoop.Path(f"{target}/{c['key']}"), False)
-        fs.rename(part.getPath(), hadoop.Path(f"{target}/{c['key']}"))
+        path = hadoop.Path(f"{target}/{c['key']}")
+        if not fs.rename(part.getPath(), path):
+            # There is one of an earlier export.
+            fs.delete(path, False)
+            fs.rename(part.getPath(), path)
+
+    with ThreadPoolExecutor(EXPORT_RENAMES) as pool:
+        list(pool.map(named, chunks))
     fs.delete(hadoop.Path(parting), True)
     document = {k: head[k] for k in ("version", "dataset", "hz", "chunk_seconds")} | {
         "format": fmt,
