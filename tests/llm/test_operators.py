@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import odd_documents, odd_pages
@@ -602,6 +603,36 @@ def test_seeds():
     assert not len(decontaminate.seed_hits(each[:2], filled(True), filled(False))[0])
 
 
+def test_words_hashed_together(monkeypatch):
+    """Words of many texts at a time get the hashes that they have one by one, whatever their letters and lengths."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    some = [every[i : i + 5] for i in range(0, len(every), 997)]
+    texts = ["One two,three_4", None, "", "\u0130 \u0391\u03a3 \u03a3\n\u03a3a x\U0001f600y  z", "y" * 300 + " " + "é" * 30, " \t", "ß" * 24 + "s", *some, "end"]
+    known = decontaminate.WordHash()
+    for together in (1 << 20, 40):
+        monkeypatch.setattr(decontaminate, "TOGETHER", together)
+        groups = list(decontaminate.hashed(pa.array(texts, pa.string())))
+        assert len(groups) == 1 if together > len(every) // 5 else len(groups) > 9
+        seen = []
+        for at, words in groups:
+            assert at == len(seen)
+            for low, high in zip(words.first, words.first[1:], strict=False):
+                want = decontaminate.normal_words(texts[len(seen)])
+                assert words.hashes[low:high].tolist() == decontaminate.hashes(want, known).tolist()
+                assert high == low or words.between(low, high) == want
+                seen.append(high - low)
+        assert len(seen) == len(texts)
+    assert (decontaminate._in_words() == [bool(re.match(r"\w", chr(c))) for c in range(0x110000)]).all()
+
+
+def test_seeds_end_with_their_text():
+    each = decontaminate.hashes("a b c d e".split(), decontaminate.WordHash())
+    filled = np.full(decontaminate.FILTER_BITS >> 6, ~np.uint64(0))
+    empty = np.zeros_like(filled)
+    assert decontaminate.seed_hits(each, filled, empty, np.array([0, 2, 2, 5]))[0].tolist() == [2]
+    assert decontaminate.seed_hits(each, filled, filled, np.array([0, 0, 4, 5]))[0].tolist() == [0, 0, 1]
+
+
 def test_texts_of_one_item(spark):
     """Each text of an item is found, however rare the other's words are."""
     rng = np.random.default_rng(10)

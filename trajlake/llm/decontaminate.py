@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ OFFSET = 32
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
 #: Alignment score by the item's words from which a passage counts as a copy.
 LEAST_SCORE = 0.4
+#: Characters of texts whose words are hashed together (a longer text alone), and bytes of a word hashed so at most.
+TOGETHER, SHORT = 1 << 20, 48
 #: Words, padding included, that are aligned at a time.
 CELLS = 1 << 19
 
@@ -66,6 +69,87 @@ def hashes(words: list[str], known: WordHash) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+@cache
+def _in_words() -> np.ndarray:
+    """For each code point, whether ``\\w`` matches it."""
+    return np.fromiter((c == 95 or chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+@cache
+def _crc_steps() -> np.ndarray:
+    """The table of ``zlib.crc32``, a byte at a time."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, out >> 1 ^ np.uint32(0xEDB88320), out >> 1)
+    return out
+
+
+def _crcs(data: np.ndarray, at: np.ndarray, step: int, sizes: list[int], seed: int) -> np.ndarray:
+    """``zlib.crc32`` from ``seed`` of stretches of ``data`` from ``at`` on, longest first: ``sizes[k]`` have more than k bytes."""
+    steps = _crc_steps()
+    out = np.full(len(at), seed ^ 0xFFFFFFFF, np.uint32)
+    for k, n in enumerate(sizes):
+        some = out[:n]
+        out[:n] = steps[(some ^ data[at[:n] + step * k]) & 0xFF] ^ some >> 8
+    return out ^ np.uint32(0xFFFFFFFF)
+
+
+def span_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The values of ``WordHash`` for the words in UTF-8 at ``start`` .. ``end`` of ``data``, all words a byte at a time."""
+    size = end - start
+    order = np.argsort(-np.minimum(size, SHORT + 1).astype(np.int8), kind="stable")
+    long_ = int(np.searchsorted(-size[order], -SHORT, "left"))
+    out = np.zeros(len(start), np.uint64)
+    for i in order[:long_]:
+        word = data[start[i] : end[i]]
+        out[i] = zlib.crc32(word) << 32 | zlib.crc32(word[::-1], 7)
+    order = order[long_:]
+    falling = -size[order]
+    sizes = [int(np.searchsorted(falling, -k, "left")) for k in range(-int(falling[0]) if len(order) else 0)]
+    letters = np.frombuffer(data, np.uint8)
+    high = _crcs(letters, start[order], 1, sizes, 0).astype(np.uint64)
+    out[order] = high << np.uint64(32) | _crcs(letters, end[order] - 1, -1, sizes, 7)
+    return out
+
+
+class Words:
+    """The words of ``normal_words`` of some texts, hashed together."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        low = [t.lower() if t else "" for t in texts]
+        self.text = "\n".join(low) + "\n"
+        points = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        turns = np.flatnonzero(np.diff(_in_words()[points], prepend=False))
+        #: Where in ``text`` each word begins and ends.
+        self.start, self.end = turns[::2], turns[1::2]
+        data = self.text.encode()
+        start, end = self.start, self.end
+        if len(data) > len(points):
+            width = (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000) + 1
+            place = np.cumsum(width) - width
+            start, end = place[start], place[end]
+        self.hashes = span_hashes(data, start, end)
+        #: The number of the first word of each text, and of all words.
+        after = np.cumsum([len(t) + 1 for t in low])
+        self.first = np.concatenate([[0], np.searchsorted(self.start, after)])
+
+    def between(self, low: int, high: int) -> list[str]:
+        return _WORD.findall(self.text[self.start[low] : self.end[high - 1]])
+
+
+def hashed(column: pa.Array) -> Iterator[tuple[int, Words]]:
+    """The words of an Arrow column's texts, some texts at a time, with the place of the first of these."""
+    first, texts, size = 0, [], 0
+    for i, text in enumerate(column):
+        texts.append(text.as_py())
+        size += len(texts[-1] or "")
+        if size > TOGETHER:
+            yield first, Words(texts)
+            first, texts, size = i + 1, [], 0
+    if texts:
+        yield first, Words(texts)
+
+
 def longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The hashes of n-grams that go on with a word each."""
     with np.errstate(over="ignore"):
@@ -86,17 +170,10 @@ def _slots(each: np.ndarray) -> np.ndarray:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, total = WordHash(), np.zeros(SLOTS, np.int64)
-    waiting, size = [], 0
+    total = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for text in batch.column(0):
-            waiting.append(_slots(hashes(normal_words(text.as_py()), known)))
-            size += len(waiting[-1])
-            if size > SLOTS:
-                total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
-                waiting, size = [], 0
-    if waiting:
-        total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+        for _, words in hashed(batch.column(0)):
+            total += np.bincount(_slots(words.hashes), minlength=SLOTS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
@@ -182,18 +259,25 @@ def inside(filter_: np.ndarray, found: np.ndarray) -> np.ndarray:
     return (filter_[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def seed_hits(each: np.ndarray, whole: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in hashed words that may begin a seed, and the seeds' hashes; grows what may be the beginning of one."""
+def seed_hits(each: np.ndarray, whole: np.ndarray, begun: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in hashed words that may begin a seed, and the seeds' hashes; grows what may be the beginning of one.
+
+    ``first`` has the number of the first word of each text, and of all words; no seed reaches into the next text.
+    """
+    first = np.array([0, len(each)]) if first is None else first
     found = grams(each)
-    place = np.flatnonzero(inside(whole, found) | inside(begun, found))
+    place = np.flatnonzero(inside(whole | begun, found))
+    end = first[np.searchsorted(first, place, "right")]
+    ends = place + GRAM <= end
+    place, end = place[ends], end[ends]
     found, n = found[place], GRAM
     places, hits = [], []
     while len(place):
         done = inside(whole, found)
         places.append(place[done])
         hits.append(found[done])
-        goes_on = inside(begun, found) & (place + n < len(each))
-        place, found = place[goes_on], found[goes_on]
+        goes_on = inside(begun, found) & (place + n < end)
+        place, found, end = place[goes_on], found[goes_on], end[goes_on]
         found = longer(found, each[place + n])
         n += 1
     if not places:
@@ -211,18 +295,18 @@ def passages(docs: DataFrame, whole: np.ndarray, begun: np.ndarray, reach: int)
     shared = docs.sparkSession.sparkContext.broadcast((whole, begun))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = normal_words(text.as_py())
-                hit, found = seed_hits(hashes(words, known), *shared.value)
-                if not len(hit):
-                    continue
-                cuts = [0, *(np.flatnonzero(np.diff(hit) > 2 * reach) + 1).tolist(), len(hit)]
+            for at, words in hashed(batch.column(1)):
+                hit, found = seed_hits(words.hashes, *shared.value, words.first)
+                text = np.searchsorted(words.first, hit, "right") - 1
+                apart = (np.diff(hit) > 2 * reach) | (np.diff(text) > 0)
+                cuts = [0, *(np.flatnonzero(apart) + 1).tolist(), len(hit)] if len(hit) else []
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    low, high = max(0, int(hit[a]) - reach), int(hit[b - 1]) + reach
-                    out.append((key.as_py(), " ".join(words[low:high]), (hit[a:b] - low).tolist(), found[a:b].tolist()))
+                    t = int(text[a])
+                    low, high = max(int(words.first[t]), int(hit[a]) - reach), min(int(words.first[t + 1]), int(hit[b - 1]) + reach)
+                    key = batch.column(0)[at + t].as_py()
+                    out.append((key, " ".join(words.between(low, high)), (hit[a:b] - low).tolist(), found[a:b].tolist()))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             types = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
