@@ -8,6 +8,7 @@ import itertools
 import math
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -253,6 +254,26 @@ def test_set_marks():
     assert minhash_dedup.half_mark(sets[0][:0], minhash_dedup._R) is None
 
 
+def test_frequent_values_in_little_memory(monkeypatch):
+    """Counting sorts a chunk in place, gives memory back at its end, and counts what occurs often enough."""
+    calls = []
+    monkeypatch.setattr(text, "give_back", lambda: calls.append(1))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1000, 2000))) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, *texts[:2], *texts[:1]])], ["text"])
+    list(minhash_dedup._frequent(iter([batch])))
+    tracemalloc.start()
+    rows = [r for b in minhash_dedup._frequent(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    known = minhash_dedup.WordHash()
+    values = np.concatenate([minhash_dedup.all_shingles(t.encode(), known) for t in [*texts, *texts[:2], *texts[:1]]])
+    found, n = np.unique(values, return_counts=True)
+    assert {r["value"]: r["n"] for r in rows} == {int(v): int(k) for v, k in zip(found.view(np.int64), n, strict=True) if k >= minhash_dedup.IN_CHUNK}
+    assert len(rows) >= 1996 and len(calls) == 2
+    assert peak < 3 * values.nbytes
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 120)] + [(119, 50), (7, 7)]
     found = minhash_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import table, unpacked, with_id, written
+from trajlake.llm.text import lean, table, unpacked, with_id, written
 
 #: Words per seed, at least.
 GRAM = 3
@@ -169,6 +169,7 @@ def _slots(each: np.ndarray) -> np.ndarray:
     return ((each * _ODD) >> np.uint64(46)).astype(np.int64)
 
 
+@lean
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
     for batch in batches:
@@ -294,6 +295,7 @@ def passages(docs: DataFrame, whole: np.ndarray, begun: np.ndarray, reach: int)
     """
     shared = docs.sparkSession.sparkContext.broadcast((whole, begun))
 
+    @lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -349,6 +351,7 @@ def _flush(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["key", "item_id", "score"])
 
 
+@lean
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     longest = 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import kth_largest, table, unpacked, with_id, written
+from trajlake.llm.text import give_back, kth_largest, lean, table, unpacked, with_id, written
 
 #: Buckets for words, beginnings of either length, and shape pairs each: the model's size whatever the data.
 BUCKETS = 1 << 18
@@ -87,6 +87,7 @@ def features(text: str, marks: Marks, heads: Heads) -> tuple[np.ndarray, int]:
     return np.concatenate([word, BUCKETS + begin // BUCKETS, 2 * BUCKETS + begin % BUCKETS, 3 * BUCKETS + pairs]), len(tokens)
 
 
+@lean
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marks, heads = Marks(), Heads()
     raw, target = np.zeros(PARTS * BUCKETS, np.int64), np.zeros(PARTS * BUCKETS, np.int64)
@@ -154,6 +155,8 @@ def judged(docs: DataFrame, text: Column, key: Column, model: Model) -> DataFram
             found, n = features(text or "", marks, heads)
             if n:
                 out[i] = w[found].sum(dtype=np.float64) * TOKENS / n
+        del marks, heads
+        give_back()
         return pd.DataFrame({"log_weight": out, "rank": ordered(out + noise.to_numpy(np.float64))})
 
     even = (F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import byte_words, kth_largest, table, texts_of, unpacked, with_id, with_row, written
+from trajlake.llm.text import byte_words, kth_largest, lean, table, texts_of, unpacked, with_id, with_row, written
 
 #: Words per shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 85
@@ -83,13 +83,20 @@ def retained(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+@lean
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, waiting, size = WordHash(), [], 0
 
     def out() -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(waiting), return_counts=True)
-        often = n >= IN_CHUNK
-        return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], ["value", "n"])
+        values = np.concatenate(waiting)
+        waiting.clear()
+        values.sort()
+        # No copy of all values: those that one ``IN_CHUNK - 1`` places before equals, at the end of their run.
+        run = values[IN_CHUNK - 1 :] == values[: max(0, len(values) - IN_CHUNK + 1)]
+        often = values[IN_CHUNK - 1 :][run]
+        last = np.flatnonzero(np.append(often[1:] != often[:-1], True)[: len(often)])
+        n = np.diff(last, prepend=-1) + IN_CHUNK - 1
+        return pa.RecordBatch.from_arrays([pa.array(often[last].view(np.int64)), pa.array(n)], ["value", "n"])
 
     for batch in batches:
         for text in texts_of(batch.column(0)):
@@ -97,7 +104,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(waiting[-1])
             if size > CHUNK:
                 yield out()
-                waiting, size = [], 0
+                size = 0
     if waiting:
         yield out()
 
@@ -129,6 +136,7 @@ def sketch(values: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 
 def _nodes(often) -> callable:
+    @lean
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, frequent = WordHash(), often.value
         for batch in batches:
@@ -149,6 +157,7 @@ def _nodes(often) -> callable:
     return each
 
 
+@lean
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
@@ -162,6 +171,7 @@ def could_link(n: Column, m: Column, i: Column, j: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * common >= PERCENT * (n + m))
 
 
+@lean
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs (a, b, left, right) whose texts are similar enough; rows of one ``a`` come together."""
     open_, known = zstandard.ZstdDecompressor(), WordHash()
