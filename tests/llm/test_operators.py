@@ -486,6 +486,42 @@ def test_placed_classes(together, monkeypatch):
         assert got.tolist() == [class_lm.best_class(int(kinds[w]), after[w], before[w], twice[w], grid)[0] for w in range(9)]
 
 
+def test_words_told_apart_together(monkeypatch):
+    """Each text's words get the numbers that they have one by one, with 0 around each text."""
+    texts = [b"One two\tTWO", None, b"", " \u00c9 \u00e9 \u6f22 \U0001f600\x0b\x1c".encode(), b"y" * 300 + b" " + b"ab " * 50 + b"y" * 299, b" \r\n", b"Zz end"]
+    numbers = {}
+    for text_ in texts:
+        for w in class_lm.words(text_):
+            numbers.setdefault(w, len(numbers) + 1)
+    for together in (1 << 22, 2):
+        monkeypatch.setattr(class_lm, "TOGETHER", together)
+        seen = 0
+        for at, some in class_lm.grouped(pa.array(texts, pa.binary())):
+            assert at == seen and len(set(some.words)) == len(some.words)
+            line = some.line(numbers)
+            for i, (a, b) in enumerate(zip(some.first, some.first[1:], strict=False)):
+                want = class_lm.words(texts[seen])
+                assert [some.words[k] for k in some.place[a:b]] == want
+                assert line[a + i : b + i + 2].tolist() == [0, *(numbers[w] for w in want), 0]
+                seen += 1
+        assert seen == len(texts)
+
+
+def test_rows_of_a_word_are_added_up(spark):
+    """A word's counts may come in any number of rows, over several batches."""
+    rng = np.random.default_rng(15)
+    grid = rng.integers(1, 1000, (class_lm.ALL, class_lm.ALL)).astype(float)
+    counts = {f"w{i}": rng.integers(0, 3, class_lm.KINDS) for i in range(40)} | {"once": np.eye(class_lm.KINDS, dtype=int)[0]}
+    whole = [(w, np.flatnonzero(n).tolist(), n[n > 0].tolist()) for w, n in counts.items()]
+    split = [(w, [k], [1]) for w, kinds, ns in whole for k, n in zip(kinds, ns, strict=True) for _ in range(n)]
+    rng.shuffle(split)
+    assert len(split) > 2 * class_lm.PLACED
+    schema = "word string, kinds array<short>, ns array<long>"
+    of = lambda rows: {r.word: r.kind for r in class_lm.placed(spark.createDataFrame(rows, schema).coalesce(1), grid).collect()}
+    split = [(str(w), [int(k) for k in ks], [int(n) for n in ns]) for w, ks, ns in split]
+    assert of(split) == of(whole) and set(of(whole)) == set(counts) - {"once"}
+
+
 @pytest.mark.parametrize("held", [200_000, 30])
 def test_every_frequent_word_has_a_class(spark, held, monkeypatch):
     """Words past the first ones are clustered too, and scores are those of all words' classes."""

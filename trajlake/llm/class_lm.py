@@ -21,10 +21,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.text import byte_words, kth_largest, table, texts_of, written
+from trajlake.llm.text import byte_words, kth_largest, lean, table, texts_of, written
 
 #: Words that are clustered in rounds, and the classes.
 CLUSTERED, CLASSES = 4000, 64
@@ -42,6 +44,8 @@ SMOOTHING = 10.0
 FILTER_BITS = 1 << 25
 #: Words, and counts next to them, that are placed together.
 PLACED, PLACED_COUNTS = 2048, 1 << 14
+#: Bytes of texts whose words are told apart together (a longer text alone), and bytes of a word taken so at most.
+TOGETHER, SHORT = 1 << 22, 48
 #: Distinct words, and distinct pairs, that a task gathers before it hands them on.
 GATHERED, GATHERED_PAIRS = 300_000, 3_000_000
 
@@ -66,16 +70,80 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(7)) == 2
 
 
+_IN_WORD = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8), invert=True)
+_BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_marks(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each word at ``start`` .. ``end`` of ``data``; all words go a byte at a time, longer ones alone."""
+    size = end - start
+    order = np.argsort(-np.minimum(size, SHORT + 1).astype(np.int8), kind="stable")
+    falling = -size[order]
+    long_ = int(np.searchsorted(falling, -SHORT, "left"))
+    out = np.zeros(len(start), np.uint64)
+    for i in order[:long_]:
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    order, falling = order[long_:], falling[long_:]
+    letters, at = np.frombuffer(data, np.uint8), start[order]
+    marks = np.zeros(len(order), np.uint64)
+    for k in range(-int(falling[0]) if len(order) else 0):
+        n = int(np.searchsorted(falling, -k, "left"))
+        marks[:n] += _BYTES[letters[at[:n]]]
+        marks[:n] *= _ODD
+        at[:n] += 1
+    out[order] = marks
+    return out
+
+
+class Tokens:
+    """The words of some texts: the distinct ones, and which of these each word is, told apart by 64 bits."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        data = b"\n".join([*(x or b"" for x in texts), b""]).lower()
+        turns = np.flatnonzero(np.diff(_IN_WORD[np.frombuffer(data, np.uint8)], prepend=False))
+        start, end = turns[::2], turns[1::2]
+        self.place, found = pd.factorize(word_marks(data, start, end))
+        one = np.empty(len(found), np.int64)
+        one[self.place] = np.arange(len(start))
+        self.words = [data[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        #: The number of the first word of each text, and of all words.
+        self.first = np.concatenate([[0], np.searchsorted(start, np.cumsum([len(x or b"") + 1 for x in texts]))])
+
+    def line(self, numbers: dict[bytes, int]) -> np.ndarray:
+        """The words' numbers, with 0 before and after each text."""
+        each = np.fromiter(map(numbers.__getitem__, self.words), np.int64, len(self.words))
+        texts = len(self.first) - 1
+        out = np.zeros(len(self.place) + texts + 1, np.int64)
+        out[np.arange(1, len(self.place) + 1) + np.repeat(np.arange(texts), np.diff(self.first))] = each[self.place]
+        return out
+
+
+def grouped(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
+    """The words of an Arrow column's texts, some texts at a time, with the place of the first of these."""
+    first, texts, size = 0, [], 0
+    for i, text in enumerate(texts_of(column)):
+        texts.append(text)
+        size += len(text or b"")
+        if size > TOGETHER:
+            yield first, Tokens(texts)
+            first, texts, size = i + 1, [], 0
+    if texts:
+        yield first, Tokens(texts)
+
+
+@lean
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    counts: dict[bytes, int] = {}
 
     def out() -> pa.RecordBatch:
         found = pa.array(counts.keys(), pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays([found, pa.array(counts.values(), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for text in texts_of(batch.column(0)):
-            counts.update(words(text))
+        for _, some in grouped(batch.column(0)):
+            for word, n in zip(some.words, np.bincount(some.place, minlength=len(some.words)).tolist(), strict=True):
+                counts[word] = counts.get(word, 0) + n
             if len(counts) > GATHERED:
                 yield out()
                 counts.clear()
@@ -134,6 +202,7 @@ def pair_counts(texts: DataFrame, held: list[str]) -> DataFrame:
     """How often a word number follows another: ``a``, ``b``, ``n``; texts begin and end at number 0."""
     shared = texts.sparkSession.sparkContext.broadcast(held[:CLUSTERED])
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers((w.encode(), i + 1) for i, w in enumerate(shared.value))
         codes, sums, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
@@ -150,10 +219,8 @@ def pair_counts(texts: DataFrame, held: list[str]) -> DataFrame:
             codes, sums, waiting, size = both, total, [], 0
 
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                found = words(text)
-                line = np.zeros(len(found) + 2, np.int64)
-                line[1:-1] = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+            for _, some in grouped(batch.column(0)):
+                line = some.line(numbers)
                 line[line < 0] = CLUSTERED - line[line < 0]
                 waiting.append(line[:-1] * NUMBERS + line[1:])
                 size += len(line)
@@ -294,6 +361,7 @@ def contexts(texts: DataFrame, held: list[str], classes: np.ndarray, often: np.n
     """
     shared = texts.sparkSession.sparkContext.broadcast((held[:CLUSTERED], classes, often))
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, names, often = shared.value
         others = Others(((w.encode(), i + 1) for i, w in enumerate(first)), often)
@@ -320,10 +388,8 @@ def contexts(texts: DataFrame, held: list[str], classes: np.ndarray, often: np.n
             return pa.RecordBatch.from_arrays([found, *lists], ["word", "kinds", "ns"])
 
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                found = words(text)
-                line = np.zeros(len(found) + 2, np.int64)
-                line[1:-1] = np.fromiter(map(others.__getitem__, found), np.int64, len(found))
+            for _, some in grouped(batch.column(0)):
+                line = some.line(others)
                 waiting.append(line)
                 size += len(line)
                 if size > 2_000_000 or len(others.found) > GATHERED:
@@ -377,23 +443,37 @@ def placed(found: DataFrame, grid: np.ndarray) -> DataFrame:
     """``word`` and ``kind``: the class that each word of ``contexts`` gains most by, if it occurs ``LEAST`` times."""
     shared = found.sparkSession.sparkContext.broadcast(grid)
 
+    def named(words_: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        enough = np.flatnonzero(counts[:, :ALL].sum(axis=1) >= LEAST)
+        counts, words_ = counts[enough], words_.take(pa.array(enough))
+        own = np.array([CLASSES - Numbers()[w] for w in texts_of(words_)], np.int64)
+        kinds = placed_classes(own, counts[:, :ALL], counts[:, ALL : 2 * ALL], counts[:, -1], shared.value)
+        return pa.RecordBatch.from_arrays([words_, pa.array(kinds, pa.int32())], ["word", "kind"])
+
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = shared.value
+        # The last word so far, whose rows may go on.
+        last, kept = None, None
         for batch in batches:
             for low in range(0, len(batch), PLACED):
                 part = batch.slice(low, PLACED)
-                sizes = part["kinds"].value_lengths().to_numpy()
-                code = np.repeat(np.arange(len(part)) * KINDS, sizes) + part["kinds"].flatten().to_numpy()
-                counts = np.bincount(code, part["ns"].flatten().to_numpy(), minlength=len(part) * KINDS).reshape(-1, KINDS)
-                enough = np.flatnonzero(counts[:, :ALL].sum(axis=1) >= LEAST)
-                counts, words_ = counts[enough], part["word"].take(pa.array(enough))
-                own = np.array([CLASSES - Numbers()[w] for w in texts_of(words_)], np.int64)
-                kinds = placed_classes(own, counts[:, :ALL], counts[:, ALL : 2 * ALL], counts[:, -1], grid)
-                yield pa.RecordBatch.from_arrays([words_, pa.array(kinds, pa.int32())], ["word", "kind"])
-
-    each = found.groupBy("word").agg(F.collect_list(F.struct("kinds", "ns")).alias("p"))
-    each = each.select("word", F.flatten("p.kinds").alias("kinds"), F.flatten("p.ns").alias("ns"))
-    return each.mapInArrow(place, "word string, kind int")
+                names, sizes = part["word"], part["kinds"].value_lengths().to_numpy()
+                new = np.append(True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False))
+                row = np.cumsum(new) - 1
+                code = np.repeat(row * KINDS, sizes) + part["kinds"].flatten().to_numpy()
+                counts = np.bincount(code, part["ns"].flatten().to_numpy(), minlength=(row[-1] + 1) * KINDS).reshape(-1, KINDS)
+                names = names.take(pa.array(np.flatnonzero(new)))
+                if last is not None and last == names[0]:
+                    counts[0] += kept
+                elif last is not None:
+                    names, counts = pa.concat_arrays([pa.array([last.as_py()], names.type), names]), np.vstack([kept, counts])
+                last, kept = names[-1], counts[-1].copy()
+                yield named(names[:-1], counts[:-1])
+        if last is not None:
+            yield named(pa.array([last.as_py()], pa.string()), kept[None])
+
+    # A word's rows follow each other, so that they are added up one by one, however many there are.
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(place, "word string, kind int")
 
 
 @dataclass
@@ -419,6 +499,7 @@ def class_lines(docs: DataFrame, named: DataFrame, held: list[str], n: np.ndarra
     """
     shared = docs.sparkSession.sparkContext.broadcast((held, n, classes, facts))
 
+    @lean
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, classes, (n_ends, tokens, distinct) = shared.value
         numbers = Unheld((w.encode(), i + 1) for i, w in enumerate(held))
@@ -437,20 +518,21 @@ def class_lines(docs: DataFrame, named: DataFrame, held: list[str], n: np.ndarra
             return pa.RecordBatch.from_arrays(made, ["doc_id", "n_tokens", "n_held", "base", "emit", "line", "rare", "times", "spots"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
-                found = words(text)
-                line = np.zeros(len(found) + 2, np.int64)
-                line[1:-1] = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-                left = [found[i] for i in np.flatnonzero(line[1:-1] < 0)]
-                rare = Counter(left)
-                place = {w: i for i, w in enumerate(rare)}
-                here = int((line[1:] > 0).sum()) + (n_ends > 0)
-                base = known[line[1:]].sum() - (len(found) + 1) * floor
-                spots = [place[w] for w in left]
-                out.append((key.as_py(), len(found) + 1, here, base, emit[line[1:]].sum(), kind[line].tobytes(), list(rare), list(rare.values()), spots))
-                if len(out) >= 500:
-                    yield flush()
-                    out.clear()
+            for at, some in grouped(batch.column(1)):
+                lines, first = some.line(numbers), some.first.tolist()
+                for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
+                    line = lines[a + i : b + i + 2]
+                    left = [some.words[j] for j in some.place[a:b][line[1:-1] < 0].tolist()]
+                    rare = Counter(left)
+                    place = {w: k for k, w in enumerate(rare)}
+                    here = int((line[1:] > 0).sum()) + (n_ends > 0)
+                    base = known[line[1:]].sum() - (b - a + 1) * floor
+                    spots = [place[w] for w in left]
+                    key = batch.column(0)[at + i].as_py()
+                    out.append((key, b - a + 1, here, base, emit[line[1:]].sum(), kind[line].tobytes(), list(rare), list(rare.values()), spots))
+                    if len(out) >= 500:
+                        yield flush()
+                        out.clear()
         yield flush()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
